@@ -62,8 +62,10 @@ def _serial(ids: np.ndarray, config: StoreConfig) -> bytes:
 
 def train_dictionary(docs: DataFrame, config: StoreConfig) -> bytes:
     """Bytes of the dictionary; with too few samples to train on, the samples themselves."""
-    sample = docs.where("text is not null").select(F.col("doc_id"), F.substring("text", 1, config.sample_chars).alias("text"))
-    rows = sample.orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(config.sample_docs).collect()
+    some = docs.where("text is not null").withColumn("key", F.xxhash64("doc_id"))
+    # Hashes alone are ordered; texts of the chosen rows are fetched after, sample_docs of them at most.
+    last = some.select("key").orderBy("key").limit(config.sample_docs).agg(F.max("key")).first()[0]
+    rows = some.where(F.col("key") <= last).select(F.substring("text", 1, config.sample_chars).alias("text")).limit(config.sample_docs).collect() if last is not None else []
     bpe = byte_bpe(config.vocabulary)
     samples = [_serial(bpe.ids(r["text"]), config) for r in rows]
     try:
