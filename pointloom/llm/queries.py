@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, language_id, license_scan, packing, pii, quality_rules, sharding, simhash, token_counts, token_store
+from ._text import LOWER, NOT_WORD, UPPER
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,5 +64,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_packing, op2_pii_surrogates, op3_virtual_slots, op4_simhash, op5_token_counts, op6_license_scan, op7_token_store, op8_quality_rules, op9_language_id, op10_decontaminate, pipeline)}
 
 
+#: Windows of all items meet windows of equal length of all documents, as lists of words.
+OP10_SQL = rf"""
+with d as materialized (
+  select row_number() over () as row_id, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{NOT_WORD}'), lambda x: x <> '') as words from documents),
+i as (select coalesce(cast(item_id as varchar), '') as item, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{NOT_WORD}'), lambda x: x <> '') as words from benchmark),
+sized as (select item, words, least(10, len(words)) as size from i where len(words) > 0),
+item_windows as (select distinct item, size, words[p : p + size - 1] as gram from (select *, unnest(range(1, len(words) - size + 2)) as p from sized)),
+windows as (select row_id, p, size, words[p : p + size - 1] as gram
+  from (select row_id, words, size, unnest(range(1, len(words) - size + 2)) as p from d cross join (select distinct size from sized))),
+hits as materialized (select row_id, p, w.size, item from windows w join item_windows x on w.size = x.size and w.gram = x.gram),
+hit_words as (select row_id, count(distinct place) as n_hit from (select row_id, unnest(range(p, p + size)) as place from hits) group by row_id),
+hit_items as (select row_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct row_id, item from hits) group by row_id)
+select doc_id, cast(len(words) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
+  sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join hit_words using (row_id) left join hit_items using (row_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_decontaminate": OP10_SQL}
