@@ -3,7 +3,9 @@
 Texts are cut into pre-tokens as the tokenizer file says. The pre-tokens of a batch that are not
 known yet stand as one flat array of symbols with their bounds; in each round every sequence applies
 its own lowest-rank pair, everywhere in it, at once. Sequences without a pair left drop out and
-what survives of them is counted. Counts of pre-tokens are kept, up to ``KNOWN`` of them.
+what survives of them is counted. Pre-tokens over ``LONG`` characters, whose rounds would each pass over
+the whole of them, keep the places of each rank instead, so that a round visits only the places it
+merges. Counts of pre-tokens are kept, up to ``KNOWN`` of them, but for the long ones.
 
 Defined results: null or empty text has 0 bytes and 0 tokens; a null doc_id is kept as null; repeated
 rows are counted each; an empty table gives no rows; columns besides doc_id and text are ignored.
@@ -11,6 +13,7 @@ rows are counted each; an empty table gives no rows; columns besides doc_id and
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 import unicodedata
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 from ..session import ship_package
 from .vocab import default_path
 
-KNOWN, ROUND = 300_000, 50_000
+KNOWN, ROUND, LONG = 300_000, 50_000, 256
 _NONE = np.int64(1 << 40)
 
 
@@ -52,11 +55,13 @@ class WordBpe:
         keys = np.array([vocab[a] * self.width + vocab[b] for a, b in pairs], np.int64)
         order = np.argsort(keys)
         self.keys, self.ranks = keys[order], order.astype(np.int64)
+        self.rank_of = dict(zip(keys.tolist(), range(len(keys)), strict=True))
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)  # by rank
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.special = {x["content"] for x in spec["added_tokens"]}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.known: dict[str, int] = {}
+        self.passing: list[str] = []  # long ones, known until the next batch
 
     def words(self, text: str | None) -> tuple[list[str], int]:
         """Pre-tokens, and how many special strings the text holds."""
@@ -108,14 +113,54 @@ class WordBpe:
             symbol, of = symbol[keep], of[keep]
         return left
 
+    def count_long(self, word: str) -> int:
+        """Symbols that survive of one word: the same rounds, lowest rank first, each at the places of its pair alone."""
+        raw = np.frombuffer(word.encode(), np.uint8)
+        n, width = len(raw), self.width
+        symbol = [*self.inner[raw[:-1]].tolist(), int(self.final[raw[-1]])]
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        merged, rank_of = self.merged, self.rank_of
+        places: dict[int, list[int]] = {}
+        for i in range(n - 1):
+            rank = rank_of.get(symbol[i] * width + symbol[i + 1])
+            if rank is not None:
+                places.setdefault(rank, []).append(i)
+        ranks = list(places)
+        heapq.heapify(ranks)
+        left = n
+        while ranks:
+            rank = heapq.heappop(ranks)
+            whole = int(merged[rank])
+            for i in sorted(places.pop(rank)):
+                j = after[i]
+                if symbol[i] < 0 or j >= n or rank_of.get(symbol[i] * width + symbol[j]) != rank:
+                    continue  # one of the two was merged with another neighbour
+                k = after[j]
+                symbol[i], symbol[j], after[i] = whole, -1, k
+                left -= 1
+                if k < n:
+                    before[k] = i
+                for a, b in ((before[i], i), (i, k)):
+                    new = rank_of.get(symbol[a] * width + symbol[b]) if a >= 0 and b < n else None
+                    if new is not None:
+                        if new not in places:
+                            heapq.heappush(ranks, new)
+                        places.setdefault(new, []).append(a)
+        return left
+
     def learn(self, words: Iterable[str]) -> None:
         """Have the counts of all these words in ``known``."""
+        for w in self.passing:
+            self.known.pop(w, None)
         new = list(words - self.known.keys() if isinstance(words, set) else set(words) - self.known.keys())
         if len(self.known) + len(new) > KNOWN:
             self.known = {}
             new = list(set(words))
-        for at in range(0, len(new), ROUND):
-            part = new[at : at + ROUND]
+        short = [w for w in new if len(w) <= LONG]
+        self.passing = [w for w in new if len(w) > LONG]
+        self.known.update((w, self.count_long(w)) for w in self.passing)
+        for at in range(0, len(short), ROUND):
+            part = short[at : at + ROUND]
             self.known.update(zip(part, self.count(part).tolist(), strict=True))
 
 

@@ -168,9 +168,6 @@ def base_of(text):
 
 
 def test_license_base_and_spans(spark, documents, docs, rows, none):
-    for frame in (documents, docs):
-        for r in frame.select("doc_id", "text").collect()[:0]:
-            raise AssertionError(r)
     got = Counter(tuple(r)[:6] for r in license_scan.license_scan(documents).collect())
     assert got == Counter((r.doc_id, *base_of(r.text)) for r in documents.collect())
     assert Counter(tuple(r)[:6] for r in license_scan.license_scan(docs).collect()) == Counter((i, *base_of(t)) for i, t, *_ in rows)

@@ -53,6 +53,19 @@ def test_word_counts_equal_the_library(word_bpe, documents):
         assert int(ours.count(words).sum() if words else 0) + special == len(e.ids), text
 
 
+def test_long_words_equal_the_library(word_bpe):
+    rng = random.Random(4)
+    ours = token_counts.word_bpe(public_tokenizers.path("word_bpe_49k.json"))
+    for alphabet in ("a", "aab", "abcdefghijklmnopqrstuvwxyz", "^#!", "éeßñatons", "中文한글字"):
+        for n in (257, 300, 1_000, 200_000):
+            text = "".join(rng.choice(alphabet) for _ in range(n))
+            words, _ = ours.words(text)
+            ours.learn(words)
+            assert sum(ours.known[w] for w in words) == len(word_bpe.encode(text, add_special_tokens=False).ids), (alphabet, n)
+    ours.learn(["short"])
+    assert max(map(len, ours.known)) <= token_counts.LONG
+
+
 def check_packing(pieces, rows, tokenizer, sequence=2048):
     wanted = expected(tokenizer, rows, 1)
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
