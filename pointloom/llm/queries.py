@@ -82,5 +82,36 @@ from d left join hit_words using (row_id) left join hit_items using (row_id)
 """
 
 
+def _op6_sql() -> str:
+    """Trigrams of texts meet those of the templates as words, without hashes; diagonals, spans and their verification follow."""
+    known = license_scan.templates()
+    literal = lambda x: "'" + x.replace("'", "''") + "'"
+    k = license_scan.K
+    grams = ", ".join(f"({t}, {literal(label)}, {str(base).lower()}, {len(words) - k + 1}, {p}, {', '.join(map(literal, words[p : p + k]))})" for t, label, base, words in known for p in range(len(words) - k + 1))
+    return rf"""
+with grams(template, label, is_base, grams, place, t0, t1, t2) as (values {grams}),
+d as materialized (
+  select row_number() over () as row_id, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{NOT_WORD}'), lambda x: x <> '') as words from documents),
+rolling as (select row_id, pos, words[pos + 1] as w0, words[pos + 2] as w1, words[pos + 3] as w2 from (select row_id, words, unnest(range(0, len(words) - 2)) as pos from d)),
+lines as (
+  select row_id, template, label, is_base, grams, pos - place as diagonal, min(pos) as first, max(pos) as last, list(distinct place) as places
+  from rolling join grams on w0 = t0 and w1 = t1 and w2 = t2 group by row_id, template, label, is_base, grams, diagonal),
+stepped as (select *, len(places) = grams as whole, case when diagonal - lag(diagonal) over (partition by row_id, template order by diagonal) <= {license_scan.NEAR} then 0 else 1 end as step from lines),
+numbered as (select *, sum(step) over (partition by row_id, template order by diagonal) as span from stepped),
+spans as (
+  select row_id, label, is_base, grams, min(first) as first, max(last) + {k} as behind, len(list_distinct(flatten(list(places)))) / grams as cover,
+    count(*) filter (whole) as exact, min(diagonal) filter (whole) as exact_first, max(diagonal) filter (whole) as exact_last
+  from numbered group by row_id, template, label, is_base, grams, span),
+judged as (select *, is_base and exact > 0 as base, cover >= {license_scan.COVER} and behind - first <= {license_scan.STRETCH} * (grams + {k - 1}) as verified from spans),
+of_doc as (
+  select row_id, sum(exact) filter (base) as n_base, min(exact_first) filter (base) as first_word, max(exact_last) filter (base) as last_word,
+    string_agg(distinct label, ',' order by label) filter (base) as base_labels, string_agg(distinct label, ',' order by label) filter (base or verified) as labels, max(cover) as score
+  from judged group by row_id)
+select doc_id, cast(len(words) as bigint) as n_words, cast(coalesce(n_base, 0) as bigint) as n_base, cast(first_word as bigint) as first_word, cast(last_word as bigint) as last_word,
+  coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, cast(coalesce(score, 0) as double) as score
+from d left join of_doc using (row_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_decontaminate": OP10_SQL}
+    return {"op6_license_scan": _op6_sql(), "op10_decontaminate": OP10_SQL}
