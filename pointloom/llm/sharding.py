@@ -1,12 +1,13 @@
 """Sharding by fixed virtual slots and a versioned map from slots to shards.
 
-Records are hashed into ``slots`` virtual slots; the hash covers doc_id and content, so one hot doc_id
-spreads. Rows and bytes are summed for each slot. The map's version 1 deals the slots out in turn;
+Records are hashed into ``slots`` virtual slots; the hash covers doc_id, content and, for each
+``RUN`` copies of one record, the number of that run, so neither a hot doc_id nor a record that
+is repeated without bound stays in one slot. Rows and bytes are summed for each slot. The map's version 1 deals the slots out in turn;
 rebalancing edits it by moves and swaps of slots between the fullest and the emptiest shard
 until no edit helps, which gives version 2. Both versions are one stored table; only the map (as many
 rows as slots) ever meets the driver. The law that holds is ``bytes``.
 
-Equal rows are counted, not carried: a third of all rows being one record is one row in the shuffle.
+Equal rows are counted, not carried, in the first shuffle, and by runs in the second.
 Places in a shard come from running counts over slots, not from a sort of the shard.
 
 Defined results: null or empty text has size 1 and crc32 0; a null doc_id is hashed as null; repeated
@@ -23,16 +24,18 @@ from pyspark.sql import functions as F
 from ..session import written
 
 SLOTS, SHARDS = 4096, 8
-#: Copies of one record that a row of the second-last step stands for.
-RUN = 10_000
+#: Copies of one record that share a slot; they are one row until the last step.
+RUN = 16
 
 
 def records(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32, virtual_slot, copies: one row for each different record."""
+    """doc_id, size, text_crc32, run, virtual_slot, copies: one row for each ``RUN`` copies of a record."""
     text = F.col("text").cast("string")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"))
-    slotted = slim.withColumn("virtual_slot", F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(slots)).cast("int"))
-    return slotted.groupBy("doc_id", "size", "text_crc32", "virtual_slot").agg(F.count("*").alias("copies"))
+    counted = slim.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("all"))
+    runs = counted.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(all - 1) div {RUN}"))))
+    slot = F.pmod(F.xxhash64("doc_id", "size", "text_crc32", "run"), F.lit(slots)).cast("int")
+    return runs.select("doc_id", "size", "text_crc32", "run", slot.alias("virtual_slot"), F.least(F.lit(RUN), F.col("all") - F.col("run") * RUN).alias("copies"))
 
 
 def rebalance(sizes: list[int], shard_of: list[int], shards: int) -> list[int]:
@@ -87,11 +90,9 @@ def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> DataFram
     """doc_id, size, text_crc32, law, shard, slot (place in the shard from 0), grown_shard, virtual_slot, map_version."""
     recs = written(records(docs, slots), "records")
     table = slot_map(recs, shards, slots).where("version = 2").select("virtual_slot", "shard", "version", "base")
-    before = Window.partitionBy("virtual_slot").orderBy("doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("virtual_slot").orderBy("doc_id", "size", "text_crc32", "run").rowsBetween(Window.unboundedPreceding, -1)
     placed = recs.withColumn("at", F.coalesce(F.sum("copies").over(before), F.lit(0))).join(F.broadcast(table), "virtual_slot")
-    runs = placed.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(copies - 1) div {RUN}"))))
-    last = F.least(F.col("copies"), (F.col("run") + 1) * RUN) - 1
-    rows = runs.withColumn("copy", F.explode(F.sequence(F.col("run") * RUN, last)))
+    rows = placed.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
     return rows.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("base") + F.col("at") + F.col("copy")).cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.col("version").alias("map_version"),

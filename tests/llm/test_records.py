@@ -29,6 +29,12 @@ def test_shards(documents, docs, rows, none):
     assert sharding.shard(none).collect() == []
 
 
+def test_a_repeated_record_spreads(spark):
+    table = spark.createDataFrame([(7, "the same")] * 40_000 + [(k, "x" * (k % 50)) for k in range(40_000)], "doc_id long, text string")
+    load = check_shards(sharding.shard(table).collect(), [(7, "the same")] * 40_000 + [(k, "x" * (k % 50)) for k in range(40_000)])
+    assert max(load.values()) - min(load.values()) < 0.002 * sum(load.values())
+
+
 def test_many_copies_of_one_record(spark):
     table = spark.range(30_000).select(F.lit(5).cast("long").alias("doc_id"), F.lit("same").alias("text")).unionByName(spark.range(100).select(F.col("id").alias("doc_id"), F.lit("x").alias("text")))
     check_shards(sharding.shard(table).collect(), [(5, "same")] * 30_000 + [(k, "x") for k in range(100)])
