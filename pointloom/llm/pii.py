@@ -5,7 +5,8 @@ surrogate is drawn from sha256(key, type, canonical entity, attempt): letters be
 case, digits digits, hex stays hex, separators stay; addresses keep valid octets, card numbers their
 first digit and a valid check digit, phone numbers their country code, e-mail domains become reserved
 example domains and are the same for the same domain, names keep title, number of words, gender (from the title) and script.
-Two spellings of one entity (case of an address, punctuation of a number) have one surrogate.
+Two spellings of one entity (case of an address, punctuation of a number, a phone number of area code +1
+with or without that code) have one surrogate.
 
 Collision check: the distinct entities of the whole table form a table of their own. Where two share
 a surrogate, or a surrogate is an original entity of its type, all but the first go on with the next attempt,
@@ -53,10 +54,10 @@ PATTERNS = {
     "name": rf"(?<!\p{{L}})(?=[{_FIRST}]){_TITLE}\.? \p{{Lu}}\p{{L}}+(?:[ -]\p{{Lu}}\p{{L}}+){{0,2}}",
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "access_key": r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])",
-    "iban": r"[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![0-9A-Za-z])",
+    "iban": r"[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}| [A-Z0-9]{4}(?: (?=[A-Z]{0,3}\d)[A-Z0-9]{4}){2,6}(?: \d[A-Z0-9]{0,2})?)(?![0-9A-Za-z])",
     "ip": rf"(?<!\.){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])",
     "ssn": r"(?<![-])\d{3}-\d{2}-\d{4}(?![0-9A-Za-z-])",
-    "phone": r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)",
+    "phone": r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|\(\d{3}\) ?\d{3}[.-]\d{4}(?![0-9A-Za-z]|[.-]\d)|(?<![.-])\d{3}(?:-\d{3}-|\.\d{3}\.)\d{4}(?![0-9A-Za-z]|[.-]\d)",
     "card": r"(?<![.+])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?![0-9A-Za-z])",
     "secret": r"(?i:token|password|passwd|secret|api[_-]?key)[\x22']?\s{0,2}[=:]\s{0,2}[\x22']?[^\s\x22',;]{8,}",
     "hex": r"[0-9a-f]{32,128}(?![0-9A-Za-z])",
@@ -72,7 +73,7 @@ def found(text: Column) -> Column:
 
 
 def kind(m: Column) -> Column:
-    tests = {"email": "^[^@ ]+@[^@ ]+$", "access_key": "^AKIA[0-9A-Z]{16}$", "ip": rf"^{_OCTET}(?:\.{_OCTET}){{3}}$", "ssn": r"^\d{3}-\d{2}-\d{4}$", "phone": r"^\+[0-9 ().-]+$", "card": r"^[0-9 -]{13,19}$", "iban": r"^[A-Z]{2}\d{2}[A-Z0-9]{11,30}$", "name": rf"^{_TITLE}\.? \p{{Lu}}"}
+    tests = {"email": "^[^@ ]+@[^@ ]+$", "access_key": "^AKIA[0-9A-Z]{16}$", "ip": rf"^{_OCTET}(?:\.{_OCTET}){{3}}$", "ssn": r"^\d{3}-\d{2}-\d{4}$", "phone": r"^(?:\+|\(\d{3}\)|\d{3}[.-]\d{3}[.-])[0-9 ().-]*$", "card": r"^[0-9 -]{13,19}$", "iban": r"^[A-Z]{2}\d{2} ?[A-Z0-9][A-Z0-9 ]{10,40}$", "name": rf"^{_TITLE}\.? \p{{Lu}}"}
     out = F.when(m.rlike(tests.pop("email")), "email")
     for name, test in tests.items():
         out = out.when(m.rlike(test), name)
@@ -97,7 +98,7 @@ def canonical(m: Column, k: Column) -> Column:
     """One text for all spellings of an entity, itself an entity of that type."""
     digits = F.regexp_replace(m, r"[ ().-]", "")
     name = F.concat(F.when(_gender(m) == "m", "Mr ").when(_gender(m) == "f", "Mrs ").otherwise("Dr "), F.initcap(F.lower(_untitled(m))))
-    return F.when(k == "email", F.lower(m)).when(k.isin("phone", "card"), digits).when(k == "name", name).otherwise(F.substring(m, F.length(_label(m)) + 1, F.length(m)))
+    return F.when(k == "email", F.lower(m)).when((k == "phone") & ~m.startswith("+"), F.concat(F.lit("+1"), digits)).when(k.isin("phone", "card", "iban"), digits).when(k == "name", name).otherwise(F.substring(m, F.length(_label(m)) + 1, F.length(m)))
 
 
 def _draw(seed: Column, at: Column, n: int) -> Column:
@@ -108,13 +109,13 @@ def _pick(letters: str, seed: Column, at: Column) -> Column:
     return F.substring(F.lit(letters), _draw(seed, at, len(letters)) + 1, F.lit(1))
 
 
-def _mapped(m: Column, seed: Column, keep: Column) -> Column:
-    """Each letter or digit after the first ``keep`` of them by one of its own kind; all else as it is. Places count letters and digits only, so punctuation does not matter."""
+def _mapped(m: Column, seed: Column, keep: Column, missing: Column | None = None) -> Column:
+    """Each letter or digit after the first ``keep`` of them by one of its own kind; all else as it is. Places count letters and digits only, so punctuation does not matter; ``missing`` of them stand before this spelling."""
     is_hex = m.rlike("^[0-9a-f]+$") & m.rlike("[a-f]")
 
     def one(i: Column) -> Column:
         c = F.substring(m, i, F.lit(1))
-        at = F.length(F.regexp_replace(F.substring(m, F.lit(1), i), "[^0-9A-Za-z]", ""))
+        at = F.length(F.regexp_replace(F.substring(m, F.lit(1), i), "[^0-9A-Za-z]", "")) + (F.lit(0) if missing is None else missing)
         new = F.when(is_hex, _pick(DIGITS + "abcdef", seed, at)).when(c.rlike("[0-9]"), _pick(DIGITS, seed, at)).when(c.rlike("[a-z]"), _pick(LOWER, seed, at)).when(c.rlike("[A-Z]"), _pick(UPPER, seed, at)).otherwise(c)
         return F.when(at <= keep, c).otherwise(new)
 
@@ -166,9 +167,10 @@ def _name(m: Column, seed: Column) -> Column:
 
 def surrogate(m: Column, k: Column, attempt: Column, key: str) -> Column:
     octets = lambda seed: F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: (_draw(seed, i, 254) + 1).cast("string")), ".")
-    country = F.when(m.rlike(r"^\+[17]"), 1).otherwise(2)
+    national = F.when((k == "phone") & ~m.startswith("+"), 1).otherwise(0)
+    country = F.when((national == 1) | m.rlike(r"^\+[17]"), 1).otherwise(2)
     kept = F.when(k == "access_key", 4).when(k == "iban", 2).when(k == "phone", country).otherwise(0)
-    drawn = lambda seed: F.when(k == "email", _email(m, seed, key)).when(k == "ip", octets(seed)).when(k == "card", _card(m, seed)).when(k == "name", _name(m, seed)).otherwise(F.concat(_label(m), _mapped(F.substring(m, F.length(_label(m)) + 1, F.length(m)), seed, kept)))
+    drawn = lambda seed: F.when(k == "email", _email(m, seed, key)).when(k == "ip", octets(seed)).when(k == "card", _card(m, seed)).when(k == "name", _name(m, seed)).otherwise(F.concat(_label(m), _mapped(F.substring(m, F.length(_label(m)) + 1, F.length(m)), seed, kept, national)))
     return let(F.sha2(F.concat_ws("|", F.lit(key), k, canonical(m, k), attempt.cast("string")), 256), drawn)
 
 

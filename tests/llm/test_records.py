@@ -86,6 +86,17 @@ def test_surrogates_keep_type_and_format(spark, none, docs):
     assert again[0] != a and again[4] == TEXTS[4]
 
 
+def test_spellings_without_country_code_or_with_spaces(spark):
+    clean = ["sizes 743-555-382, 1.743.555.3824, (743) units 555-3824-1, AB12 ROOM then 7", "743-555-3824-9 and 743-555.3824"]
+    texts = ["+1 (743) 555-3824 is (743) 555-3824, 743-555-3824 and 743.555.3824", "GB82 WEST 1234 5698 7654 32 is GB82WEST12345698765432; DE89 3704 0044 0532 0130 00 THEN", *clean]
+    out = [r.text for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    phone = re.fullmatch(r"\+1 \((\d{3})\) (\d{3})-(\d{4}) is \((\d{3})\) (\d{3})-(\d{4}), (\d{3})-(\d{3})-(\d{4}) and (\d{3})\.(\d{3})\.(\d{4})", out[0])
+    assert phone and len({phone.groups()[k : k + 3] for k in (0, 3, 6, 9)}) == 1 and phone.groups()[:3] != ("743", "555", "3824")
+    iban = re.fullmatch(r"(GB\d\d [A-Z]{4} \d{4} \d{4} \d{4} \d\d) is (\w{22}); DE\d\d(?: \d{4}){4} \d\d THEN", out[1])
+    assert iban and iban[1].replace(" ", "") == iban[2] != "GB82WEST12345698765432" and "DE89 3704" not in out[1]
+    assert out[2:] == clean
+
+
 def test_collisions_are_drawn_again(spark):
     mails = [f"u{k}@mail.example.com" for k in range(30)]
     table = spark.createDataFrame([(k, f"to {m} and {mails[(k + 1) % 30]}.") for k, m in enumerate(mails)], "doc_id long, text string")
