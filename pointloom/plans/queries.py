@@ -462,6 +462,7 @@ def triangle_breakdown(spark, sf_dir):
 
 
 def _two_walls(spark, sf_dir):
+    # The part of the room that the SQL of _KNN names; only queries with that SQL read it.
     return room(spark, sf_dir).where("surf in (1, 2)")
 
 
@@ -472,12 +473,12 @@ def knn8(spark, sf_dir):
 
 @query()
 def knn20(spark, sf_dir):
-    return knn.knn(_two_walls(spark, sf_dir), 20, CELL).groupBy("q").agg(F.count("*").alias("n"), F.round(F.max(F.sqrt("d2")), 6).alias("farthest"))
+    return knn.knn(room(spark, sf_dir), 20, CELL).groupBy("q").agg(F.count("*").alias("n"), F.round(F.max(F.sqrt("d2")), 6).alias("farthest"))
 
 
 @query()
 def outlier_filter(spark, sf_dir):
-    return knn.outlier_filter(_two_walls(spark, sf_dir), 20, 2.0, CELL).select("point_idx")
+    return knn.outlier_filter(room(spark, sf_dir), 20, 2.0, CELL).select("point_idx")
 
 
 @query("select q, count(*) as n, cast(max(rank) as bigint) as farthest from kr where rank <= 30 group by q", _KNN)
@@ -486,7 +487,7 @@ def hybrid_neighbors(spark, sf_dir):
 
 
 def _normals(spark, sf_dir):
-    points = grid.voxel_downsample(_two_walls(spark, sf_dir), 0.05).select("point_idx", *"xyz")
+    points = grid.voxel_downsample(room(spark, sf_dir), 0.05).select("point_idx", *"xyz")
     return written(points.join(normals.from_neighbours(knn.hybrid_neighbours(points, 0.2, 30)), "point_idx"), "normals")
 
 
@@ -528,7 +529,7 @@ def mesh_surface(spark, sf_dir):
 
 @query()
 def mesh_pipeline(spark, sf_dir):
-    vertices, triangles = pipelines.reconstruct(_two_walls(spark, sf_dir), MeshConfig("room", 0.05, 6))
+    vertices, triangles = pipelines.reconstruct(room(spark, sf_dir), MeshConfig("room", 0.05, 6))
     return vertices.select("vid", *_r(*"xyz", "nx", "ny", "nz"))
 
 

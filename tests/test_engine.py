@@ -71,6 +71,20 @@ def test_neighbours_are_exact(spark):
     assert all(np.isclose(near[k], want[k][1]) for k in range(len(xyz)))
 
 
+def test_neighbour_queries_read_the_whole_room(spark, tiny):
+    rows = room(spark, tiny).select("point_idx", *"xyz").collect()
+    ids, at = np.array([r[0] for r in rows]), np.array([r[1:] for r in rows])
+    near = np.concatenate([np.sort(np.sqrt(((at[k : k + 500, None] - at[None]) ** 2).sum(axis=2)), axis=1)[:, :20] for k in range(0, len(at), 500)])
+    got = {r.q: (r.n, r.farthest) for r in queries.QUERIES["knn20"](spark, tiny).collect()}
+    assert len(got) == len(ids) and all(got[q] == (20, pytest.approx(d, abs=2e-6)) for q, d in zip(ids, near[:, 19], strict=True))
+    mean = near.mean(axis=1)
+    limit = mean.mean() + 2 * mean.std(ddof=1)
+    clear = np.abs(mean - limit) > 1e-9
+    kept = {r[0] for r in queries.QUERIES["outlier_filter"](spark, tiny).collect()}
+    assert all((q in kept) == (0 < m < limit) for q, m in zip(ids[clear], mean[clear], strict=True))
+    assert queries.QUERIES["point_normals"](spark, tiny).count() == grid.voxel_downsample(room(spark, tiny), 0.05).count()
+
+
 def test_planes_are_refined_and_extracted(spark, small):
     fits = {r.wall_id: r for r in queries.QUERIES["plane_refine"](spark, small).collect()}
     for p in queries.WALLS:
