@@ -123,6 +123,30 @@ def test_normals_and_surface_of_a_plane(spark):
         normals.estimate(flat.limit(99), 0.05)
 
 
+def test_orientation_goes_on_over_tile_borders(spark):
+    rows = []
+    for y in (0.0, 40.0):
+        for i in range(60):
+            for j in range(12):
+                x = (i - 29.5) * 0.3
+                rows.append((len(rows), x, y + 0.004 * (-1) ** j, j * 0.3, 0.0, -1.0 if (x < 0) == (y == 0) else 1.0, 0.0))
+    tilted = spark.createDataFrame(rows, "point_idx long, x double, y double, z double, nx double, ny double, nz double")
+    got = normals.mst_orientation(tilted, cell=0.9).collect()
+    assert len(got) == len(rows)
+    for y in (0.0, 40.0):
+        assert len({r.ny for r in got if abs(r.y - y) < 1}) == 1
+
+
+def test_each_wall_of_the_room_has_one_side(spark, small):
+    p = grid.voxel_downsample(room(spark, small).where("surf in (1, 2, 3, 4)").withColumns({"x": F.col("x") * 4, "y": F.col("y") * 4, "z": F.col("z") * 4}), 0.4).select("point_idx", *"xyz")
+    rows = normals.mst_orientation(p.join(normals.from_neighbours(knn.hybrid_neighbours(p, 1.6, 30)), "point_idx"), cell=1.6).collect()
+    for c, n in (("x", "nx"), ("y", "ny")):
+        other = "y" if c == "x" else "x"
+        for at in (0, 12):
+            sides = [r[n] > 0 for r in rows if abs(r[c] - at) < 0.1 and 2 < r[other] < 10]
+            assert len(sides) > 100 and len(set(sides)) == 1
+
+
 def write_las(path, xyz, fmt=3, version=(1, 2), cut=0):
     size = {0: 20, 1: 28, 2: 26, 3: 34, 6: 30, 7: 36}[fmt]
     head = 375 if version == (1, 4) else 227
