@@ -53,7 +53,7 @@ class SegmentConfig:
     min_plane: int = 8000
     min_share: float = 0.005
     max_planes: int = 40
-    candidates: int = 500
+    candidates: int = 5000
     floor_nz: float = 0.85
     wall_nz: float = 0.20
     min_groove: int = 80

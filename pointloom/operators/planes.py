@@ -128,6 +128,14 @@ class Extraction:
 
 
 SAMPLE = 4_000
+#: Candidates scored on the sample at once.
+LOT = 1_000
+
+
+def sampled(sample: np.ndarray, planes: list[Plane], distance: float) -> np.ndarray:
+    """Sample points strictly within the distance of each plane."""
+    unit = np.array([p.unit for p in planes])
+    return (np.abs(sample @ unit[:, :3].T + unit[:, 3]) < distance).sum(axis=0)
 
 
 def extract_planes(points: DataFrame, config: SegmentConfig) -> Extraction:
@@ -149,8 +157,8 @@ def extract_planes(points: DataFrame, config: SegmentConfig) -> Extraction:
         tried = candidates(sample, config.candidates, config.seed + number)
         if not tried:
             break
-        near = np.abs(sample @ np.array([p.unit[:3] for p in tried]).T + np.array([p.unit[3] for p in tried])) < config.distance
-        best = [tried[k] for k in np.argsort(-near.sum(axis=0), kind="stable")[:16]]
+        near = np.concatenate([sampled(sample, tried[k : k + LOT], config.distance) for k in range(0, len(tried), LOT)])
+        best = [tried[k] for k in np.argsort(-near, kind="stable")[:16]]
         counts = score(left, best, config.distance)
         top = max(best, key=lambda p: (counts.get(p.wall_id, 0), -p.wall_id))
         inliers = counts.get(top.wall_id, 0)

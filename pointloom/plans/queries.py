@@ -239,7 +239,7 @@ def inlier_scoring(spark, sf_dir):
 
 def _extraction(spark, sf_dir):
     points = room(spark, sf_dir)
-    return planes.extract_planes(points, SegmentConfig(min_plane=max(300, points.count() // 8), min_groove=10, candidates=300))
+    return planes.extract_planes(points, SegmentConfig(min_plane=max(300, points.count() // 8), min_groove=10))
 
 
 @query()
@@ -541,6 +541,6 @@ def obj_lines(spark, sf_dir):
 @query()
 def segmentation(spark, sf_dir):
     points = room(spark, sf_dir)
-    config = SegmentConfig(min_plane=max(300, points.count() // 8), min_groove=10, opening_cell=CELL, wall_cell=CELL, groove_cell=CELL, groove_cell_depth=0.05, candidates=300)
+    config = SegmentConfig(min_plane=max(300, points.count() // 8), min_groove=10, opening_cell=CELL, wall_cell=CELL, groove_cell=CELL, groove_cell_depth=0.05)
     result = pipelines.segment(points, config, downsample=False)
     return result["openings"].select("wall_id", "type", *_r("width", "height", "sill"))

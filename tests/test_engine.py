@@ -93,6 +93,16 @@ def test_planes_are_refined_and_extracted(spark, small):
     assert kinds.count("wall") == 4 and kinds.count("floor") >= 1
 
 
+def test_a_plane_of_a_tenth_of_the_cloud_is_found(spark):
+    rng = np.random.default_rng(5)
+    xyz = rng.random((4000, 3)) * 20
+    xyz[:400, 2] = 7 + rng.uniform(-0.004, 0.004, 400)
+    df = spark.createDataFrame([(k, *map(float, p)) for k, p in enumerate(xyz)], "point_idx long, x double, y double, z double")
+    for seed in (1, 2, 3):
+        log = planes.extract_planes(df, SegmentConfig(min_plane=300, seed=seed)).log
+        assert [e["kind"] for e in log] == ["floor"] and abs(log[0]["mean_z"] - 7) < 0.01
+
+
 def test_geometry_of_planes():
     for n in ((0.0, 1.0, 0.0), (0.6, 0.8, 0.0), (0.36, 0.48, 0.8), (0.0, 0.0, 1.0)):
         u, v = g.wall_basis(n)
