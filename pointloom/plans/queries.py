@@ -237,9 +237,14 @@ def inlier_scoring(spark, sf_dir):
     return spark.createDataFrame(sorted(counts.items()), "candidate int, inliers long")
 
 
+def least_plane(n: int) -> int:
+    """The reference's gate, which only rooms of too few points for it lower."""
+    return min(SegmentConfig.min_plane, max(300, n // 8))
+
+
 def _extraction(spark, sf_dir):
     points = room(spark, sf_dir)
-    return planes.extract_planes(points, SegmentConfig(min_plane=max(300, points.count() // 8), min_groove=10))
+    return planes.extract_planes(points, SegmentConfig(min_plane=least_plane(points.count()), min_groove=10))
 
 
 @query()
@@ -541,6 +546,6 @@ def obj_lines(spark, sf_dir):
 @query()
 def segmentation(spark, sf_dir):
     points = room(spark, sf_dir)
-    config = SegmentConfig(min_plane=max(300, points.count() // 8), min_groove=10, opening_cell=CELL, wall_cell=CELL, groove_cell=CELL, groove_cell_depth=0.05)
+    config = SegmentConfig(min_plane=least_plane(points.count()), min_groove=10, opening_cell=CELL, wall_cell=CELL, groove_cell=CELL, groove_cell_depth=0.05)
     result = pipelines.segment(points, config, downsample=False)
     return result["openings"].select("wall_id", "type", *_r("width", "height", "sill"))

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from conftest import DATA
 from pointloom.functions import geometry as g
 from pointloom.model import Plane, SegmentConfig
 from pointloom.operators import grid, knn, mesh, normals, planes, sample, stats, surface, voids
@@ -103,6 +104,13 @@ def test_a_plane_of_a_tenth_of_the_cloud_is_found(spark):
         assert [e["kind"] for e in log] == ["floor"] and abs(log[0]["mean_z"] - 7) < 0.01
 
 
+def test_the_gate_of_planes_does_not_grow_with_the_cloud(spark):
+    assert [queries.least_plane(n) for n in (100, 5_844, 58_479, 584_250, 10**9)] == [300, 730, 7_309, 8_000, 8_000]
+    # The clutter at z = 2 of the largest room: more than 8,000 points, less than an eighth of the cloud.
+    kinds = [(r.kind, r.inliers) for r in queries.QUERIES["plane_extract"](spark, str(DATA / "sf0.1")).collect()]
+    assert [k for k, _ in kinds].count("floor") == 2 and [k for k, _ in kinds].count("wall") == 4
+
+
 def test_geometry_of_planes():
     for n in ((0.0, 1.0, 0.0), (0.6, 0.8, 0.0), (0.36, 0.48, 0.8), (0.0, 0.0, 1.0)):
         u, v = g.wall_basis(n)
