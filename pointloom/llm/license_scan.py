@@ -4,7 +4,8 @@ All rolling word trigrams of all texts are hashed and joined to the trigrams' pl
 templates (a bounded, broadcast table); equal hashes are checked word by word in the same join. A
 hit votes for the diagonal (place in the text less place in the template). Neighbouring diagonals,
 which arise from inserted or dropped words, are merged; a merged span is verified by the share
-of the template's trigrams that it covers and by its length. A template's exact places are the
+of the template's trigrams that it covers and by its length, and must hold the words that tell its
+license from those of like wording (TELLING). A template's exact places are the
 diagonals with every vote.
 
 Defined results: null or empty text has no words and score 0; a null doc_id is kept as null; repeated rows
@@ -16,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import written
 from ._text import folded_words, folded_words_column
 
 K = 3
@@ -54,6 +56,27 @@ NOTICES = {
 }
 
 
+#: Words that tell licenses of like wording apart: mark, SQL test of a text's words w0 and w1 (the next). A license's notice holds all its marks.
+MARKS = {
+    "gnu-general": "w0 = 'gnu' and w1 = 'general'",
+    "lesser": "w0 = 'lesser'",
+    "affero": "w0 = 'affero'",
+    "2": "w0 = 'v2' or w0 = 'version' and w1 = '2'",
+    "3": "w0 = 'v3' or w0 = 'version' and w1 = '3'",
+    "attribution": "w0 = 'attribution' and coalesce(w1, '') not in ('sharealike', 'share', 'noncommercial', 'non', 'noderivatives', 'noderivs', 'no')",
+    "sharealike": "w0 = 'sharealike' or w0 = 'share' and w1 = 'alike'",
+    "noncommercial": "w0 = 'noncommercial' or w0 = 'non' and w1 = 'commercial'",
+}
+TELLING = {
+    "gpl-2": ["gnu-general", "2"], "gpl-3": ["gnu-general", "3"], "lgpl": ["lesser"], "agpl-3": ["affero"],
+    "cc-by": ["attribution"], "cc-by-sa": ["sharealike"], "cc-by-nc": ["noncommercial"],
+}
+#: A text without one of these has no mark; cheap to test.
+MARKED = "(?i)gnu|lesser|affero|v2|v3|version|attribution|share|non"
+#: Words behind a span in which its marks may stand, as a version after the last hit.
+BEHIND = 3
+
+
 def templates(base: dict[str, list[str]] = BASE, notices: dict[str, list[str]] = NOTICES) -> list[tuple[int, str, bool, list[str]]]:
     """number, label, whether it is a base phrase, words; templates of fewer than K words can't be voted for."""
     flat = [(label, True, t) for label, ts in base.items() for t in ts] + [(label, False, t) for label, ts in notices.items() for t in ts]
@@ -100,16 +123,40 @@ def spans(hits: DataFrame) -> DataFrame:
     return out.withColumn("cover", F.col("covered") / F.col("grams"))
 
 
+def marks(docs: DataFrame) -> DataFrame:
+    """m_id, m_h, mark, word (its place): each mark once."""
+    words = docs.where(F.col("text").rlike(MARKED)).select("doc_id", "h", folded_words_column(F.col("text")).alias("w"))
+    pairs = F.arrays_zip(F.col("w").alias("w0"), F.slice("w", F.lit(2), F.size("w")).alias("w1"))
+    at = words.select("doc_id", "h", F.posexplode(pairs).alias("word", "g")).select("doc_id", "h", "word", "g.w0", "g.w1")
+    # The tests exclude each other, so a place has one mark at most.
+    which = F.coalesce(*[F.when(F.expr(test), name) for name, test in MARKS.items()])
+    return at.select(F.col("doc_id").alias("m_id"), F.col("h").alias("m_h"), which.alias("mark"), "word").where("mark is not null").distinct()
+
+
+def told(verified: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id, h, label: labels of verified spans that hold all marks of their license."""
+    needs = F.coalesce(*[F.when(F.col("label") == label, F.array(*map(F.lit, names))) for label, names in TELLING.items()], F.expr("cast(array() as array<string>)"))
+    span = ["doc_id", "h", "label", "first", "behind"]
+    asked = verified.select(*span, needs.alias("needs")).distinct()
+    plain = asked.where("size(needs) = 0").select("doc_id", "h", "label")
+    asked, m = asked.where("size(needs) > 0"), marks(docs)
+    here = asked.doc_id.eqNullSafe(m.m_id) & (asked.h == m.m_h) & m.word.between(asked["first"], asked["behind"] + BEHIND - 1) & F.array_contains(asked.needs, m.mark)
+    held = asked.join(m, here).groupBy(*span).agg(F.count_distinct("mark").alias("held"), F.first(F.size("needs")).alias("asked")).where("held = asked")
+    return plain.unionByName(held.select("doc_id", "h", "label")).distinct()
+
+
 def license_scan(docs: DataFrame, known: list[tuple[int, str, bool, list[str]]] | None = None) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     known = known or templates()
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
-    found = spans(votes(slim, known))
+    found = written(spans(votes(slim, known)), "spans")
     base = F.col("is_base") & (F.col("exact") > 0)
     verified = (F.col("cover") >= COVER) & (F.col("behind") - F.col("first") <= STRETCH * (F.col("grams") + K - 1))
+    named = told(found.where(verified), slim).select(F.col("doc_id").alias("t_id"), F.col("h").alias("t_h"), F.col("label").alias("t_label"))
+    found = found.join(named, found.doc_id.eqNullSafe(named.t_id) & (found.h == named.t_h) & (found.label == named.t_label), "left").withColumn("told", F.col("t_h").isNotNull())
     of_doc = found.groupBy("doc_id", "h").agg(
         F.sum(F.when(base, F.col("exact")).otherwise(0)).alias("n_base"), F.min(F.when(base, F.col("exact_first"))).cast("long").alias("first_word"), F.max(F.when(base, F.col("exact_last"))).cast("long").alias("last_word"),
-        F.concat_ws(",", F.array_sort(F.collect_set(F.when(base, F.col("label"))))).alias("base_labels"), F.concat_ws(",", F.array_sort(F.collect_set(F.when(base | verified, F.col("label"))))).alias("labels"),
+        F.concat_ws(",", F.array_sort(F.collect_set(F.when(base, F.col("label"))))).alias("base_labels"), F.concat_ws(",", F.array_sort(F.collect_set(F.when(base | F.col("told"), F.col("label"))))).alias("labels"),
         F.max("cover").alias("score"),
     )
     of_doc = of_doc.select(F.col("doc_id").alias("r_id"), F.col("h").alias("r_h"), *of_doc.columns[2:])

@@ -180,6 +180,20 @@ def test_license_base_and_spans(spark, documents, docs, rows, none):
     assert license_scan.license_scan(none).collect() == []
 
 
+def test_licenses_of_like_wording_are_told_apart(spark):
+    gnu = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    cc = "This work is licensed under a Creative Commons {} International License."
+    cases = [
+        (gnu.format("", "2"), "gpl-2"), (gnu.format("", "3"), "gpl-3"), (gnu.format("Lesser ", "2.1"), "lgpl"), (gnu.format("Affero ", "3"), "agpl-3"), (gnu.format("", "2") + " " + gnu.format("", "3"), "gpl-2,gpl-3"),
+        ("under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.", "gpl-2"), (gnu.format("", "2").replace("either version 2 of the License", "version 2 only"), "gpl-2"),
+        (cc.format("Attribution 4.0"), "cc-by"), (cc.format("Attribution-ShareAlike 4.0"), "cc-by-sa"), (cc.format("Attribution-NonCommercial 4.0"), "cc-by-nc"), (cc.format("Attribution-NonCommercial-ShareAlike 4.0"), "cc-by-nc,cc-by-sa"),
+        ("Licensed under the GNU General Public License, version 3", "gpl-3"), ("Licensed under the GNU General Public License, version 2", ""),
+    ]
+    texts = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)] + [(None, cases[0][0])] * 2, "doc_id long, text string")
+    out = license_scan.license_scan(texts).collect()
+    assert {r.doc_id: r.labels for r in out} == {**{k: x for k, (_, x) in enumerate(cases)}, None: "gpl-2"} and len(out) == len(cases) + 2
+
+
 def test_language_accuracy_and_edges(documents, docs, none):
     truth = {r.doc_id: r.lang for r in documents.collect()}
     got = language_id.identify(documents).collect()
