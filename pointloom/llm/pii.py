@@ -65,7 +65,7 @@ PATTERNS = {
 #: Nothing begins inside a word, which the first test tells at most places.
 PATTERN = "(?<![0-9A-Za-z])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
 #: What a text must hold for any of the patterns to match; cheap to test.
-GATE = rf"[0-9@=:]|(?=[{_FIRST}]){_TITLE}\.? \p{{Lu}}"
+GATE = rf"[0-9@=:]|AKIA|[a-f]{{32}}|(?=[{_FIRST}]){_TITLE}\.? \p{{Lu}}"
 
 
 def found(text: Column) -> Column:
