@@ -163,30 +163,60 @@ def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def _clean(windows, documents: bool):
+def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The union of spans, those that touch as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
+def _clean(windows):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = windows.value
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            keep = [not x for lot in range(0, len(texts), 64) for x in known.hits(texts[lot : lot + 64])[1]]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _add_spans(windows):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = windows.value
         for batch in batches:
-            at = batch.schema.get_field_index("text")
-            texts = batch.column(at).to_pylist()
-            keep, cleaned = [], []
-            for lot in range(0, len(texts), 64):
-                _, spans, _ = known.hits(texts[lot : lot + 64])
-                keep += [not x for x in spans]
-                cleaned += texts[lot : lot + 64] if documents else [without_spans(t, x) if x else t for t, x in zip(texts[lot : lot + 64], spans, strict=True)]
-            if documents:
-                yield batch.filter(pa.array(keep, pa.bool_()))
-            else:
-                yield batch.set_column(at, batch.schema.field(at), pa.array(cleaned, batch.schema.field(at).type))
+            at = batch.schema.get_field_index(SPANS)
+            texts, before = batch.column(batch.schema.get_field_index("text")).to_pylist(), batch.column(at).to_pylist()
+            more = [x for lot in range(0, len(texts), 64) for x in known.hits(texts[lot : lot + 64])[1]]
+            spans = [[*old, *({"a": a, "b": b} for a, b in new)] for old, new in zip(before, more, strict=True)]
+            yield batch.set_column(at, batch.schema.field(at), pa.array(spans, batch.schema.field(at).type))
 
     return run
 
 
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at = batch.schema.get_field_index("text")
+        spans = [_joined([(x["a"], x["b"]) for x in row]) for row in batch.column(batch.schema.get_field_index(SPANS)).to_pylist()]
+        cleaned = [without_spans(t, x) if x else t for t, x in zip(batch.column(at).to_pylist(), spans, strict=True)]
+        yield batch.set_column(at, batch.schema.field(at), pa.array(cleaned, batch.schema.field(at).type))
+
+
+#: Column of the spans that blocks have found so far.
+SPANS = "_hit_spans"
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", window: int = WINDOW, block_bytes: int = 16 << 20) -> DataFrame:
-    """docs without hit documents (``documents``) or without hit spans (``spans``); all columns stay."""
+    """docs without hit documents (``documents``) or without hit spans (``spans``); all columns stay. Spans are found by all blocks on the whole text and cut once."""
     spark = docs.sparkSession
     ship_package(spark)
+    if mode != "documents":
+        docs = docs.withColumn(SPANS, F.expr("cast(array() as array<struct<a:long,b:long>>)"))
     for rows in _blocks(benchmark, block_bytes):
         windows = spark.sparkContext.broadcast(WindowSet([(r["item"], r["text"]) for r in rows], window))
-        docs = docs.mapInArrow(_clean(windows, mode == "documents"), docs.schema)
-    return docs
+        docs = docs.mapInArrow(_clean(windows) if mode == "documents" else _add_spans(windows), docs.schema)
+    return docs if mode == "documents" else docs.mapInArrow(_cut, docs.schema).drop(SPANS)

@@ -167,6 +167,15 @@ def base_of(text):
     return len(w), len(hits), min(hits, default=None), max(hits, default=None), ",".join(sorted(labels))
 
 
+def test_spans_do_not_depend_on_blocks(spark):
+    words = [f"w{k}" for k in range(40)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, None), (3, "clean text")], "doc_id long, text string")
+    items = spark.createDataFrame([(str(k), " ".join(words[a : a + 10])) for k, a in enumerate((0, 5, 20, 30))], "item_id string, text string")
+    for block_bytes in (1 << 20, 60, 20):
+        out = {r.doc_id: r.text for r in decontaminate.decontaminate(docs, items, "spans", block_bytes=block_bytes).collect()}
+        assert out == {1: " " + " ".join(words[15:20]) + " ", 2: None, 3: "clean text"}
+
+
 def test_license_base_and_spans(spark, documents, docs, rows, none):
     got = Counter(tuple(r)[:6] for r in license_scan.license_scan(documents).collect())
     assert got == Counter((r.doc_id, *base_of(r.text)) for r in documents.collect())
