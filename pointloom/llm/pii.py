@@ -1,25 +1,33 @@
-"""Surrogates for personal data: keyed, of the same type and format, distinct, and the same everywhere.
-
-One pattern finds all types; the text is the pieces between the matches with each match replaced. A
-surrogate is drawn from sha256(key, type, canonical entity, attempt): letters become letters of the same
-case, digits digits, hex stays hex, separators stay; addresses keep valid octets, card numbers their
-first digit and a valid check digit, phone numbers their country code, e-mail domains become reserved
-example domains and are the same for the same domain, names keep title, number of words, gender (from the title) and script.
-Two spellings of one entity (case of an address, punctuation of a number, a phone number of area code +1
-with or without that code) have one surrogate.
-
-Collision check: the distinct entities of the whole table form a table of their own. Where two share
-a surrogate, or a surrogate is an original entity of its type, all but the first go on with the next attempt,
-until none is left. Attempts above 0 are few and are joined back to the rows that hold their entities.
+"""Surrogates for personal data: keyed, of the same type, gender, script and format, distinct, and the same everywhere.
+
+One pattern finds all types; the text is the pieces between the matches with each match replaced. Every match has
+canonical entities (an address in lower case, the digits of a number, each word of a name) and each entity one
+surrogate in the whole table, so all spellings and mentions of an entity agree: "Mrs Anna Schmidt", "Frau
+Schmidt" and "Dr Anna Schmidt" keep one surname and one given name.
+
+A surrogate is a keyed permutation of the entity's format class, so different entities of a class differ by
+construction, also where a class is full: letters stay letters of their script, kind (vowel or consonant) and
+case, digits stay digits, hex stays hex, separators stay. The permutation is a Feistel network over the
+characters; sha256(key, type, attempt, round, other half) gives the shifts. Given names of the lists go to names of
+the same list, that is of the same gender and script; other words of names keep their last letter, which carries
+gender in many languages. Domains are permuted likewise below a reserved ending; addresses keep valid octets; card
+numbers their first digit and IBANs their country, both with valid check digits if the original has valid ones; phone
+numbers keep their country code. Names without title are found behind a given name of the lists.
+
+Collision check: the distinct entities of the whole table form a table of their own. Where two share a surrogate, or
+a surrogate is an original entity of its type, all but the first go on with the next attempt, until none is
+left: after a few attempts each further one makes the format a character longer, so a full class cannot hold it up.
+Attempts above 0 are few and are joined back to the texts that hold their entities.
 
 Defined results: null text stays null; a null doc_id is kept as null; repeated rows are changed alike; an empty
-table gives no rows; all other columns stay as they are.
+table gives no rows; all other columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
+import random
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,31 +35,44 @@ from pyspark.sql import functions as F
 from ..session import written
 from ._text import let
 
-# Titles by gender, names by script and gender, syllables of surnames by script.
+# Titles by gender, given names by script and gender, letters by script and kind.
 TITLES = {
     "m": ["Mr", "Herr", "Monsieur", "Señor", "Signor", "Господин"],
     "f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Señora", "Signora", "Госпожа"],
     "n": ["Dr", "Prof", "Доктор"],
 }
 GIVEN = {
-    ("latin", "m"): "Adam Alan Boris Carl David Erik Felix George Henry Ivan Jonas Karl Leon Martin Nils Oscar Paul Ralph Simon Thomas Victor Walter".split(),
-    ("latin", "f"): "Alice Anna Berta Clara Diana Ella Flora Greta Helen Irene Julia Karen Laura Maria Nora Olga Paula Rosa Sara Tina Vera Wilma".split(),
-    ("latin", "n"): "Alex Andrea Chris Dana Gabriel Jamie Kim Lee Robin Sam Sascha Toni".split(),
-    ("cyrillic", "m"): "Антон Борис Виктор Глеб Денис Егор Иван Кирилл Максим Олег Павел Роман Сергей".split(),
-    ("cyrillic", "f"): "Алла Анна Вера Галина Дарья Елена Ирина Мария Нина Ольга Полина Светлана".split(),
-    ("cyrillic", "n"): "Женя Саша Валя Слава Шура Паша".split(),
+    ("latin", "m"): "Adam Alan Andrew Anthony Boris Brian Carl Carlos Charles Daniel David Diego Edward Erik Felix Fernando George Giovanni Hans Henri Henry Ivan Jacques James Jean John Jonas Jorge Joseph José Juan Jürgen Karl Kevin Klaus Leon Luca Luis Marco Martin Matthew Michael Miguel Nils Oscar Otto Paolo Paul Pedro Peter Philipp Pierre Ralph Richard Robert Simon Stefan Steven Thomas Tobias Victor Walter Werner William Wolfgang".split(),
+    ("latin", "f"): "Alice Amélie Anna Barbara Berta Birgit Carmen Catherine Chiara Claire Clara Diana Elena Elisabeth Elizabeth Ella Emma Flora Giulia Greta Hannah Heidi Helen Inés Irene Isabel Jennifer Jessica Julia Karen Katharina Laura Linda Lucía Margaret Maria Marie Mary Monika Nancy Nora Olga Patricia Paula Petra Rosa Sabine Sandra Sara Sarah Sofia Sophie Susan Susanne Teresa Tina Ursula Vera Wilma".split(),
+    ("latin", "n"): "Alex Andrea Chris Dana Dominique Gabriel Jamie Kim Lee Robin Sam Sascha Taylor Toni".split(),
+    ("cyrillic", "m"): "Александр Алексей Андрей Антон Борис Виктор Владимир Глеб Денис Дмитрий Егор Иван Кирилл Максим Михаил Николай Олег Павел Роман Сергей".split(),
+    ("cyrillic", "f"): "Алла Анна Вера Галина Дарья Екатерина Елена Ирина Мария Наталья Нина Ольга Полина Светлана Татьяна Юлия".split(),
+    ("cyrillic", "n"): "Валя Женя Паша Саша Слава Шура".split(),
 }
-SURNAME = {
-    "latin": "ba be bo bra da del den do fa fer gan go gri ha hol ka kel ker la len lo mar men mo na ner no pa per ra ren ri ro sa sen ta tel to va ven".split(),
-    "cyrillic": "ба бе бо ва ве га го да де до за ка ки ко ла ле ли ма ми мо на не но па ро ра са се та то фе фи".split(),
-}
-DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+LETTERS = ["aeiouy", "bcdfghjklmnpqrstvwxz", "àáâãäåæèéêëìíîïòóôõöøùúûüý", "çñšžčćďłńňřśťź", "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "αεηιουω", "άέήίόύώ", "βγδζθκλμνξπρστφχψ"]
+DIGITS, LOWER, UPPER, HEX, MARKS = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef", "!#$%&()*+-./:<=>?@[]^_`{|}~"
+CYRILLIC = "абвгдежзиклмнопрстуфхцчшэюя"
+
+#: Attempts in the format of the original; each further one makes it a character longer.
+SAME_FORMAT = 4
+ROUNDS = 4
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _TITLE = "(?:" + "|".join(t for ts in TITLES.values() for t in sorted(ts, key=len, reverse=True)) + ")"
 _FIRST = "".join(sorted({t[0] for ts in TITLES.values() for t in ts}))
+
+
+def _by_initial(names: list[str]) -> str:
+    """A pattern of these names that tries only those of the same first letter."""
+    groups: dict[str, list[str]] = {}
+    for x in sorted(names, key=lambda x: (-len(x), x)):
+        groups.setdefault(x[0], []).append(x[1:])
+    return "(?:" + "|".join(f"{a}(?:{'|'.join(rest)})" for a, rest in sorted(groups.items())) + ")"
+
+
+_GIVEN = _by_initial([x for xs in GIVEN.values() for x in xs])
 PATTERNS = {
-    "name": rf"(?<!\p{{L}})(?=[{_FIRST}]){_TITLE}\.? \p{{Lu}}\p{{L}}+(?:[ -]\p{{Lu}}\p{{L}}+){{0,2}}",
+    "name": rf"(?<!\p{{L}})(?=\p{{Lu}}\p{{L}})(?:{_TITLE}\.? \p{{Lu}}\p{{L}}+(?:[ -]\p{{Lu}}\p{{L}}+){{0,2}}|{_GIVEN}(?:[ -]\p{{Lu}}\p{{L}}+){{1,2}})",
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "access_key": r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])",
     "iban": r"[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}| [A-Z0-9]{4}(?: (?=[A-Z]{0,3}\d)[A-Z0-9]{4}){2,6}(?: \d[A-Z0-9]{0,2})?)(?![0-9A-Za-z])",
@@ -65,7 +86,7 @@ PATTERNS = {
 #: Nothing begins inside a word, which the first test tells at most places.
 PATTERN = "(?<![0-9A-Za-z])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
 #: What a text must hold for any of the patterns to match; cheap to test.
-GATE = rf"[0-9@=:]|AKIA|[a-f]{{32}}|(?=[{_FIRST}]){_TITLE}\.? \p{{Lu}}"
+GATE = rf"[0-9@=:]|AKIA|[a-f]{{32}}|(?=[{_FIRST}]){_TITLE}\.? \p{{Lu}}|(?<!\p{{L}})(?=\p{{Lu}}\p{{L}}){_GIVEN}[ -]\p{{Lu}}"
 
 
 def found(text: Column) -> Column:
@@ -73,15 +94,14 @@ def found(text: Column) -> Column:
 
 
 def kind(m: Column) -> Column:
-    tests = {"email": "^[^@ ]+@[^@ ]+$", "access_key": "^AKIA[0-9A-Z]{16}$", "ip": rf"^{_OCTET}(?:\.{_OCTET}){{3}}$", "ssn": r"^\d{3}-\d{2}-\d{4}$", "phone": r"^(?:\+|\(\d{3}\)|\d{3}[.-]\d{3}[.-])[0-9 ().-]*$", "card": r"^[0-9 -]{13,19}$", "iban": r"^[A-Z]{2}\d{2} ?[A-Z0-9][A-Z0-9 ]{10,40}$", "name": rf"^{_TITLE}\.? \p{{Lu}}"}
+    tests = {"email": "^[^@ ]+@[^@ ]+$", "access_key": "^AKIA[0-9A-Z]{16}$", "ip": rf"^{_OCTET}(?:\.{_OCTET}){{3}}$", "ssn": r"^\d{3}-\d{2}-\d{4}$", "phone": r"^(?:\+|\(\d{3}\)|\d{3}[.-]\d{3}[.-])[0-9 ().-]*$", "card": r"^[0-9 -]{13,19}$", "iban": r"^[A-Z]{2}\d{2} ?[A-Z0-9][A-Z0-9 ]{10,40}$", "name": r"^\p{Lu}\p{L}*\.?[ -]\p{Lu}[\p{L} -]*$"}
     out = F.when(m.rlike(tests.pop("email")), "email")
     for name, test in tests.items():
         out = out.when(m.rlike(test), name)
     return out.otherwise("secret")
 
 
-def _untitled(m: Column) -> Column:
-    return F.regexp_replace(m, rf"^{_TITLE}\.? ", "")
+# ---- entities of a match ------------------------------------------------------------------------
 
 
 def _label(m: Column) -> Column:
@@ -89,37 +109,71 @@ def _label(m: Column) -> Column:
     return F.regexp_extract(m, r"^(?i:token|password|passwd|secret|api[_-]?key)[\x22']?\s{0,2}[=:]\s{0,2}[\x22']?", 0)
 
 
-def _gender(m: Column) -> Column:
-    of = lambda g: m.rlike("^(?:" + "|".join(TITLES[g]) + r")\.? ")
-    return F.when(of("m"), "m").when(of("f"), "f").otherwise("n")
+def _title(m: Column) -> Column:
+    return F.regexp_extract(m, rf"^{_TITLE}\.? ", 0)
+
+
+def _words(m: Column) -> Column:
+    """The words of a name behind its title."""
+    return F.regexp_extract_all(F.substring(m, F.length(_title(m)) + 1, F.length(m)), F.lit(r"\p{L}+"), F.lit(0))
 
 
 def canonical(m: Column, k: Column) -> Column:
-    """One text for all spellings of an entity, itself an entity of that type."""
+    """One text for all spellings of the entity of a match that is no name."""
     digits = F.regexp_replace(m, r"[ ().-]", "")
-    name = F.concat(F.when(_gender(m) == "m", "Mr ").when(_gender(m) == "f", "Mrs ").otherwise("Dr "), F.initcap(F.lower(_untitled(m))))
-    return F.when(k == "email", F.lower(m)).when((k == "phone") & ~m.startswith("+"), F.concat(F.lit("+1"), digits)).when(k.isin("phone", "card", "iban"), digits).when(k == "name", name).otherwise(F.substring(m, F.length(_label(m)) + 1, F.length(m)))
+    octets = F.array_join(F.transform(F.split(m, r"\."), lambda x: x.cast("int").cast("string")), ".")
+    return F.when(k == "email", F.lower(m)).when((k == "phone") & ~m.startswith("+"), F.concat(F.lit("+1"), digits)).when(k.isin("phone", "card", "iban"), digits).when(k == "ip", octets).otherwise(F.substring(m, F.length(_label(m)) + 1, F.length(m)))
+
+
+def entities_of(m: Column, k: Column) -> Column:
+    """The canonical entities of a match: the words of a name in lower case, else one."""
+    return F.when(k == "name", F.transform(_words(m), F.lower)).otherwise(F.array(canonical(m, k)))
+
 
+# ---- permutations of format classes -------------------------------------------------------------
 
-def _draw(seed: Column, at: Column, n: int) -> Column:
-    return F.pmod(F.xxhash64(seed, at), F.lit(n)).cast("int")
 
+def _shifted(c: Column, by: Column, alphabets: list[str]) -> Column:
+    """The character ``by`` places on in its alphabet, around its end; any other character as it is."""
+    line = "".join(alphabets)
 
-def _pick(letters: str, seed: Column, at: Column) -> Column:
-    return F.substring(F.lit(letters), _draw(seed, at, len(letters)) + 1, F.lit(1))
+    def moved(place: Column) -> Column:
+        first, size, at = F.lit(0), F.lit(1), 0
+        for x in alphabets:
+            inside = place > at
+            first, size, at = F.when(inside, at).otherwise(first), F.when(inside, len(x)).otherwise(size), at + len(x)
+        return F.when(place == 0, c).otherwise(F.substring(F.lit(line), (first + F.pmod(place - 1 - first + by, size) + 1).cast("int"), F.lit(1)))
 
+    return let(F.call_function("instr", F.lit(line), c), moved)
 
-def _mapped(m: Column, seed: Column, keep: Column, missing: Column | None = None) -> Column:
-    """Each letter or digit after the first ``keep`` of them by one of its own kind; all else as it is. Places count letters and digits only, so punctuation does not matter; ``missing`` of them stand before this spelling."""
-    is_hex = m.rlike("^[0-9a-f]+$") & m.rlike("[a-f]")
 
-    def one(i: Column) -> Column:
-        c = F.substring(m, i, F.lit(1))
-        at = F.length(F.regexp_replace(F.substring(m, F.lit(1), i), "[^0-9A-Za-z]", "")) + (F.lit(0) if missing is None else missing)
-        new = F.when(is_hex, _pick(DIGITS + "abcdef", seed, at)).when(c.rlike("[0-9]"), _pick(DIGITS, seed, at)).when(c.rlike("[a-z]"), _pick(LOWER, seed, at)).when(c.rlike("[A-Z]"), _pick(UPPER, seed, at)).otherwise(c)
-        return F.when(at <= keep, c).otherwise(new)
+def _mixed(part: Column, other: Column, seed: Column, alphabets: list[str]) -> Column:
+    """Each character of a half shifted in its alphabet by what the seed and the other half tell."""
+    chars = F.transform(F.sequence(F.lit(1), F.length(part)), lambda i: F.struct(F.substring(part, i, F.lit(1)).alias("c"), i.alias("i")))
+    one = lambda h: F.array_join(F.transform(chars, lambda x: _shifted(x["c"], F.pmod(F.xxhash64(h, x["i"]), F.lit(1 << 30)).cast("int"), alphabets)), "")
+    return F.when(part == "", part).otherwise(let(F.sha2(F.concat_ws("|", seed, other), 256), one))
 
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(m)), one), "")
+
+def permuted(value: Column, seed: Column, alphabets: list[str]) -> Column:
+    """A keyed permutation of all texts with the same kinds of characters at the same places: ``ROUNDS`` rounds of a Feistel network; an even number puts the halves back in place."""
+
+    def run(v: Column) -> Column:
+        half = F.floor(F.length(v) / 2).cast("int")
+        start = F.struct(F.substring(v, F.lit(1), half).alias("a"), F.substring(v, half + 1, F.length(v)).alias("b"))
+        turn = lambda s, r: F.struct(s["b"].alias("a"), _mixed(s["a"], s["b"], F.concat_ws("|", seed, r.cast("string")), alphabets).alias("b"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn, lambda s: F.concat(s["a"], s["b"]))
+
+    return let(value, run)
+
+
+def _drawn(alphabet: str, seed: Column, at: Column) -> Column:
+    return F.substring(F.lit(alphabet), (F.pmod(F.xxhash64(seed, at), F.lit(len(alphabet))) + 1).cast("int"), F.lit(1))
+
+
+def _grown(value: Column, seed: Column, more: Column, alphabet: str) -> Column:
+    """The value, and ``more`` characters drawn for it."""
+    tail = F.array_join(F.transform(F.sequence(F.lit(1), more), lambda i: _drawn(alphabet, F.concat_ws("|", seed, value), i)), "")
+    return F.when(more > 0, F.concat(value, tail)).otherwise(value)
 
 
 def _luhn(digits: Column) -> Column:
@@ -134,96 +188,198 @@ def _luhn(digits: Column) -> Column:
     return F.pmod(F.aggregate(F.transform(F.sequence(F.lit(1), n), value), F.lit(0), lambda a, x: a + x), F.lit(10))
 
 
-def _card(m: Column, seed: Column) -> Column:
-    def checked(drawn: Column) -> Column:
-        body = F.substring(drawn, F.lit(1), F.length(drawn) - 1)
-        check = F.pmod(10 - let(F.concat(F.regexp_replace(body, "[^0-9]", ""), F.lit("0")), _luhn), F.lit(10))
-        return F.when(let(F.regexp_replace(m, "[^0-9]", ""), _luhn) == 0, F.concat(body, check.cast("string"))).otherwise(drawn)
+def _card(digits: Column, seed: Column, more: Column) -> Column:
+    """First digit kept, the body permuted, and a check digit as far from the right one as the original's."""
+    body = lambda d: F.substring(d, F.lit(1), F.length(d) - 1)
+    right = lambda b: F.pmod(10 - _luhn(F.concat(b, F.lit("0"))), F.lit(10))
+    new = F.concat(F.substring(digits, F.lit(1), F.lit(1)), _grown(permuted(F.substring(body(digits), F.lit(2), F.length(digits)), seed, [DIGITS]), seed, more, DIGITS))
+    last = F.substring(digits, -1, 1).cast("int")
+    return let(new, lambda b: F.concat(b, F.pmod(last - right(body(digits)) + right(b), F.lit(10)).cast("int").cast("string")))
 
-    return let(_mapped(m, seed, F.lit(1)), checked)
 
+def _mod97(text: Column) -> Column:
+    """The number that letters (A is 10) and digits make, modulo 97."""
+    value = lambda c: F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55)
+    chars = F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: value(F.substring(text, i, F.lit(1))))
+    return F.aggregate(chars, F.lit(0), lambda a, v: ((a * F.when(v > 9, 100).otherwise(10) + v) % 97).cast("int"))
 
-def _email(m: Column, seed: Column, key: str) -> Column:
-    domain = F.lower(F.substring_index(m, "@", -1))
-    last = F.substring_index(domain, ".", -1)
-    top = F.when(last.isin("com", "net", "org"), last).otherwise("org")
-    host = let(F.sha2(F.concat_ws("|", F.lit(key), F.lit("domain"), domain), 256), lambda own: _mapped(F.substring_index(domain, ".", 1), own, F.lit(0)))
-    return F.concat(_mapped(F.substring_index(m, "@", 1), seed, F.lit(0)), F.lit("@"), host, F.lit(".example."), top)
 
+def _iban(x: Column, seed: Column, more: Column) -> Column:
+    """Country kept, the account permuted, and check digits as far from the right ones as the original's."""
+    country, check, account = F.substring(x, F.lit(1), F.lit(2)), F.substring(x, F.lit(3), F.lit(2)).cast("int"), F.substring(x, F.lit(5), F.length(x))
+    right = lambda a: 98 - _mod97(F.concat(a, country, F.lit("00")))
+    new = _grown(permuted(account, seed, [DIGITS, UPPER]), seed, more, DIGITS)
+    return let(new, lambda a: F.concat(country, F.lpad(F.pmod(check - right(account) + right(a), F.lit(100)).cast("int").cast("string"), 2, "0"), a))
 
-def _name(m: Column, seed: Column) -> Column:
-    gender, rest = _gender(m), _untitled(m)
-    title = F.substring(m, F.lit(1), F.length(m) - F.length(rest))
 
-    def of(script: str) -> Column:
-        syllable = lambda at: F.element_at(F.array(*map(F.lit, SURNAME[script])), _draw(seed, at, len(SURNAME[script])) + 1)
-        family = lambda at: F.initcap(F.concat(*[syllable(at + F.lit(10 * j)) for j in range(4)]))
-        given = reduce(lambda a, g: F.when(gender == g, F.element_at(F.array(*map(F.lit, GIVEN[script, g])), _draw(seed, F.lit(0), len(GIVEN[script, g])) + 1)).otherwise(a), "mf", F.element_at(F.array(*map(F.lit, GIVEN[script, "n"])), _draw(seed, F.lit(0), len(GIVEN[script, "n"])) + 1))
-        n = F.size(F.split(rest, "[ -]"))
-        return F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: F.when((n > 1) & (i == 1), given).otherwise(family(i))), " ")
+def _ip(x: Column, seed: Column, more: Column) -> Column:
+    digits = F.array_join(F.transform(F.split(x, r"\."), lambda o: F.lower(F.lpad(F.hex(o.cast("int")), 2, "0"))), "")
+    octet = lambda h: F.conv(h, 16, 10)
+    out = lambda h: F.array_join(F.transform(F.sequence(F.lit(1), F.length(h), F.lit(2)), lambda i: octet(F.substring(h, i, F.lit(2)))), ".")
+    return let(_grown(permuted(digits, seed, [HEX]), seed, 2 * more, HEX), out)
 
-    return F.concat(title, F.when(rest.rlike(r"\p{IsCyrillic}"), of("cyrillic")).otherwise(of("latin")))
 
+def _domain(d: Column, key: str) -> Column:
+    """Labels permuted, below a reserved ending that tells all the rest, so that different domains differ."""
+    reserved = F.regexp_extract(d, r"\.example\.(?:com|net|org)$", 0)
+    top = F.substring_index(d, ".", -1)
+    mine = F.when(reserved != "", F.substring(d, F.lit(1), F.length(d) - F.length(reserved))).otherwise(F.substring(d, F.lit(1), F.length(d) - F.length(top) - 1))
+    end = F.when(reserved != "", reserved).otherwise(F.concat(F.lit("."), top, F.lit(".example")))
+    return F.concat(permuted(mine, F.lit(f"{key}|domain"), [DIGITS, LOWER]), end)
 
-def surrogate(m: Column, k: Column, attempt: Column, key: str) -> Column:
-    octets = lambda seed: F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: (_draw(seed, i, 254) + 1).cast("string")), ".")
-    national = F.when((k == "phone") & ~m.startswith("+"), 1).otherwise(0)
-    country = F.when((national == 1) | m.rlike(r"^\+[17]"), 1).otherwise(2)
-    kept = F.when(k == "access_key", 4).when(k == "iban", 2).when(k == "phone", country).otherwise(0)
-    drawn = lambda seed: F.when(k == "email", _email(m, seed, key)).when(k == "ip", octets(seed)).when(k == "card", _card(m, seed)).when(k == "name", _name(m, seed)).otherwise(F.concat(_label(m), _mapped(F.substring(m, F.length(_label(m)) + 1, F.length(m)), seed, kept, national)))
-    return let(F.sha2(F.concat_ws("|", F.lit(key), k, canonical(m, k), attempt.cast("string")), 256), drawn)
+
+def _email(x: Column, seed: Column, more: Column, key: str) -> Column:
+    local, domain = F.substring_index(x, "@", 1), F.substring_index(x, "@", -1)
+    mine = F.concat_ws("|", seed, domain)
+    return F.concat(_grown(permuted(local, mine, [DIGITS, LOWER]), mine, more, LOWER), F.lit("@"), _domain(domain, key))
+
+
+def _secret(x: Column, seed: Column, more: Column) -> Column:
+    is_hex = lambda v: v.rlike("^[0-9a-f]+$") & v.rlike("[a-f]")
+    # Walks on while it has lost its letters, so that hex goes to hex one to one.
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(8)), permuted(x, seed, [HEX]), lambda s, i: F.when(is_hex(s), s).otherwise(permuted(s, seed, [HEX])))
+    # Letters beyond ASCII have no alphabet here: they are drawn, and the collision check parts what meets.
+    draw = lambda v, i: F.when(F.substring(v, i, F.lit(1)).rlike(r"\p{IsCyrillic}"), _drawn(CYRILLIC, F.concat_ws("|", seed, x), i)).when(F.substring(v, i, F.lit(1)).rlike(r"[^\x00-\x7F]"), _drawn(LOWER, F.concat_ws("|", seed, x), i)).otherwise(F.substring(v, i, F.lit(1)))
+    own = permuted(x, seed, [DIGITS, LOWER, UPPER, MARKS])
+    foreign = let(own, lambda v: F.array_join(F.transform(F.sequence(F.lit(1), F.length(v)), lambda i: draw(v, i)), ""))
+    return _grown(F.when(is_hex(x), walked).when(x.rlike(r"[^\x00-\x7F]"), foreign).otherwise(own), seed, more, HEX)
+
+
+def _given(key: str) -> dict[str, str]:
+    """Each given name of the lists, in lower case, to another of its list: a keyed cycle through it."""
+    out: dict[str, str] = {}
+    for (script, gender), names in GIVEN.items():
+        order = [x.lower() for x in names]
+        random.Random(hashlib.sha256(f"{key}|{script}|{gender}".encode()).hexdigest()).shuffle(order)
+        out.update(zip(order, [*order[1:], order[0]], strict=True))
+    return out
 
 
-def entities(texts: DataFrame) -> DataFrame:
-    """kind, entity (canonical): each once, over the whole table."""
-    each = texts.select(F.explode(found(F.col("text"))).alias("m")).distinct().withColumn("kind", kind(F.col("m")))
-    return each.select("kind", canonical(F.col("m"), F.col("kind")).alias("entity")).distinct()
+_GIVEN_WORDS = {x.lower() for xs in GIVEN.values() for x in xs}
 
 
+def is_given(word: Column) -> Column:
+    return word.isin(sorted(_GIVEN_WORDS))
+
+
+def _word(x: Column, seed: Column, more: Column, key: str) -> Column:
+    """A word of a name: given names of the lists by the lists; all others letter by letter but for the last."""
+    pairs = F.create_map(*[F.lit(v) for pair in sorted(_given(key).items()) for v in pair])
+    # Letters of other scripts have no alphabet here: the last resort is a word drawn in Latin letters.
+    own = F.when(F.length(x) > 3, F.concat(permuted(F.substring(x, F.lit(1), F.length(x) - 1), seed, LETTERS), F.substring(x, -1, 1))).otherwise(permuted(x, seed, LETTERS))
+    drawn = F.array_join(F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: _drawn(LOWER, F.concat_ws("|", seed, x), i)), "")
+    tail = F.when(x.rlike(r"\p{IsCyrillic}"), _grown(own, seed, more, CYRILLIC)).otherwise(_grown(own, seed, more, LOWER))
+    known = "[" + "".join(LETTERS) + "]"
+    return F.when(is_given(x), F.element_at(pairs, x)).when(x.rlike(known), tail).otherwise(_grown(drawn, seed, more, LOWER))
+
+
+def twin(x: Column, k: Column, attempt: Column, key: str) -> Column:
+    """The surrogate of a canonical entity, itself canonical."""
+
+    def of(seed: Column) -> Column:
+        more = F.greatest(F.lit(0), attempt - (SAME_FORMAT - 1)).cast("int")
+        code = F.when(x.rlike(r"^\+[17]"), 2).otherwise(3)
+        phone = F.concat(F.substring(x, F.lit(1), code), _grown(permuted(F.substring(x, code + 1, F.length(x)), seed, [DIGITS]), seed, more, DIGITS))
+        access = F.concat(F.lit("AKIA"), _grown(permuted(F.substring(x, F.lit(5), F.length(x)), seed, [DIGITS, UPPER]), seed, more, UPPER))
+        return (
+            F.when(k == "email", _email(x, seed, more, key)).when(k == "name", _word(x, seed, more, key)).when(k == "ip", _ip(x, seed, more)).when(k == "card", _card(x, seed, more))
+            .when(k == "iban", _iban(x, seed, more)).when(k == "phone", phone).when(k == "access_key", access).when(k == "ssn", _grown(permuted(x, seed, [DIGITS]), seed, more, DIGITS)).otherwise(_secret(x, seed, more))
+        )
+
+    return let(F.concat_ws("|", F.lit(key), k, attempt.cast("string")), of)
+
+
+# ---- spelling -----------------------------------------------------------------------------------
+
+
+def _cased(new: Column, like: Column) -> Column:
+    """``new`` with capitals where ``like`` has them; behind its end as all of ``like`` is."""
+    upper = let(F.upper(like) == like, lambda whole: F.array_join(F.transform(F.split(new, ""), lambda c, i: F.when(F.when(i < F.length(like), F.substring(like, i + 1, F.lit(1)).rlike(r"\p{Lu}")).otherwise(whole & (F.length(like) > 1)), F.upper(c)).otherwise(c)), ""))
+    return F.when(F.lower(like) == like, new).otherwise(upper)
+
+
+def _spaced(new: Column, like: Column, missing: Column) -> Column:
+    """The letters and digits of ``new`` behind the first ``missing`` of them, at the places of those of ``like``; what is left over follows."""
+
+    def run(compact: Column) -> Column:
+        count = lambda i: F.length(F.regexp_replace(F.substring(like, F.lit(1), i), "[^0-9A-Za-z]", ""))
+        one = lambda i: let(F.substring(like, i, F.lit(1)), lambda c: F.when(c.rlike("[0-9A-Za-z]"), F.substring(compact, (count(i) + missing).cast("int"), F.lit(1))).otherwise(c))
+        rest = F.substring(compact, (count(F.length(like)) + missing + 1).cast("int"), F.length(compact))
+        return F.concat(F.array_join(F.transform(F.sequence(F.lit(1), F.length(like)), one), ""), rest)
+
+    return let(F.regexp_replace(new, "[^0-9A-Za-z]", ""), run)
+
+
+def spelled(m: Column, k: Column, twins: Column) -> Column:
+    """The surrogates of a match's entities in the spelling of the match."""
+    first = F.get(twins, F.lit(0))
+    national = F.when((k == "phone") & ~m.startswith("+"), 1).otherwise(0)
+    behind = F.substring(m, F.length(_title(m)) + 1, F.length(m))
+    names = F.zip_with(F.zip_with(_words(m), twins, lambda w, t: _cased(t, w)), F.split(behind, r"\p{L}+", -1), lambda a, b: F.concat(b, F.coalesce(a, F.lit(""))))
+    # The text before the first word is empty, so piece j stands before word j.
+    return (
+        F.when(k == "name", F.concat(_title(m), F.array_join(names, ""))).when(k == "email", F.concat(_cased(F.substring_index(first, "@", 1), F.substring_index(m, "@", 1)), F.lit("@"), F.substring_index(first, "@", -1)))
+        .when(k.isin("phone", "card", "iban"), _spaced(first, m, national)).when(k.isin("ip", "ssn", "access_key"), first).otherwise(F.concat(_label(m), first))
+    )
+
+
+# ---- the whole table ----------------------------------------------------------------------------
+
 Draw = Callable[[Column, Column, Column], Column]
 
 
-def resolve(known: DataFrame, draw: Draw, max_attempts: int = 40) -> DataFrame:
-    """kind, entity, attempt, surrogate: surrogates of a kind are distinct and none is an entity of it."""
+def mentions(docs: DataFrame) -> DataFrame:
+    """h (of the text), m: each match of each different text once."""
+    each = docs.select(F.xxhash64("text").alias("h"), found(F.col("text")).alias("ms")).where(F.size("ms") > 0)
+    return each.select("h", F.explode(F.array_distinct("ms")).alias("m")).distinct()
+
+
+def entities(mentioned: DataFrame) -> DataFrame:
+    """kind, entity (canonical): each once, over the whole table, but for the given names of the lists, whose surrogates are fixed."""
+    each = mentioned.select("m").distinct().withColumn("kind", kind(F.col("m")))
+    out = each.select("kind", F.explode(entities_of(F.col("m"), F.col("kind"))).alias("entity")).distinct()
+    return out.where(~((F.col("kind") == "name") & is_given(F.col("entity"))))
+
+
+def resolve(known: DataFrame, draw: Draw) -> DataFrame:
+    """kind, entity, attempt, surrogate: surrogates of a kind are distinct and none is an entity of it or, of a name, a given name of the lists."""
     accepted: DataFrame | None = None
-    pending = known
-    for attempt in range(max_attempts):
+    pending, attempt = known, 0
+    originals = known.select("kind", F.col("entity").alias("surrogate"))
+    while True:
         drawn = written(pending.withColumn("surrogate", draw(F.col("entity"), F.col("kind"), F.lit(attempt))), "surrogates")
-        first = drawn.groupBy("kind", "surrogate").agg(F.min("entity").alias("entity"))
-        originals = known.select("kind", F.col("entity").alias("surrogate"))
+        first = drawn.groupBy("kind", "surrogate").agg(F.min("entity").alias("entity")).where(~((F.col("kind") == "name") & is_given(F.col("surrogate"))))
         free = first.join(originals, ["kind", "surrogate"], "left_anti")
         if accepted is not None:
             free = free.join(accepted, ["kind", "surrogate"], "left_anti")
         won = written(free.select("kind", "entity", F.lit(attempt).alias("attempt"), "surrogate"), "accepted")
         accepted = won if accepted is None else accepted.unionByName(won)
         pending = drawn.select("kind", "entity").join(won, ["kind", "entity"], "left_anti")
+        attempt += 1
         if pending.isEmpty():
             return accepted
-    raise RuntimeError(f"surrogates still collide after {max_attempts} attempts")
-
-
-def pseudonymise(docs: DataFrame, key: str = "pointloom", draw: Draw | None = None) -> DataFrame:
-    """docs with the entities in ``text`` replaced, plus n_entities; other columns stay."""
-    draw = draw or (lambda m, k, attempt: surrogate(m, k, attempt, key))
-    if "n_entities" in docs.columns:
-        docs = docs.drop("n_entities")
-    known = written(entities(docs.select("text")), "entities")
-    again = resolve(known, draw).where("attempt > 0").select("kind", "entity", "attempt")
-    columns = [F.col(c) for c in docs.columns]
-    rows = docs.select(F.struct(*columns).alias("row"), F.col("text"), found(F.col("text")).alias("matches"))
-    attempts = F.lit(0)
+
+
+def pseudonymise(docs: DataFrame, key: str = "pointloom", draw: Draw | None = None, count: str | None = "n_entities") -> DataFrame:
+    """docs with the entities in ``text`` replaced; other columns stay. The number of matches goes to a column ``count`` (with ``_`` behind it as often as it is taken); none if that is None."""
+    draw = draw or (lambda x, k, attempt: twin(x, k, attempt, key))
+    taken = {c.lower() for c in docs.columns}
+    while count and count.lower() in taken:
+        count += "_"
+    mentioned = written(mentions(docs.select("text")), "mentions")
+    again = resolve(entities(mentioned), draw).where("attempt > 0").select("kind", "entity", "attempt")
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col("text"), found(F.col("text")).alias("matches"))
+    tag = lambda k, x: F.concat(k, F.lit(":"), x)
+    attempt_of = lambda k, x: F.lit(0)
     if not again.isEmpty():
-        h = F.xxhash64("text", F.size("matches"))
-        each = docs.select("text", found(F.col("text")).alias("matches")).where(F.size("matches") > 0).select(h.alias("h"), F.explode(F.array_distinct("matches")).alias("m")).distinct()
-        each = each.withColumn("kind", kind(F.col("m"))).withColumn("entity", canonical(F.col("m"), F.col("kind")))
+        each = mentioned.withColumn("kind", kind(F.col("m"))).select("h", "kind", F.explode(entities_of(F.col("m"), F.col("kind"))).alias("entity"))
         # One small map for each text that holds an entity with a further attempt.
-        of_text = each.join(again, ["kind", "entity"]).groupBy("h").agg(F.map_from_entries(F.collect_set(F.struct("m", "attempt"))).alias("attempts"))
-        rows = rows.withColumn("h", h).join(of_text, "h", "left")
-        attempts = F.col("attempts")
-    at = (lambda m: F.coalesce(F.try_element_at(attempts, m), F.lit(0))) if "attempts" in rows.columns else (lambda m: F.lit(0))
-    new = F.transform("matches", lambda m: let(kind(m), lambda k: draw(m, k, at(m))))
+        of_text = each.join(again, ["kind", "entity"]).groupBy("h").agg(F.map_from_entries(F.collect_set(F.struct(tag(F.col("kind"), F.col("entity")), "attempt"))).alias("attempts"))
+        rows = rows.withColumn("h", F.when(F.size("matches") > 0, F.xxhash64("text"))).join(of_text, "h", "left")
+        attempt_of = lambda k, x: F.coalesce(F.try_element_at(F.col("attempts"), tag(k, x)), F.lit(0))
+    twins = lambda m, k: F.transform(entities_of(m, k), lambda x: draw(x, k, attempt_of(k, x)))
+    new = F.transform("matches", lambda m: let(kind(m), lambda k: let(twins(m, k), lambda t: spelled(m, k, t))))
     parts = F.zip_with(F.split("text", PATTERN, -1), new, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))
-    joined = F.array_join(F.flatten(parts), "")
-    text = F.when(F.size("matches") > 0, joined).otherwise(F.col("text"))
+    text = F.when(F.size("matches") > 0, F.array_join(F.flatten(parts), "")).otherwise(F.col("text"))
     done = rows.select("row", text.alias("changed"), F.size("matches").cast("long").alias("count"))
-    return done.select(*[(F.col("changed") if c.lower() == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns], F.col("count").alias("n_entities"))
+    return done.select(*[(F.col("changed") if c.lower() == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns], *([F.col("count").alias(count)] if count else []))

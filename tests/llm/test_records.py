@@ -113,3 +113,84 @@ def test_collisions_are_drawn_again(spark):
     assert len({out[k][0] for k in range(30)}) == 30
     assert all(out[k][1] == out[(k + 1) % 30][0] for k in range(30))
     assert not {x for v in out.values() for x in v} & set(mails)
+
+
+def test_mentions_of_a_person_agree(spark):
+    texts = [
+        "Mrs Anna Schmidt came. Frau Schmidt and Dr Anna Schmidt left.", "Mr. John Smith, Mr Smith and John Smith.", "Dr Anna Weber with Miss Svetla Weber-Kraus; Prof Weber", "Госпожа Анна Иванова, Господин Иванов",
+        "Annabelle Smith and Mr and john smith are nobody here",
+    ]
+    out = [r.text for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    a = re.fullmatch(r"Mrs (\w+) (\w+) came\. Frau (\w+) and Dr (\w+) (\w+) left\.", out[0])
+    assert a and a[1] == a[4] in pii.GIVEN["latin", "f"] and a[2] == a[3] == a[5] and a[1] != "Anna" and a[2] != "Schmidt" and a[2].endswith("t")
+    b = re.fullmatch(r"Mr\. (\w+) (\w+), Mr (\w+) and (\w+) (\w+)\.", out[1])
+    assert b and b[1] == b[4] in pii.GIVEN["latin", "m"] and b[2] == b[3] == b[5] != "Smith"
+    c = re.fullmatch(r"Dr (\w+) (\w+) with Miss (\w+) (\w+)-(\w+); Prof (\w+)", out[2])
+    assert c and c[1] == a[1] and c[2] == c[4] == c[6] and c[3].endswith("a") and c[3] != "Svetla"
+    d = re.fullmatch(r"Госпожа (\w+) ([А-я]+а), Господин ([А-я]+в)", out[3])
+    assert d and d[1] in pii.GIVEN["cyrillic", "f"] and d[2] != "Иванова"
+    assert out[4] == texts[4]
+
+
+def test_full_classes_do_not_hold_it_up(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    mails = [f"{c}@d{k}.example.com" for k in range(40) for c in letters]
+    table = spark.createDataFrame([(k, f"to {m} now") for k, m in enumerate(mails)], "doc_id long, text string")
+    out = {r.doc_id: r.text.split()[1] for r in pii.pseudonymise(table).collect()}
+    assert len(set(out.values())) == len(mails) and not set(out.values()) & set(mails)
+    # Every word of two letters: the class is full of originals, so the format grows.
+    words = [a + b for a in "bdfgklmn" for b in "aeiouy"]
+    table = spark.createDataFrame([(k, f"Mr {w.title()} left") for k, w in enumerate(words)], "doc_id long, text string")
+    out = {r.doc_id: r.text.split()[1].lower() for r in pii.pseudonymise(table).collect()}
+    assert len(set(out.values())) == len(words) and not set(out.values()) & set(words)
+
+
+def test_clashing_column_is_kept(spark):
+    table = spark.createDataFrame([(1, "to a.b@c.com", 77, "x")], "doc_id long, text string, n_entities long, Matches string")
+    row = pii.pseudonymise(table).first()
+    assert (row.n_entities, row.Matches, row.n_entities_) == (77, "x", 1) and "a.b@c.com" not in row.text
+    assert pii.pseudonymise(table, count=None).schema == table.schema
+
+
+def canonical_of(m):
+    """Kind and entities of a match, by hand."""
+    title = next((t for ts in pii.TITLES.values() for t in ts if re.match(re.escape(t) + r"\.? ", m)), None)
+    if "@" in m and " " not in m and ":" not in m and "=" not in m:
+        return "email", [m.lower()]
+    if title or re.fullmatch(r"[^\W\d_]+([ -][^\W\d_]+)+", m):
+        return "name", [w.lower() for w in re.findall(r"[^\W\d_]+", re.sub(rf"^{title}\.? ", "", m) if title else m)]
+    digits = re.sub(r"\D", "", m)
+    if m.startswith(("+", "(")) or re.fullmatch(r"\d{3}([-.])\d{3}\1\d{4}", m):
+        return "phone", [digits if m.startswith("+") else "1" + digits]
+    if re.fullmatch(r"[0-9 -]{13,}", m):
+        return "card", [digits]
+    label = re.match(r"(?i)(token|password|passwd|secret|api[_-]?key)[\"']?\s{0,2}[=:]\s{0,2}[\"']?", m)
+    return "other", [m[label.end() :] if label else m.replace(" ", "")]
+
+
+def test_surrogates_of_a_whole_table_are_one_to_one(spark, documents):
+    import regex
+
+    pattern = regex.compile(pii.PATTERN.replace(r"\p{IsCyrillic}", r"\p{Cyrillic}"))
+    more = [(10_000 + k, f"Mrs {a} {b} of {a.lower()}.{b.lower()}@{c}.org, 192.168.{k}.{k}, 4{k:03d} 1488 0343 646{k % 10}, +49 30 {k:04d} 77{k:02d}") for k, (a, b, c) in enumerate((a, b, c) for a in ("Anna", "Svetla", "Uta") for b in ("Li", "Meier", "Øst", "Ng") for c in ("a", "bc", "a-b.co"))]
+    table = documents.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    before = {r.doc_id: r.text for r in table.collect()}
+    forward, backward, seen = {}, {}, 0
+    for r in pii.pseudonymise(table).collect():
+        matches = list(pattern.finditer(before[r.doc_id] or ""))
+        assert r.n_entities == len(matches)
+        if not matches:
+            assert r.text == before[r.doc_id]
+            continue
+        pieces = [before[r.doc_id][a:b] for a, b in zip([0, *[m.end() for m in matches]], [*[m.start() for m in matches], len(before[r.doc_id])], strict=True)]
+        got = re.fullmatch("(.+?)".join(map(re.escape, pieces)), r.text, re.S)
+        assert got
+        for m, new in zip(matches, got.groups(), strict=True):
+            (kind, old), (same, fresh) = canonical_of(m[0]), canonical_of(new)
+            assert kind == same and len(old) == len(fresh)
+            if kind == "card":
+                assert (luhn(old[0]) == 0) == (luhn(fresh[0]) == 0)
+            for x, y in zip(old, fresh, strict=True):
+                seen += 1
+                assert forward.setdefault((kind, x), y) == y and backward.setdefault((kind, y), x) == x and x != y
+    assert seen > 150 and not {k for k in backward if k in forward and not (k[0] == "name" and k[1] in pii._GIVEN_WORDS)}
