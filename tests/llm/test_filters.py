@@ -215,7 +215,7 @@ def test_language_accuracy_and_edges(documents, docs, none):
 
 
 def test_forward_sums_all_segmentations():
-    model, table, byte, _ = language_id._pieces(language_id.default_path("piece_bpe_32k.model"))
+    model, table, byte, *_ = language_id._pieces(language_id.default_path("piece_bpe_32k.model"))
     p = np.random.default_rng(2).random((model.get_piece_size(), 2)) * 0.01
     m = language_id.Model(["a", "b"], p, None)
 
@@ -234,3 +234,49 @@ def test_forward_sums_all_segmentations():
     for w, got in zip(words, m.score_words(words), strict=True):
         assert np.allclose(np.exp(got), total("▁" + w))
     assert np.isfinite(m.score_words(["ab" * 200])).all()
+
+    def exact(word):
+        """Logarithms of the sum, place by place, with all places held."""
+        line, longest = "▁" + word, max(map(len, table))
+        ahead = [np.zeros(2)]
+        for end in range(1, len(line) + 1):
+            ways = [ahead[k] + np.log(p[table[line[k:end]]]) for k in range(max(0, end - longest), end) if line[k:end] in table]
+            if line[end - 1] not in table:
+                ways.append(ahead[end - 1] + sum(np.log(p[byte[b]]) for b in line[end - 1].encode()))
+            ahead.append(np.logaddexp.reduce(ways, axis=0))
+        return ahead[-1]
+
+    rng = np.random.default_rng(3)
+    long = ["".join(chr(c) for c in rng.integers(97, 123, n)) for n in (511, 512, 600, 5_000)] + ["ꙮé" * 700]
+    for w, got in zip(long, m.score_words(long), strict=True):
+        assert np.allclose(got, exact(w), rtol=1e-12)
+
+
+def test_language_end_to_end_by_hand(spark, tiny):
+    """Counts, smoothing, scores and posteriors of all rows against a plain computation, also with languages in blocks."""
+    import re
+    import zlib
+
+    table = spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "text", "lang").limit(80)
+    more = spark.createDataFrame([(9_001, "qualité " + "längewort" * 90, "xx"), (None, "ein Wort", "yy"), (9_002, "12", "en"), (9_003, None, "en")], "doc_id long, text string, lang string")
+    rows = [tuple(r) for r in table.unionByName(more).collect()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model, vocabulary, byte, *_ = language_id._pieces(language_id.default_path("piece_bpe_32k.model"))
+    held = lambda i: zlib.crc32(str("" if i is None else i).encode()) % 4 == 2
+    cut = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
+    counts = defaultdict(lambda: np.full(model.get_piece_size(), language_id.SMOOTHING))
+    for i, t, lang in rows:
+        if not held(i) and lang is not None and t is not None:
+            for w in cut(t):
+                for k in model.encode(w):
+                    counts[lang][k] += 1
+    languages = sorted(x for x in counts if counts[x].sum() > model.get_piece_size() * language_id.SMOOTHING + 0.5)
+    whole = language_id.Model(languages, np.stack([counts[x] / counts[x].sum() for x in languages], axis=1), None)
+    want = {}
+    for i, t, _ in rows:
+        total = whole.score_words(cut(t)).sum(axis=0) if cut(t) else None
+        want[i] = ("und", 0.0) if total is None else (languages[int(total.argmax())], float(1 / np.exp(total - total.max()).sum()))
+    for block in (256, 2):
+        got = {r.doc_id: r for r in language_id.identify(docs, block=block).collect()}
+        assert {i: (r.lang_pred, round(r.score, 9)) for i, r in got.items()} == {i: (a, round(b, 9)) for i, (a, b) in want.items()}
+        assert all(r.held_out == held(i) for i, r in got.items())
