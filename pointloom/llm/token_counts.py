@@ -3,9 +3,14 @@
 Texts are cut into pre-tokens as the tokenizer file says. The pre-tokens of a batch that are not
 known yet stand as one flat array of symbols with their bounds; in each round every sequence applies
 its own lowest-rank pair, everywhere in it, at once. Sequences without a pair left drop out and
-what survives of them is counted. Pre-tokens over ``LONG`` characters, whose rounds would each pass over
-the whole of them, keep the places of each rank instead, so that a round visits only the places it
-merges. Counts of pre-tokens are kept, up to ``KNOWN`` of them, but for the long ones.
+what survives of them is counted. Pre-tokens over ``LONG`` characters go through the same rounds one by one,
+with the places of each rank in an array of their own, so that a round visits only the places it
+merges and the rest of the sequence stays untouched. Counts of pre-tokens are kept, up to ``KNOWN`` of them, but for
+the long ones.
+
+Case folding and letter classes are those of this Python, which agree with the library's on all characters
+that both know; texts with characters that may be newer than that (``_ODD``) are normalized and cut by the
+library's own normalizer and splitter from the file.
 
 Defined results: null or empty text has 0 bytes and 0 tokens; a null doc_id is kept as null; repeated
 rows are counted each; an empty table gives no rows; columns besides doc_id and text are ignored.
@@ -23,6 +28,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
+import tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +39,18 @@ KNOWN, ROUND, LONG = 300_000, 50_000, 256
 _NONE = np.int64(1 << 40)
 
 
+def _odd() -> re.Pattern[str]:
+    """Characters whose class or case may differ between Unicode versions: those of the first plane that are unassigned here, and all beyond it but emoji and the like."""
+    bare = [c for c in range(0x10000) if unicodedata.category(chr(c)) == "Cn"]
+    first = [c for k, c in enumerate(bare) if not k or bare[k - 1] != c - 1]
+    last = [c for k, c in enumerate(bare) if k + 1 == len(bare) or bare[k + 1] != c + 1]
+    ranges = [*zip(first, last, strict=True), (0x10000, 0x1EFFF), (0x20000, 0x10FFFF)]
+    return re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ranges) + "]")
+
+
+_ODD = _odd()
+
+
 def _byte_symbols() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies: printable Latin-1 stands for itself, the rest follow from U+0100 on."""
     own = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -55,9 +73,12 @@ class WordBpe:
         keys = np.array([vocab[a] * self.width + vocab[b] for a, b in pairs], np.int64)
         order = np.argsort(keys)
         self.keys, self.ranks = keys[order], order.astype(np.int64)
-        self.rank_of = dict(zip(keys.tolist(), range(len(keys)), strict=True))
+        self.pair = keys  # by rank
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)  # by rank
-        self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        cut = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.pattern = regex.compile(cut)
+        self.normalizer = tokenizers.Tokenizer.from_file(path).normalizer
+        self.splitter = tokenizers.pre_tokenizers.Split(tokenizers.Regex(cut), "removed", invert=True)
         self.special = {x["content"] for x in spec["added_tokens"]}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.known: dict[str, int] = {}
@@ -73,6 +94,8 @@ class WordBpe:
         for part in parts:
             if part in self.special:
                 special += 1
+            elif part and not part.isascii() and _ODD.search(part):
+                out += [w for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(part))]
             elif part:
                 # Lower case of each character by itself: no final sigma. White space only parts words.
                 part = part if part.isascii() else unicodedata.normalize("NFC", part).replace("Σ", "σ")
@@ -114,38 +137,54 @@ class WordBpe:
         return left
 
     def count_long(self, word: str) -> int:
-        """Symbols that survive of one word: the same rounds, lowest rank first, each at the places of its pair alone."""
+        """Symbols that survive of one word: the same rounds, lowest rank first, each on the array of the places of its pair."""
         raw = np.frombuffer(word.encode(), np.uint8)
-        n, width = len(raw), self.width
-        symbol = [*self.inner[raw[:-1]].tolist(), int(self.final[raw[-1]])]
-        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        merged, rank_of = self.merged, self.rank_of
-        places: dict[int, list[int]] = {}
-        for i in range(n - 1):
-            rank = rank_of.get(symbol[i] * width + symbol[i + 1])
-            if rank is not None:
-                places.setdefault(rank, []).append(i)
-        ranks = list(places)
-        heapq.heapify(ranks)
+        n = len(raw)
+        symbol = self.inner[raw]
+        symbol[-1] = self.final[raw[-1]]
+        # Symbol n is behind the end and has no pair; a symbol that was merged into its left neighbour is -1.
+        symbol = np.append(symbol, -1)
+        before, after = np.arange(-1, n), np.arange(1, n + 2)
+        places: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def found(at: np.ndarray) -> None:
+            """Note the places whose symbol and the next one are a pair, under its rank."""
+            key = symbol[at] * self.width + symbol[after[at]]
+            key[(symbol[at] < 0) | (symbol[after[at]] < 0)] = -1
+            here = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            some = self.keys[here] == key
+            at, rank = at[some], self.ranks[here[some]]
+            order = np.argsort(rank, kind="stable")
+            at, rank = at[order], rank[order]
+            starts = np.flatnonzero(np.r_[True, rank[1:] != rank[:-1]]) if len(rank) else np.zeros(0, np.int64)
+            for r, group in zip(rank[starts].tolist(), np.split(at, starts[1:]) if len(at) else (), strict=True):
+                if r not in places:
+                    heapq.heappush(ranks, r)
+                places.setdefault(r, []).append(group)
+
+        found(np.arange(n - 1))
         left = n
         while ranks:
             rank = heapq.heappop(ranks)
-            whole = int(merged[rank])
-            for i in sorted(places.pop(rank)):
-                j = after[i]
-                if symbol[i] < 0 or j >= n or rank_of.get(symbol[i] * width + symbol[j]) != rank:
-                    continue  # one of the two was merged with another neighbour
-                k = after[j]
-                symbol[i], symbol[j], after[i] = whole, -1, k
-                left -= 1
-                if k < n:
-                    before[k] = i
-                for a, b in ((before[i], i), (i, k)):
-                    new = rank_of.get(symbol[a] * width + symbol[b]) if a >= 0 and b < n else None
-                    if new is not None:
-                        if new not in places:
-                            heapq.heappush(ranks, new)
-                        places.setdefault(new, []).append(a)
+            groups = places.pop(rank)
+            at = np.unique(np.concatenate(groups)) if len(groups) > 1 else np.sort(groups[0])
+            # Some were merged with another neighbour since.
+            at = at[symbol[at] >= 0]
+            at = at[symbol[at] * self.width + symbol[after[at]] == self.pair[rank]]
+            if not len(at):
+                continue
+            # Overlaps: every second place of a run from the left.
+            first = np.r_[True, after[at[:-1]] != at[1:]]
+            run = np.flatnonzero(first)
+            at = at[(np.arange(len(at)) - np.repeat(run, np.diff(np.r_[run, len(at)]))) % 2 == 0]
+            gone = after[at]
+            symbol[at], symbol[gone] = self.merged[rank], -1
+            after[at] = after[gone]
+            before[after[at]] = at
+            left -= len(at)
+            around = np.concatenate([before[at], at])
+            found(np.unique(around[around >= 0]))
         return left
 
     def learn(self, words: Iterable[str]) -> None:

@@ -139,3 +139,31 @@ def test_token_store(spark, documents, docs, rows, none, byte_bpe):
     assert token_store.read_document(spark, folder, manifest, -5) is None
     check_store(token_store.read_store(*token_store.write_store(docs)).collect(), [r[:2] for r in rows], byte_bpe)
     assert token_store.read_store(*token_store.write_store(none)).collect() == []
+
+
+def code_points():
+    return [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+
+
+def test_every_code_point_in_counts(word_bpe):
+    """Each code point alone, between letters and behind a digit, against the library."""
+    bpe = token_counts.word_bpe(token_counts.default_path("word_bpe_49k.json"))
+    for frame in ("{}", "x{}y 1{}"):
+        texts = [frame.format(c, c) for c in code_points()]
+        want = [len(e.ids) for e in word_bpe.encode_batch(texts, add_special_tokens=False)]
+        for at in range(0, len(texts), 50_000):
+            part = [bpe.words(t) for t in texts[at : at + 50_000]]
+            bpe.learn({w for ws, _ in part for w in ws})
+            got = [sum(bpe.known[w] for w in ws) + special for ws, special in part]
+            odd = [hex(ord(code_points()[at + k])) for k, (a, b) in enumerate(zip(got, want[at : at + 50_000], strict=True)) if a != b]
+            assert not odd, odd[:20]
+
+
+def test_every_code_point_in_ids(byte_bpe):
+    bpe = vocab.byte_bpe("byte_bpe_50k")
+    for frame in ("{}", "x{}y 1{}"):
+        texts = [frame.format(c, c) for c in code_points()]
+        for at in range(0, len(texts), 100_000):
+            part = texts[at : at + 100_000]
+            odd = [hex(ord(code_points()[at + k])) for k, (t, e) in enumerate(zip(part, byte_bpe.encode_batch(part, add_special_tokens=False), strict=True)) if bpe.ids(t).tolist() != e.ids]
+            assert not odd, odd[:20]
