@@ -141,6 +141,44 @@ def test_token_store(spark, documents, docs, rows, none, byte_bpe):
     assert token_store.read_store(*token_store.write_store(none)).collect() == []
 
 
+def test_token_store_in_many_bounded_parts(spark, documents, byte_bpe):
+    """Many tasks and pieces, a doc_id of a third of the rows, nulls and copies."""
+    text = documents.select("doc_id", "text")
+    table = text.unionByName(spark.range(500).selectExpr("cast(7 as long) as doc_id", "concat('row ', id) as text")).unionByName(spark.range(30).selectExpr("cast(null as long) as doc_id", "'same text' as text"))
+    config = token_store.StoreConfig(task_bytes=100_000, part_bytes=20_000, window_chars=512, sample=300)
+    folder, manifest = token_store.write_store(table, config)
+    parts = manifest.collect()
+    assert len({p.part for p in parts}) > 10 and len(parts) > 40 and max(p.bytes for p in parts) < 80_000
+    check_store(token_store.read_store(folder, manifest).collect(), [(r.doc_id, r.text) for r in table.collect()], byte_bpe)
+
+
+def test_token_store_tells_broken_files(spark, tmp_path):
+    table = spark.createDataFrame([(k, f"text number {k}") for k in range(40)], "doc_id long, text string")
+    folder, manifest = token_store.write_store(table)
+    uri, path = manifest.first().uri, manifest.first().uri.removeprefix("file://")
+    dictionary = token_store._dictionary(folder)
+    with pytest.raises(ValueError, match="another dictionary"):
+        token_store.Part(uri, dictionary + b"x")
+    whole = open(path, "rb").read()
+    for broken in (whole[:-1], whole[:-200] + bytes([whole[-200] ^ 1]) + whole[-199:]):
+        (tmp_path / "part.ids").write_bytes(broken)
+        with pytest.raises(ValueError, match="not whole"):
+            token_store.Part(f"file://{tmp_path}/part.ids", dictionary)
+    # A task that ran twice leaves a file that the manifest does not name.
+    open(path.replace(".ids", "9.ids"), "wb").write(whole[:50])
+    assert token_store.read_store(folder, manifest).count() == 40
+
+
+def test_dictionary_reads_whole_texts(spark):
+    """Windows behind any prefix can be chosen, and copies of a text count once."""
+    tail = "x" * 30_000 + "".join(f" rare{k}word" for k in range(3_000))
+    table = spark.createDataFrame([(k, tail) for k in range(50)], "doc_id long, text string")
+    config = token_store.StoreConfig(sample=50, window_chars=1_000)
+    got = token_store.train_dictionary(table, config, 50 * len(tail))
+    behind = token_store._serial(vocab.byte_bpe().ids("word rare"), config)[:-2]  # none of it is near the beginning
+    assert behind in got and token_store.train_dictionary(table.limit(1), config, len(tail)) == got
+
+
 def code_points():
     return [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
 
