@@ -1,92 +1,136 @@
 """Benchmark decontamination by a broadcast set of word windows.
 
 The windows of the test items (10 words; a shorter item is one window) are hashed into sorted
-arrays that go to every task. A task maps the words of its documents to the item vocabulary, hashes
-just the windows without a foreign word, looks them up, and verifies hits word by word. The set's size
+arrays that go to every task: eight bytes of key and eight of place for a window, the hashes of the items' words, and the
+items' words themselves as one piece of bytes. A task hashes the words of its documents, hashes
+just the windows without a foreign word, looks them up, and verifies hits word by word against that piece. The set's size
 is checked first: above ``block_bytes`` of item text the items are dealt into blocks by the hash of
-their id, each block scans the documents by itself, and the hits are merged, so what is sent to a
-task stays bounded.
+their id and text, each block scans the documents by itself and is released, and the hits are merged, so what is
+sent to a task stays bounded (about seven times the block's text; a single longer item is a block of its own).
 
 Defined results: null or empty text has no words; an item without words has no window; a null
 item_id counts as the empty string; a null doc_id is kept as null; repeated rows have the same result each;
-an empty benchmark hits nothing; columns besides those named are ignored.
+an empty benchmark hits nothing; columns besides those named are ignored, and kept by ``decontaminate``.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
-from collections.abc import Iterator
+from array import array
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row
+import xxhash
+from pyspark.broadcast import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from ..session import ship_package, written
 from ._text import folded_words
 
 WINDOW = 10
 HITS = "doc_id long, n_words long, spans array<struct<a:long,b:long>>, items array<string>, h long"
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _FACTORS = np.cumprod(np.full(64, 0x9E3779B97F4A7C15, np.uint64))
+word_hash = xxhash.xxh3_64_intdigest
 
 
 class WindowSet:
-    """Windows by length: their hashes in order, their words, and the items that have them."""
+    """Different windows by length: their keys in order, a place of each in the items' words, and the items that have them."""
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int) -> None:
-        self.vocabulary: dict[bytes, int] = {}
-        by_length: dict[int, dict[tuple[int, ...], set[str]]] = {}
+    def __init__(self, items: Iterable[tuple[str, str | None]], window: int) -> None:
+        blob, starts, hashes = bytearray(), array("Q"), array("Q")
+        number: dict[str, int] = {}
+        first, owner = array("Q"), array("I")
+        by_size: dict[int, array] = {}
         for item, text in items:
-            words = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in folded_words(text)]
+            words = folded_words(text)
+            if not words:
+                continue
+            first.append(len(starts))
+            owner.append(number.setdefault(item, len(number)))
             size = min(window, len(words))
-            for at in range(len(words) - size + 1 if size else 0):
-                by_length.setdefault(size, {}).setdefault(tuple(words[at : at + size]), set()).add(item)
-        self.tables = []
-        for size, windows in sorted(by_length.items()):
-            words = np.array(list(windows), np.int64).reshape(-1, size)
-            keys = self.keys(words)
-            order = np.argsort(keys, kind="stable")
-            self.tables.append((size, keys[order], words[order], [sorted(x) for x in np.array([*windows.values(), None], object)[:-1][order]]))
-
-    @staticmethod
-    def keys(words: np.ndarray) -> np.ndarray:
-        return ((words.astype(np.uint64) + np.uint64(1)) * _FACTORS[: words.shape[1]]).sum(axis=1, dtype=np.uint64)
+            by_size.setdefault(size, array("Q")).extend(range(len(starts), len(starts) + len(words) - size + 1))
+            for w in words:
+                starts.append(len(blob))
+                hashes.append(word_hash(w))
+                blob += w
+                blob += b" "
+        starts.append(len(blob))
+        self.names = list(number)
+        self.blob, self.starts = bytes(blob), np.array(starts, np.uint64)
+        all_hashes = np.array(hashes, np.uint64)
+        self.vocabulary = np.unique(all_hashes)
+        begins, owners = np.array(first, np.int64), np.array(owner, np.int64)
+        self.tables = [self._table(size, np.array(by_size[size], np.int64), all_hashes, begins, owners) for size in sorted(by_size)]
+
+    def _table(self, size: int, places: np.ndarray, hashes: np.ndarray, begins: np.ndarray, owners: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """size, and by different window: key (in order), place; then the bounds of its items and these."""
+        keys = np.concatenate([_keys(hashes, places[at : at + 200_000], size) for at in range(0, len(places), 200_000)])
+        item = owners[np.searchsorted(begins, places, "right") - 1]
+        order = np.lexsort((item, keys))
+        keys, places, item = keys[order], places[order], item[order]
+        new = np.r_[True, keys[1:] != keys[:-1]]
+        # Equal keys of different words are windows of their own: the rows of such a key are put in order of their words.
+        for at in np.flatnonzero(~new).tolist():
+            if self.words(int(places[at]), size) != self.words(int(places[at - 1]), size):
+                low, high = np.searchsorted(keys, keys[at], "left"), np.searchsorted(keys, keys[at], "right")
+                rows = sorted(range(low, high), key=lambda k: (self.words(int(places[k]), size), int(item[k])))
+                places[low:high], item[low:high] = places[rows], item[rows]
+                for k in range(low + 1, high):
+                    new[k] = self.words(int(places[k]), size) != self.words(int(places[k - 1]), size)
+        of = np.cumsum(new) - 1
+        once = np.r_[True, (of[1:] != of[:-1]) | (item[1:] != item[:-1])]
+        bounds = np.searchsorted(of[once], np.arange(int(of[-1]) + 2))
+        return size, keys[new], places[new], bounds.astype(np.uint32), item[once].astype(np.uint32)
+
+    def words(self, place: int, size: int) -> bytes:
+        return self.blob[int(self.starts[place]) : int(self.starts[place + size])]
+
+    def nbytes(self) -> int:
+        return len(self.blob) + self.starts.nbytes + self.vocabulary.nbytes + sum(x.nbytes for t in self.tables for x in t[1:])
 
     def hits(self, texts: list[str | None]) -> tuple[list[int], list[list[tuple[int, int]]], list[set[str]]]:
         """For each text its number of words, hit spans of words (first, behind the last), and items."""
-        known = self.vocabulary.get
-        ids: list[int] = []
+        lines: list[bytes] = []
         counts: list[int] = []
         for text in texts:
             words = folded_words(text)
             counts.append(len(words))
-            ids += [known(w, -1) for w in words]
-            ids.append(-1)
-        flat = np.array(ids, np.int64)
+            lines += words
+            lines.append(b"")
+        flat = np.array([word_hash(w) for w in lines], np.uint64)
         begins = np.r_[0, np.cumsum(np.array(counts) + 1)][:-1] if counts else np.zeros(0, np.int64)
-        foreign = np.r_[0, np.cumsum(flat < 0)]
+        known = np.zeros(len(flat), bool)
+        if len(self.vocabulary):
+            known = self.vocabulary[np.minimum(np.searchsorted(self.vocabulary, flat), len(self.vocabulary) - 1)] == flat
+        known[np.cumsum(np.array(counts, np.int64) + 1) - 1] = False  # between texts
+        foreign = np.r_[0, np.cumsum(~known)]
         delta = np.zeros(len(flat) + 1, np.int64)
         found: list[set[str]] = [set() for _ in texts]
-        for size, keys, words, items in self.tables:
+        for size, keys, places, bounds, items in self.tables:
             if len(flat) < size:
                 continue
             at = np.flatnonzero(foreign[size:] == foreign[:-size])
             for lot in range(0, len(at), 200_000):
                 here = at[lot : lot + 200_000]
-                seen = flat[here[:, None] + np.arange(size)]
-                key = self.keys(seen)
+                key = _keys(flat, here, size)
                 low, high = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
-                while (open_ := low < high).any():  # more than one turn only where keys of different windows are equal
-                    here, seen, low, high = here[open_], seen[open_], low[open_], high[open_]
-                    same = (words[low] == seen).all(axis=1)
-                    np.add.at(delta, here[same], 1)
-                    np.add.at(delta, here[same] + size, -1)
-                    doc = np.searchsorted(begins, here[same], "right") - 1
-                    for d, w in set(zip(doc.tolist(), low[same].tolist(), strict=True)):
-                        found[d].update(items[w])
-                    low = low + 1
+                some = low < high
+                seen: set[tuple[int, int]] = set()
+                for a, k, end in zip(here[some].tolist(), low[some].tolist(), high[some].tolist(), strict=True):
+                    line = b" ".join(lines[a : a + size]) + b" "
+                    # More than one turn only where keys of different windows are equal.
+                    for w in range(k, end):
+                        if self.words(int(places[w]), size) == line:
+                            delta[a] += 1
+                            delta[a + size] -= 1
+                            doc = bisect_right(begins, a) - 1
+                            if (doc, w) not in seen:
+                                seen.add((doc, w))
+                                found[doc].update(self.names[i] for i in items[bounds[w] : bounds[w + 1]].tolist())
         hit = np.r_[0, (np.cumsum(delta[:-1]) > 0).astype(np.int8), 0]
         edges = np.diff(hit)
         first, behind = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
@@ -96,6 +140,14 @@ class WindowSet:
         return counts, spans, found
 
 
+def _keys(hashes: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """A key of each window of ``size`` words from these places on."""
+    out = np.zeros(len(at), np.uint64)
+    for j in range(size):
+        out += hashes[at + j] * _FACTORS[j]
+    return out
+
+
 def _scan(windows, hits_only: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = windows.value
@@ -112,27 +164,34 @@ def _scan(windows, hits_only: bool):
     return run
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[Row]]:
+def _number_of_blocks(benchmark: DataFrame, block_bytes: int) -> int:
+    return max(1, -(-(benchmark.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0) // block_bytes))
+
+
+def _blocks(benchmark: DataFrame, window: int, n: int) -> Iterator[Broadcast]:
+    """The windows of each of ``n`` blocks of items, sent to all tasks; the caller destroys one before it asks for the next."""
+    spark = benchmark.sparkSession
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("string").alias("text"))
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-size // block_bytes))
     for k in range(n):
-        yield items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k).collect() if n > 1 else items.collect()
+        part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) if n > 1 else items
+        yield spark.sparkContext.broadcast(WindowSet(((r["item"], r["text"]) for r in part.toLocalIterator()), window))
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = 16 << 20) -> DataFrame:
     """doc_id, h (xxhash64 of the text), n_words, spans (of hit words), items (sorted as strings), for each row of docs."""
-    spark = docs.sparkSession
-    ship_package(spark)
+    ship_package(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("h"))
-    sets = [spark.sparkContext.broadcast(WindowSet([(r["item"], r["text"]) for r in rows], window)) for rows in _blocks(benchmark, block_bytes)]
-    whole = slim.mapInArrow(_scan(sets[0], False), HITS)
-    if len(sets) == 1:
-        return whole
-    # Rows of equal id and text have equal hits, so (doc_id, h) may name them.
-    hits = whole.where("size(spans) > 0").drop("n_words")
-    for more in sets[1:]:
-        hits = hits.unionByName(slim.mapInArrow(_scan(more, True), HITS).drop("n_words"))
+    whole = hits = None
+    n = _number_of_blocks(benchmark, block_bytes)
+    for block in _blocks(benchmark, window, n):
+        mapped = slim.mapInArrow(_scan(block, whole is not None), HITS)
+        if n == 1:
+            return mapped
+        # Rows of equal id and text have equal hits, so (doc_id, h) may name them.
+        mapped = written(mapped, "hits")
+        block.destroy()
+        some = mapped.where("size(spans) > 0").drop("n_words")
+        whole, hits = (mapped, some) if whole is None else (whole, hits.unionByName(some))
     merged = hits.distinct().groupBy("doc_id", "h").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     empty = F.expr("cast(array() as array<struct<a:long,b:long>>)")
     m = merged.select(F.col("doc_id").alias("m_id"), F.col("h").alias("m_h"), F.col("spans").alias("m_spans"), F.col("items").alias("m_items"))
@@ -174,49 +233,45 @@ def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _clean(windows):
+def _clean(windows: Broadcast, at: int, spans: bool):
+    """Batches without hit rows, or with their hit spans cut; ``at`` is the text's column."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = windows.value
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            keep = [not x for lot in range(0, len(texts), 64) for x in known.hits(texts[lot : lot + 64])[1]]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            texts = batch.column(at).to_pylist()
+            found = [x for lot in range(0, len(texts), 64) for x in known.hits(texts[lot : lot + 64])[1]]
+            if spans:
+                cleaned = [without_spans(t, x) if x else t for t, x in zip(texts, found, strict=True)]
+                yield batch.set_column(at, batch.schema.field(at), pa.array(cleaned, batch.schema.field(at).type))
+            else:
+                yield batch.filter(pa.array([not x for x in found], pa.bool_()))
 
     return run
 
 
-def _add_spans(windows):
+def _cut(at: int):
+    """Rows (columns of docs, spans) to the columns of docs, their hit spans cut."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = windows.value
         for batch in batches:
-            at = batch.schema.get_field_index(SPANS)
-            texts, before = batch.column(batch.schema.get_field_index("text")).to_pylist(), batch.column(at).to_pylist()
-            more = [x for lot in range(0, len(texts), 64) for x in known.hits(texts[lot : lot + 64])[1]]
-            spans = [[*old, *({"a": a, "b": b} for a, b in new)] for old, new in zip(before, more, strict=True)]
-            yield batch.set_column(at, batch.schema.field(at), pa.array(spans, batch.schema.field(at).type))
+            spans = [_joined([(x["a"], x["b"]) for x in row or ()]) for row in batch.column(batch.num_columns - 1).to_pylist()]
+            cleaned = [without_spans(t, x) if x else t for t, x in zip(batch.column(at).to_pylist(), spans, strict=True)]
+            columns = [pa.array(cleaned, batch.schema.field(at).type) if k == at else batch.column(k) for k in range(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(list(batch.schema)[:-1]))
 
     return run
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        at = batch.schema.get_field_index("text")
-        spans = [_joined([(x["a"], x["b"]) for x in row]) for row in batch.column(batch.schema.get_field_index(SPANS)).to_pylist()]
-        cleaned = [without_spans(t, x) if x else t for t, x in zip(batch.column(at).to_pylist(), spans, strict=True)]
-        yield batch.set_column(at, batch.schema.field(at), pa.array(cleaned, batch.schema.field(at).type))
-
-
-#: Column of the spans that blocks have found so far.
-SPANS = "_hit_spans"
-
-
 def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", window: int = WINDOW, block_bytes: int = 16 << 20) -> DataFrame:
-    """docs without hit documents (``documents``) or without hit spans (``spans``); all columns stay. Spans are found by all blocks on the whole text and cut once."""
-    spark = docs.sparkSession
-    ship_package(spark)
-    if mode != "documents":
-        docs = docs.withColumn(SPANS, F.expr("cast(array() as array<struct<a:long,b:long>>)"))
-    for rows in _blocks(benchmark, block_bytes):
-        windows = spark.sparkContext.broadcast(WindowSet([(r["item"], r["text"]) for r in rows], window))
-        docs = docs.mapInArrow(_clean(windows) if mode == "documents" else _add_spans(windows), docs.schema)
-    return docs if mode == "documents" else docs.mapInArrow(_cut, docs.schema).drop(SPANS)
+    """docs without hit documents (``documents``) or without hit spans (``spans``); all columns stay. One block of items is one pass; with more, the spans of all blocks are found on whole texts first and then cut, or their documents removed, once."""
+    ship_package(docs.sparkSession)
+    at = [c.lower() for c in docs.columns].index("text")
+    if _number_of_blocks(benchmark, block_bytes) == 1:
+        return docs.mapInArrow(_clean(next(_blocks(benchmark, window, 1)), at, mode == "spans"), docs.schema)
+    found = scan(docs, benchmark, window, block_bytes).where("size(spans) > 0").select(F.col("doc_id").alias("f_id"), F.col("h").alias("f_h"), F.col("spans").alias("f_spans")).dropDuplicates(["f_id", "f_h"])
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("k_id"), F.xxhash64(F.col("text").cast("string")).alias("k_h"))
+    met = F.col("k_id").eqNullSafe(F.col("f_id")) & (F.col("k_h") == F.col("f_h"))
+    if mode != "spans":
+        return rows.join(found, met, "left_anti").select("row.*")
+    return rows.join(found, met, "left").select("row.*", "f_spans").mapInArrow(_cut(at), docs.schema)
