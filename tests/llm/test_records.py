@@ -46,6 +46,45 @@ def test_map_has_both_versions(documents):
     assert sum(r.rows for r in table if r.version == 2) == documents.count()
 
 
+def test_the_stored_map_is_edited(spark, documents, tmp_path):
+    """Reused as it is, for new bytes, for a ninth shard, and back to eight: few slots move, and each edit is a version."""
+    store = f"file://{tmp_path}/map"
+    table = documents.select("doc_id", "text").unionByName(spark.range(20_000).selectExpr("id + 100000 as doc_id", "repeat('x', cast(id % 97 as int)) as text"))
+
+    def run(docs, shards, tolerance=0.01):
+        got = sharding.shard(docs, shards, 512, store, tolerance).collect()
+        version, shard_of = sharding.load_map(spark, store)
+        assert {r.map_version for r in got} == {version} and all(shard_of[r.virtual_slot] == r.shard for r in got)
+        load, places = defaultdict(int), defaultdict(list)
+        for r in got:
+            load[r.shard] += r.size
+            places[r.shard].append(r.slot)
+        assert len(got) == docs.count() and all(sorted(x) == list(range(len(x))) for x in places.values())
+        assert len(load) == shards and max(load.values()) - min(load.values()) <= tolerance * sum(load.values()) / shards
+        return version, shard_of
+
+    moved = lambda a, b: sum(x != y for x, y in zip(a, b, strict=True))
+    v1, first = run(table, 8)
+    v2, same = run(table, 8)
+    assert (v2, same) == (v1, first)
+    more = table.unionByName(spark.range(2_000).selectExpr("id + 900000 as doc_id", "repeat('new bytes ', cast(id % 50 as int)) as text"))
+    v3, grown = run(more, 8)
+    assert v3 <= v1 + 1 and moved(first, grown) < 60
+    v4, nine = run(more, 9)
+    assert v4 == v3 + 1 and moved(grown, nine) < 512 / 9 * 1.6
+    assert sum(x != y and y != 8 for x, y in zip(grown, nine, strict=True)) < 30  # nearly all moves fill the new shard
+    v5, eight = run(more, 8)
+    assert v5 == v4 + 1 and max(eight) == 7 and moved(nine, eight) < 512 / 9 * 1.6
+    with pytest.raises(ValueError, match="slots"):
+        sharding.shard(more, 8, 64, store)
+
+
+def test_lots_of_runs(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "LOT", 7)
+    table = spark.createDataFrame([(7, "the same")] * 5_000 + [(1, "a")] * 113 + [(2, None)], "doc_id long, text string")
+    check_shards(sharding.shard(table).collect(), [(7, "the same")] * 5_000 + [(1, "a")] * 113 + [(2, None)])
+
+
 TEXTS = [
     "Write to Anna.Berg@mail3.example.com or anna.berg@mail3.example.com, not to b.c@mail3.example.com.",
     "Call +1 (578) 555-6437 4918187128635271 or +1 578 555 6437; card 4539 1488 0343 6467, host 10.20.30.40.",
