@@ -6,7 +6,8 @@
    pairs of nodes from (root, root): the differing bits of the common depth accumulate, a pair goes
    when they exceed the budget, and a pair whose leaves are known to be one component goes too, so
    a dense cluster does not cost all its pairs. A bucket over ``max_bucket`` fingerprints is dealt
-   again by the pairs of subtrees of its next levels that are within the budget, which is exact.
+   again by the pairs of subtrees of its next levels that are within what is left of the budget, which is
+   exact; each bucket has its own number of levels, and those still too large are dealt again.
 3. A bucket returns a spanning forest, at most one edge for each fingerprint. The components of these
    edges are found by alternating star contraction with its rounds written to the shared folder.
 
@@ -18,6 +19,7 @@ share a component; an empty table gives no rows; columns besides doc_id and text
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,10 @@ BLOCK = 16
 CHUNK, STEP = 200_000, 400_000
 #: Fingerprints of a bucket that is walked whole; larger ones are dealt again. One core walks 100,000 evenly spread ones in 20 s, and as many within 8 bits of one in 30 s.
 MAX_BUCKET = 200_000
+#: Levels of a large bucket that one deal takes at most: 15 rows of each fingerprint within 3 bits.
+LEVELS = 4
+#: Rows of about 20 bytes that are sent to all tasks instead of shuffling whole documents.
+SENT = 500_000
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -125,11 +131,17 @@ def trie_self_join(prints: np.ndarray, bucket_starts: np.ndarray, budget: int) -
 
     ``bucket_starts`` holds the first index of each bucket, and len(prints) last.
     """
+    label = np.arange(len(prints))
+    _walk(prints, np.stack([bucket_starts[:-1], bucket_starts[1:]] * 2, axis=1), label, budget)
+    return label
+
+
+def _walk(prints: np.ndarray, roots: np.ndarray, label: np.ndarray, budget: int) -> None:
+    """Join in ``label`` what the pairs of sorted ranges (a_start, a_end, b_start, b_end) link, a range with itself included."""
     n = len(prints)
-    label = np.arange(n)
-    roots = np.stack([bucket_starts[:-1], bucket_starts[1:]], axis=1)
-    roots = roots[roots[:, 1] - roots[:, 0] > 1]
-    stack = [np.concatenate([roots[at : at + STEP], roots[at : at + STEP]], axis=1) for at in range(0, len(roots), STEP)]
+    alone = (roots[:, 0] == roots[:, 2]) & (roots[:, 1] - roots[:, 0] < 2)
+    roots = roots[~alone & (roots[:, 0] < roots[:, 1]) & (roots[:, 2] < roots[:, 3])]
+    stack = [roots[at : at + STEP] for at in range(0, len(roots), STEP)]
     changes = np.zeros(n, np.int64)
     while stack:
         pairs = stack.pop()  # a_start, a_end, b_start, b_end
@@ -161,65 +173,85 @@ def trie_self_join(prints: np.ndarray, bucket_starts: np.ndarray, budget: int) -
         keep &= ~((children[:, 0] == children[:, 2]) & (children[:, 1] == children[:, 3]) & (children[:, 1] - children[:, 0] == 1))
         children = children[keep]
         stack += [children[at : at + STEP] for at in range(0, len(children), STEP)]
-    return label
 
 
 def _bucket_forests(budget: int):
-    """Sorted rows (bucket, fp) of a partition to edges (u, v): each fingerprint and its root, in chunks of whole buckets."""
+    """Sorted rows (bucket, side, fp) of a partition to edges (u, v): each fingerprint and its root, in chunks of whole buckets.
 
-    def forest(bucket: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+    A bucket of two subtrees returns what links them alone: the components of either side are known first (another bucket returns
+    them), so a dense cluster takes one edge there.
+    """
+
+    def forest(bucket: np.ndarray, side: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
         prints = fp.view(np.uint64)
-        order = np.lexsort((prints, bucket))
-        bucket, prints = bucket[order], prints[order]
-        starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
+        order = np.lexsort((prints, side, bucket))
+        bucket, side, prints = bucket[order], side[order], prints[order]
+        starts = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (side[1:] != side[:-1]), True])
         label = trie_self_join(prints, starts, budget)
-        linked = np.flatnonzero(label != np.arange(len(label)))
+        known = np.where(side < 0, np.arange(len(label)), label)
+        two = np.flatnonzero((side[starts[:-2]] == 0) & (side[starts[1:-1]] == 1) & (bucket[starts[:-2]] == bucket[starts[1:-1]]))
+        _walk(prints, np.stack([starts[two], starts[two + 1], starts[two + 1], starts[two + 2]], axis=1), label, budget)
+        linked = np.flatnonzero((label != np.arange(len(label))) & (known == np.arange(len(label))))
         return pa.record_batch([pa.array(prints[linked].view(np.int64)), pa.array(prints[label[linked]].view(np.int64))], names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         count = 0
         for batch in batches:
-            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            held.append(tuple(batch.column(k).to_numpy() for k in range(3)))
             count += batch.num_rows
             if count >= CHUNK:
-                bucket, fp = (np.concatenate(x) for x in zip(*held, strict=True))
+                bucket, side, fp = (np.concatenate(x) for x in zip(*held, strict=True))
                 last = np.searchsorted(bucket, bucket[-1])  # the last bucket may go on
                 if last:
-                    yield forest(bucket[:last], fp[:last])
-                held, count = [(bucket[last:], fp[last:])], len(bucket) - last
+                    yield forest(bucket[:last], side[:last], fp[:last])
+                held, count = [(bucket[last:], side[last:], fp[last:])], len(bucket) - last
         if count:
             yield forest(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     return run
 
 
-def _bits(fp: Column, first: Column, count: int) -> Column:
+def _bits(fp: Column, first: Column, count: Column | int) -> Column:
     """``count`` bits of fp from bit ``first`` (0 is the highest) on."""
-    return F.shiftrightunsigned(F.call_function("shiftleft", fp, first), BITS - count)
+    return F.call_function("shiftrightunsigned", F.call_function("shiftleft", fp, first), (F.lit(BITS) - count).cast("int"))
+
+
+def _split_again(rows: DataFrame, budget: int, max_bucket: int) -> DataFrame:
+    """Rows of large buckets by the pairs of subtrees that may hold a link. ``side`` tells which of two different subtrees a row is from (0 or 1; -1 in a bucket of one subtree), ``spent`` how many bits they differ in."""
+    # Two subtrees of 2**levels make a bucket; levels end at a block's edge, so that bits do not wrap.
+    wanted = F.ceil(F.log2(2.0 * F.col("count") / max_bucket)).cast("int")
+    levels = F.least(F.greatest(wanted, F.lit(2)), F.lit(LEVELS), F.lit(BLOCK) - F.col("first") % BLOCK)
+    near = F.filter(F.sequence(F.lit(0).cast("long"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("levels")) - 1), lambda m: F.bit_count(m) <= F.lit(budget) - F.col("spent"))
+    out = rows.withColumn("levels", levels.cast("int")).withColumn("node", _bits(F.col("fp"), F.col("first"), F.col("levels"))).withColumn("mask", F.explode(near))
+    other = F.col("node").bitwiseXOR(F.col("mask"))
+    lower = F.when(F.col("side") < 0, F.least("node", other)).when(F.col("side") == 0, F.col("node")).otherwise(other)
+    upper = F.when(F.col("side") < 0, F.greatest("node", other)).when(F.col("side") == 0, other).otherwise(F.col("node"))
+    side = F.when(F.col("side") >= 0, F.col("side")).when(F.col("mask") != 0, (F.col("node") > other).cast("int")).otherwise(-1)
+    return out.select(F.xxhash64("bucket", lower, upper).alias("bucket"), "fp", ((F.col("first") + F.col("levels")) % BITS).cast("int").alias("first"), (F.col("spent") + F.bit_count("mask")).cast("int").alias("spent"), side.alias("side"))
 
 
 def _buckets(prints: DataFrame, max_bucket: int, budget: int) -> DataFrame:
-    """bucket long, fp: every pair within the budget meets in a bucket; distinct rows of a bucket are distinct fingerprints."""
+    """bucket long, side int, fp: every pair within the budget meets in a bucket, from both of its sides where it has sides 0 and 1."""
     blocks = BITS // BLOCK
     if blocks <= budget:
         raise ValueError(f"a budget of {budget} bits needs more than {blocks} blocks")
+    max_bucket = max(2, max_bucket)  # two subtrees of all bits are two fingerprints
     dealt = prints.withColumn("block", F.explode(F.array(*[F.lit(k) for k in range(blocks)])))
-    dealt = dealt.withColumn("bucket", (F.col("block") * (1 << BLOCK)).cast("long") + _bits(F.col("fp"), F.col("block") * BLOCK, BLOCK))
-    hottest = dealt.groupBy("bucket").count().agg(F.max("count")).first()[0] or 0
-    if hottest <= max_bucket:
-        return dealt.select("bucket", "fp")
-    # At most blocks * fingerprints / max_bucket rows; Spark sizes that side of the join.
-    large = dealt.groupBy("bucket").count().where(F.col("count") > max_bucket).select("bucket", F.lit(True).alias("large"))
-    dealt = dealt.join(large, "bucket", "left")
-    # A subtree is named by the bits right behind the block, wrapping around the word.
-    levels = min(16, max(3, 1 + (hottest // max_bucket).bit_length()))
-    first = F.pmod((F.col("block") + 1) * BLOCK, F.lit(BITS))
-    near = [F.lit(m).cast("long") for m in range(1 << levels) if m.bit_count() <= budget]
-    split = dealt.where("large").withColumn("node", _bits(F.col("fp"), first, levels)).withColumn("mask", F.explode(F.array(*near)))
-    split = split.withColumn("other", F.col("node").bitwiseXOR(F.col("mask")))
-    split = split.select(F.xxhash64("bucket", F.least("node", "other"), F.greatest("node", "other")).alias("bucket"), "fp")
-    return dealt.where("large is null").select("bucket", "fp").unionByName(split)
+    dealt = dealt.select(
+        ((F.col("block") * (1 << BLOCK)).cast("long") + _bits(F.col("fp"), F.col("block") * BLOCK, BLOCK)).alias("bucket"), "fp",
+        F.pmod((F.col("block") + 1) * BLOCK, F.lit(BITS)).cast("int").alias("first"), F.lit(0).alias("spent"), F.lit(-1).alias("side"),
+    )
+    parts: list[DataFrame] = []
+    while True:
+        # At most blocks * fingerprints / max_bucket rows; Spark sizes that side of the join.
+        large = written(dealt.groupBy("bucket").count().where(F.col("count") > max_bucket), "large")
+        if large.isEmpty():
+            parts.append(dealt.select("bucket", "side", "fp"))
+            return reduce(DataFrame.unionByName, parts)
+        met = dealt.join(large, "bucket", "left")
+        parts.append(met.where("count is null").select("bucket", "side", "fp"))
+        dealt = written(_split_again(met.where("count is not null"), budget, max_bucket), "dealt-again")
 
 
 def links(prints: DataFrame, budget: int = 3, max_bucket: int = MAX_BUCKET) -> DataFrame:
@@ -246,17 +278,28 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 3, max_buck
     return slim.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _sent(rows: DataFrame) -> DataFrame:
+    """A written table, sent to all tasks where it has at most ``SENT`` rows."""
+    return F.broadcast(rows) if rows.count() <= SENT else rows
+
+
 def representatives(docs: DataFrame, shingle: int = 3, budget: int = 3, max_bucket: int = MAX_BUCKET) -> DataFrame:
-    """docs with one row of each component, that of the smallest doc_id (nulls last, then the smallest hash of the text); all columns stay."""
+    """docs with one row of each component, that of the smallest doc_id (nulls last, then the smallest hash of the text); all columns stay.
+
+    The rows that go are named by doc_id and hash of the text and taken out by an anti-join; documents are shuffled only where those names are too many to send.
+    """
     ship_package(docs.sparkSession)
     slim = written(fingerprints(docs, shingle), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("first")
     best = slim.groupBy("fp").agg(first).join(_roots(slim, budget, max_bucket), "fp")
     chosen = best.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("c_id"), F.col("first.h").alias("c_h"))
+    named = slim.groupBy("doc_id", "h").agg(F.count("*").alias("copies"))
+    goes = written(named.join(chosen, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("h") == F.col("c_h")), "left_anti").select(F.col("doc_id").alias("g_id"), F.col("h").alias("g_h")), "goes")
     rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("k_id"), F.xxhash64(F.col("text").cast("string")).alias("k_h"))
-    kept = rows.join(chosen, F.col("k_id").eqNullSafe(F.col("c_id")) & (F.col("k_h") == F.col("c_h")), "left_semi")
-    repeated = slim.groupBy("doc_id", "h").count().where("count > 1").select(F.col("doc_id").alias("r_id"), F.col("h").alias("r_h"))
+    kept = rows.join(_sent(goes), F.col("k_id").eqNullSafe(F.col("g_id")) & (F.col("k_h") == F.col("g_h")), "left_anti")
+    repeated = written(named.where("copies > 1").join(goes, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("h") == F.col("g_h")), "left_anti").select(F.col("doc_id").alias("r_id"), F.col("h").alias("r_h")), "repeated")
     if not repeated.isEmpty():
         same = F.col("k_id").eqNullSafe(F.col("r_id")) & (F.col("k_h") == F.col("r_h"))
-        kept = kept.join(repeated, same, "left_anti").unionByName(kept.join(repeated, same, "left_semi").dropDuplicates(["k_id", "k_h"]))
+        few = _sent(repeated)
+        kept = kept.join(few, same, "left_anti").unionByName(kept.join(few, same, "left_semi").dropDuplicates(["k_id", "k_h"]))
     return kept.select("row.*")

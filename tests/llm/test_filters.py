@@ -79,6 +79,37 @@ def test_simhash_dense_ball(spark):
     assert len({roots[x] for x in inside}) == 1
 
 
+def test_simhash_clusters_that_share_many_bits(spark):
+    """Clusters whose members agree on 32 bits and more need deals of several rounds, each bucket its own."""
+    rng = random.Random(9)
+    prints = set()
+    for free, size in ((24, 300), (32, 300), (8, 120)):
+        top = rng.getrandbits(64 - free) << free
+        prints |= {top | rng.getrandbits(free) for _ in range(size)}
+    prints |= {p ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for p in list(prints)[:200]} | {rng.getrandbits(64) for _ in range(300)}
+    order = sorted(prints)
+    signed = lambda p: p - (1 << 64) if p >> 63 else p
+    table = spark.createDataFrame([(signed(p),) for p in order], "fp long")
+    want = near_components([(k, p) for k, p in enumerate(order)])
+    for bucket in (40, 100_000):
+        roots = {r.node: r.root for r in components.connected_components(simhash.links(table, max_bucket=bucket)).collect()}
+        groups = defaultdict(set)
+        for p in order:
+            groups[roots.get(signed(p), signed(p))].add(p)
+        by_hand = defaultdict(set)
+        for k, _, c in want:
+            by_hand[c].add(order[k])
+        assert sorted(map(sorted, groups.values())) == sorted(map(sorted, by_hand.values()))
+
+
+def test_representatives_with_many_and_repeated_rows(spark, monkeypatch, docs):
+    whole = Counter(map(tuple, simhash.representatives(docs).collect()))
+    monkeypatch.setattr(simhash, "SENT", 0)
+    assert Counter(map(tuple, simhash.representatives(docs).collect())) == whole
+    odd = docs.withColumnRenamed("text", "Text").withColumnRenamed("doc_id", "Doc_ID")
+    assert simhash.representatives(odd).columns == odd.columns and simhash.representatives(odd).count() == sum(whole.values())
+
+
 def test_components_of_chains(spark):
     edges = [(k + 1, k) for k in range(0, 60)] + [(101, 100), (100, 102)] + [(500, k) for k in range(400, 500)]
     got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
@@ -151,8 +182,14 @@ def test_decontamination_brute_force(spark, tiny, docs, rows, none):
         assert Counter(tuple(r) for r in decontaminate.contamination(docs.where("doc_id is null or doc_id not in (6, 10)"), odd, block_bytes=size).collect()) == want
     assert decontaminate.contamination(none, odd).collect() == []
     assert not any(r.contaminated for r in decontaminate.contamination(docs, odd.limit(0)).collect())
-    left = decontaminate.decontaminate(docs, odd)
-    assert left.schema == docs.schema and left.count() == sum(not hits_of(t, short)[-1] for _, t, *_ in rows)
+    clean = Counter(i for i, t, *_ in rows if not hits_of(t, short)[-1])
+    cased = docs.withColumnRenamed("text", "Text").withColumnRenamed("doc_id", "DOC_ID")
+    for size in (16 << 20, 40):
+        left = decontaminate.decontaminate(cased, odd, block_bytes=size)
+        assert left.schema == cased.schema and Counter(r.DOC_ID for r in left.collect()) == clean
+        cut = decontaminate.decontaminate(docs, odd, mode="spans", block_bytes=size)
+        assert cut.schema == docs.schema
+        assert Counter((r.doc_id, len(FOLDED.findall(low(r.text)))) for r in cut.collect()) == Counter((i, n - hit) for i, n, hit in ((i, *hits_of(t, short)[:2]) for i, t, *_ in rows))
     assert decontaminate.without_spans("Keep one, two. And three!", [(1, 3)]) == "Keep . And three!"
 
 
