@@ -25,7 +25,6 @@ class Plane:
 class ProfileConfig:
     chunk: int = 2_000_000
     target: int = 500_000
-    cell: float = 0.1
 
 
 @dataclass(frozen=True)

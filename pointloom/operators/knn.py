@@ -1,4 +1,11 @@
-"""Exact neighbours by equi-joins on grid cells."""
+"""Exact neighbours by equi-joins on grid cells that follow the density.
+
+Other points are searched within a radius, for which cells are two radii wide, so that the 8 cells nearest to a point hold
+all that is within it; a point is done when it has all its neighbours there. The first radius is chosen from the
+density (or given); cells with many points go on with half of it, each by itself, and a point that is not done with twice
+as much. Of points at one place only as many
+as can be neighbours are kept as targets, so a place of any number of points makes no more pairs than a few.
+"""
 
 from __future__ import annotations
 
@@ -10,68 +17,140 @@ from pyspark.sql import functions as F
 from ..session import written
 from .grid import cell
 
-
-def _celled(points: DataFrame, size: float) -> DataFrame:
-    return points.select("point_idx", *"xyz", *[cell(c, size).alias(f"c{c}") for c in "xyz"])
-
-
-def _met(queries: DataFrame, points: DataFrame, radius: float) -> DataFrame:
-    """q, p, x, y, z, d2 for all pairs at most ``radius`` apart. The cell is the radius, so the 27 cells around are all that count; only the query side is copied."""
-    side = F.sequence(F.lit(-1), F.lit(1))
-    query = _celled(queries, radius)
+#: Sizes that are tried for the density, each half of the one before.
+SIZES = 20
+#: A cell with more targets than this, for one neighbour wanted, is divided.
+CROWD = 24
+#: Cells are a little wider than two radii, so that rounding cannot put a third one within reach.
+WIDER = 1 + 1e-6
+
+
+def density_radius(points: DataFrame, neighbours: int) -> float:
+    """A radius at which cells that hold points hold a third more than the neighbours wanted: on a surface the circle then has most of them. One pass."""
+    b = points.agg(*[(F.max(c) - F.min(c)).alias(c) for c in "xyz"]).first()
+    extent = max((v or 0.0 for v in b), default=0.0)
+    if extent <= 0:
+        return 1.0
+    sizes = [extent / 2**k for k in range(1, SIZES + 1)]
+    held = points.agg(F.count("*").alias("n"), *[F.approx_count_distinct(F.xxhash64(*[cell(c, s) for c in "xyz"]), 0.02).alias(f"s{k}") for k, s in enumerate(sizes)]).first()
+    wanted = 1.3 * (neighbours + 1) + 1.5
+    for k in range(SIZES - 1, -1, -1):
+        mean = held["n"] / max(1, held[f"s{k}"])
+        if mean >= wanted:
+            return sizes[k] / 2 * min(1.0, max(0.5, (wanted / mean) ** 0.5))
+    return sizes[0] / 2
+
+
+def _targets(points: DataFrame, neighbours: int) -> DataFrame:
+    """p, x, y, z: of each place the ``neighbours`` + 1 smallest ids. No more can be neighbours of any point."""
+    most = points.groupBy(*"xyz").count().agg(F.max("count")).first()[0] or 0
+    out = points.withColumnRenamed("point_idx", "p")
+    if most <= neighbours + 1:
+        return out
+    nth = F.row_number().over(Window.partitionBy(*"xyz").orderBy("p"))
+    return written(out.withColumn("nth", nth).where(F.col("nth") <= neighbours + 1).drop("nth"), "targets")
+
+
+def _celled(points: DataFrame, radius: float) -> DataFrame:
+    return points.withColumns({f"c{c}": cell(c, 2 * radius * WIDER) for c in "xyz"})
+
+
+def _met(queries: DataFrame, targets: DataFrame, radius: float) -> DataFrame:
+    """q, p, x, y, z, d2 for all pairs of different points at most ``radius`` apart; only the query side is copied, to 8 cells."""
+    query = queries
     for c in "xyz":
-        query = query.withColumn("o", F.explode(side)).withColumn(f"c{c}", F.col(f"c{c}") + F.col("o")).drop("o")
+        first = cell(F.col(c) - radius, 2 * radius * WIDER)
+        query = query.withColumn(f"c{c}", F.explode(F.array(first, first + 1)))
     query = query.select(F.col("point_idx").alias("q"), *[F.col(c).alias(f"q{c}") for c in "xyz"], "cx", "cy", "cz")
-    target = _celled(points, radius).withColumnRenamed("point_idx", "p")
     d2 = reduce(lambda a, b: a + b, [(F.col(c) - F.col(f"q{c}")) * (F.col(c) - F.col(f"q{c}")) for c in "xyz"])
-    return query.join(target, ["cx", "cy", "cz"]).withColumn("d2", d2).where(F.col("d2") <= radius * radius).select("q", "p", *"xyz", "d2")
+    met = query.join(_celled(targets, radius), ["cx", "cy", "cz"]).where("p <> q").withColumn("d2", d2)
+    return met.where(F.col("d2") <= radius * radius).select("q", "p", *"xyz", "d2")
 
 
 def _ranked(met: DataFrame, k: int) -> DataFrame:
-    # The point itself comes first even where others share its place.
-    nearest = Window.partitionBy("q").orderBy("d2", F.col("p") != F.col("q"), "p")
+    """The k nearest of each q, ties by p; both forms leave at most k rows of a q in each task before the shuffle."""
+    if k == 1:
+        best = met.groupBy("q").agg(F.min(F.struct("d2", "p", *"xyz")).alias("b"))
+        return best.select("q", *[F.col(f"b.{c}").alias(c) for c in ("p", "x", "y", "z", "d2")], F.lit(1).alias("rank"))
+    nearest = Window.partitionBy("q").orderBy("d2", "p")
     return met.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
 
 
-def hybrid_neighbours(points: DataFrame, radius: float, k: int) -> DataFrame:
-    """q, p, x, y, z, d2, rank: the k nearest within the radius, the point itself first; ties by point_idx."""
-    return _ranked(_met(points, points, radius), k)
+def _by_crowd(points: DataFrame, targets: DataFrame, radius: float, crowd: int) -> list[tuple[float, DataFrame]]:
+    """Queries with the radius at which they begin, from the first one down: points of crowded cells go on with half of it, until none is crowded."""
+    out: list[tuple[float, DataFrame]] = []
+    left = points
+    while True:
+        crowded = written(_celled(targets, radius).groupBy("cx", "cy", "cz").count().where(F.col("count") > crowd).drop("count"), "crowded")
+        if crowded.isEmpty():
+            return [*out, (radius, left)]
+        at = _celled(left, radius)
+        out.append((radius, at.join(crowded, ["cx", "cy", "cz"], "left_anti").drop("cx", "cy", "cz")))
+        left = written(at.join(crowded, ["cx", "cy", "cz"], "left_semi").drop("cx", "cy", "cz"), "in-crowds")
+        targets = written(_celled(targets, radius).join(crowded, ["cx", "cy", "cz"], "left_semi").drop("cx", "cy", "cz"), "crowd")
+        radius /= 2
 
 
-def knn(points: DataFrame, k: int, cell_size: float, rings: int = 8, include_self: bool = True) -> DataFrame:
-    """The k nearest of every point, exact: a point whose k-th neighbour may lie outside the cells searched goes on with cells twice as large; what is left after ``rings`` doublings is searched within the extent of the cloud."""
-    want = k if include_self else k + 1
+def _others(points: DataFrame, k: int, radius: float | None, limit: float | None) -> DataFrame:
+    """q, p, x, y, z, d2, rank: the k nearest other points of every point, within ``limit`` if there is one."""
     points = written(points.select("point_idx", *"xyz"), "points")
-    left, parts, size = points, [], cell_size
-    for ring in range(rings + 1):
-        if ring == rings:
-            b = points.agg(*[(F.max(c) - F.min(c)).alias(c) for c in "xyz"]).first()
-            size = max(size, sum((v or 0.0) ** 2 for v in b) ** 0.5 + 1e-9)
-        found = _ranked(_met(left, points, size), want)
-        found = written(found, "neighbours")
-        full = found.groupBy("q").agg(F.count("*").alias("n")).where(F.col("n") >= want).select("q") if ring < rings else found.select("q").distinct()
-        parts.append(found.join(full, "q", "left_semi"))
-        left = written(left.select("point_idx", *"xyz").join(full, F.col("point_idx") == F.col("q"), "left_anti"), "unresolved")
-        if ring == rings or left.isEmpty():
+    targets = _targets(points, k)
+    radius = radius or density_radius(targets.withColumnRenamed("p", "point_idx"), k)
+    b = points.agg(*[(F.max(c) - F.min(c)).alias(c) for c in "xyz"]).first()
+    extent = sum((v or 0.0) ** 2 for v in b) ** 0.5
+    last = limit if limit is not None else max(extent, 1e-9) * 1.000001
+    begin = _by_crowd(points, targets, min(radius, last), CROWD * max(1, k))
+    parts: list[DataFrame] = []
+    left: DataFrame | None = None
+    while begin or left is not None:
+        if begin:
+            radius, more = begin.pop()
+            left = more if left is None else left.unionByName(more)
+        found = written(_ranked(_met(left, targets, radius), k), "neighbours")
+        if radius >= last:
+            parts.append(found)
             break
-        size *= 2
-    out = reduce(DataFrame.unionByName, parts)
-    return out if include_self else out.where("rank > 1").withColumn("rank", F.col("rank") - 1)
+        full = found.groupBy("q").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("q")
+        parts.append(found.join(full, "q", "left_semi"))
+        left = written(left.join(full, F.col("point_idx") == F.col("q"), "left_anti"), "unresolved")
+        if left.isEmpty():
+            left = None
+        if not begin:
+            radius = min(2 * radius, last)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _with_self(points: DataFrame, others: DataFrame | None) -> DataFrame:
+    own = points.select(F.col("point_idx").alias("q"), F.col("point_idx").alias("p"), *"xyz", F.lit(0.0).alias("d2"), F.lit(1).alias("rank"))
+    return own if others is None else own.unionByName(others.withColumn("rank", F.col("rank") + 1))
+
+
+def hybrid_neighbours(points: DataFrame, radius: float, k: int) -> DataFrame:
+    """q, p, x, y, z, d2, rank: the k nearest within the radius, the point itself first; ties by point_idx."""
+    others = _others(points, k - 1, None, radius) if k > 1 else None
+    return _with_self(points, others)
+
+
+def knn(points: DataFrame, k: int, radius: float | None = None, include_self: bool = True) -> DataFrame:
+    """q, p, x, y, z, d2, rank: the k nearest of every point, exact; the point itself first or left out, ties by point_idx. ``radius``: where the search begins, else from the density."""
+    if not include_self:
+        return _others(points, k, radius, None)
+    return _with_self(points, _others(points, k - 1, radius, None) if k > 1 else None)
 
 
-def nearest_distance(points: DataFrame, cell_size: float) -> DataFrame:
+def nearest_distance(points: DataFrame, radius: float | None = None) -> DataFrame:
     """point_idx, d: distance to the nearest other point."""
-    return knn(points, 1, cell_size, include_self=False).select(F.col("q").alias("point_idx"), F.sqrt("d2").alias("d"))
+    return knn(points, 1, radius, include_self=False).select(F.col("q").alias("point_idx"), F.sqrt("d2").alias("d"))
 
 
-def outlier_scores(points: DataFrame, k: int, cell_size: float) -> DataFrame:
+def outlier_scores(points: DataFrame, k: int, radius: float | None = None) -> DataFrame:
     """point_idx, mean_d: mean distance to the k nearest, the point itself counted among them."""
-    return knn(points, k, cell_size).groupBy("q").agg(F.avg(F.sqrt("d2")).alias("mean_d")).withColumnRenamed("q", "point_idx")
+    return knn(points, k, radius).groupBy("q").agg(F.avg(F.sqrt("d2")).alias("mean_d")).withColumnRenamed("q", "point_idx")
 
 
-def outlier_filter(points: DataFrame, k: int = 20, ratio: float = 2.0, cell_size: float = 0.1) -> DataFrame:
+def outlier_filter(points: DataFrame, k: int = 20, ratio: float = 2.0, radius: float | None = None) -> DataFrame:
     """Points whose mean distance is above 0 and below mean + ratio * standard deviation (n - 1) of all."""
-    scores = outlier_scores(points, k, cell_size)
+    scores = written(outlier_scores(points, k, radius), "scores")
     m = scores.agg(F.avg("mean_d"), F.stddev_samp("mean_d")).first()
     limit = (m[0] or 0.0) + ratio * (m[1] or 0.0)
     return points.join(scores.where((F.col("mean_d") > 0) & (F.col("mean_d") < limit)).select("point_idx"), "point_idx", "left_semi")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..model import Plane, SegmentConfig
 from . import grid, planes
+from .quantiles import quantiles
 
 # Corner order by (axis 1, axis 2, axis 3) bits and the triangles of quads and boxes.
 QUAD = [(0, 1, 2), (1, 3, 2)]
@@ -140,7 +141,7 @@ def combine(*meshes: DataFrame, mesh_id: str = "combined") -> DataFrame:
 
 def density_trim(vertices: DataFrame, triangles: DataFrame, percent: float = 5) -> tuple[DataFrame, DataFrame]:
     """Without vertices whose density is below the percentile, and without triangles that used one."""
-    limit = vertices.agg(F.percentile("density", percent / 100)).first()[0]
+    limit = quantiles(vertices.where("density is not null"), "density", [percent / 100])[0]
     kept = vertices.where(F.col("density") >= limit) if limit is not None else vertices
     for p in "abc":
         triangles = triangles.join(kept.select(F.col("vid").alias(p)), p, "left_semi")

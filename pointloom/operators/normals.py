@@ -50,7 +50,7 @@ def estimate(points: DataFrame, voxel: float, least: float = 0.9) -> DataFrame:
     if points.limit(100).count() < 100:
         raise ValueError("normals need at least 100 points")
     near, far = max(4 * voxel, 0.05), max(8 * voxel, 0.15)
-    for search in (lambda: knn.hybrid_neighbours(points, near, 30), lambda: knn.hybrid_neighbours(points, far, 50), lambda: knn.knn(points, 30, near)):
+    for search in (lambda: knn.hybrid_neighbours(points, near, 30), lambda: knn.hybrid_neighbours(points, far, 50), lambda: knn.knn(points, 30)):
         normals = written(from_neighbours(search()), "normals")
         if (finite_fraction(normals).first()[0] or 0.0) >= least:
             return points.join(normals, "point_idx")
@@ -125,7 +125,7 @@ def _turned(signed: DataFrame, cut: DataFrame) -> list[int]:
     return ids[_spread(a, b, pairs["dot"].to_numpy(), np.lexsort((ids, -top)))[0] < 0].tolist()
 
 
-def mst_orientation(points: DataFrame, k: int = 15, tile: float = 8.0, cell: float = 0.1) -> DataFrame:
+def mst_orientation(points: DataFrame, k: int = 15, tile: float = 8.0, cell: float | None = None) -> DataFrame:
     """Normals made consistent along a spanning forest of the k nearest neighbours: within tiles (a tile of the downsampled cloud is one task's work), then between the trees of different tiles, so that each connected part has one orientation and its highest point looks up."""
     ship_package(points.sparkSession)
     at = points.withColumn("tile", F.concat_ws("/", F.floor(F.col("x") / tile), F.floor(F.col("y") / tile)))

@@ -197,6 +197,7 @@ def route(kind: Column, band: Column, grooves: Column, min_groove: int) -> Colum
 
 
 def recess_sign(points: DataFrame) -> DataFrame:
-    """wall_id, recess: the side on which the median of s lies; 0 counts as +1."""
-    m = points.groupBy("wall_id").agg(F.percentile("s", 0.5).alias("median"))
-    return m.select("wall_id", F.when(F.col("median") < 0, -1).otherwise(1).alias("recess"))
+    """wall_id, recess: the side on which the median of s lies; 0 counts as +1. Counts tell it, and the two values next to 0 where they are even."""
+    m = points.groupBy("wall_id").agg(F.count("s").alias("n"), F.count_if(F.col("s") < 0).alias("under"), F.max(F.when(F.col("s") < 0, F.col("s"))).alias("a"), F.min(F.when(F.col("s") >= 0, F.col("s"))).alias("b"))
+    negative = (2 * F.col("under") > F.col("n")) | ((2 * F.col("under") == F.col("n")) & (F.col("a") + F.col("b") < 0))
+    return m.select("wall_id", F.when(negative, -1).otherwise(1).alias("recess"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
+from .quantiles import quantiles
+
 
 def class_histogram(points: DataFrame) -> DataFrame:
     return points.groupBy("classification").agg(F.count("*").alias("points"))
@@ -20,6 +23,8 @@ def rgb_range(points: DataFrame) -> DataFrame:
 
 def spacing(nearest: DataFrame) -> DataFrame:
     """Millimetres, from column d: median, mean, p90, and the width that can be resolved (three medians)."""
-    finite = nearest.where(~F.isnan("d") & (F.col("d") < float("inf")))
-    out = finite.agg(F.percentile("d", 0.5).alias("m"), F.avg("d").alias("a"), F.percentile("d", 0.9).alias("p"), F.count("*").alias("points"))
-    return out.select("points", (F.col("m") * 1000).alias("median_mm"), (F.col("a") * 1000).alias("mean_mm"), (F.col("p") * 1000).alias("p90_mm"), (F.col("m") * 3000).alias("resolvable_mm"))
+    finite = written(nearest.where(~F.isnan("d") & (F.col("d") < float("inf"))).select("d"), "distances")
+    median, p90 = quantiles(finite, "d", [0.5, 0.9])
+    mm = lambda v, factor, name: F.lit(None if v is None else v * factor).cast("double").alias(name)
+    out = finite.agg(F.count("*").alias("points"), (F.avg("d") * 1000).alias("mean_mm"))
+    return out.select("points", mm(median, 1000, "median_mm"), "mean_mm", mm(p90, 1000, "p90_mm"), mm(median, 3000, "resolvable_mm"))

@@ -18,7 +18,7 @@ def profile(points: DataFrame, config: ProfileConfig = ProfileConfig()) -> dict[
     chosen = sample.stride_sample(points, points.count(), config.chunk, config.target)
     return {
         "extent": sample.bbox_extent(points), "classes": stats.class_histogram(chosen), "intensity": stats.intensity_stats(chosen), "rgb": stats.rgb_range(chosen),
-        "spacing": stats.spacing(knn.nearest_distance(chosen, config.cell)),
+        "spacing": stats.spacing(knn.nearest_distance(chosen)),
     }
 
 
@@ -31,8 +31,8 @@ def reconstruct(points: DataFrame, config: MeshConfig) -> tuple[DataFrame, DataF
     points, _ = sample.recenter(points)
     thin = written(grid.voxel_downsample(points, config.voxel).select("point_idx", *"xyz"), "thin")
     if not config.skip_outliers:
-        thin = written(knn.outlier_filter(thin, 20, config.outlier_ratio, 4 * config.voxel), "inliers")
-    oriented = normals.mst_orientation(normals.estimate(thin, config.voxel), cell=4 * config.voxel)
+        thin = written(knn.outlier_filter(thin, 20, config.outlier_ratio), "inliers")
+    oriented = normals.mst_orientation(normals.estimate(thin, config.voxel))
     triangles = written(surface.surface(oriented, 2 * config.voxel), "surface")
     vertices, faces = mesh.indexed(triangles)
     corner = F.explode(F.array(*[F.struct(*[(F.col(f"{p}{c}") + 0.0).alias(c) for c in "xyz"]) for p in "abc"])).alias("v")

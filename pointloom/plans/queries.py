@@ -92,11 +92,22 @@ _GROOVE = "gc as (select wall_id, cast(floor(u / 0.1E0) as bigint) as iu, cast(f
 rs as (select wall_id, case when quantile_cont(s, 0.5) < 0 then -1 else 1 end as recess from uv where abs(s) > 0.006E0 and abs(s) <= 0.015E0 group by wall_id),
 """
 _KNN = """
-kc as (select point_idx, x, y, z, cast(floor(x / 0.1E0) as bigint) as cx, cast(floor(y / 0.1E0) as bigint) as cy, cast(floor(z / 0.1E0) as bigint) as cz from room where surf in (1, 2)),
+kc as (select point_idx, x, y, z, cast(floor(x / 0.1E0) as bigint) as cx, cast(floor(y / 0.1E0) as bigint) as cy, cast(floor(z / 0.1E0) as bigint) as cz from room),
 kq as (select point_idx as q, x as qx, y as qy, z as qz, cx + i as cx, cy + j as cy, cz + k as cz from kc, (select unnest([-1, 0, 1]) as i), (select unnest([-1, 0, 1]) as j), (select unnest([-1, 0, 1]) as k)),
 kp as (select q, point_idx as p, (x - qx) * (x - qx) + (y - qy) * (y - qy) + (z - qz) * (z - qz) as d2 from kq join kc using (cx, cy, cz)),
 kr as (select *, row_number() over (partition by q order by d2, p <> q, p) as rank from kp where d2 <= 0.1E0 * 0.1E0),
 """
+#: The 20 nearest: those within 0.1 m, and for points with fewer the same within 1 m.
+_KNN20 = _KNN + """
+kf as (select q from kr where rank = 20),
+wc as (select point_idx, x, y, z, cast(floor(x / 1.0E0) as bigint) as cx, cast(floor(y / 1.0E0) as bigint) as cy, cast(floor(z / 1.0E0) as bigint) as cz from room),
+wq as (select point_idx as q, x as qx, y as qy, z as qz, cx + i as cx, cy + j as cy, cz + k as cz from wc, (select unnest([-1, 0, 1]) as i), (select unnest([-1, 0, 1]) as j), (select unnest([-1, 0, 1]) as k)
+  where point_idx not in (select q from kf)),
+wp as (select q, point_idx as p, (x - qx) * (x - qx) + (y - qy) * (y - qy) + (z - qz) * (z - qz) as d2 from wq join wc using (cx, cy, cz)),
+wr as (select *, row_number() over (partition by q order by d2, p <> q, p) as rank from wp where d2 <= 1.0E0),
+k20 as (select q, p, d2, rank from kr where q in (select q from kf) and rank <= 20 union all select q, p, d2, rank from wr where rank <= 20),
+k20m as (select q, avg(sqrt(d2)) as mean_d from k20 group by q),
+"""
 
 
 def query(sql: str | None = None, ctes: str = ""):
@@ -169,8 +180,7 @@ def rgb_range(spark, sf_dir):
 
 @query(f"select points, {_q('median_mm', 'mean_mm', 'p90_mm', 'resolvable_mm')} from (select count(*) as points, quantile_cont(d, 0.5) * 1000 as median_mm, avg(d) * 1000 as mean_mm, quantile_cont(d, 0.9) * 1000 as p90_mm, quantile_cont(d, 0.5) * 3000 as resolvable_mm from (select sqrt(d2) as d from kr where rank = 2))", _KNN)
 def nn_spacing(spark, sf_dir):
-    points = room(spark, sf_dir).where("surf in (1, 2)")
-    return stats.spacing(knn.nearest_distance(points, CELL)).select("points", *_r("median_mm", "mean_mm", "p90_mm", "resolvable_mm"))
+    return stats.spacing(knn.nearest_distance(room(spark, sf_dir))).select("points", *_r("median_mm", "mean_mm", "p90_mm", "resolvable_mm"))
 
 
 @query(f"""select {_q('x', 'y', 'z', 'intensity')}, members from (select avg(x) as x, avg(y) as y, avg(z) as z, avg(intensity) as intensity, count(*) as members from room, (select min(x) as ax, min(y) as ay, min(z) as az from room)
@@ -466,29 +476,25 @@ def triangle_breakdown(spark, sf_dir):
     return mesh.groove_mesh(_groove_points(spark, sf_dir), WALLS, frames, CONFIG).groupBy("mesh_id").agg(F.count("*").alias("triangles"))
 
 
-def _two_walls(spark, sf_dir):
-    # The part of the room that the SQL of _KNN names; only queries with that SQL read it.
-    return room(spark, sf_dir).where("surf in (1, 2)")
-
-
-@query("select q, count(*) as n, round(sum(sqrt(d2)), 6) as total from kr where rank <= 8 group by q", _KNN)
+@query("select q, count(*) as n, cast(sum(p) as bigint) as ids, round(sum(sqrt(d2)), 6) as total from kr where rank <= 8 group by q", _KNN)
 def knn8(spark, sf_dir):
-    return knn.hybrid_neighbours(_two_walls(spark, sf_dir), CELL, 8).groupBy("q").agg(F.count("*").alias("n"), F.round(F.sum(F.sqrt("d2")), 6).alias("total"))
+    return knn.hybrid_neighbours(room(spark, sf_dir), CELL, 8).groupBy("q").agg(F.count("*").alias("n"), F.sum("p").alias("ids"), F.round(F.sum(F.sqrt("d2")), 6).alias("total"))
 
 
-@query()
+@query("select q, count(*) as n, cast(sum(p) as bigint) as ids, round(max(sqrt(d2)), 6) as farthest from k20 group by q", _KNN20)
 def knn20(spark, sf_dir):
-    return knn.knn(room(spark, sf_dir), 20, CELL).groupBy("q").agg(F.count("*").alias("n"), F.round(F.max(F.sqrt("d2")), 6).alias("farthest"))
+    return knn.knn(room(spark, sf_dir), 20).groupBy("q").agg(F.count("*").alias("n"), F.sum("p").alias("ids"), F.round(F.max(F.sqrt("d2")), 6).alias("farthest"))
 
 
-@query()
+@query("select q as point_idx from k20m, (select avg(mean_d) + 2 * stddev_samp(mean_d) as most from k20m) where mean_d > 0 and mean_d < most", _KNN20)
 def outlier_filter(spark, sf_dir):
-    return knn.outlier_filter(room(spark, sf_dir), 20, 2.0, CELL).select("point_idx")
+    return knn.outlier_filter(room(spark, sf_dir), 20, 2.0).select("point_idx")
 
 
-@query("select q, count(*) as n, cast(max(rank) as bigint) as farthest from kr where rank <= 30 group by q", _KNN)
+@query("select q, count(*) as n, cast(sum(p * rank) as bigint) as ids, round(max(sqrt(d2)), 6) as farthest from kr where rank <= 30 group by q", _KNN)
 def hybrid_neighbors(spark, sf_dir):
-    return knn.hybrid_neighbours(_two_walls(spark, sf_dir), CELL, 30).groupBy("q").agg(F.count("*").alias("n"), F.max("rank").cast("long").alias("farthest"))
+    near = knn.hybrid_neighbours(room(spark, sf_dir), CELL, 30)
+    return near.groupBy("q").agg(F.count("*").alias("n"), F.sum(F.col("p") * F.col("rank")).alias("ids"), F.round(F.max(F.sqrt("d2")), 6).alias("farthest"))
 
 
 def _normals(spark, sf_dir):

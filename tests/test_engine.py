@@ -72,6 +72,35 @@ def test_neighbours_are_exact(spark):
     assert all(np.isclose(near[k], want[k][1]) for k in range(len(xyz)))
 
 
+def test_neighbours_of_crowds_lone_points_and_one_place(spark):
+    """Dense and thin parts, far points, and a third of all points at one place."""
+    rng = np.random.default_rng(2)
+    xyz = np.concatenate([rng.random((150, 3)) * 0.001, rng.random((100, 3)) * 50, [[900.0, 0, 0], [-400.0, 3, 3]], np.zeros((120, 3)) + 7])
+    df = spark.createDataFrame([(k, *map(float, p)) for k, p in enumerate(xyz)], "point_idx long, x double, y double, z double")
+    d2 = ((xyz[:, None] - xyz[None]) ** 2).sum(axis=2)
+    order = [sorted(range(len(xyz)), key=lambda j, k=k: (d2[k, j], j != k, j)) for k in range(len(xyz))]
+    for radius in (None, 0.01, 500.0):
+        got = {}
+        for r in knn.knn(df, 5, radius).orderBy("q", "rank").collect():
+            got.setdefault(r.q, []).append(r.p)
+        assert got == {k: order[k][:5] for k in range(len(xyz))}
+    near = {}
+    for r in knn.hybrid_neighbours(df, 1.5, 30).orderBy("q", "rank").collect():
+        near.setdefault(r.q, []).append(r.p)
+    assert near == {k: [j for j in order[k] if d2[k, j] <= 1.5**2][:30] for k in range(len(xyz))}
+    assert knn.knn(df, 1).count() == len(xyz) and knn.knn(df.limit(1), 3).count() == 1 and knn.knn(df.limit(0), 3).count() == 0
+
+
+def test_quantiles_are_exact(spark):
+    from pointloom.operators.quantiles import quantiles
+
+    rng = np.random.default_rng(8)
+    for values in (rng.normal(size=3_001), np.r_[np.full(5_000, 0.25), rng.random(40)], np.array([3.0]), np.array([-1e300, 0.0, 1e-300, 1e300, 5.0])):
+        df = spark.createDataFrame([(float(v),) for v in values], "d double")
+        assert np.allclose(quantiles(df, "d", [0.0, 0.05, 0.5, 0.9, 1.0]), np.quantile(values, [0.0, 0.05, 0.5, 0.9, 1.0]), rtol=1e-14, atol=0)
+    assert quantiles(df.limit(0), "d", [0.5]) == [None]
+
+
 def test_neighbour_queries_read_the_whole_room(spark, tiny):
     rows = room(spark, tiny).select("point_idx", *"xyz").collect()
     ids, at = np.array([r[0] for r in rows]), np.array([r[1:] for r in rows])
