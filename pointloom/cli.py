@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import argparse
+import os
 
 from pyspark.sql import SparkSession
 
-from .model import DETAIL, SMOKE, SegmentConfig
+from .model import PRESETS, SegmentConfig
 from .operators import mesh
 from .plans import pipelines
 from .sources import las
@@ -19,7 +20,7 @@ def main(argv: list[str] | None = None) -> None:
     build = sub.add_parser("mesh")
     build.add_argument("input")
     build.add_argument("output")
-    build.add_argument("--preset", choices=["smoke", "detail"], default="detail")
+    build.add_argument("--preset", choices=sorted(PRESETS), default="detail")
     cut = sub.add_parser("segment")
     cut.add_argument("input")
     cut.add_argument("output")
@@ -29,11 +30,11 @@ def main(argv: list[str] | None = None) -> None:
     spark = SparkSession.builder.appName("pointloom").getOrCreate()
     points = spark.read.parquet(args.input) if args.input.endswith(".parquet") else las.load(spark, args.input)
     if args.command == "profile":
-        for name, frame in pipelines.profile(points).items():
-            print(name)
-            frame.show(truncate=False)
+        scan = not args.input.endswith(".parquet")
+        header = las.header_frame(spark, args.input).first().asDict() if scan else None
+        print("\n".join([f"File: {args.input}", *pipelines.profile_report(points, header, os.path.getsize(args.input) if scan else None)]))
     elif args.command == "mesh":
-        mesh.write_obj(*pipelines.reconstruct(points, SMOKE if args.preset == "smoke" else DETAIL), args.output)
+        mesh.write_obj(*pipelines.reconstruct(points, PRESETS[args.preset]), args.output)
     else:
         pipelines.write_segmentation(pipelines.segment(points), SegmentConfig(), args.output, args.parts, args.include_misc, args.include_frames)
 

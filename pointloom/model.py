@@ -37,10 +37,14 @@ class MeshConfig:
     crop_radius: float | None = None
     max_points: int | None = None
     skip_outliers: bool = False
+    recentre: bool = True
+    one_search: bool = False  # normals by the first search alone, within 4 voxels
 
 
 SMOKE = MeshConfig("smoke", 0.03, 8, max_points=100_000, skip_outliers=True)
 DETAIL = MeshConfig("detail", 0.015, 10)
+FIRST = MeshConfig("first", 0.015, 10, recentre=False, one_search=True)
+PRESETS = {c.name: c for c in (SMOKE, DETAIL, FIRST)}
 
 
 @dataclass(frozen=True)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..model import Plane, SegmentConfig
+from ..session import written
 from . import grid, planes
 from .quantiles import quantiles
 
@@ -78,6 +79,11 @@ def indexed(triangles: DataFrame) -> tuple[DataFrame, DataFrame]:
     return vertices, t.select("mesh_id", "a", "b", "c")
 
 
+def indexed_use(triangles: DataFrame) -> DataFrame:
+    """vid: each vertex that a triangle uses, once."""
+    return triangles.select(F.explode(F.array(*"abc")).alias("vid")).distinct()
+
+
 def vertex_normals(triangles: DataFrame) -> DataFrame:
     """mesh_id, x, y, z, nx, ny, nz: the sum of the normals of the triangles around a place, by area, of length 1."""
     e1 = tuple(F.col(f"b{c}") - F.col(f"a{c}") for c in "xyz")
@@ -139,6 +145,12 @@ def combine(*meshes: DataFrame, mesh_id: str = "combined") -> DataFrame:
     return out.withColumn("mesh_id", F.lit(mesh_id))
 
 
+def finished(triangles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Vertices with normals, and triangles, of meshes combined: equal places are one vertex, degenerate triangles go."""
+    vertices, faces = indexed(triangles)
+    return vertices.join(vertex_normals(triangles), ["mesh_id", "x", "y", "z"]), faces
+
+
 def density_trim(vertices: DataFrame, triangles: DataFrame, percent: float = 5) -> tuple[DataFrame, DataFrame]:
     """Without vertices whose density is below the percentile, and without triangles that used one."""
     limit = quantiles(vertices.where("density is not null"), "density", [percent / 100])[0]
@@ -148,12 +160,23 @@ def density_trim(vertices: DataFrame, triangles: DataFrame, percent: float = 5)
     return kept, triangles
 
 
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """rows with ``name``: their place from 1 in that order. Ranges are numbered by themselves and begin behind those before them, so no task sees all rows."""
+    ranged = written(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranged")
+    counts = ranged.groupBy("_range").agg(F.count("*").alias("_rows"))
+    # One row for each partition.
+    before = F.coalesce(F.sum("_rows").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = ranged.join(F.broadcast(counts.select("_range", before.alias("_before"))), "_range")
+    nth = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return placed.withColumn(name, (F.col("_before") + nth).cast("long")).drop("_range", "_before")
+
+
 def obj_lines(vertices: DataFrame, triangles: DataFrame) -> DataFrame:
-    """section, place, line of an OBJ file: v and vn lines by vertex, then f lines; vertices may have nx, ny, nz."""
-    order = Window.orderBy("x", "y", "z", "vid")  # ids in a file are consecutive, so one task numbers its vertices
-    v = vertices.withColumn("n", F.row_number().over(order))
+    """section, place, line of an OBJ file: v lines (with a colour where vertices have a grey) and vn lines by vertex, then f lines; vertices may have nx, ny, nz."""
+    v = numbered(vertices, ["x", "y", "z", "vid"], "n")
     text = lambda *cs: F.concat_ws(" ", *[F.format_string("%.6f", F.col(c) + 0.0) for c in cs])
-    parts = [v.select(F.lit(0).alias("section"), F.col("n").cast("long").alias("place"), F.concat(F.lit("v "), text("x", "y", "z")).alias("line"))]
+    colour = F.when(F.col("grey").isNotNull(), F.concat(F.lit(" "), text("grey", "grey", "grey"))).otherwise("") if "grey" in vertices.columns else F.lit("")
+    parts = [v.select(F.lit(0).alias("section"), F.col("n").cast("long").alias("place"), F.concat(F.lit("v "), text(*"xyz"), colour).alias("line"))]
     if "nx" in vertices.columns:
         parts.append(v.select(F.lit(1).alias("section"), F.col("n").cast("long").alias("place"), F.concat(F.lit("vn "), text("nx", "ny", "nz")).alias("line")))
     t = triangles
@@ -161,7 +184,7 @@ def obj_lines(vertices: DataFrame, triangles: DataFrame) -> DataFrame:
         t = t.join(v.select(F.col("vid").alias(p), F.col("n").alias(f"n{p}")), p)
     corner = (lambda p: F.concat(F.col(f"n{p}"), F.lit("//"), F.col(f"n{p}"))) if len(parts) > 1 else (lambda p: F.col(f"n{p}").cast("string"))
     face = F.concat(F.lit("f "), F.concat_ws(" ", *[corner(p) for p in "abc"]))
-    parts.append(t.select(F.lit(2).alias("section"), F.row_number().over(Window.orderBy("na", "nb", "nc")).cast("long").alias("place"), face.alias("line")))
+    parts.append(numbered(t, ["na", "nb", "nc"], "nf").select(F.lit(2).alias("section"), F.col("nf").alias("place"), face.alias("line")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -45,10 +45,12 @@ def finite_fraction(normals: DataFrame) -> DataFrame:
     return normals.agg(F.avg(F.coalesce(ok, F.lit(False)).cast("int")).alias("finite"))
 
 
-def estimate(points: DataFrame, voxel: float, least: float = 0.9) -> DataFrame:
-    """The first of three searches whose normals are finite for 90 % of the points: 30 within max(4 voxels, 0.05), 50 within max(8 voxels, 0.15), the 30 nearest. An error below 100 points or if none will do."""
+def estimate(points: DataFrame, voxel: float, least: float = 0.9, one_search: bool = False) -> DataFrame:
+    """The first of three searches whose normals are finite for 90 % of the points: 30 within max(4 voxels, 0.05), 50 within max(8 voxels, 0.15), the 30 nearest. An error below 100 points or if none will do. ``one_search``: only 30 within 4 voxels, whatever comes of it."""
     if points.limit(100).count() < 100:
         raise ValueError("normals need at least 100 points")
+    if one_search:
+        return points.join(written(from_neighbours(knn.hybrid_neighbours(points, 4 * voxel, 30)), "normals"), "point_idx")
     near, far = max(4 * voxel, 0.05), max(8 * voxel, 0.15)
     for search in (lambda: knn.hybrid_neighbours(points, near, 30), lambda: knn.hybrid_neighbours(points, far, 50), lambda: knn.knn(points, 30)):
         normals = written(from_neighbours(search()), "normals")
@@ -126,16 +128,18 @@ def _turned(signed: DataFrame, cut: DataFrame) -> list[int]:
 
 
 def mst_orientation(points: DataFrame, k: int = 15, tile: float = 8.0, cell: float | None = None) -> DataFrame:
-    """Normals made consistent along a spanning forest of the k nearest neighbours: within tiles (a tile of the downsampled cloud is one task's work), then between the trees of different tiles, so that each connected part has one orientation and its highest point looks up."""
+    """Normals made consistent along a spanning forest of the k nearest neighbours: within tiles (a tile of the downsampled cloud is one task's work), then between the trees of different tiles, so that each connected part has one orientation and its highest point looks up. Points that no such forest reaches look towards the origin."""
     ship_package(points.sparkSession)
     at = points.withColumn("tile", F.concat_ws("/", F.floor(F.col("x") / tile), F.floor(F.col("y") / tile)))
     q = at.select(F.col("point_idx").alias("q"), "tile", "z", *[F.col(f"n{c}").alias(f"q{c}") for c in "xyz"])
     p = at.select(F.col("point_idx").alias("p"), F.col("tile").alias("p_tile"), *[F.col(f"n{c}").alias(f"p{c}") for c in "xyz"])
-    edges = written(knn.knn(points, k, cell).select("q", "p").join(q, "q").join(p, "p"), "edges")
+    edges = written(knn.knn(points, k, cell).where("q <> p").select("q", "p").join(q, "q").join(p, "p"), "edges")
     within = edges.where("tile = p_tile").drop("p_tile")
     signed = written(within.groupBy("tile").applyInPandas(_orient, "point_idx long, tree long, top double, nx double, ny double, nz double"), "signed")
     turned = _turned(signed, edges.where("tile <> p_tile").select("q", "p"))
     if turned:
         turn = points.sparkSession.createDataFrame([(t, -1.0) for t in turned], "tree long, turn double")
         signed = signed.join(F.broadcast(turn), "tree", "left").withColumns({f"n{c}": F.col(f"n{c}") * F.coalesce("turn", F.lit(1.0)) for c in "xyz"})
-    return points.drop("nx", "ny", "nz").join(signed.select("point_idx", "nx", "ny", "nz"), "point_idx")
+    own = viewpoint_flip(points).withColumnsRenamed({f"n{c}": f"o{c}" for c in "xyz"})
+    met = own.join(signed.select("point_idx", "nx", "ny", "nz"), "point_idx", "left")
+    return met.withColumns({f"n{c}": F.coalesce(f"n{c}", f"o{c}") for c in "xyz"}).drop("ox", "oy", "oz")

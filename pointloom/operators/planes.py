@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..model import Plane, SegmentConfig
-from ..session import written
+from ..session import progress, written
 
 
 def xyz() -> g.Vector:
@@ -127,9 +127,10 @@ class Extraction:
     log: list[dict]
 
 
-SAMPLE = 4_000
-#: Candidates scored on the sample at once.
-LOT = 1_000
+#: Points of the sample that candidates are drawn from and tried on. The least plane is a share of the cloud (0.5 %), so a bound holds for clouds of any size: that plane has 100 points in it.
+SAMPLE = 20_000
+#: Candidates tried on the sample at once, and the best of them that are counted on all points.
+LOT, FINALISTS = 1_000, 32
 
 
 def sampled(sample: np.ndarray, planes: list[Plane], distance: float) -> np.ndarray:
@@ -139,26 +140,29 @@ def sampled(sample: np.ndarray, planes: list[Plane], distance: float) -> np.ndar
 
 
 def extract_planes(points: DataFrame, config: SegmentConfig) -> Extraction:
-    """Peel planes off the cloud: seeded candidates from a fixed sample, scored there, the best again on all points, inliers refined and routed.
+    """Peel planes off the cloud: seeded candidates from a sample of what is left, tried there, the best counted again on all of it, inliers refined and routed.
 
+    The cloud is written once and only read after that: what is left are the points near none of the planes taken so far. Rows get their plane and role in one projection at the end.
     Roles: floor, oblique, dropped (flat points of a plane too small for a wall), wall, groove, residual.
     """
-    left = written(points.select("point_idx", *"xyz"), "cloud")
-    total = remaining = left.count()
-    parts: list[DataFrame] = []
+    cloud = written(points.select("point_idx", *"xyz"), "cloud")
+    total = remaining = cloud.count()
+    taken: list[tuple[Column, Column, Column, Column]] = []  # inside, plane_no, role, wall_id
+    left = cloud
     walls: list[Plane] = []
     floors: list[tuple[float, int, Plane]] = []
     log: list[dict] = []
     for number in range(config.max_planes):
         if remaining < max(3, config.min_plane):
             break
-        rows = left.orderBy(F.xxhash64("point_idx", F.lit(config.seed + number))).limit(SAMPLE).select(*"xyz").collect()
-        sample = np.array(rows, np.float64)
+        progress(cloud.sparkSession, f"plane {number}: {remaining} points left")
+        rows = left.select(*"xyz", F.xxhash64("point_idx", F.lit(config.seed + number)).alias("h")).orderBy("h").limit(SAMPLE).select(*"xyz").toPandas()
+        sample = rows.to_numpy(np.float64)
         tried = candidates(sample, config.candidates, config.seed + number)
         if not tried:
             break
         near = np.concatenate([sampled(sample, tried[k : k + LOT], config.distance) for k in range(0, len(tried), LOT)])
-        best = [tried[k] for k in np.argsort(-near, kind="stable")[:16]]
+        best = [tried[k] for k in np.argsort(-near, kind="stable")[:FINALISTS]]
         counts = score(left, best, config.distance)
         top = max(best, key=lambda p: (counts.get(p.wall_id, 0), -p.wall_id))
         inliers = counts.get(top.wall_id, 0)
@@ -167,25 +171,33 @@ def extract_planes(points: DataFrame, config: SegmentConfig) -> Extraction:
         a, b, c, d = top.unit
         inside = F.abs(g.signed_distance(xyz(), a, b, c, d)) < config.distance
         plane = refine(left.where(inside).withColumn("wall_id", F.lit(top.wall_id)), [top])[0]
-        s = g.signed_distance(xyz(), *plane.unit)
-        role = orientation(F.lit(plane.unit[2]), config.floor_nz, config.wall_nz)
-        tagged = left.where(inside).withColumns({"plane_no": F.lit(number), "s": s, "band": bands(s, config.flat, config.distance), "turn": role})
-        flat, groove, mean_z = tagged.agg(F.count_if(F.col("band") == "wall"), F.count_if(F.col("band") == "groove"), F.avg("z")).first()
-        kind = "floor" if abs(plane.unit[2]) > config.floor_nz else "oblique" if abs(plane.unit[2]) >= config.wall_nz else "wall" if flat >= config.min_plane else "small"
+        band = bands(g.signed_distance(xyz(), *plane.unit), config.flat, config.distance)
+        flat, groove, mean_z = left.where(inside).select(band.alias("band"), "z").agg(F.count_if(F.col("band") == "wall"), F.count_if(F.col("band") == "groove"), F.avg("z")).first()
+        turn = abs(plane.unit[2])
+        kind = "floor" if turn > config.floor_nz else "oblique" if turn >= config.wall_nz else "wall" if flat >= config.min_plane else "small"
         wall_id = len(walls) if kind == "wall" else None
         if kind == "wall":
             walls.append(Plane(wall_id, *plane.unit))
         if kind == "floor":
             floors.append((mean_z, number, plane))
-        parts.append(written(tagged.select("point_idx", *"xyz", "plane_no", route(F.lit(kind), F.col("band"), F.lit(groove), config.min_groove).alias("role"), F.lit(wall_id).cast("int").alias("wall_id")), "plane"))
+        taken.append((inside, F.lit(number), route(F.lit(kind), band, F.lit(groove), config.min_groove), F.lit(wall_id).cast("int")))
         log.append({"plane_no": number, "kind": kind, "inliers": inliers, "flat": flat, "groove": groove, "mean_z": mean_z, "plane": plane.unit})
-        left = written(left.where(~inside), "cloud")
+        left = left.where(~inside)
         remaining -= inliers
-    rest = left.select("point_idx", *"xyz", F.lit(None).cast("int").alias("plane_no"), F.lit("residual").alias("role"), F.lit(None).cast("int").alias("wall_id"))
-    for part in parts:
-        rest = rest.unionByName(part)
     floor = min(floors, key=lambda f: (f[0], f[1])) if floors else None
-    return Extraction(walls, floor[2].unit if floor else None, floor[0] if floor else None, rest, log)
+    return Extraction(walls, floor[2].unit if floor else None, floor[0] if floor else None, written(_tagged(cloud, taken), "planes"), log)
+
+
+def _tagged(cloud: DataFrame, taken: list[tuple[Column, Column, Column, Column]]) -> DataFrame:
+    """point_idx, x, y, z, plane_no, role, wall_id: each point by the first plane that it is near."""
+
+    def first(k: int, otherwise: Column) -> Column:
+        out = otherwise
+        for row in reversed(taken):
+            out = F.when(row[0], row[k]).otherwise(out)
+        return out
+
+    return cloud.select("point_idx", *"xyz", first(1, F.lit(None).cast("int")).alias("plane_no"), first(2, F.lit("residual")).alias("role"), first(3, F.lit(None).cast("int")).alias("wall_id"))
 
 
 def route(kind: Column, band: Column, grooves: Column, min_groove: int) -> Column:

@@ -18,29 +18,29 @@ from . import grid
 
 #: Six tetrahedra around the diagonal of a cube; corner k is at bits (x, y, z) of k.
 TETRAHEDRA = [(0, 1, 3, 7), (0, 3, 2, 7), (0, 2, 6, 7), (0, 6, 4, 7), (0, 4, 5, 7), (0, 5, 1, 7)]
-TRIANGLES = "mesh_id string, " + ", ".join(f"{p}{c} double" for p in "abc" for c in "xyz") + ", density double"
+TRIANGLES = "mesh_id string, " + ", ".join(f"{p}{c} double" for p in "abc" for c in "xyz") + ", density double, grey double"
 
 
 def corners(points: DataFrame, voxel: float) -> DataFrame:
-    """i, j, k, f, density: grid corners around points, the signed distance to the nearest one's tangent plane, and how many points are near."""
+    """i, j, k, f, density, grey: grid corners around points, the signed distance to the nearest one's tangent plane, and how many points are near."""
     side = F.sequence(F.lit(-1), F.lit(2))
-    at = points
+    at = points if "grey" in points.columns else points.withColumn("grey", F.lit(None).cast("double"))
     for n, c in zip("ijk", "xyz", strict=True):
         at = at.withColumn("o", F.explode(side)).withColumn(n, grid.cell(c, voxel) + F.col("o")).drop("o")
     d = [F.col(n) * voxel - F.col(c) for n, c in zip("ijk", "xyz", strict=True)]
     d2 = d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
     f = d[0] * F.col("nx") + d[1] * F.col("ny") + d[2] * F.col("nz")
-    near = at.select("i", "j", "k", d2.alias("d2"), f.alias("f"), "point_idx").where(F.col("d2") <= (2 * voxel) ** 2)
-    return near.groupBy("i", "j", "k").agg(F.min_by("f", F.struct("d2", "point_idx")).alias("f"), F.count("*").alias("density"))
+    near = at.select("i", "j", "k", d2.alias("d2"), f.alias("f"), "point_idx", "grey").where(F.col("d2") <= (2 * voxel) ** 2)
+    return near.groupBy("i", "j", "k").agg(F.min_by("f", F.struct("d2", "point_idx")).alias("f"), F.count("*").alias("density"), F.min_by("grey", F.struct("d2", "point_idx")).alias("grey"))
 
 
 def cubes(corner: DataFrame) -> DataFrame:
-    """i, j, k, f (of 8 corners), density, for cubes with all corners and a change of sign."""
+    """i, j, k, f (of 8 corners), density, grey, for cubes with all corners and a change of sign."""
     offset = F.explode(F.array(*[F.struct(F.lit(k).alias("n"), F.lit(k & 1).alias("x"), F.lit(k >> 1 & 1).alias("y"), F.lit(k >> 2).alias("z")) for k in range(8)])).alias("o")
-    each = corner.select("i", "j", "k", "f", "density", offset)
-    each = each.select((F.col("i") - F.col("o.x")).alias("i"), (F.col("j") - F.col("o.y")).alias("j"), (F.col("k") - F.col("o.z")).alias("k"), F.struct(F.col("o.n"), F.col("f")).alias("c"), "density")
-    whole = each.groupBy("i", "j", "k").agg(F.array_sort(F.collect_list("c")).alias("cs"), F.min("c.f").alias("low"), F.max("c.f").alias("high"), F.avg("density").alias("density"))
-    return whole.where("size(cs) = 8 and low < 0 and high >= 0").select("i", "j", "k", F.transform("cs", lambda c: c["f"]).alias("f"), "density")
+    each = corner.select("i", "j", "k", "f", "density", "grey", offset)
+    each = each.select((F.col("i") - F.col("o.x")).alias("i"), (F.col("j") - F.col("o.y")).alias("j"), (F.col("k") - F.col("o.z")).alias("k"), F.struct(F.col("o.n"), F.col("f")).alias("c"), "density", "grey")
+    whole = each.groupBy("i", "j", "k").agg(F.array_sort(F.collect_list("c")).alias("cs"), F.min("c.f").alias("low"), F.max("c.f").alias("high"), F.avg("density").alias("density"), F.avg("grey").alias("grey"))
+    return whole.where("size(cs) = 8 and low < 0 and high >= 0").select("i", "j", "k", F.transform("cs", lambda c: c["f"]).alias("f"), "density", "grey")
 
 
 def _march(voxel: float, mesh_id: str):
@@ -55,7 +55,7 @@ def _march(voxel: float, mesh_id: str):
             if not len(frame):
                 continue
             base = frame[["i", "j", "k"]].to_numpy(float)
-            values, density = np.stack(frame["f"].to_numpy()), frame["density"].to_numpy()
+            values, density = np.stack(frame["f"].to_numpy()), frame[["density", "grey"]].to_numpy(float)
             out, weight = [], []
             for tet in TETRAHEDRA:
                 p, f = (base[:, None, :] + places[list(tet)][None]) * voxel, values[:, list(tet)]
@@ -83,13 +83,14 @@ def _march(voxel: float, mesh_id: str):
                 t = np.round(np.concatenate(out), 9)
                 named = pd.DataFrame(t, columns=[f"{p}{c}" for p in "abc" for c in "xyz"])
                 named.insert(0, "mesh_id", mesh_id)
-                named["density"] = np.concatenate(weight)
+                named[["density", "grey"]] = np.concatenate(weight)
+                named["grey"] = named["grey"].astype(object).where(named["grey"].notna(), None)
                 yield named
 
     return run
 
 
 def surface(points: DataFrame, voxel: float, mesh_id: str = "surface") -> DataFrame:
-    """Triangles with a density, from points with oriented normals (nx, ny, nz)."""
+    """Triangles with a density, and a grey where the points have one, from points with oriented normals (nx, ny, nz)."""
     ship_package(points.sparkSession)
     return cubes(corners(points, voxel)).mapInPandas(_march(voxel, mesh_id), TRIANGLES)

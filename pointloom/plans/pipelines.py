@@ -10,97 +10,190 @@ from pyspark.sql import functions as F
 
 from ..model import MeshConfig, ProfileConfig, SegmentConfig
 from ..operators import grid, knn, mesh, normals, planes, sample, stats, surface, voids
-from ..session import written
+from ..session import progress, written
 
 
 def profile(points: DataFrame, config: ProfileConfig = ProfileConfig()) -> dict[str, DataFrame]:
-    """Extent, attribute statistics and spacing of a systematic sample."""
-    chosen = sample.stride_sample(points, points.count(), config.chunk, config.target)
+    """Extent and attribute statistics of all points, and spacing of a systematic sample."""
+    spark = points.sparkSession
+    n = points.count()
+    chosen = sample.stride_sample(points, n, config.chunk, config.target)
+    progress(spark, "profile: spacing")
+    spacing = stats.spacing(knn.nearest_distance(chosen))
     return {
-        "extent": sample.bbox_extent(points), "classes": stats.class_histogram(chosen), "intensity": stats.intensity_stats(chosen), "rgb": stats.rgb_range(chosen),
-        "spacing": stats.spacing(knn.nearest_distance(chosen)),
+        "extent": sample.bbox_extent(points), "classes": stats.class_histogram(points), "intensity": stats.intensity_stats(points), "rgb": stats.rgb_range(points),
+        "sampled": spark.createDataFrame([(chosen.count(), n)], "sampled long, points long"), "spacing": spacing,
     }
 
 
+def human_bytes(n: float) -> str:
+    units = ["B", "KB", "MB", "GB", "TB"]
+    while n >= 1024 and len(units) > 1:
+        n, units = n / 1024, units[1:]
+    return f"{n:.1f} {units[0]}"
+
+
+def profile_report(points: DataFrame, header: dict | None = None, size: int | None = None, config: ProfileConfig = ProfileConfig()) -> list[str]:
+    """The profile as lines of text: header (of a LAS file), attributes, spacing and what it means."""
+    found = {k: v for k, v in profile(points, config).items()}
+    one = {k: found[k].first().asDict() for k in ("extent", "intensity", "rgb", "sampled", "spacing")}
+    lines = [] if size is None else [f"Size: {human_bytes(size)}"]
+    e = one["extent"]
+    triple = lambda n: "[" + " ".join(f"{e[f'{n}_{c}']:.3f}" for c in "xyz") + "]" if e["min_x"] is not None else "none"
+    if header:
+        lines += ["--- Header ---", f"LAS version: {header['version']}", f"Point format: {header['format_id']}", f"Point count: {header['point_count']:,}", f"Available dimensions: {', '.join(header['dims'])}", f"CRS: {header['crs']}"]
+    lines += [f"Bounding box min: {triple('min')}", f"Bounding box max: {triple('max')}", f"Extent (X,Y,Z) meters: {triple('extent')}", f"--- Sampled {one['sampled']['sampled']:,} / {one['sampled']['points']:,} points for spacing analysis ---", "--- Available data / attributes ---"]
+    rgb, grey, s = one["rgb"], one["intensity"], one["spacing"]
+    has = lambda name: header is None or header[name]
+    lines.append("RGB color: " + ("yes (range " + " ".join(f"{c[0].upper()}:{rgb[f'min_{c}']}-{rgb[f'max_{c}']}" for c in ("red", "green", "blue")) + ")" if has("has_rgb") and rgb["min_red"] is not None else "no"))
+    lines.append("Intensity: " + (f"yes (range {grey['min_intensity']}-{grey['max_intensity']}, mean {grey['mean_intensity']:.1f})" if grey["min_intensity"] is not None else "no"))
+    if header:
+        lines.append("GPS time (per-point timestamps): " + ("yes" if header["has_gps_time"] else "no"))
+    classes = {r["classification"]: r["points"] for r in found["classes"].collect()}  # at most 256 codes
+    lines.append("Classification: no per-point classification field" if set(classes) <= {None} else f"Classification codes present: {dict(sorted(classes.items(), key=lambda x: (x[0] is None, x[0] or 0)))}")
+    if s["median_mm"] is not None:
+        lines += ["--- Point spacing (resolution) analysis ---", f"Median nearest-neighbor spacing: {s['median_mm']:.2f} mm", f"Mean nearest-neighbor spacing: {s['mean_mm']:.2f} mm", f"90th percentile spacing: {s['p90_mm']:.2f} mm"]
+        lines += ["--- Interpretation ---", f"Grooves and ledges from about {s['resolvable_mm']:.1f} mm on (3 median spacings) can be told in the cloud; narrower relief is under-sampled."]
+    return lines
+
+
 def reconstruct(points: DataFrame, config: MeshConfig) -> tuple[DataFrame, DataFrame]:
-    """Vertices with normals and density, and triangles: crop and cap, recentre, downsample, outliers, normals, surface, trim."""
+    """Vertices with normals, density and (of points with an intensity) a grey, and triangles: crop and cap, recentre, downsample, outliers, normals, surface, trim.
+
+    The surface's cell is the cloud's extent by 2 to the depth, but not below two voxels, under which the downsampled points would leave holes.
+    """
+    spark = points.sparkSession
     if config.crop_radius:
         points = sample.crop_sphere(points, config.crop_radius)
     if config.max_points:
         points = sample.point_cap(points, config.max_points)
-    points, _ = sample.recenter(points)
-    thin = written(grid.voxel_downsample(points, config.voxel).select("point_idx", *"xyz"), "thin")
+    if config.recentre:
+        points, _ = sample.recenter(points)
+    progress(spark, f"{config.name}: voxel downsampling")
+    extra = ("grey",) if "intensity" in points.columns else ()
+    if extra:
+        points = sample.intensity_gray(points).withColumnRenamed("r", "grey")
+    thin = written(grid.voxel_downsample(points, config.voxel, extra).select("point_idx", *"xyz", *extra), "thin")
     if not config.skip_outliers:
+        progress(spark, f"{config.name}: outlier removal")
         thin = written(knn.outlier_filter(thin, 20, config.outlier_ratio), "inliers")
-    oriented = normals.mst_orientation(normals.estimate(thin, config.voxel))
-    triangles = written(surface.surface(oriented, 2 * config.voxel), "surface")
+    progress(spark, f"{config.name}: normals")
+    oriented = normals.mst_orientation(normals.estimate(thin, config.voxel, one_search=config.one_search))
+    progress(spark, f"{config.name}: surface")
+    b = sample.bounds(thin)
+    extent = max((b[f"max_{c}"] - b[f"min_{c}"] for c in "xyz"), default=0.0)
+    triangles = written(surface.surface(oriented, max(2 * config.voxel, 1.1 * extent / 2**config.depth)), "surface")
     vertices, faces = mesh.indexed(triangles)
     corner = F.explode(F.array(*[F.struct(*[(F.col(f"{p}{c}") + 0.0).alias(c) for c in "xyz"]) for p in "abc"])).alias("v")
-    density = triangles.select("density", corner).groupBy("v.x", "v.y", "v.z").agg(F.avg("density").alias("density"))
-    vertices = vertices.join(density, ["x", "y", "z"])
-    vertices, faces = mesh.density_trim(vertices, faces, config.trim_percent)
+    of_place = triangles.select("density", "grey", corner).groupBy("v.x", "v.y", "v.z").agg(F.avg("density").alias("density"), F.avg("grey").alias("grey"))
+    progress(spark, f"{config.name}: trim")
+    vertices, faces = mesh.density_trim(written(vertices.join(of_place, [*"xyz"]), "vertices"), faces, config.trim_percent)
     return vertices.join(mesh.vertex_normals(triangles), ["mesh_id", "x", "y", "z"]), faces
 
 
 def segment(points: DataFrame, config: SegmentConfig = SegmentConfig(), downsample: bool = True) -> dict:
     """Walls, grooves, openings and meshes of a cloud; tables under names, and the manifest's numbers."""
+    spark = points.sparkSession
     points, _ = sample.recenter(points)
     if downsample:
+        progress(spark, "segmentation: voxel downsampling")
         points = grid.voxel_downsample(points, config.voxel)
     found = planes.extract_planes(points.select("point_idx", *"xyz"), config)
     low = found.floor_z if found.floor_z is not None else points.agg(F.min("z")).first()[0]
     full = found.rows.where("role in ('wall', 'groove')")
+    misc = mesh.misc_mesh(found.rows.where("role = 'residual'"), config)
     frames = written(planes.wall_frames(full, found.planes, config.strict_origin), "frames") if found.planes else None
     if frames is None:
-        return {"extraction": found, "floor_z": low, "openings": None, "walls": None, "grooves": None, "misc": None}
-    on_plane = found.rows.where("wall_id is not null")
-    openings = written(voids.openings(on_plane, found.planes, config, found.floor, low), "openings")
+        return {"extraction": found, "floor_z": low, "openings": None, "walls": None, "grooves": None, "misc": misc, "frames": None}
+    progress(spark, "segmentation: openings")
+    openings = written(voids.openings(found.rows.where("wall_id is not null"), found.planes, config, found.floor, low), "openings")
+    progress(spark, "segmentation: meshes")
     return {
         "extraction": found, "floor_z": low, "openings": openings, "frames": mesh.frames(mesh.with_normal(openings, found.planes).withColumn("mesh_id", F.lit("frames"))),
         "walls": mesh.wall_mesh(full.where("role = 'wall'"), found.planes, frames, openings, config),
-        "grooves": mesh.groove_mesh(full.where("role = 'groove'"), found.planes, frames, config),
-        "misc": mesh.misc_mesh(found.rows.where("role = 'residual'"), config),
+        "grooves": mesh.groove_mesh(full.where("role = 'groove'"), found.planes, frames, config), "misc": misc,
     }
 
 
-def manifest(result: dict, config: SegmentConfig, files: dict[str, str] | None = None) -> dict:
-    """The manifest as plain data: small tables only."""
-    files = files or {}
+#: The parts of a segmentation's mesh: those that are always in the combined one, and those a flag adds.
+ALWAYS, ON_DEMAND = ("walls", "grooves"), ("misc", "frames")
+
+
+def combined(result: dict, misc: bool = False, frames: bool = False) -> DataFrame | None:
+    """Triangles of the parts that are wanted, as one mesh; None without any."""
+    wanted = [*ALWAYS, *(k for k, use in zip(ON_DEMAND, (misc, frames), strict=True) if use)]
+    parts = [result[k] for k in wanted if result.get(k) is not None]
+    return mesh.combine(*parts) if parts else None
+
+
+def manifest_rows(result: dict) -> DataFrame:
+    """kind, wall_id, points, triangles: one row for each wall, wall's grooves and the rest, and (kind opening) for each opening its type as ``type``."""
     found = result["extraction"]
-    count = lambda df: {r["mesh_id"]: r["n"] for r in df.groupBy("mesh_id").agg(F.count("*").alias("n")).collect()} if df is not None else {}
-    triangles = {**count(result["walls"]), **count(result["grooves"]), **count(result["misc"])}
-    points = {(r["role"], r["wall_id"]): r["n"] for r in found.rows.groupBy("role", "wall_id").agg(F.count("*").alias("n")).collect()}
-    entry = lambda kind, i, name: {"wall_id": i, "points": points.get((kind, i), 0), "triangles": triangles.get(name, 0), **({"file": files[name]} if name in files else {})}
+    spark = found.rows.sparkSession
+    triangles = None
+    for kind in ("walls", "grooves", "misc"):
+        if result[kind] is not None:
+            one = result[kind].groupBy(F.expr("cast(nullif(regexp_extract(mesh_id, '^wall_([0-9]+)', 1), '') as int)").alias("wall_id")).agg(F.count("*").alias("triangles")).withColumn("kind", F.lit({"walls": "wall", "grooves": "groove", "misc": "residual"}[kind]))
+            triangles = one if triangles is None else triangles.unionByName(one)
+    counted = found.rows.where("role in ('wall', 'groove', 'residual')").groupBy(F.col("role").alias("kind"), F.when(F.col("role") != "residual", F.col("wall_id")).alias("wall_id")).agg(F.count("*").alias("points"))
+    t = triangles.select(F.col("kind").alias("t_kind"), F.col("wall_id").alias("t_wall"), "triangles") if triangles is not None else spark.createDataFrame([], "t_kind string, t_wall int, triangles long")
+    met = counted.join(t, (F.col("kind") == F.col("t_kind")) & F.col("wall_id").eqNullSafe(F.col("t_wall")), "left")
+    rows = met.select("kind", "wall_id", "points", F.coalesce("triangles", F.lit(0)).cast("long").alias("triangles"), F.lit(None).cast("string").alias("type"))
+    if result["openings"] is None:
+        return rows
+    return rows.unionByName(result["openings"].select(F.lit("opening").alias("kind"), "wall_id", F.lit(None).cast("long").alias("points"), F.lit(None).cast("long").alias("triangles"), "type"))
+
+
+def manifest(result: dict, config: SegmentConfig, files: dict[str, str] | None = None, totals: dict[str, int] | None = None) -> dict:
+    """The manifest as plain data: small tables only. ``totals``: triangles of the meshes that were combined and written."""
+    files, totals = files or {}, totals or {}
+    found = result["extraction"]
+    rows = {(r["kind"], r["wall_id"]): r for r in manifest_rows(result).where("kind <> 'opening'").collect()}
+    named = lambda name: {"file": files[name]} if name in files else {}
+    number = lambda kind, i: {"points": rows[kind, i]["points"] if (kind, i) in rows else 0, "triangles": rows[kind, i]["triangles"] if (kind, i) in rows else 0}
     openings = result["openings"].orderBy("wall_id", "u_min", "v_min").collect() if result["openings"] is not None else []
+    misc = number("residual", None)
     return {
-        "reconstructed": files.get("combined"), "floor_z_m": round(result["floor_z"], 4), "floor_plane": list(found.floor) if found.floor else None,
-        "walls": [{**entry("wall", p.wall_id, f"wall_{p.wall_id:03d}"), "plane": list(p.unit)} for p in found.planes],
+        "reconstructed": files.get("combined"), "floor_z_m": round(result["floor_z"], 4) if result["floor_z"] is not None else None, "floor_plane": list(found.floor) if found.floor else None,
+        "walls": [{"wall_id": p.wall_id, **number("wall", p.wall_id), "plane": list(p.unit), **named(f"wall_{p.wall_id:03d}")} for p in found.planes if ("wall", p.wall_id) in rows and rows["wall", p.wall_id]["triangles"]],
         "openings": [{"wall_id": o["wall_id"], "type": o["type"], "width_m": round(o["width"], 3), "height_m": round(o["height"], 3), "sill_m": round(o["sill"], 3)} for o in openings],
-        "grooves_by_wall": [entry("groove", p.wall_id, f"wall_{p.wall_id:03d}_grooves") for p in found.planes if ("groove", p.wall_id) in points],
-        "misc_grooves": {"points": points.get(("residual", None), 0), "triangles": triangles["misc_grooves"]} if "misc_grooves" in triangles else None,
-        "grooves_all": None,
+        "grooves_by_wall": [{"wall_id": p.wall_id, **number("groove", p.wall_id), **named(f"wall_{p.wall_id:03d}_grooves")} for p in found.planes if ("groove", p.wall_id) in rows],
+        "misc_grooves": {**named("misc_grooves"), **misc} if misc["triangles"] else None,
+        "grooves_all": {**named("grooves_all"), "triangles": totals["grooves_all"]} if "grooves_all" in totals else None,
         "settings": {"voxel_mm": config.voxel * 1000, "wall_flat_mm": config.flat * 1000, "groove_deviation_mm": config.distance * 1000, "groove_cell_uv_mm": config.groove_cell * 1000, "groove_cell_depth_mm": config.groove_cell_depth * 1000, "opening_cell_mm": config.opening_cell * 1000},
-        "reconstructed_triangles": sum(v for k, v in triangles.items() if k != "misc_grooves"),
+        "reconstructed_triangles": totals.get("combined", 0),
     }
 
 
 def write_segmentation(result: dict, config: SegmentConfig, folder: str, parts: bool = False, misc: bool = False, frames: bool = False) -> dict:
-    """OBJ files and manifest.json in a folder."""
+    """OBJ files with normals, and manifest.json, in a folder."""
     out = Path(folder)
     out.mkdir(parents=True, exist_ok=True)
     files: dict[str, str] = {}
-    meshes = [m for m, use in ((result["walls"], True), (result["grooves"], True), (result["misc"], misc), (result.get("frames"), frames)) if m is not None and use]
-    if meshes:
-        whole = written(mesh.combine(*meshes), "combined")
-        if not whole.isEmpty():
-            mesh.write_obj(*mesh.indexed(whole), str(out / "reconstructed.obj"))
-            files["combined"] = "reconstructed.obj"
-    for kind in ("walls", "grooves") if parts else ():
-        (out / kind).mkdir(exist_ok=True)
-        for row in result[kind].select("mesh_id").distinct().orderBy("mesh_id").collect() if result[kind] is not None else []:
-            name = row["mesh_id"]
-            mesh.write_obj(*mesh.indexed(result[kind].where(F.col("mesh_id") == name)), str(out / kind / f"{name}.obj"))
-            files[name] = f"{kind}/{name}.obj"
-    data = manifest(result, config, files)
+    totals: dict[str, int] = {}
+
+    def put(name: str, triangles: DataFrame | None, file: str) -> None:
+        """Write one mesh, if it has triangles left when it is cleaned."""
+        if triangles is None:
+            return
+        vertices, faces = mesh.finished(written(triangles, "mesh"))
+        totals[name] = faces.count()
+        if not totals[name]:
+            del totals[name]
+            return
+        (out / file).parent.mkdir(exist_ok=True)
+        mesh.write_obj(vertices, faces, str(out / file))
+        files[name] = file
+
+    put("combined", combined(result, misc, frames), "reconstructed.obj")
+    if parts:
+        for kind in ("walls", "grooves"):
+            names = result[kind].select("mesh_id").distinct().orderBy("mesh_id").collect() if result[kind] is not None else []
+            for row in names:
+                put(row["mesh_id"], result[kind].where(F.col("mesh_id") == row["mesh_id"]), f"{kind}/{row['mesh_id']}.obj")
+        put("misc_grooves", result["misc"], "grooves/misc_grooves.obj")
+        both = [result[k] for k in ("grooves", "misc") if result[k] is not None]
+        put("grooves_all", mesh.combine(*both, mesh_id="grooves_all") if both else None, "grooves/grooves_all.obj")
+    data = manifest(result, config, files, totals)
     (out / "manifest.json").write_text(json.dumps(data, indent=2))
     return data

@@ -6,6 +6,7 @@ Doubles are rounded to 6 places on both sides; 0.0 is added so that no negative
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,19 +98,25 @@ kq as (select point_idx as q, x as qx, y as qy, z as qz, cx + i as cx, cy + j as
 kp as (select q, point_idx as p, (x - qx) * (x - qx) + (y - qy) * (y - qy) + (z - qz) * (z - qz) as d2 from kq join kc using (cx, cy, cz)),
 kr as (select *, row_number() over (partition by q order by d2, p <> q, p) as rank from kp where d2 <= 0.1E0 * 0.1E0),
 """
-#: The 20 nearest: those within 0.1 m, and for points with fewer the same within 1 m.
-_KNN20 = _KNN + """
-kf as (select q from kr where rank = 20),
-wc as (select point_idx, x, y, z, cast(floor(x / 1.0E0) as bigint) as cx, cast(floor(y / 1.0E0) as bigint) as cy, cast(floor(z / 1.0E0) as bigint) as cz from room),
-wq as (select point_idx as q, x as qx, y as qy, z as qz, cx + i as cx, cy + j as cy, cz + k as cz from wc, (select unnest([-1, 0, 1]) as i), (select unnest([-1, 0, 1]) as j), (select unnest([-1, 0, 1]) as k)
-  where point_idx not in (select q from kf)),
-wp as (select q, point_idx as p, (x - qx) * (x - qx) + (y - qy) * (y - qy) + (z - qz) * (z - qz) as d2 from wq join wc using (cx, cy, cz)),
-wr as (select *, row_number() over (partition by q order by d2, p <> q, p) as rank from wp where d2 <= 1.0E0),
-k20 as (select q, p, d2, rank from kr where q in (select q from kf) and rank <= 20 union all select q, p, d2, rank from wr where rank <= 20),
-k20m as (select q, avg(sqrt(d2)) as mean_d from k20 group by q),
+
+
+def _farther(name: str, n: int) -> str:
+    """CTEs that end in ``name``: the n nearest of each point, itself among them; those within 0.1 m, and for points with fewer of them there, the same within 1 m."""
+    return f"""
+{name}_f as (select q from kr where rank = {n}),
+{name}_c as (select point_idx, x, y, z, cast(floor(x / 1.0E0) as bigint) as cx, cast(floor(y / 1.0E0) as bigint) as cy, cast(floor(z / 1.0E0) as bigint) as cz from room),
+{name}_q as (select point_idx as q, x as qx, y as qy, z as qz, cx + i as cx, cy + j as cy, cz + k as cz from {name}_c, (select unnest([-1, 0, 1]) as i), (select unnest([-1, 0, 1]) as j), (select unnest([-1, 0, 1]) as k)
+  where point_idx not in (select q from {name}_f)),
+{name}_p as (select q, point_idx as p, (x - qx) * (x - qx) + (y - qy) * (y - qy) + (z - qz) * (z - qz) as d2 from {name}_q join {name}_c using (cx, cy, cz)),
+{name}_r as (select *, row_number() over (partition by q order by d2, p <> q, p) as rank from {name}_p where d2 <= 1.0E0),
+{name} as (select q, p, d2, rank from kr where q in (select q from {name}_f) and rank <= {n} union all select q, p, d2, rank from {name}_r where rank <= {n}),
 """
 
 
+_KNN2 = _KNN + _farther("k2", 2)
+_KNN20 = _KNN + _farther("k20", 20) + "k20m as (select q, avg(sqrt(d2)) as mean_d from k20 group by q),\n"
+
+
 def query(sql: str | None = None, ctes: str = ""):
     """Register under the function's name, with its oracle."""
 
@@ -178,7 +185,7 @@ def rgb_range(spark, sf_dir):
     return stats.rgb_range(room(spark, sf_dir))
 
 
-@query(f"select points, {_q('median_mm', 'mean_mm', 'p90_mm', 'resolvable_mm')} from (select count(*) as points, quantile_cont(d, 0.5) * 1000 as median_mm, avg(d) * 1000 as mean_mm, quantile_cont(d, 0.9) * 1000 as p90_mm, quantile_cont(d, 0.5) * 3000 as resolvable_mm from (select sqrt(d2) as d from kr where rank = 2))", _KNN)
+@query(f"select points, {_q('median_mm', 'mean_mm', 'p90_mm', 'resolvable_mm')} from (select count(*) as points, quantile_cont(d, 0.5) * 1000 as median_mm, avg(d) * 1000 as mean_mm, quantile_cont(d, 0.9) * 1000 as p90_mm, quantile_cont(d, 0.5) * 3000 as resolvable_mm from (select sqrt(d2) as d from k2 where rank = 2))", _KNN2)
 def nn_spacing(spark, sf_dir):
     return stats.spacing(knn.nearest_distance(room(spark, sf_dir))).select("points", *_r("median_mm", "mean_mm", "p90_mm", "resolvable_mm"))
 
@@ -226,7 +233,22 @@ def plane_covariance(spark, sf_dir):
     return planes.covariance(room(spark, sf_dir), ("surf",)).select("surf", "n", *_r("mx", "my", "mz", "cxx", "cxy", "cxz", "cyy", "cyz", "czz"))
 
 
-@query()
+# Eigenvectors of the covariance in closed form: the least eigenvalue by the cosine formula, its axis as the largest product of two rows of C less it.
+_REFINE = """
+cv as (select wall_id, a, b, c, avg(x) as mx, avg(y) as my, avg(z) as mz, covar_pop(x, x) as xx, covar_pop(x, y) as xy, covar_pop(x, z) as xz, covar_pop(y, y) as yy, covar_pop(y, z) as yz, covar_pop(z, z) as zz from pd group by wall_id, a, b, c),
+c1 as (select *, (xx + yy + zz) / 3 as q from cv),
+c2 as (select *, sqrt(((xx - q) * (xx - q) + (yy - q) * (yy - q) + (zz - q) * (zz - q) + 2 * (xy * xy + xz * xz + yz * yz)) / 6) as p from c1),
+c3 as (select *, ((xx - q) * ((yy - q) * (zz - q) - yz * yz) - xy * (xy * (zz - q) - yz * xz) + xz * (xy * yz - (yy - q) * xz)) / (2 * p * p * p) as r from c2),
+c4 as (select *, q + 2 * p * cos(acos(least(1.0E0, greatest(-1.0E0, r))) / 3 + 2 * pi() / 3) as l from c3),
+c5 as (select *, xx - l as ax, yy - l as ay, zz - l as az from c4),
+c6 as (select *, xy * yz - xz * ay as px, xz * xy - ax * yz as py, ax * ay - xy * xy as pz, xy * az - xz * yz as qx, xz * xz - ax * az as qy, ax * yz - xy * xz as qz, ay * az - yz * yz as rx, yz * xz - xy * az as ry, xy * yz - ay * xz as rz from c5),
+c7 as (select *, px * px + py * py + pz * pz as pp, qx * qx + qy * qy + qz * qz as qq, rx * rx + ry * ry + rz * rz as rr from c6),
+c8 as (select *, case when pp >= qq and pp >= rr then px when qq >= rr then qx else rx end as vx, case when pp >= qq and pp >= rr then py when qq >= rr then qy else ry end as vy, case when pp >= qq and pp >= rr then pz when qq >= rr then qz else rz end as vz from c7),
+c9 as (select *, case when vx * (a + 0.02E0) + vy * (b - 0.01E0) + vz * (c + 0.01E0) < 0 then -1 else 1 end / sqrt(vx * vx + vy * vy + vz * vz) as turn from c8),
+"""
+
+
+@query(f"select wall_id, {_q(*'abcd')} from (select wall_id, vx * turn as a, vy * turn as b, vz * turn as c, -(vx * mx + vy * my + vz * mz) * turn as d from c9)", _REFINE)
 def plane_refine(spark, sf_dir):
     fits = planes.refine(walls_of(spark, sf_dir), [Plane(p.wall_id, p.a + 0.02, p.b - 0.01, p.c + 0.01, p.d) for p in WALLS])
     return spark.createDataFrame([(p.wall_id, *p.unit) for p in fits], "wall_id int, a double, b double, c double, d double").select("wall_id", *_r(*"abcd"))
@@ -257,10 +279,12 @@ def _extraction(spark, sf_dir):
     return planes.extract_planes(points, SegmentConfig(min_plane=least_plane(points.count()), min_groove=10))
 
 
-@query()
+@query("""select surf, case when surf = 0 then 'floor' when surf between 1 and 4 then 'wall' when count(*) >= least(8000, greatest(300, (select count(*) from room) // 8)) then 'floor' else 'residual' end as role, true as clear
+  from room group by surf""")
 def plane_extract(spark, sf_dir):
-    rows = [(e["plane_no"], e["kind"], e["inliers"], e["flat"], e["groove"], *map(float, e["plane"])) for e in _extraction(spark, sf_dir).log]
-    return spark.createDataFrame(rows, "plane_no int, kind string, inliers long, flat long, groove long, a double, b double, c double, d double")
+    """The role of most points of each surface, and whether most are 70 %; the rest lie where surfaces meet."""
+    rows = _extraction(spark, sf_dir).rows.join(room(spark, sf_dir).select("point_idx", "surf"), "point_idx").groupBy("surf", "role").agg(F.count("*").alias("n"))
+    return rows.groupBy("surf").agg(F.max_by("role", F.struct("n", "role")).alias("role"), (F.max("n") >= 0.7 * F.sum("n")).alias("clear"))
 
 
 @query("""select surf, role, count(*) as points from (select *, case when surf = 0 then 'floor' when surf = 5 then 'residual' when surf = 1 then (case when band = 'wall' then 'dropped' else 'residual' end)
@@ -297,9 +321,16 @@ def occupied_bbox(spark, sf_dir):
     return grid.occupied_bbox(_cells(spark, sf_dir), CELL).withColumn("area", F.round("area", 6))
 
 
+_RAGGED = "not (wall_id = 1 and iu + iv < 6)"
+
+
 @query("select * from ext")
 def exterior_fill(spark, sf_dir):
-    return voids.exterior(_cells(spark, sf_dir))
+    """Cells of walls of which one has lost a corner, so that the outside reaches in."""
+    return voids.exterior(_cells(spark, sf_dir).where(_RAGGED))
+
+
+ORACLE["exterior_fill"] = ORACLE["exterior_fill"].replace("from ouv group by all having count(*) >= 3),", f"from ouv group by all having count(*) >= 3), whole as (select 1),", 1).replace("oc as (select", "oc as (select * from (select", 1).replace("having count(*) >= 3), whole as (select 1),", f"having count(*) >= 3) where {_RAGGED}),", 1)
 
 
 @query("select * from vo")
@@ -319,11 +350,18 @@ def opening_gates(spark, sf_dir):
     return rects.select("wall_id", "iu0", "iu1", "iv0", "iv1", *_r("width", "height"))
 
 
-@query(f"select wall_id, {_q('u_min', 'v_min', 'sill')} from (select wm.wall_id, u_min, v_min, least(oz + u_min * uz + v_min * vz, oz + u_max * uz + v_min * vz) as sill from wm join fr using (wall_id))", _OPEN + _WALLRECT)
+_TILTED = (0.1, 0.05, 1.0, -0.02)
+_AT = "oz + {u} * uz + v_min * vz"
+_OVER = "(oz + {u} * uz + v_min * vz) - -(0.1E0 * (ox + {u} * ux + v_min * vx) + 0.05E0 * (oy + {u} * uy + v_min * vy) + -0.02E0) / 1.0E0"
+
+
+@query(f"select wall_id, {_q('u_min', 'v_min', 'sill', 'tilted', 'missing')} from (select wm.wall_id, u_min, v_min, least({_AT.format(u='u_min')}, {_AT.format(u='u_max')}) as sill, least({_OVER.format(u='u_min')}, {_OVER.format(u='u_max')}) as tilted, least({_AT.format(u='u_min')}, {_AT.format(u='u_max')}) - 0.25E0 as missing from wm join fr using (wall_id))", _OPEN + _WALLRECT)
 def opening_sill(spark, sf_dir):
+    """Over a level floor, a tilted one, and a height where no floor is known."""
     _, frames, uv = _uv(spark, sf_dir)
     rects = grid.metric(grid.merge_rectangles(grid.occupied_cells(uv.where(F.abs("s") <= 0.006), CELL, 2)), CELL).join(F.broadcast(frames), "wall_id")
-    return rects.withColumn("sill", voids.sill(FLOOR, 0.0)).select("wall_id", *_r("u_min", "v_min", "sill"))
+    over = {"sill": voids.sill(FLOOR, 0.0), "tilted": voids.sill(_TILTED, 0.0), "missing": voids.sill(None, 0.25)}
+    return rects.withColumns(over).select("wall_id", *_r("u_min", "v_min", *over))
 
 
 @query("""select w, h, s, case when w >= 1 and h >= 2 and s < 0.25 then 'balcony_door' when w between 0.65 and 1.4 and h between 1.75 and 2.5 and s < 0.25 then 'door' when s >= 0.4 and w >= 0.45 and h >= 0.45 then 'window' else 'unknown_opening' end as type
@@ -386,8 +424,9 @@ _F_CTE, _F_SQL = _mesh_oracle(_BOX_PTS, mesh.BOX, _F_SRC)
 
 
 def _wall_quads(spark, sf_dir):
-    rects, frames = _wall_rects(spark, sf_dir)
-    return mesh.quads(mesh.with_normal(rects.join(F.broadcast(frames), "wall_id"), WALLS).withColumn("mesh_id", F.format_string("wall_%03d", "wall_id")))
+    p, frames, uv = _uv(spark, sf_dir)
+    flat = planes.with_distance(p, WALLS).where(F.abs("s") <= 0.006).drop("s")
+    return mesh.wall_mesh(flat, WALLS, frames, _openings(spark, sf_dir), CONFIG)
 
 
 @query(_Q_SQL, _OPEN + _WALLRECT + _Q_CTE)
@@ -464,9 +503,14 @@ def vertex_normals(spark, sf_dir):
     return mesh.vertex_normals(frames).select("mesh_id", *_r(*"xyz", "nx", "ny", "nz"))
 
 
-@query(f"select 'combined' as mesh_id, count(*) as triangles, {_q('sx', 'sy', 'sz')} from (select sum(ax) over () as sx, sum(ay) over () as sy, sum(az) over () as sz from tri) group by all", _OPEN + _WALLRECT + _Q_CTE)
+_TWO = _OPEN + _WALLRECT + _GROOVE + _Q_CTE + _B_CTE.replace("co as (", "co2 as (", 1).replace("tri as (", "tri2 as (", 1).replace(" from co where", " from co2 where")
+
+
+@query(f"select 'combined' as mesh_id, count(*) as triangles, {_q('sx', 'sy', 'sz')} from (select sum(ax) over () as sx, sum(ay) over () as sy, sum(az) over () as sz from (select * from tri union all select * from tri2)) group by all", _TWO)
 def mesh_combine(spark, sf_dir):
-    both = mesh.combine(_wall_quads(spark, sf_dir))
+    """Walls and grooves as one mesh."""
+    grooves = mesh.groove_mesh(_groove_points(spark, sf_dir), WALLS, planes.wall_frames(walls_of(spark, sf_dir), WALLS), CONFIG)
+    both = mesh.combine(_wall_quads(spark, sf_dir), grooves)
     return both.groupBy("mesh_id").agg(F.count("*").alias("triangles"), *[F.sum(f"a{c}").alias(f"s{c}") for c in "xyz"]).select("mesh_id", "triangles", *_r("sx", "sy", "sz"))
 
 
@@ -502,9 +546,27 @@ def _normals(spark, sf_dir):
     return written(points.join(normals.from_neighbours(knn.hybrid_neighbours(points, 0.2, 30)), "point_idx"), "normals")
 
 
-@query()
+#: Voxel means of points well inside a surface, by the surface of their first point.
+_INSIDE = """
+vx as (select avg(x) as x, avg(y) as y, avg(z) as z, min(point_idx) as point_idx from room, (select min(x) as ax, min(y) as ay, min(z) as az from room)
+  group by floor((x - (ax - 0.05E0 / 2)) / 0.05E0), floor((y - (ay - 0.05E0 / 2)) / 0.05E0), floor((z - (az - 0.05E0 / 2)) / 0.05E0)),
+ins as (select room.surf, vx.* from vx join room using (point_idx) where (surf = 0 and vx.x between 0.4 and 2.6 and vx.y between 0.4 and 2.6)
+  or (surf in (1, 2) and vx.x between 0.4 and 2.6 and vx.z between 0.4 and 1.6) or (surf in (3, 4) and vx.y between 0.4 and 2.6 and vx.z between 0.4 and 1.6)),
+"""
+
+
+def _inside(spark, sf_dir, rows: DataFrame) -> DataFrame:
+    """surf, and along: the normal's part along the surface's own axis."""
+    x, y, z = (F.col(c) for c in "xyz")
+    inside = ((F.col("surf") == 0) & x.between(0.4, 2.6) & y.between(0.4, 2.6)) | (F.col("surf").isin(1, 2) & x.between(0.4, 2.6) & z.between(0.4, 1.6)) | (F.col("surf").isin(3, 4) & y.between(0.4, 2.6) & z.between(0.4, 1.6))
+    along = F.when(F.col("surf") == 0, F.col("nz")).when(F.col("surf").isin(1, 2), F.col("ny")).otherwise(F.col("nx"))
+    return rows.join(room(spark, sf_dir).select("point_idx", "surf"), "point_idx").where(inside).select("surf", along.alias("along"))
+
+
+@query("select surf, count(*) as points, count(*) as aligned from ins group by surf", _INSIDE)
 def point_normals(spark, sf_dir):
-    return _normals(spark, sf_dir).select("point_idx", *_r("nx", "ny", "nz"))
+    """Points inside each surface, and how many of their normals stand on it."""
+    return _inside(spark, sf_dir, _normals(spark, sf_dir)).groupBy("surf").agg(F.count("*").alias("points"), F.count_if(F.abs("along") > 0.98).alias("aligned"))
 
 
 @query("select round(avg(case when surf = 5 and point_idx % 3 = 0 then 0 else 1 end), 6) as finite from room")
@@ -520,38 +582,99 @@ def viewpoint_flip(spark, sf_dir):
     return normals.viewpoint_flip(rows).select("point_idx", *[(F.col(f"n{c}") + 0.0).alias(f"n{c}") for c in "xyz"])
 
 
-@query()
+@query("select surf, count(*) as points, count(*) as one_side from ins group by surf", _INSIDE)
 def mst_orientation(spark, sf_dir):
-    return normals.mst_orientation(_normals(spark, sf_dir), cell=0.2).select("point_idx", *_r("nx", "ny", "nz"))
+    """Points inside each surface, and how many of them face the side that most do."""
+    rows = _inside(spark, sf_dir, normals.mst_orientation(_normals(spark, sf_dir)))
+    return rows.groupBy("surf").agg(F.count("*").alias("points"), F.greatest(F.count_if(F.col("along") > 0), F.count_if(F.col("along") <= 0)).alias("one_side"))
 
 
-@query("select count(*) as vertices from (select intensity + point_idx % 7 / 10.0E0 as density from room) where density >= (select quantile_cont(intensity + point_idx % 7 / 10.0E0, 0.05) from room)")
+@query("""select (select count(*) from kept) as vertices, (select count(*) from v join kept a on v.vid = a.vid join kept b on v.vid + 1 = b.vid join kept c on v.vid + 2 = c.vid where v.vid % 3 = 0) as triangles""", """
+v as (select point_idx as vid, intensity + point_idx % 7 / 10.0E0 as density from room),
+kept as (select vid from v where density >= (select quantile_cont(density, 0.05) from v)),
+""")
 def density_trim(spark, sf_dir):
     v = room(spark, sf_dir).select(F.col("point_idx").alias("vid"), (F.col("intensity") + F.col("point_idx") % 7 / F.lit(10.0)).alias("density"))
-    kept, _ = mesh.density_trim(v, v.select(F.col("vid").alias("a"), F.col("vid").alias("b"), F.col("vid").alias("c")).limit(0))
-    return kept.agg(F.count("*").alias("vertices"))
+    kept, triangles = mesh.density_trim(v, v.where("vid % 3 = 0").select(F.col("vid").alias("a"), (F.col("vid") + 1).alias("b"), (F.col("vid") + 2).alias("c")))
+    return kept.agg(F.count("*").alias("vertices")).join(triangles.agg(F.count("*").alias("triangles")))
 
 
-@query()
+def _area(rows: DataFrame) -> DataFrame:
+    """Triangles with their centre and area."""
+    e1, e2 = (tuple(F.col(f"{p}{c}") - F.col(f"a{c}") for c in "xyz") for p in "bc")
+    return rows.withColumns({**{f"m{c}": (F.col(f"a{c}") + F.col(f"b{c}") + F.col(f"c{c}")) / 3 for c in "xyz"}, "area": g.norm(g.cross(e1, e2)) / 2})
+
+
+@query("select 1.0E0 as floor_area, 1.0E0 as wall_area, 0 :: bigint as astray")
 def mesh_surface(spark, sf_dir):
-    oriented = normals.mst_orientation(_normals(spark, sf_dir), cell=0.2)
-    return surface.surface(oriented, 0.1).select("mesh_id", *_r(*_COORDS), F.round("density", 3).alias("density"))
+    """Area of the surface over 4 square metres of floor and 2.2 of a wall, as a share of these; triangles away from the room's surfaces."""
+    t = _area(surface.surface(normals.mst_orientation(_normals(spark, sf_dir)), 0.1))
+    mx, my, mz = (F.col(f"m{c}") for c in "xyz")
+    floor, wall = (F.abs(mz) < 0.2) & mx.between(0.5, 2.5) & my.between(0.5, 2.5), (F.abs(mx) < 0.2) & my.between(0.5, 2.5) & mz.between(0.5, 1.6)
+    near = reduce(lambda a, b: a | b, [F.abs(v - at) < 0.25 for v, at in ((mx, 0), (mx, 3), (my, 0), (my, 3), (mz, 0), (mz, 2))])
+    of = lambda where, ideal: F.round(F.sum(F.when(where, F.col("area"))) / ideal, 0)
+    return t.agg(of(floor, 4.0).alias("floor_area"), of(wall, 2.2).alias("wall_area"), F.count_if(~near).alias("astray"))
+
+
+_MESH = MeshConfig("room", 0.05, 6)
 
 
 @query()
 def mesh_pipeline(spark, sf_dir):
-    vertices, triangles = pipelines.reconstruct(room(spark, sf_dir), MeshConfig("room", 0.05, 6))
-    return vertices.select("vid", *_r(*"xyz", "nx", "ny", "nz"))
+    """Triangles with their corners, normals and greys."""
+    vertices, triangles = pipelines.reconstruct(room(spark, sf_dir), _MESH)
+    for p in "abc":
+        triangles = triangles.join(vertices.select(F.col("vid").alias(p), *[F.col(c).alias(f"{p}{c}") for c in (*"xyz", "nx", "ny", "nz", "grey")]), p)
+    return triangles.select("mesh_id", *_r(*[f"{p}{c}" for p in "abc" for c in (*"xyz", "nx", "ny", "nz", "grey")]))
+
+
+@query("select true as has_mesh, 0 :: bigint as dangling, 0 :: bigint as not_unit, 0 :: bigint as outside, 0 :: bigint as not_grey, 0 :: bigint as unused")
+def mesh_checks(spark, sf_dir):
+    """What holds for any mesh of the pipeline: corners are vertices, normals have length 1, vertices lie in the room's box and are of some triangle, greys lie in 0 to 1."""
+    vertices, triangles = pipelines.reconstruct(room(spark, sf_dir), _MESH)
+    vertices, triangles = written(vertices, "vertices"), written(triangles, "triangles")
+    corners = triangles.select(F.explode(F.array(*"abc")).alias("vid"))
+    length = g.norm(g.vector("nx", "ny", "nz"))
+    outside = (F.abs("x") > 1.8) | (F.abs("y") > 1.8) | (F.abs("z") > 1.8)
+    facts = vertices.agg(F.count_if(F.abs(length - 1) > 1e-9).alias("not_unit"), F.count_if(outside).alias("outside"), F.count_if(~F.coalesce(F.col("grey").between(0, 1), F.lit(False))).alias("not_grey"))
+    counts = [(triangles.limit(1).count() == 1, corners.join(vertices, "vid", "left_anti").count(), vertices.join(mesh.indexed_use(triangles), "vid", "left_anti").count())]
+    return spark.createDataFrame(counts, "has_mesh boolean, dangling long, unused long").join(facts).select("has_mesh", "dangling", "not_unit", "outside", "not_grey", "unused")
+
+
+_OBJ = _M_CTE + """
+vs as (select distinct x, y, z from (""" + " union all ".join(f'select {p}x + 0.0 as x, "{p}y" + 0.0 as y, {p}z + 0.0 as z from tri' for p in "abc") + """)),
+vn as (select *, row_number() over (order by x, y, z) as n from vs),
+ft as (select va.n as na, vb.n as nb, vc.n as nc from tri """ + " ".join(f'join vn v{p} on v{p}.x = {p}x + 0.0 and v{p}.y = "{p}y" + 0.0 and v{p}.z = {p}z + 0.0' for p in "abc") + """),
+"""
 
 
-@query()
+@query("""select cast(0 as int) as section, n as place, printf('v %.6f %.6f %.6f', x, y, z) as line from vn
+  union all select cast(2 as int), row_number() over (order by na, nb, nc), printf('f %d %d %d', na, nb, nc) from ft where na <> nb and nb <> nc and na <> nc""", _OBJ)
 def obj_lines(spark, sf_dir):
     return mesh.obj_lines(*mesh.indexed(_misc_boxes(spark, sf_dir)))
 
 
-@query()
-def segmentation(spark, sf_dir):
+def _segmented(spark, sf_dir):
     points = room(spark, sf_dir)
     config = SegmentConfig(min_plane=least_plane(points.count()), min_groove=10, opening_cell=CELL, wall_cell=CELL, groove_cell=CELL, groove_cell_depth=0.05)
-    result = pipelines.segment(points, config, downsample=False)
-    return result["openings"].select("wall_id", "type", *_r("width", "height", "sill"))
+    return pipelines.segment(points, config, downsample=False)
+
+
+@query()
+def manifest(spark, sf_dir):
+    """The manifest's entries."""
+    return pipelines.manifest_rows(_segmented(spark, sf_dir))
+
+
+@query("select cast(w.wall_id as int) as surf, true as has_wall, true as has_mesh, cast(coalesce(o.n, 0) as bigint) as openings, coalesce(o.types, '') as types from walls w left join (select wall_id, count(*) as n, string_agg(type, ',' order by type) as types from oq group by wall_id) o using (wall_id)", _OPEN)
+def segmentation(spark, sf_dir):
+    """For each upright surface of the room: whether a wall and its mesh were found, and the wall's openings."""
+    result = _segmented(spark, sf_dir)
+    rows, walls = result["extraction"].rows, result["walls"]
+    of = rows.where("role = 'wall'").join(room(spark, sf_dir).select("point_idx", "surf"), "point_idx").groupBy("wall_id", "surf").count()
+    of = of.groupBy("wall_id").agg(F.max_by("surf", "count").alias("surf"))
+    meshed = walls.select(F.regexp_extract("mesh_id", "([0-9]+)$", 1).cast("int").alias("wall_id")).distinct().withColumn("has_mesh", F.lit(True))
+    found = result["openings"].groupBy("wall_id").agg(F.count("*").alias("openings"), F.array_join(F.array_sort(F.collect_list("type")), ",").alias("types"))
+    each = of.join(meshed, "wall_id", "left").join(found, "wall_id", "left")
+    out = room(spark, sf_dir).where("surf between 1 and 4").select("surf").distinct().join(each, "surf", "left")
+    return out.select("surf", F.col("wall_id").isNotNull().alias("has_wall"), F.coalesce("has_mesh", F.lit(False)).alias("has_mesh"), F.coalesce("openings", F.lit(0)).cast("long").alias("openings"), F.coalesce("types", F.lit("")).alias("types"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -29,16 +30,26 @@ def ship_package(spark: SparkSession) -> None:
     setattr(context, _SHIPPED, True)
 
 
+def progress(spark: SparkSession, stage: str) -> None:
+    """Name the jobs that follow, as Spark's pages and status files show them."""
+    spark.sparkContext.setJobDescription(stage)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where that setting is absent (a local session, as in tests) a temporary folder is made.
+    Only where that setting is absent in a local session, as in tests, a temporary folder is made; it goes with the
+    session. On a cluster its absence is an error, since executors would write to their own disks.
     """
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or getattr(context, "_pointloom_shared", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="pointloom_shared_")
-        context.setCheckpointDir(folder)
+        master = context.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"spark.checkpoint.dir must name a shared folder where the master is {master}")
+        local = tempfile.mkdtemp(prefix="pointloom_shared_")
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+        folder = "file://" + local
         context._pointloom_shared = folder
     return folder.rstrip("/")
 
@@ -46,9 +57,22 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back.
 
-    Unlike a cache, the table outlives executors; unlike a local checkpoint, any executor reads it.
+    Unlike a cache, the table outlives executors; unlike a local checkpoint, any executor reads it. ``drop_written`` removes
+    a session's tables when their readers are done.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark.sparkContext.__dict__.setdefault("_pointloom_tables", []).append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_written(spark: SparkSession, keep: int = 0) -> int:
+    """Remove the tables written so far but for the first ``keep`` of them; how many there are now. For callers who have used up what they were made for."""
+    tables = spark.sparkContext.__dict__.setdefault("_pointloom_tables", [])
+    java = spark._jvm.org.apache.hadoop.fs.Path
+    for path in tables[keep:]:
+        at = java(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    del tables[keep:]
+    return len(tables)

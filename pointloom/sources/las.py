@@ -61,6 +61,30 @@ def read_header(path: str) -> Header:
     return Header(f"{major}.{minor}", format_id, length, count, offset, scale, shift, (x0, y0, z0), (x1, y1, z1))
 
 
+def read_crs(path: str) -> str:
+    """The reference system named by the file's variable-length records: its WKT, or the EPSG code of its GeoTIFF keys; "none / local" without either."""
+    with open(path, "rb") as f:
+        raw = f.read(375)
+        size, = struct.unpack_from("<H", raw, 94)
+        records, = struct.unpack_from("<I", raw, 100)
+        f.seek(size)
+        code = None
+        for _ in range(records):
+            head = f.read(54)
+            if len(head) < 54:
+                break
+            user, kind, length = head[2:18].rstrip(b"\0"), *struct.unpack_from("<HH", head, 18)
+            body = f.read(length)
+            if user == b"LASF_Projection" and kind == 2112:
+                return body.rstrip(b"\0").decode("utf-8", "replace")
+            if user == b"LASF_Projection" and kind == 34735:
+                keys = np.frombuffer(body[: len(body) // 8 * 8], "<u2").reshape(-1, 4)[1:]
+                # The keys of a projected and of a geographic system.
+                found = {int(k): int(v) for k, place, _, v in keys if place == 0}
+                code = found.get(3072) or found.get(2048) or code
+    return f"EPSG:{code}" if code else "none / local"
+
+
 def validate(path: str) -> Header:
     """The header, once the file is known to hold all its records."""
     header = read_header(path)
@@ -135,5 +159,5 @@ def load(spark: SparkSession, path: str, rows: int = 500_000, max_records: int |
 def header_frame(spark: SparkSession, path: str) -> DataFrame:
     """The header as one row, with what attributes are there and the reference system (local if none is named)."""
     h = read_header(path)
-    row = (h.version, h.format_id, h.record_length, h.count, h.offset, *h.minimum, *h.maximum, h.dimensions, "none / local", h.format_id in RGB, True, True, h.format_id in GPS)
+    row = (h.version, h.format_id, h.record_length, h.count, h.offset, *h.minimum, *h.maximum, h.dimensions, read_crs(path), h.format_id in RGB, True, True, h.format_id in GPS)
     return spark.createDataFrame([row], "version string, format_id int, record_length int, point_count long, data_offset long, min_x double, min_y double, min_z double, max_x double, max_y double, max_z double, dims array<string>, crs string, has_rgb boolean, has_intensity boolean, has_classification boolean, has_gps_time boolean")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators.grid import cell
 
 
-def read_tiles(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+def read_tiles(spark: SparkSession, folder: str, schema: str | StructType) -> DataFrame:
     return spark.readStream.schema(schema).parquet(folder)
 
 

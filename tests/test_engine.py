@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from conftest import DATA
 from pointloom.functions import geometry as g
-from pointloom.model import Plane, SegmentConfig
+from pointloom.model import MeshConfig, Plane, SegmentConfig
 from pointloom.operators import grid, knn, mesh, normals, planes, sample, stats, surface, voids
 from pointloom.plans import pipelines, queries
 from pointloom.sources import las
 from pointloom.sources.tables import points, room
+from pointloom.streaming import tiles
 
 
 def cells_of(spark, cells):
@@ -112,14 +113,14 @@ def test_neighbour_queries_read_the_whole_room(spark, tiny):
     clear = np.abs(mean - limit) > 1e-9
     kept = {r[0] for r in queries.QUERIES["outlier_filter"](spark, tiny).collect()}
     assert all((q in kept) == (0 < m < limit) for q, m in zip(ids[clear], mean[clear], strict=True))
-    assert queries.QUERIES["point_normals"](spark, tiny).count() == grid.voxel_downsample(room(spark, tiny), 0.05).count()
+    assert queries._normals(spark, tiny).count() == grid.voxel_downsample(room(spark, tiny), 0.05).count()
 
 
 def test_planes_are_refined_and_extracted(spark, small):
     fits = {r.wall_id: r for r in queries.QUERIES["plane_refine"](spark, small).collect()}
     for p in queries.WALLS:
         assert abs(np.dot(p.unit[:3], [fits[p.wall_id].a, fits[p.wall_id].b, fits[p.wall_id].c])) > 0.9999
-    kinds = [r.kind for r in queries.QUERIES["plane_extract"](spark, small).collect()]
+    kinds = [e["kind"] for e in queries._extraction(spark, small).log]
     assert kinds.count("wall") == 4 and kinds.count("floor") >= 1
 
 
@@ -136,8 +137,8 @@ def test_a_plane_of_a_tenth_of_the_cloud_is_found(spark):
 def test_the_gate_of_planes_does_not_grow_with_the_cloud(spark):
     assert [queries.least_plane(n) for n in (100, 5_844, 58_479, 584_250, 10**9)] == [300, 730, 7_309, 8_000, 8_000]
     # The clutter at z = 2 of the largest room: more than 8,000 points, less than an eighth of the cloud.
-    kinds = [(r.kind, r.inliers) for r in queries.QUERIES["plane_extract"](spark, str(DATA / "sf0.1")).collect()]
-    assert [k for k, _ in kinds].count("floor") == 2 and [k for k, _ in kinds].count("wall") == 4
+    kinds = [e["kind"] for e in queries._extraction(spark, str(DATA / "sf0.1")).log]
+    assert kinds.count("floor") == 2 and kinds.count("wall") == 4
 
 
 def test_geometry_of_planes():
@@ -241,9 +242,112 @@ def test_manifest_and_files(spark, small, tmp_path):
     config = SegmentConfig(min_plane=max(300, table.count() // 8), min_groove=10, opening_cell=0.1, wall_cell=0.1, groove_cell=0.1, groove_cell_depth=0.05, candidates=300)
     data = pipelines.write_segmentation(pipelines.segment(table, config, downsample=False), config, str(tmp_path), parts=True)
     assert len(data["walls"]) == 4 and [o["type"] for o in data["openings"]] == ["window"] and (tmp_path / "manifest.json").exists()
-    lines = (tmp_path / "reconstructed.obj").read_text().splitlines()
-    n = sum(x.startswith("v ") for x in lines)
-    assert n and all(1 <= int(i) <= n for x in lines if x.startswith("f ") for i in x.split()[1:])
+    for name in ("reconstructed.obj", "grooves/misc_grooves.obj", "grooves/grooves_all.obj"):
+        lines = (tmp_path / name).read_text().splitlines()
+        places = [x for x in lines if x.startswith("v ")]
+        assert places and len(set(places)) == len(places) == sum(x.startswith("vn ") for x in lines)
+        faces = [[tuple(map(int, i.split("//"))) for i in x.split()[1:]] for x in lines if x.startswith("f ")]
+        assert faces and all(len(set(f)) == 3 and all(a == b and 1 <= a <= len(places) for a, b in f) for f in faces)
+        if name == "reconstructed.obj":
+            assert data["reconstructed_triangles"] == len(faces)
+    assert data["misc_grooves"]["file"] == "grooves/misc_grooves.obj" and data["grooves_all"]["triangles"] == len(faces) and data["walls"][0]["file"].startswith("walls/")
+
+
+def test_flags_change_what_is_combined(spark, small, tmp_path):
+    points = room(spark, small)
+    config = SegmentConfig(min_plane=queries.least_plane(points.count()), min_groove=10, opening_cell=0.1, wall_cell=0.1, groove_cell=0.1, groove_cell_depth=0.05)
+    result = pipelines.segment(points, config, downsample=False)
+    rows = pipelines.manifest_rows(result).collect()
+    n = {k: sum(r.triangles for r in rows if r.kind == k) for k in ("wall", "groove", "residual")}
+    plain, more = (pipelines.combined(result, misc=m).count() for m in (False, True))
+    assert plain == n["wall"] + n["groove"] and more == plain + n["residual"] and n["residual"] > 0
+    data = pipelines.write_segmentation(result, config, str(tmp_path), misc=True)
+    assert data["grooves_all"] is None and "file" not in data["walls"][0] and data["reconstructed_triangles"] <= more
+
+
+def test_colours_and_depth_reach_the_mesh(spark, tmp_path):
+    flat = spark.range(1_600).select(F.col("id").alias("point_idx"), ((F.col("id") % 40) * 0.05).alias("x"), (F.floor(F.col("id") / 40) * 0.05).alias("y"), F.lit(0.2).alias("z"), F.lit(51).alias("intensity"))
+    sizes = []
+    for depth in (3, 6):
+        vertices, triangles = pipelines.reconstruct(flat, MeshConfig("flat", 0.05, depth, skip_outliers=True))
+        rows = vertices.collect()
+        assert rows and all(abs(r.grey - 0.2) < 1e-12 for r in rows)
+        sizes.append(triangles.count())
+    assert sizes[0] < sizes[1] / 2
+    mesh.write_obj(vertices, triangles, str(tmp_path / "a.obj"))
+    assert (tmp_path / "a.obj").read_text().startswith("v ") and (tmp_path / "a.obj").read_text().splitlines()[0].endswith(" 0.200000 0.200000 0.200000")
+    bare, _ = pipelines.reconstruct(flat.drop("intensity"), MeshConfig("flat", 0.05, 3, skip_outliers=True, recentre=False, one_search=True))
+    assert all(r.grey is None and abs(r.z - 0.2) < 0.1 for r in bare.collect())
+
+
+def test_points_that_no_forest_reaches_look_to_the_origin(spark):
+    rows = [(0, 1.0, 0.0, 0.0, 1.0, 0.0, 0.0)]
+    lone = spark.createDataFrame(rows, "point_idx long, x double, y double, z double, nx double, ny double, nz double")
+    assert [(r.nx, r.ny, r.nz) for r in normals.mst_orientation(lone).collect()] == [(-1.0, 0.0, 0.0)]
+
+
+def test_profile_report_and_command_line(spark, tmp_path, capsys, monkeypatch):
+    from pointloom import cli
+
+    path = write_las(tmp_path / "a.las", [(k % 20 * 50, k // 20 * 50, 0) for k in range(400)], 3)
+    monkeypatch.setattr(type(spark), "stop", lambda self: None)
+    cli.main(["profile", path])
+    lines = capsys.readouterr().out.splitlines()
+    for wanted in ("LAS version: 1.2", "Point format: 3", "Point count: 400", "CRS: none / local", "RGB color: yes (range R:1-1 G:2-2 B:0-399)", "Intensity: yes (range 100-499, mean 299.5)", "GPS time (per-point timestamps): yes", "Classification codes present: {5: 400}", "Median nearest-neighbor spacing: 50.00 mm"):
+        assert wanted in lines, (wanted, lines)
+    assert any("150.0 mm" in x for x in lines)
+    room(spark, str(DATA / "sf0.001")).write.parquet(str(tmp_path / "room.parquet"))
+    cli.main(["mesh", str(tmp_path / "room.parquet"), str(tmp_path / "out.obj"), "--preset", "smoke"])
+    assert (tmp_path / "out.obj").read_text().count("\nf ") > 100
+    cli.main(["segment", str(tmp_path / "room.parquet"), str(tmp_path / "parts"), "--parts"])
+    assert (tmp_path / "parts" / "manifest.json").exists()
+
+
+@pytest.mark.parametrize(("records", "wanted"), [
+    ([(b"LASF_Projection", 2112, b'PROJCS["x"]\0')], 'PROJCS["x"]'), ([(b"other", 1, b"abc"), (b"LASF_Projection", 34735, struct.pack("<12H", 1, 1, 0, 2, 1024, 0, 1, 1, 3072, 0, 1, 25832))], "EPSG:25832"), ([(b"other", 34735, b"12345678")], "none / local"),
+])
+def test_reference_system_of_a_file(tmp_path, records, wanted):
+    path = write_las(tmp_path / "a.las", [(1, 2, 3)])
+    raw = open(path, "rb").read()
+    body = b"".join(struct.pack("<H16sHH32s", 0, user, kind, len(data), b"") + data for user, kind, data in records)
+    head = bytearray(raw[:227])
+    struct.pack_into("<II", head, 96, 227 + len(body), len(records))
+    open(path, "wb").write(bytes(head) + body + raw[227:])
+    assert las.read_crs(path) == wanted and las.read_header(path).count == 1
+
+
+def test_streamed_tiles_equal_the_batch(spark, tmp_path):
+    table = room(spark, str(DATA / "sf0.001"))
+    for k in range(3):
+        table.where(F.col("point_idx") % 3 == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "tiles"))
+    stream = tiles.read_tiles(spark, str(tmp_path / "tiles"), table.schema)
+    for name, made in (("voxels", tiles.running_voxels(stream, 0.1)), ("classes", tiles.running_classes(stream))):
+        run = made.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+        run.awaitTermination()
+    want = {r.classification: r.points for r in stats.class_histogram(table).collect()}
+    assert {r.classification: r.points for r in spark.table("classes").collect()} == want
+    voxels = spark.table("voxels").agg(F.sum("members"), F.count("*")).first()
+    cells = table.select(*[grid.cell(c, 0.1).alias(c) for c in "xyz"]).distinct().count()
+    assert tuple(voxels) == (table.count(), cells)
+
+
+def test_tables_go_and_clusters_need_a_folder(spark, tmp_path):
+    from pointloom import session
+
+    keep = session.drop_written(spark, keep=len(getattr(spark.sparkContext, "_pointloom_tables", [])))
+    made = session.written(spark.range(3), "gone")
+    assert made.count() == 3 and session.drop_written(spark, keep) == keep
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|not exist|does not exist"):
+        spark.read.parquet(made.inputFiles()[0]).count()
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return {}
+
+    with pytest.raises(RuntimeError, match="shared folder"):
+        session.shared_dir(type("S", (), {"sparkContext": Context()})())
 
 
 def test_entry(spark):
