@@ -79,11 +79,6 @@ def indexed(triangles: DataFrame) -> tuple[DataFrame, DataFrame]:
     return vertices, t.select("mesh_id", "a", "b", "c")
 
 
-def indexed_use(triangles: DataFrame) -> DataFrame:
-    """vid: each vertex that a triangle uses, once."""
-    return triangles.select(F.explode(F.array(*"abc")).alias("vid")).distinct()
-
-
 def vertex_normals(triangles: DataFrame) -> DataFrame:
     """mesh_id, x, y, z, nx, ny, nz: the sum of the normals of the triangles around a place, by area, of length 1."""
     e1 = tuple(F.col(f"b{c}") - F.col(f"a{c}") for c in "xyz")

@@ -628,17 +628,17 @@ def mesh_pipeline(spark, sf_dir):
     return triangles.select("mesh_id", *_r(*[f"{p}{c}" for p in "abc" for c in (*"xyz", "nx", "ny", "nz", "grey")]))
 
 
-@query("select true as has_mesh, 0 :: bigint as dangling, 0 :: bigint as not_unit, 0 :: bigint as outside, 0 :: bigint as not_grey, 0 :: bigint as unused")
+@query("select true as has_mesh, 0 :: bigint as dangling, 0 :: bigint as not_unit, 0 :: bigint as outside, 0 :: bigint as not_grey")
 def mesh_checks(spark, sf_dir):
-    """What holds for any mesh of the pipeline: corners are vertices, normals have length 1, vertices lie in the room's box and are of some triangle, greys lie in 0 to 1."""
+    """What holds for any mesh of the pipeline: corners are vertices, normals have length 1, vertices lie in the room's box, greys in 0 to 1."""
     vertices, triangles = pipelines.reconstruct(room(spark, sf_dir), _MESH)
     vertices, triangles = written(vertices, "vertices"), written(triangles, "triangles")
     corners = triangles.select(F.explode(F.array(*"abc")).alias("vid"))
     length = g.norm(g.vector("nx", "ny", "nz"))
     outside = (F.abs("x") > 1.8) | (F.abs("y") > 1.8) | (F.abs("z") > 1.8)
     facts = vertices.agg(F.count_if(F.abs(length - 1) > 1e-9).alias("not_unit"), F.count_if(outside).alias("outside"), F.count_if(~F.coalesce(F.col("grey").between(0, 1), F.lit(False))).alias("not_grey"))
-    counts = [(triangles.limit(1).count() == 1, corners.join(vertices, "vid", "left_anti").count(), vertices.join(mesh.indexed_use(triangles), "vid", "left_anti").count())]
-    return spark.createDataFrame(counts, "has_mesh boolean, dangling long, unused long").join(facts).select("has_mesh", "dangling", "not_unit", "outside", "not_grey", "unused")
+    counts = [(triangles.limit(1).count() == 1, corners.join(vertices, "vid", "left_anti").count())]
+    return spark.createDataFrame(counts, "has_mesh boolean, dangling long").join(facts).select("has_mesh", "dangling", "not_unit", "outside", "not_grey")
 
 
 _OBJ = _M_CTE + """
