@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..model import Plane, SegmentConfig
-from ..session import progress, written
+from ..session import progress, ship_package, written
 
 
 def xyz() -> g.Vector:
@@ -95,12 +97,32 @@ def _refined(p: Plane, fit: dict | None) -> Plane:
     return Plane(p.wall_id, *map(float, n), -float(n @ [fit["mx"], fit["my"], fit["mz"]]))
 
 
+#: Points that meet all candidates at once in a task.
+SCORED = 1_000
+
+
+def _scorer(unit: np.ndarray, distance: float):
+    a, b, c, d = unit.T
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(len(unit), np.int64)
+        for batch in batches:
+            x, y, z = (batch.column(k).to_numpy()[:, None] for k in range(3))
+            for at in range(0, batch.num_rows, SCORED):
+                lot = slice(at, at + SCORED)
+                counts += (np.abs(x[lot] * a + y[lot] * b + z[lot] * c + d) < distance).sum(axis=0)
+        some = np.flatnonzero(counts)
+        yield pa.record_batch([pa.array(some), pa.array(counts[some])], names=["place", "n"])
+
+    return run
+
+
 def score(points: DataFrame, planes: list[Plane], distance: float) -> dict[int, int]:
-    """Points strictly within the distance of each candidate: one pass, candidates as an array literal."""
-    array = F.array(*[F.struct(F.lit(p.wall_id).alias("id"), *[F.lit(v).alias(k) for k, v in zip("abcd", p.unit, strict=True)]) for p in planes])
-    hit = F.filter(array, lambda c: F.abs(F.col("x") * c["a"] + F.col("y") * c["b"] + F.col("z") * c["c"] + c["d"]) < distance)
-    rows = points.select(F.explode(hit).alias("c")).groupBy("c.id").count().collect()
-    return {r["id"]: r["count"] for r in rows}
+    """Points strictly within the distance of each candidate, by id; candidates without any are left out. One pass; a task returns a number for each candidate."""
+    ship_package(points.sparkSession)
+    counted = points.select(*"xyz").mapInArrow(_scorer(np.array([p.unit for p in planes]), distance), "place long, n long")
+    rows = counted.groupBy("place").agg(F.sum("n").alias("n")).collect()
+    return {planes[r["place"]].wall_id: r["n"] for r in rows}
 
 
 def candidates(sample: np.ndarray, n: int, seed: int) -> list[Plane]:

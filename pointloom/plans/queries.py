@@ -260,10 +260,12 @@ def orientation_split(spark, sf_dir):
     return nz.withColumn("turn", planes.orientation(F.col("nz")))
 
 
-_CANDIDATES = [*WALLS, Plane(5, 0, 0, 1, 0), Plane(6, 0, 0, 1, -2), Plane(7, 0.6, 0.8, 0, -1), Plane(8, 0, 0.6, 0.8, -2)]
+#: A thousand candidates: the walls, floor and clutter, and planes of all directions by a rule.
+_SPREAD = [((k * 37) % 41 / 20 - 1, (k * 53) % 43 / 21 - 1, (k * 29) % 47 / 23 - 1, -((k * 61) % 59) / 20) for k in range(1_100)]
+_CANDIDATES = [*WALLS, Plane(5, 0, 0, 1, 0), Plane(6, 0, 0, 1, -2), *[Plane(7 + k, *v) for k, v in enumerate([v for v in _SPREAD if v[0] ** 2 + v[1] ** 2 + v[2] ** 2 > 0.01][:994])]]
 
 
-@query("select c.id as candidate, count(*) as inliers from room, (values " + ", ".join(f"({p.wall_id}, {p.a}e0, {p.b}e0, {p.c}e0, {p.d}e0)" for p in _CANDIDATES) + ") as c(id, a, b, c, d) where abs(x * c.a + y * c.b + z * c.c + c.d) < 0.015E0 group by c.id")
+@query("select c.id as candidate, count(*) as inliers from room, (values " + ", ".join(f"({p.wall_id}, " + ", ".join(f"{v:.17e}" for v in p.unit) + ")" for p in _CANDIDATES) + ") as c(id, a, b, c, d) where abs(x * c.a + y * c.b + z * c.c + c.d) < 0.015E0 group by c.id")
 def inlier_scoring(spark, sf_dir):
     counts = planes.score(room(spark, sf_dir), _CANDIDATES, 0.015)
     return spark.createDataFrame(sorted(counts.items()), "candidate int, inliers long")
