@@ -239,10 +239,9 @@ def _clean(windows: Broadcast, at: int, spans: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = windows.value
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            found = [x for lot in range(0, len(texts), 64) for x in known.hits(texts[lot : lot + 64])[1]]
+            found = [x for lot in range(0, batch.num_rows, 64) for x in known.hits(batch.column(at).slice(lot, 64).to_pylist())[1]]
             if spans:
-                cleaned = [without_spans(t, x) if x else t for t, x in zip(texts, found, strict=True)]
+                cleaned = [without_spans(t.as_py(), x) if x else t.as_py() for t, x in zip(batch.column(at), found, strict=True)]
                 yield batch.set_column(at, batch.schema.field(at), pa.array(cleaned, batch.schema.field(at).type))
             else:
                 yield batch.filter(pa.array([not x for x in found], pa.bool_()))

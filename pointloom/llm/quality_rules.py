@@ -2,8 +2,8 @@
 
 Statistics of whole texts are Spark expressions. From labelled rows a list of rules is learned: a
 rule grows, condition by condition, by the best FOIL gain over thresholds at the quantiles of each
-statistic, and is pruned from its end on rows held back; it is kept while its precision there holds.
-Covered rows leave, and the next rule is learned. The list is one ordered Spark conditional expression.
+statistic, and is pruned from its end on rows held back; it is kept while its precision holds there and on rows held
+back from both growing and pruning. Covered rows leave, and the next rule is learned. The list is one ordered Spark conditional expression.
 Growing and pruning are aggregations over the labelled statistics; the driver sees tables of
 (statistic, bin) counts. The labelled rows are a documented sample: those of the ``sample`` smallest hashes.
 
@@ -35,7 +35,7 @@ class LearnConfig:
     max_rules: int = 12
     max_conditions: int = 3
     min_rows: int = 5  # of the bad class that a rule covers while it grows
-    min_precision: float = 0.97  # on the rows held back for pruning
+    min_precision: float = 0.97  # on the rows held back for pruning, and on those held back from both
 
 
 @dataclass(frozen=True)
@@ -75,11 +75,14 @@ class DecisionList:
 
 
 def _repeated_places(w: Column) -> Column:
-    """Places, ascending, of the 3-word windows found twice or more: their 64-bit hashes are sorted with their places, and equal neighbours taken."""
+    """Places, ascending, of the 3-word windows found twice or more: their 64-bit hashes are sorted with their places, and neighbours of equal hash and words taken."""
     hashes = F.slice(F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2))), F.lit(1), F.greatest(F.size(w) - 2, F.lit(0)))
 
     def twice(s: Column) -> Column:
-        again = F.filter(s, lambda x, k: (x["h"] == F.get(s, k - 1)["h"]) | (x["h"] == F.get(s, k + 1)["h"]))
+        def same(x: Column, y: Column) -> Column:
+            return (x["h"] == y["h"]) & (F.get(w, x["i"]) == F.get(w, y["i"])) & (F.get(w, x["i"] + 1) == F.get(w, y["i"] + 1)) & (F.get(w, x["i"] + 2) == F.get(w, y["i"] + 2))
+
+        again = F.filter(s, lambda x, k: F.coalesce(same(x, F.get(s, k - 1)), F.lit(False)) | F.coalesce(same(x, F.get(s, k + 1)), F.lit(False)))
         return F.array_sort(F.transform(again, lambda x: x["i"]))
 
     def places(h: Column) -> Column:
@@ -131,22 +134,23 @@ def base_failed(s: Column) -> Column:
 
 
 def labelled_statistics(docs: DataFrame, labels: DataFrame, config: LearnConfig) -> DataFrame:
-    """bad, held (back for pruning) and the statistics of the sampled labelled rows, from a written table."""
-    chosen = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("l_id"), (F.col("quality") == 0).alias("bad")).orderBy(F.xxhash64("l_id"), "l_id").limit(config.sample)
+    """bad, held (back for pruning), last (held back from growing and pruning) and the statistics of the sampled labelled rows, from a written table. A repeated label or document counts once."""
+    chosen = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("l_id"), (F.col("quality") == 0).alias("bad")).groupBy("l_id").agg(F.max("bad").alias("bad")).orderBy(F.xxhash64("l_id"), "l_id").limit(config.sample)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # The side that is sent to all tasks has at most ``sample`` rows of 9 bytes.
     met = slim.join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id"))
-    held = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)) == 0
+    part = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(6))
+    one = met.groupBy("doc_id", "bad").agg(F.min("text").alias("text"))
     # Written before the filter, which would else be moved into the statistics' expressions.
-    rows = written(met.select("bad", held.alias("held"), statistics(F.col("text")).alias("s")), "labelled")
-    return rows.where(~base_failed(F.col("s"))).select("bad", "held", *[F.col(f"s.{x}").alias(x) for x in STATISTICS])
+    rows = written(one.select("bad", (part < 2).alias("held"), (part == 2).alias("last"), statistics(F.col("text")).alias("s")), "labelled")
+    return rows.where(~base_failed(F.col("s"))).select("bad", "held", "last", *[F.col(f"s.{x}").alias(x) for x in STATISTICS])
 
 
 def _bounds(rows: DataFrame, config: LearnConfig) -> dict[str, list[float]]:
     """Quantiles of each statistic in either class, and zero, which parts "none" from "some"."""
     shares = [k / config.bins for k in range(config.bins + 1)]
     quantiles = [F.percentile_approx(F.when(F.col("bad") == bad, F.col(s)), shares, 10_000).alias(f"{s}_{bad}") for s in STATISTICS for bad in (True, False)]
-    got = rows.where("not held").agg(*quantiles).first()
+    got = rows.where("not held and not last").agg(*quantiles).first()
     return {s: sorted({*(got[f"{s}_True"] or []), *(got[f"{s}_False"] or []), 0.0}) for s in STATISTICS}
 
 
@@ -156,7 +160,7 @@ def _binned(rows: DataFrame, bounds: dict[str, list[float]]) -> DataFrame:
     def place(s: str) -> Column:
         return F.size(F.filter(F.array(*map(F.lit, bounds[s])), lambda b: b < F.col(s)))
 
-    return written(rows.select("bad", "held", *[place(s).alias(s) for s in STATISTICS]), "binned")
+    return written(rows.select("bad", "held", "last", *[place(s).alias(s) for s in STATISTICS]), "binned")
 
 
 def _gain(p0: int, n0: int, p: int, n: int) -> float:
@@ -200,6 +204,12 @@ def _prune(held: DataFrame, rule: list[Condition]) -> tuple[list[Condition], flo
     return rule[: best + 1], got[f"p{best}"] / max(1, got[f"p{best}"] + got[f"n{best}"])
 
 
+def _wrong(rows: DataFrame, rule: list[Condition]) -> float:
+    """Share of good rows among those that the rule covers; none if it covers none."""
+    covered, good = rows.where(_all(rule)).agg(F.count("*"), F.count_if(~F.col("bad"))).first()
+    return good / covered if covered else 0.0
+
+
 def learn(docs: DataFrame, labels: DataFrame, config: LearnConfig = LearnConfig()) -> DecisionList:
     rows = labelled_statistics(docs, labels, config)
     found = DecisionList()
@@ -208,11 +218,11 @@ def learn(docs: DataFrame, labels: DataFrame, config: LearnConfig = LearnConfig(
     bounds = _bounds(rows, config)
     left = _binned(rows, bounds)
     while len(found.rules) < config.max_rules:
-        rule = _grow(left.where("not held"), bounds, config)
+        rule = _grow(left.where("not held and not last"), bounds, config)
         if not rule:
             break
         rule, precision = _prune(left.where("held"), rule)
-        if precision < config.min_precision:
+        if precision < config.min_precision or _wrong(left.where("last"), rule) > 1 - config.min_precision:
             break
         found.rules.append(rule)
         left = left.where(~_all(rule))

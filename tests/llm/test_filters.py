@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 pytest.importorskip("pointloom.llm")
 from pointloom.llm import components, decontaminate, language_id, license_scan, quality_rules, simhash
@@ -153,6 +154,44 @@ def test_quality_counts_and_verdicts(spark, small, documents, docs, rows, none):
     assert quality_rules.kept(docs, quality_rules.DecisionList()).schema == docs.schema
 
 
+def shares_of(text):
+    """The statistics that rules may use, by hand."""
+    import regex
+
+    text = text or ""
+    n, chars, symbols, dup, repeated, _ = quality_of(text)
+    w = BLANK.findall(text)
+    grams = Counter(zip(w, w[1:], w[2:], strict=False))
+    lines = [x for x in text.split("\n") if BLANK.search(x)]
+    share = lambda a, b: a / b if b else 0.0
+    return {
+        "words": float(n), "word_length": share(chars, n), "symbol_share": share(symbols, chars), "mark_share": share(sum(c in "!?|" for c in text), n), "dup_line_share": share(dup, len(lines)),
+        "repeat_share": share(repeated, n), "distinct_share": share(len(set(w)), n), "upper_share": share(len(regex.findall(r"\p{Lu}", text)), chars), "digit_share": share(sum(c in "0123456789" for c in text), chars),
+        "window_share": share(sum(x for x in grams.values() if x > 1), n),
+    }
+
+
+def test_learned_rules_by_hand_and_on_labels_held_out(spark, small, documents):
+    """The verdict of each document from the rules' own thresholds, and rules learned from half of the labels judged on the other half."""
+    large = small.replace("sf0.01", "sf0.1")
+    labels = spark.read.parquet(f"{large}/labels.parquet")
+    table = spark.read.parquet(f"{large}/documents.parquet").select("doc_id", "text")
+    rules = quality_rules.learn(table, labels.where("doc_id % 2 = 0"))
+    assert rules.rules
+    text = {r.doc_id: r.text for r in documents.collect()}
+    judged = documents.select("doc_id", quality_rules.statistics(F.col("text")).alias("s")).select("doc_id", quality_rules.verdict(F.col("s"), rules).alias("v")).collect()
+    for r in judged:
+        s = shares_of(text[r.doc_id])
+        met = lambda rule: all((s[c.statistic] > c.threshold) == c.above for c in rule)  # noqa: B023, E731
+        first = next((f"rule{k + 1}" for k, rule in enumerate(rules.rules) if met(rule)), "keep")
+        assert r.v == ("base" if quality_of(text[r.doc_id])[-1] else first)
+    truth = labels.where("doc_id % 2 = 1").select("doc_id", (F.col("quality") == 1).alias("good"))
+    verdicts = table.select("doc_id", quality_rules.statistics(F.col("text")).alias("s")).select("doc_id", quality_rules.verdict(F.col("s"), rules).alias("v")).where("v <> 'base'").join(truth, "doc_id").collect()
+    assert len(verdicts) > 500
+    assert sum((r.v == "keep") == r.good for r in verdicts) / len(verdicts) > 0.98
+    assert sum(r.v == "keep" for r in verdicts if r.good) / sum(r.good for r in verdicts) > 0.99
+
+
 def hits_of(text, items, window=10):
     w = FOLDED.findall(low(text))
     hit, found = set(), set()
