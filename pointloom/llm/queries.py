@@ -83,13 +83,16 @@ from d left join hit_words using (row_id) left join hit_items using (row_id)
 
 
 def _op6_sql() -> str:
-    """Trigrams of texts meet those of the templates as words, without hashes; diagonals, spans and their verification follow."""
+    """Trigrams of texts meet those of the templates as words, without hashes; diagonals, spans, their verification and the words that tell like licenses apart follow."""
     known = license_scan.templates()
     literal = lambda x: "'" + x.replace("'", "''") + "'"
     k = license_scan.K
     grams = ", ".join(f"({t}, {literal(label)}, {str(base).lower()}, {len(words) - k + 1}, {p}, {', '.join(map(literal, words[p : p + k]))})" for t, label, base, words in known for p in range(len(words) - k + 1))
+    mark = " ".join(f"when {test} then {literal(name)}" for name, test in license_scan.MARKS.items())
+    needs = ", ".join(f"({literal(label)}, {literal(name)}, {len(names)})" for label, names in license_scan.TELLING.items() for name in names)
     return rf"""
-with grams(template, label, is_base, grams, place, t0, t1, t2) as (values {grams}),
+with needs(label, mark, asked) as (values {needs}),
+grams(template, label, is_base, grams, place, t0, t1, t2) as (values {grams}),
 d as materialized (
   select row_number() over () as row_id, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{NOT_WORD}'), lambda x: x <> '') as words from documents),
 rolling as (select row_id, pos, words[pos + 1] as w0, words[pos + 2] as w1, words[pos + 3] as w2 from (select row_id, words, unnest(range(0, len(words) - 2)) as pos from d)),
@@ -102,11 +105,16 @@ spans as (
   select row_id, label, is_base, grams, min(first) as first, max(last) + {k} as behind, len(list_distinct(flatten(list(places)))) / grams as cover,
     count(*) filter (whole) as exact, min(diagonal) filter (whole) as exact_first, max(diagonal) filter (whole) as exact_last
   from numbered group by row_id, template, label, is_base, grams, span),
-judged as (select *, is_base and exact > 0 as base, cover >= {license_scan.COVER} and behind - first <= {license_scan.STRETCH} * (grams + {k - 1}) as verified from spans),
+marks as (select row_id, word, case {mark} end as mark from (select row_id, words[p + 1] as w0, words[p + 2] as w1, p as word from (select row_id, words, unnest(range(0, len(words))) as p from d))),
+judged as (select *, row_number() over () as span_id, is_base and exact > 0 as base, cover >= {license_scan.COVER} and behind - first <= {license_scan.STRETCH} * (grams + {k - 1}) as verified from spans),
+held as (
+  select span_id from judged j join needs using (label) join marks m on m.row_id = j.row_id and m.mark = needs.mark and m.word between j.first and j.behind + {license_scan.BEHIND - 1}
+  where verified group by span_id having count(distinct needs.mark) = any_value(asked)),
+named as (select *, verified and (label not in (select label from needs) or span_id in (select span_id from held)) as told from judged),
 of_doc as (
   select row_id, sum(exact) filter (base) as n_base, min(exact_first) filter (base) as first_word, max(exact_last) filter (base) as last_word,
-    string_agg(distinct label, ',' order by label) filter (base) as base_labels, string_agg(distinct label, ',' order by label) filter (base or verified) as labels, max(cover) as score
-  from judged group by row_id)
+    string_agg(distinct label, ',' order by label) filter (base) as base_labels, string_agg(distinct label, ',' order by label) filter (base or told) as labels, max(cover) as score
+  from named group by row_id)
 select doc_id, cast(len(words) as bigint) as n_words, cast(coalesce(n_base, 0) as bigint) as n_base, cast(first_word as bigint) as first_word, cast(last_word as bigint) as last_word,
   coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, cast(coalesce(score, 0) as double) as score
 from d left join of_doc using (row_id)
