@@ -45,6 +45,14 @@ def stride_sample(points: DataFrame, count: int, chunk: int = 2_000_000, target:
     return points.where((F.col("point_idx") % chunk) % stride == 0)
 
 
+def concatenate(*clouds: DataFrame) -> DataFrame:
+    """All points of the clouds, by column names; a column that one lacks is null there."""
+    out = clouds[0]
+    for more in clouds[1:]:
+        out = out.unionByName(more, allowMissingColumns=True)
+    return out
+
+
 def recenter(points: DataFrame) -> tuple[DataFrame, tuple[float, float, float]]:
     """Points less their mean, and the mean."""
     row = points.agg(*[F.avg(c) for c in "xyz"]).first()

@@ -8,6 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import human_bytes
 from ..model import MeshConfig, ProfileConfig, SegmentConfig
 from ..operators import grid, knn, mesh, normals, planes, sample, stats, surface, voids
 from ..session import progress, written
@@ -26,18 +27,12 @@ def profile(points: DataFrame, config: ProfileConfig = ProfileConfig()) -> dict[
     }
 
 
-def human_bytes(n: float) -> str:
-    units = ["B", "KB", "MB", "GB", "TB"]
-    while n >= 1024 and len(units) > 1:
-        n, units = n / 1024, units[1:]
-    return f"{n:.1f} {units[0]}"
-
-
 def profile_report(points: DataFrame, header: dict | None = None, size: int | None = None, config: ProfileConfig = ProfileConfig()) -> list[str]:
     """The profile as lines of text: header (of a LAS file), attributes, spacing and what it means."""
     found = {k: v for k, v in profile(points, config).items()}
     one = {k: found[k].first().asDict() for k in ("extent", "intensity", "rgb", "sampled", "spacing")}
-    lines = [] if size is None else [f"Size: {human_bytes(size)}"]
+    spark = points.sparkSession
+    lines = [] if size is None else ["Size: " + spark.range(1).select(human_bytes(F.lit(size))).first()[0]]
     e = one["extent"]
     triple = lambda n: "[" + " ".join(f"{e[f'{n}_{c}']:.3f}" for c in "xyz") + "]" if e["min_x"] is not None else "none"
     if header:

@@ -5,6 +5,8 @@ Doubles are rounded to 6 places on both sides; 0.0 is added so that no negative
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -12,10 +14,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..functions.text import elapsed, human_bytes
 from ..model import MeshConfig, Plane, SegmentConfig
 from ..operators import grid, knn, mesh, normals, planes, sample, stats, surface, voids
-from ..session import written
+from ..session import shared_dir, written
+from ..sources import las
 from ..sources.tables import ROOM_SQL, room
+from ..sources.tables import points as points_of
 from . import pipelines
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -680,3 +685,114 @@ def segmentation(spark, sf_dir):
     each = of.join(meshed, "wall_id", "left").join(found, "wall_id", "left")
     out = room(spark, sf_dir).where("surf between 1 and 4").select("surf").distinct().join(each, "surf", "left")
     return out.select("surf", F.col("wall_id").isNotNull().alias("has_wall"), F.coalesce("has_mesh", F.lit(False)).alias("has_mesh"), F.coalesce("openings", F.lit(0)).cast("long").alias("openings"), F.coalesce("types", F.lit("")).alias("types"))
+
+
+# ---- sources, sinks and reports -----------------------------------------------------------------
+
+
+def _las(spark, sf_dir) -> str:
+    """The room as a LAS file in the shared folder, where that is a local one."""
+    folder = shared_dir(spark).removeprefix("file://")
+    os.makedirs(folder, exist_ok=True)
+    path = f"{folder}/room-{uuid.uuid4().hex}.las"
+    las.write(room(spark, sf_dir), path)
+    return path
+
+
+_MM = ", ".join(f"cast(round(({c} - m{c}) / 0.001E0) as bigint) as {c}" for c in "xyz")
+
+
+@query(f"select row_number() over (order by point_idx) - 1 as point_idx, {_MM}, intensity, classification, red, green, blue from room, (select min(x) as mx, min(y) as my, min(z) as mz from room)")
+def las_scan(spark, sf_dir):
+    """Every record of a LAS file, read by ranges; places as whole millimetres from the file's corner."""
+    path = _las(spark, sf_dir)
+    low = las.read_header(path).minimum
+    places = [F.round((F.col(c) - m) / 0.001).cast("long").alias(c) for c, m in zip("xyz", low, strict=True)]
+    return las.load(spark, path, rows=7_000).select("point_idx", *places, "intensity", "classification", "red", "green", "blue")
+
+
+@query("""select '1.2' as version, cast(3 as int) as format_id, count(*) as point_count, round(min(x), 6) + 0.0 as min_x, round(max(z), 6) + 0.0 as max_z, 'X,Y,Z,blue,classification,gps_time,green,intensity,red' as dims, 'none / local' as crs, true as has_rgb, true as has_gps_time from room""")
+def las_header(spark, sf_dir):
+    row = las.header_frame(spark, _las(spark, sf_dir))
+    return row.select("version", "format_id", "point_count", *_r("min_x", "max_z"), F.array_join("dims", ",").alias("dims"), "crs", "has_rgb", "has_gps_time")
+
+
+@query("select count(*) as points from (select * from room order by point_idx limit 1234)")
+def las_capped(spark, sf_dir):
+    """The first records of a file alone, and an error for a file that lacks some."""
+    whole, broken = _las(spark, sf_dir), _las(spark, sf_dir)
+    with open(broken, "r+b") as f:
+        f.truncate(os.path.getsize(broken) - 1)
+    try:
+        las.load(spark, broken)
+    except ValueError:
+        return las.load(spark, whole, rows=500, max_records=1_234).agg(F.count("*").alias("points"))
+    raise AssertionError("a truncated file was read")
+
+
+@query("select l_orderkey as point_idx, cast(l_quantity as double) as x, cast(l_discount as double) as y, 0.5E0 as z, l_linenumber as intensity, cast(null as int) as classification from lineitem")
+def table_points(spark, sf_dir):
+    """Any table as points by a column mapping."""
+    table = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return points_of(table, point_idx="l_orderkey", x="l_quantity", y="l_discount", z=F.lit(0.5), intensity="l_linenumber").select("point_idx", *"xyz", "intensity", "classification")
+
+
+@query("select surf, count(*) + count(*) filter (where surf <> 5) as points from room group by surf")
+def concatenate(spark, sf_dir):
+    """Two clouds as one."""
+    whole = room(spark, sf_dir)
+    return sample.concatenate(whole, whole.where("surf <> 5")).groupBy("surf").agg(F.count("*").alias("points"))
+
+
+@query("select point_idx from room")
+def crop_fallback(spark, sf_dir):
+    """A crop that would be empty keeps the cloud."""
+    return sample.crop_sphere(room(spark, sf_dir), 0.5, (90.0, 90.0, 90.0)).select("point_idx")
+
+
+_SIZES = [0, 1, 1023, 1024, 1536, 1048575, 1048576, 789_000_000, 1024**4, 5 * 1024**5]
+_SECONDS = [0, 59, 60, 61, 3599, 3600, 86_399, 100_000]
+
+
+@query("""select n, case when n < 1024 then printf('%.1fB', n * 1.0E0) when n < 1048576 then printf('%.1fKB', n / 1024.0E0) when n < 1073741824 then printf('%.1fMB', n / 1048576.0E0) when n < 1099511627776 then printf('%.1fGB', n / 1073741824.0E0) when n < 1125899906842624 then printf('%.1fTB', n / 1099511627776.0E0) else printf('%.1fPB', n / 1125899906842624.0E0) end as text
+  from (select cast(unnest([""" + ", ".join(map(str, _SIZES)) + """]) as bigint) as n) union all
+  select n, case when n >= 3600 then printf('%dh %dm %ds', n // 3600, n // 60 % 60, n % 60) when n >= 60 then printf('%dm %ds', n // 60, n % 60) else printf('%ds', n) end from (select cast(unnest([""" + ", ".join(map(str, _SECONDS)) + """]) as bigint) as n)""")
+def texts(spark, sf_dir):
+    """Sizes and times as text."""
+    of = lambda values, f: spark.createDataFrame([(v,) for v in values], "n long").select("n", f(F.col("n")).alias("text"))
+    return of(_SIZES, human_bytes).unionByName(of(_SECONDS, elapsed))
+
+
+_NORMALS = [(0.0, 0.0, 1.0), (0.0, 1.0, 0.0), (0.6, 0.8, 0.0), (0.36, 0.48, 0.8), (0.0, -0.6, -0.8), (0.28, 0.0, 0.96)]
+
+
+@query("""select place, round(ux, 6) + 0.0 as ux, round(uy, 6) + 0.0 as uy, round(uz, 6) + 0.0 as uz, round(b * uz - c * uy, 6) + 0.0 as vx, round(c * ux - a * uz, 6) + 0.0 as vy, round(a * uy - b * ux, 6) + 0.0 as vz from (
+  select *, wx / sqrt(wx * wx + wy * wy + wz * wz) as ux, wy / sqrt(wx * wx + wy * wy + wz * wz) as uy, wz / sqrt(wx * wx + wy * wy + wz * wz) as uz from (
+    select *, case when abs(c) >= 0.9 then 0 else b end as wx, case when abs(c) >= 0.9 then c else -a end as wy, case when abs(c) >= 0.9 then -b else 0 end as wz from (values """ + ", ".join(f"({k}, {a}e0, {b}e0, {c}e0)" for k, (a, b, c) in enumerate(_NORMALS)) + """) as n(place, a, b, c)))""")
+def plane_basis(spark, sf_dir):
+    rows = [(k, *u, *v) for k, n in enumerate(_NORMALS) for u, v in [g.plane_basis(n)]]
+    return spark.createDataFrame(rows, "place int, ux double, uy double, uz double, vx double, vy double, vz double").select("place", *_r("ux", "uy", "uz", "vx", "vy", "vz"))
+
+
+@query("""select name, round(value, 6) + 0.0 as value from (
+  select 'extent_' || c as name, case c when 'x' then ex when 'y' then ey else ez end as value from (select max(x) - min(x) as ex, max(y) - min(y) as ey, max(z) - min(z) as ez from room), (select unnest(['x', 'y', 'z']) as c)
+  union all select 'class_' || classification, count(*) * 1.0E0 from room group by classification
+  union all select 'mean_intensity', avg(intensity) from room union all select 'max_red', max(red) * 1.0E0 from room
+  union all select 'sampled', count(*) * 1.0E0 from room union all select 'median_mm', quantile_cont(sqrt(d2), 0.5) * 1000 from k2 where rank = 2)""", _KNN2)
+def profile(spark, sf_dir):
+    """The numbers of a scan's profile."""
+    found = pipelines.profile(room(spark, sf_dir))
+    pairs = {"extent": ["extent_x", "extent_y", "extent_z"], "intensity": ["mean_intensity"], "rgb": ["max_red"], "sampled": ["sampled"], "spacing": ["median_mm"]}
+    out = found["classes"].select(F.concat(F.lit("class_"), F.col("classification").cast("string")).alias("name"), F.col("points").cast("double").alias("value"))
+    for name, columns in pairs.items():
+        each = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in columns])).alias("m")
+        out = out.unionByName(found[name].select(each).select("m.*"))
+    return out.select("name", *_r("value"))
+
+
+@query("select round(min(z) - avg(z), 4) + 0.0 as floor_z, false as has_floor from room where surf between 1 and 4")
+def floor_fallback(spark, sf_dir):
+    """Without a floor plane the lowest point tells the floor's height."""
+    points = room(spark, sf_dir).where("surf between 1 and 4")
+    result = pipelines.segment(points, SegmentConfig(min_plane=least_plane(points.count()), min_groove=10, max_planes=4), downsample=False)
+    return spark.createDataFrame([(round(result["floor_z"], 4) + 0.0, result["extraction"].floor is not None)], "floor_z double, has_floor boolean")
