@@ -23,17 +23,16 @@ def _towards_smallest(edges: DataFrame, both: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """node, root: for each node of an edge (u, v), the smallest node of its component.
 
     Alternating large-star and small-star steps (Kiveris et al. 2014) turn each component into a
     star; each round is written to the shared folder, so that a lost executor costs one round.
     """
     state = None
-    for _ in range(max_rounds):
+    while True:  # every round but the last shortens a path, so it ends
         edges = written(_towards_smallest(_towards_smallest(edges, True), False), "components")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         state = tuple(now)
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
