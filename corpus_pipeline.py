@@ -2,6 +2,11 @@
 
 Quality rules, SimHash near-duplicates, benchmark decontamination, surrogates for personal data,
 packing. All stages but the last return the columns of ``documents``.
+
+Defined results: null, empty and short texts fail the base rule and go in the first stage; a null doc_id is judged by
+its text like any other, and of a component only it stays if no row with an id is there; of repeated rows one
+stays; very long texts are read whole; without labels only the base rule holds; an empty benchmark removes nothing; an
+empty table gives no rows in every stage; columns with other names, also those an operator uses itself, stay as they are.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointloom.llm import decontaminate, packing, pii, quality_rules, simhash
-from pointloom.session import written
+from pointloom.session import drop_written, tables_written, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,6 +53,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = tables_written(spark)
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        # What a stage was made from has been read; its result stays.
+        drop_written(spark, keep=before, last=1)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -67,12 +67,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_written(spark: SparkSession, keep: int = 0) -> int:
-    """Remove the tables written so far but for the first ``keep`` of them; how many there are now. For callers who have used up what they were made for."""
+def drop_written(spark: SparkSession, keep: int = 0, last: int = 0) -> int:
+    """Remove the tables written so far but for the first ``keep`` and the ``last`` of them; how many there are now. For callers who have used up what they were made for."""
     tables = spark.sparkContext.__dict__.setdefault("_pointloom_tables", [])
+    behind = max(keep, len(tables) - last)
     java = spark._jvm.org.apache.hadoop.fs.Path
-    for path in tables[keep:]:
+    for path in tables[keep:behind]:
         at = java(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    del tables[keep:]
+    del tables[keep:behind]
     return len(tables)
+
+
+def tables_written(spark: SparkSession) -> int:
+    """How many tables this session has written and not dropped."""
+    return len(spark.sparkContext.__dict__.setdefault("_pointloom_tables", []))
