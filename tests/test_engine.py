@@ -1,14 +1,15 @@
 """Ground truth, micro-inputs and guards of the point-cloud engine."""
 
+import os
 import random
 import struct
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from conftest import DATA
 from pointloom.functions import geometry as g
 from pointloom.model import MeshConfig, Plane, SegmentConfig
 from pointloom.operators import grid, knn, mesh, normals, planes, sample, stats, surface, voids
@@ -18,6 +19,9 @@ from pointloom.sources.tables import points, room
 from pointloom.streaming import tiles
 
 
+DATA = Path(os.environ.get("POINTLOOM_TESTDATA", "/root/testdata"))
+
+
 def cells_of(spark, cells):
     return spark.createDataFrame([(1, u, v) for u, v in cells], "wall_id int, iu long, iv long")
 
