@@ -224,7 +224,7 @@ def test_decontamination_brute_force(spark, tiny, docs, rows, none):
     by_hand = [(i, *hits_of(t, short)) for i, t, *_ in rows]
     clean = Counter(x[0] for x in by_hand if not x[-1])
     cased = docs.withColumnRenamed("text", "Text").withColumnRenamed("doc_id", "DOC_ID")
-    for size in (16 << 20, 40):
+    for size in (16 << 20, 1_000):
         left = decontaminate.decontaminate(cased, odd, block_bytes=size)
         assert left.schema == cased.schema and Counter(r.DOC_ID for r in left.collect()) == clean
         cut = decontaminate.decontaminate(docs, odd, mode="spans", block_bytes=size)
