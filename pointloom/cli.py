@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import logging
 import os
 
 from pyspark.sql import SparkSession
@@ -27,6 +28,8 @@ def main(argv: list[str] | None = None) -> None:
     for flag in ("--parts", "--include-misc", "--include-frames"):
         cut.add_argument(flag, action="store_true")
     args = parser.parse_args(argv)
+    logging.basicConfig(level=logging.WARNING, format="[%(asctime)s] %(message)s", datefmt="%H:%M:%S")
+    logging.getLogger("pointloom").setLevel(logging.INFO)
     spark = SparkSession.builder.appName("pointloom").getOrCreate()
     points = spark.read.parquet(args.input) if args.input.endswith(".parquet") else las.load(spark, args.input)
     if args.command == "profile":

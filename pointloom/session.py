@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import logging
 import os
 import shutil
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -14,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _PACKAGE = Path(__file__).resolve().parent
 _SHIPPED = "_pointloom_shipped"
+_LOG = logging.getLogger("pointloom")
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -31,7 +34,10 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def progress(spark: SparkSession, stage: str) -> None:
-    """Name the jobs that follow, as Spark's pages and status files show them."""
+    """Name the jobs that follow, as Spark's pages show them, and log the stage with the seconds since the one before."""
+    now, before = time.monotonic(), spark.sparkContext.__dict__.get("_pointloom_stage")
+    spark.sparkContext._pointloom_stage = now
+    _LOG.info("%s%s", stage, "" if before is None else f" (after {now - before:.1f} s)")
     spark.sparkContext.setJobDescription(stage)
 
 

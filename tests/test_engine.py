@@ -290,7 +290,7 @@ def test_points_that_no_forest_reaches_look_to_the_origin(spark):
     assert [(r.nx, r.ny, r.nz) for r in normals.mst_orientation(lone).collect()] == [(-1.0, 0.0, 0.0)]
 
 
-def test_profile_report_and_command_line(spark, tmp_path, capsys, monkeypatch):
+def test_profile_report_and_command_line(spark, tmp_path, capsys, monkeypatch, caplog):
     from pointloom import cli
 
     path = write_las(tmp_path / "a.las", [(k % 20 * 50, k // 20 * 50, 0) for k in range(400)], 3)
@@ -299,10 +299,11 @@ def test_profile_report_and_command_line(spark, tmp_path, capsys, monkeypatch):
     lines = capsys.readouterr().out.splitlines()
     for wanted in ("LAS version: 1.2", "Point format: 3", "Point count: 400", "CRS: none / local", "RGB color: yes (range R:1-1 G:2-2 B:0-399)", "Intensity: yes (range 100-499, mean 299.5)", "GPS time (per-point timestamps): yes", "Classification codes present: {5: 400}", "Median nearest-neighbor spacing: 50.00 mm"):
         assert wanted in lines, (wanted, lines)
-    assert any("150.0 mm" in x for x in lines)
+    assert any("150.0 mm" in x for x in lines) and spark.sparkContext.getLocalProperty("spark.job.description") == "profile: spacing"
     room(spark, str(DATA / "sf0.001")).write.parquet(str(tmp_path / "room.parquet"))
     cli.main(["mesh", str(tmp_path / "room.parquet"), str(tmp_path / "out.obj"), "--preset", "smoke"])
     assert (tmp_path / "out.obj").read_text().count("\nf ") > 100
+    assert [m for m in caplog.messages if m.startswith("smoke: surface")]
     cli.main(["segment", str(tmp_path / "room.parquet"), str(tmp_path / "parts"), "--parts"])
     assert (tmp_path / "parts" / "manifest.json").exists()
 
