@@ -57,7 +57,8 @@ class StoreConfig:
     sample: int = 2_000  # windows to train on
     window_chars: int = 8_192
     part_bytes: int = 128 << 20  # a part file ends behind the document that reaches it
-    task_bytes: int = 64 << 20  # of text for each task that writes
+    task_bytes: int = 64 << 20  # of text for each task that writes, while there are at most
+    most_tasks: int = 20_000  # of them, so that the sample of keys for their bounds stays small; a task may write many parts
     keys_per_task: int = 64  # sampled for the bounds of the ranges
 
 
@@ -188,7 +189,7 @@ def write_store(docs: DataFrame, config: StoreConfig = StoreConfig(), folder: st
     fs.create_dir(path, recursive=True)
     with fs.open_output_stream(f"{path}/dictionary.zdict") as out:
         out.write(dictionary)
-    tasks = max(1, -(-(size or 0) // config.task_bytes))
+    tasks = min(config.most_tasks, max(1, -(-(size or 0) // config.task_bytes)))
     numbered = slim.withColumn("row", F.monotonically_increasing_id())
     bounds = _range_bounds(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row")), rows, tasks, config)
     frames = numbered.mapInArrow(_frames(dictionary, config, bounds), "task int, doc_id long, row long, n long, frame binary")

@@ -150,6 +150,10 @@ def test_token_store_in_many_bounded_parts(spark, documents, byte_bpe):
     parts = manifest.collect()
     assert len({p.part for p in parts}) > 10 and len(parts) > 40 and max(p.bytes for p in parts) < 80_000
     check_store(token_store.read_store(folder, manifest).collect(), [(r.doc_id, r.text) for r in table.collect()], byte_bpe)
+    few = token_store.StoreConfig(task_bytes=100_000, part_bytes=20_000, most_tasks=2)
+    folder, manifest = token_store.write_store(table, few)
+    assert {p.part for p in manifest.collect()} == {0, 1} and manifest.count() > 40
+    check_store(token_store.read_store(folder, manifest).collect(), [(r.doc_id, r.text) for r in table.collect()], byte_bpe)
 
 
 def test_token_store_tells_broken_files(spark, tmp_path):
