@@ -14,6 +14,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Java and DuckDB pattern of what stands between words of letters, digits and non-ASCII characters.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Pattern of a run of letters and non-ASCII characters.
+LETTERS = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 #: Pattern of what stands between words of visible characters.
 BLANKS = r"[\x20\x09-\x0D]+"
 

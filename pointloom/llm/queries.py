@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, license_scan, packing, pii, quality_rules, sharding, simhash, token_counts, token_store
-from ._text import LOWER, NOT_WORD, UPPER
+from . import decontaminate, divergence, language_id, license_scan, packing, pii, quality_rules, sharding, simhash, token_counts, token_store
+from ._text import LETTERS, LOWER, NOT_WORD, UPPER
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -61,7 +65,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_pii_surrogates, op3_virtual_slots, op4_simhash, op5_token_counts, op6_license_scan, op7_token_store, op8_quality_rules, op9_language_id, op10_decontaminate, pipeline)}
+    return {f.__name__: f for f in (op1_packing, op2_pii_surrogates, op3_virtual_slots, op4_simhash, op5_token_counts, op6_license_scan, op7_token_store, op8_quality_rules, op9_language_id, op10_decontaminate, op12_source_divergence, pipeline)}
 
 
 #: Windows of all items meet windows of equal length of all documents, as lists of words.
@@ -121,5 +125,30 @@ from d left join of_doc using (row_id)
 """
 
 
+#: Every kept term meets every group, and every pair of groups every term.
+OP12_SQL = rf"""
+with d as materialized (
+  select row_number() over () as row_id, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{LETTERS}') as terms from documents),
+counted as materialized (select lang, source, term, count(*) as n, count(distinct row_id) as docs from (select row_id, lang, source, unnest(terms) as term from d) group by lang, source, term),
+kept as materialized (select lang, term, sum(n) as lang_n from counted group by lang, term having sum(docs) >= 10),
+of_lang as (select lang, count(*) as v, sum(lang_n) as lang_total from kept group by lang),
+of_source as (select lang, source, sum(n) as total from counted join kept using (lang, term) group by lang, source),
+groups as (select lang, source, coalesce(total, 0) as total, coalesce(v, 0) as v, lang_total from (select distinct lang, source from d) left join of_source using (lang, source) left join of_lang using (lang)),
+cells as materialized (
+  select g.lang, g.source, k.term, coalesce(c.n, 0) as n, 1 + (1000000000 * (coalesce(c.n, 0) + 2)) // (total + 2 * v) as p, 1 + (1000000000 * (lang_n + 2)) // (lang_total + 2 * v) as q
+  from groups g join kept k on g.lang = k.lang left join counted c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+pairs as (
+  select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) as value
+  from cells a join cells b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by a.lang, a.source, b.source),
+every as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0) as value
+  from groups a join groups b on a.lang = b.lang and a.source <> b.source left join pairs p on p.lang = a.lang and p.source = a.source and p.item = b.source
+  union all select lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) from cells where n > 0 and p > q),
+ranked as (select lang, source, part, item, cast(value as bigint) as value, cast(row_number() over (partition by lang, source, part order by value desc, item) as integer) as rank from every)
+select * from ranked where part = 'pair' or rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_license_scan": _op6_sql(), "op10_decontaminate": OP10_SQL}
+    return {"op6_license_scan": _op6_sql(), "op10_decontaminate": OP10_SQL, "op12_source_divergence": OP12_SQL}
