@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, divergence, language_id, license_scan, packing, pii, quality_rules, sharding, simhash, token_counts, token_store
+from . import decontaminate, divergence, language_id, license_scan, packing, pii, quality_rules, sharding, simhash, token_counts, token_store, url_filters
 from ._text import LETTERS, LOWER, NOT_WORD, UPPER
 
 
@@ -58,6 +58,10 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(_table(spark, sf_dir, "documents"))
 
 
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(_table(spark, sf_dir, "pages"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -65,7 +69,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_pii_surrogates, op3_virtual_slots, op4_simhash, op5_token_counts, op6_license_scan, op7_token_store, op8_quality_rules, op9_language_id, op10_decontaminate, op12_source_divergence, pipeline)}
+    return {f.__name__: f for f in (op1_packing, op2_pii_surrogates, op3_virtual_slots, op4_simhash, op5_token_counts, op6_license_scan, op7_token_store, op8_quality_rules, op9_language_id, op10_decontaminate, op12_source_divergence, op13_url_filter, pipeline)}
 
 
 #: Windows of all items meet windows of equal length of all documents, as lists of words.
@@ -150,5 +154,20 @@ select * from ranked where part = 'pair' or rank <= 10
 """
 
 
+#: Rules and hosts by joins.
+OP13_SQL = rf"""
+with rules(action, host, path) as (values {", ".join(str(r) for r in url_filters.RULES)}),
+u as materialized (
+  select row_number() over () as row_id, page_id, translate(regexp_extract(coalesce(url, ''), '{url_filters.URL}', 1), '{UPPER}', '{LOWER}') as host,
+    regexp_extract(coalesce(url, ''), '{url_filters.URL}', 2) as path from pages),
+fitting as (
+  select row_id, action, r.host || r.path as rule, row_number() over (partition by row_id order by length(r.host || r.path) desc, length(r.host) desc, action desc) as place
+  from u join rules r on (u.host = r.host or ends_with(u.host, '.' || r.host)) and starts_with(u.path, r.path)),
+best as (select row_id, action, rule from fitting where place = 1),
+listed as (select distinct host from u join best using (row_id) where action = 'block')
+select page_id, host, path, rule, coalesce(action, case when host in (from listed) then 'block' else 'allow' end) as verdict from u left join best using (row_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_license_scan": _op6_sql(), "op10_decontaminate": OP10_SQL, "op12_source_divergence": OP12_SQL}
+    return {"op6_license_scan": _op6_sql(), "op10_decontaminate": OP10_SQL, "op12_source_divergence": OP12_SQL, "op13_url_filter": OP13_SQL}
