@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, divergence, language_id, license_scan, packing, pii, quality_rules, sharding, simhash, token_counts, token_store, url_filters
+from . import conversations, decontaminate, divergence, language_id, license_scan, packing, pii, quality_rules, sharding, simhash, token_counts, token_store, url_filters
 from ._text import LETTERS, LOWER, NOT_WORD, UPPER
 
 
@@ -54,6 +54,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damaged(_table(spark, sf_dir, "conversations")), "present")
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(_table(spark, sf_dir, "documents"))
 
@@ -69,7 +73,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_pii_surrogates, op3_virtual_slots, op4_simhash, op5_token_counts, op6_license_scan, op7_token_store, op8_quality_rules, op9_language_id, op10_decontaminate, op12_source_divergence, op13_url_filter, pipeline)}
+    return {f.__name__: f for f in (op1_packing, op2_pii_surrogates, op3_virtual_slots, op4_simhash, op5_token_counts, op6_license_scan, op7_token_store, op8_quality_rules, op9_language_id, op10_decontaminate, op11_conversation_repair, op12_source_divergence, op13_url_filter, pipeline)}
 
 
 #: Windows of all items meet windows of equal length of all documents, as lists of words.
@@ -129,6 +133,51 @@ from d left join of_doc using (row_id)
 """
 
 
+def _op11_sql() -> str:
+    """The same weights carried as they are, from the last row to the first: (cost, audit, repaired lines) of each grammar state, a pair of inserts tried behind each row."""
+    away = "{'c': 1000000000, 's': '', 't': ''}"
+    into = {0: (3, "user"), 1: (3, "user"), 2: (4, "assistant"), 3: (3, "user")}
+    moves = {0: "case x.i when 's' then 2 when 'u' then 3 end", 1: "case x.i when 'u' then 3 end", 2: "case x.i when 'a' then 4 end", 3: "case x.i when 'u' then 3 end"}
+    arc = lambda cost, label, line, to: f"{{'c': {cost} + acc[{to}].c, 's': '{label}' || acc[{to}].s, 't': {line} || acc[{to}].t}}"
+    rows, puts = [], []
+    for q in range(4):
+        to, role = into[q]
+        kept = f"case when x.dead or {moves[q]} is null then {away} else {arc('x.late', 'K', 'chr(10) || x.role || chr(58) || x.text', moves[q])} end"
+        changed = f"case when x.dead then {away} else {arc('2 + x.late', 'R', f"chr(10) || '{role}:' || x.text", to)} end"
+        rows.append(f"list_min([{arc(3, 'D', "''", q + 1)}, {kept}, {changed}])")
+        puts.append(f"list_min([acc[{q + 1}], {arc(2, 'I', f"chr(10) || '{role}:'", to)}])")
+    put = "{'kind': 'put', 'i': '', 'role': '', 'text': '', 'dead': false, 'late': 0}"
+    return rf"""
+with crc as (select list_transform(range(256), lambda b: list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, cast(b as bigint))) as crcs),
+lots as (
+  select row_number() over () as row_id, conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    xor(list_reduce(list_transform(string_split(coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' '), ''), lambda c: cast(ord(c) as bigint)),
+      lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 20 as lot
+  from conversations, crc),
+d as materialized (
+  select row_id * 2 + copy as row_id, conv_id, turn, case when lot = 4 then 'user' else role end as role, case lot when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+  from (select *, unnest(case when lot = 3 then [0, 1] else [0] end) as copy from lots where lot <> 0)),
+seen as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, text, row_id) as place, regexp_replace(text, '[ 	-]+$', '') as bare,
+    row_number() over (partition by conv_id, role, text order by turn nulls first, row_id) as again from d),
+faults as (select *, case when bare = '' then 'blank' when again > 1 then 'duplicate' when right(bare, 1) not in ('.', '!', '?') then 'truncated' else '' end as fault, left(role, 1) as i from seen),
+pairs as (select *, place > 1 and lag(i) over (partition by conv_id order by place) || i not in ('su', 'ua', 'au') as odd from faults),
+each as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate,
+    count(*) filter (fault = 'truncated') as truncated, count(*) filter (odd) as illegal,
+    list({{'kind': 'row', 'i': i, 'role': role, 'text': text, 'dead': fault in ('blank', 'duplicate'), 'late': case when fault = 'truncated' then 1 else 0 end}} order by place desc) as rows
+  from pairs group by conv_id),
+best as (
+  select *, list_reduce(flatten([[{put}, {put}], flatten(list_transform(rows, lambda x: [x, {put}, {put}]))]),
+    lambda acc, x: case when x.kind = 'put' then [{", ".join(puts)}] else [{", ".join(rows)}] end,
+    [{{'c': 0, 's': '', 't': ''}}, {away}, {away}, {{'c': 0, 's': '', 't': ''}}])[1] as b
+  from each)
+select ids.conv_id, cast(coalesce(gaps, 0) as bigint) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+  cast(coalesce(b.c, 0) as bigint) as cost, coalesce(b.s, '') as audit, sha256(coalesce(substr(b.t, 2), '')) as repaired_sha256
+from (select distinct conv_id from conversations) ids left join best on ids.conv_id is not distinct from best.conv_id
+"""
+
+
 #: Every kept term meets every group, and every pair of groups every term.
 OP12_SQL = rf"""
 with d as materialized (
@@ -170,4 +219,4 @@ select page_id, host, path, rule, coalesce(action, case when host in (from liste
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_license_scan": _op6_sql(), "op10_decontaminate": OP10_SQL, "op12_source_divergence": OP12_SQL, "op13_url_filter": OP13_SQL}
+    return {"op6_license_scan": _op6_sql(), "op10_decontaminate": OP10_SQL, "op11_conversation_repair": _op11_sql(), "op12_source_divergence": OP12_SQL, "op13_url_filter": OP13_SQL}
