@@ -129,16 +129,26 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.record_batch([pa.array([names[k][0] for k in a]), pa.array([names[k][1] for k in a]), pa.array([names[k][1] for k in b]), pa.array(values[0], pa.int64())], names=["lang", "a", "b", "value"])
 
     for batch in batches:
-        for lang, posting in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if len(posting) < 2:
-                continue
-            posting.sort(key=lambda x: x["source"])
-            ids = np.array([number.setdefault((lang, x["source"]), len(number)) for x in posting], np.int64)
-            p, none = np.array([x["p"] for x in posting], np.int64), np.array([x["p0"] for x in posting], np.int64)
-            for k in range(len(ids) - 1):
-                pairs.append((ids[k] << 32) | ids[k + 1 :])
-                values.append(of(p[k], p[k + 1 :]) - of(p[k], none[k + 1 :]) - of(none[k], p[k + 1 :]) + of(none[k], none[k + 1 :]))
-                size += len(ids) - k - 1
+        postings = batch.column(1)
+        lengths = postings.value_lengths().to_numpy()
+        langs = batch.column(0).dictionary_encode()
+        each = postings.flatten()
+        source, p, none = each.field(0).dictionary_encode(), each.field(1).to_numpy(), each.field(2).to_numpy()
+        term = np.repeat(np.arange(len(lengths)), lengths)
+        # A number for each lang and source of the batch.
+        wide = len(source.dictionary)
+        both = np.repeat(langs.indices.to_numpy().astype(np.int64), lengths) * wide + source.indices.to_numpy()
+        known, place = np.unique(both, return_inverse=True)
+        ids = np.array([number.setdefault((langs.dictionary[k // wide].as_py(), source.dictionary[k % wide].as_py()), len(number)) for k in known.tolist()], np.int64)[place]
+        # Postings are in order of their sources: all that are ``step`` places apart at once.
+        for step in range(1, int(lengths.max(initial=0))):
+            at = np.flatnonzero(term[step:] == term[:-step])
+            for lot in range(0, len(at), HELD):
+                a = at[lot : lot + HELD]
+                b = a + step
+                pairs.append((ids[a] << 32) | ids[b])
+                values.append(of(p[a], p[b]) - of(p[a], none[b]) - of(none[a], p[b]) + of(none[a], none[b]))
+                size += len(a)
                 if size > HELD:
                     reduce()
                     if size > HELD // 2:
@@ -169,7 +179,7 @@ def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> Dat
     alike = posted.groupBy("lang", "source", "n", "p", "p0").agg(F.count("*").alias("alike"))
     one = alike.join(other, "lang").where("source <> item").select("lang", "source", "item", F.expr(f"alike * ({difference('p', 'q0')} - {difference('p0', 'q0')})").alias("value"))
     one = one.groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
-    both = posted.groupBy("lang", "term").agg(F.collect_list(F.struct("source", "p", "p0")).alias("posting")).select("lang", "posting").mapInArrow(_shared, SHARED)
+    both = posted.groupBy("lang", "term").agg(F.sort_array(F.collect_list(F.struct("source", "p", "p0"))).alias("posting")).select("lang", "posting").mapInArrow(_shared, SHARED)
     both = both.groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
     # A difference is the same both ways, so what one gives goes to both.
     swapped = lambda df, a, b: df.select("lang", F.explode(F.array(F.struct(F.col(a).alias("source"), F.col(b).alias("item")), F.struct(F.col(b).alias("source"), F.col(a).alias("item")))).alias("x"), "value").select("lang", "x.*", "value")
