@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package, written
-from . import knn, planes
+from . import forest, knn, planes
 
+#: Side of the blocks by which edges come together, in the points' unit.
+NEAR = 1.0
 NORMALS = "point_idx long, nx double, ny double, nz double"
 
 
@@ -65,81 +67,18 @@ def viewpoint_flip(points: DataFrame, view: tuple[float, float, float] = (0.0, 0
     return points.withColumns({f"n{c}": F.when(towards < 0, -F.col(f"n{c}")).otherwise(F.col(f"n{c}")) for c in "xyz"})
 
 
-def _spread(a: np.ndarray, b: np.ndarray, dots: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Signs along a minimum spanning forest of 1 - |dot|, and the start of each node's tree, whose sign is +1; ``starts`` are all nodes, in the order in which they may begin a tree."""
-    parent = np.arange(len(starts))
-
-    def root(k: int) -> int:
-        while parent[k] != k:
-            parent[k] = parent[parent[k]]
-            k = parent[k]
-        return k
-
-    tree: list[list[tuple[int, float]]] = [[] for _ in starts]
-    for e in np.lexsort((b, a, 1 - np.abs(dots))):
-        ra, rb = root(a[e]), root(b[e])
-        if ra != rb:
-            parent[ra] = rb
-            tree[a[e]].append((b[e], dots[e]))
-            tree[b[e]].append((a[e], dots[e]))
-    sign, begin = np.zeros(len(starts)), np.zeros(len(starts), np.int64)
-    for start in starts:
-        if sign[start]:
-            continue
-        sign[start], begin[start] = 1.0, start
-        stack = [start]
-        while stack:
-            k = stack.pop()
-            for j, d in tree[k]:
-                if not sign[j]:
-                    sign[j], begin[j] = sign[k] * (-1.0 if d < 0 else 1.0), start
-                    stack.append(j)
-    return sign, begin
-
-
-def _orient(edges: pd.DataFrame) -> pd.DataFrame:
-    """Signs of one tile's trees, each from its highest point, whose normal looks up; tree is that point and top its height."""
-    ids = np.unique(np.r_[edges["q"], edges["p"]])
-    a, b = np.searchsorted(ids, edges["q"]), np.searchsorted(ids, edges["p"])
-    n, z = np.zeros((len(ids), 3)), np.zeros(len(ids))
-    n[a], z[a] = edges[["qx", "qy", "qz"]].to_numpy(), edges["z"].to_numpy()
-    n[b] = edges[["px", "py", "pz"]].to_numpy()
-    sign, begin = _spread(a, b, (n[a] * n[b]).sum(axis=1), np.lexsort((ids, -z)))
-    out = n * (sign * np.where(n[begin, 2] < 0, -1.0, 1.0))[:, None]
-    return pd.DataFrame({"point_idx": ids, "tree": ids[begin], "top": z[begin], "nx": out[:, 0], "ny": out[:, 1], "nz": out[:, 2]})
-
-
-def _turned(signed: DataFrame, cut: DataFrame) -> list[int]:
-    """Trees to turn so that those joined by edges between tiles agree, from the highest of each connected part. There is one row for each pair of trees that meet at a border of tiles, few enough for the driver."""
-    q, p = (signed.select(F.col("point_idx").alias(e), *[F.col(c).alias(f"{e}_{c}") for c in ("tree", "top", "nx", "ny", "nz")]) for e in "qp")
-    dot = sum((F.col(f"q_n{c}") * F.col(f"p_n{c}") for c in "xyz"), F.lit(0.0))
-    met = cut.join(q, "q").join(p, "p").withColumn("dot", dot)
-    best = met.groupBy(F.least("q_tree", "p_tree").alias("a"), F.greatest("q_tree", "p_tree").alias("b")).agg(
-        F.min(F.struct(1 - F.abs("dot"), "q", "p", "dot"))["dot"].alias("dot"), *[F.max(F.when(F.col("q_tree") <= F.col("p_tree"), F.col(f"{x}_top")).otherwise(F.col(f"{y}_top"))).alias(f"{t}_top") for t, x, y in (("a", "q", "p"), ("b", "p", "q"))]
-    )
-    pairs = best.toPandas()
-    if pairs.empty:
-        return []
-    ids = np.unique(np.r_[pairs["a"], pairs["b"]])
-    a, b = np.searchsorted(ids, pairs["a"]), np.searchsorted(ids, pairs["b"])
-    top = np.zeros(len(ids))
-    top[a], top[b] = pairs["a_top"], pairs["b_top"]
-    return ids[_spread(a, b, pairs["dot"].to_numpy(), np.lexsort((ids, -top)))[0] < 0].tolist()
-
-
-def mst_orientation(points: DataFrame, k: int = 15, tile: float = 8.0, cell: float | None = None) -> DataFrame:
-    """Normals made consistent along a spanning forest of the k nearest neighbours: within tiles (a tile of the downsampled cloud is one task's work), then between the trees of different tiles, so that each connected part has one orientation and its highest point looks up. Points that no such forest reaches look towards the origin."""
-    ship_package(points.sparkSession)
-    at = points.withColumn("tile", F.concat_ws("/", F.floor(F.col("x") / tile), F.floor(F.col("y") / tile)))
-    q = at.select(F.col("point_idx").alias("q"), "tile", "z", *[F.col(f"n{c}").alias(f"q{c}") for c in "xyz"])
-    p = at.select(F.col("point_idx").alias("p"), F.col("tile").alias("p_tile"), *[F.col(f"n{c}").alias(f"p{c}") for c in "xyz"])
-    edges = written(knn.knn(points, k, cell).where("q <> p").select("q", "p").join(q, "q").join(p, "p"), "edges")
-    within = edges.where("tile = p_tile").drop("p_tile")
-    signed = written(within.groupBy("tile").applyInPandas(_orient, "point_idx long, tree long, top double, nx double, ny double, nz double"), "signed")
-    turned = _turned(signed, edges.where("tile <> p_tile").select("q", "p"))
-    if turned:
-        turn = points.sparkSession.createDataFrame([(t, -1.0) for t in turned], "tree long, turn double")
-        signed = signed.join(F.broadcast(turn), "tree", "left").withColumns({f"n{c}": F.col(f"n{c}") * F.coalesce("turn", F.lit(1.0)) for c in "xyz"})
+def mst_orientation(points: DataFrame, k: int = 15, cell: float | None = None) -> DataFrame:
+    """Normals made consistent along the minimum spanning forest (of 1 - |dot|) of the k nearest neighbours, so that each connected part has one orientation and its highest point (of equal ones that of the smallest id) looks up. Points without an edge look towards the origin."""
+    n = [F.col(f"n{c}") for c in "xyz"]
+    a, b = (points.select(F.col("point_idx").alias(e), *[x.alias(f"{e}{c}") for x, c in zip(n, "xyz", strict=True)]) for e in "ab")
+    pairs = knn.knn(points, k, cell).where("q <> p").groupBy(F.least("q", "p").alias("a"), F.greatest("q", "p").alias("b")).agg(F.first(F.struct(*"xyz")).alias("at"))
+    dot = sum((F.col(f"a{c}") * F.col(f"b{c}") for c in "xyz"), F.lit(0.0))
+    block = [F.floor(F.col(f"at.{c}") / F.lit(NEAR)).alias(f"c{c}") for c in "xyz"]
+    edges = pairs.join(a, "a").join(b, "b").select("a", "b", (1 - F.abs(dot)).alias("w"), F.when(dot < 0, -1).otherwise(1).alias("s"), *block)
+    signed = points.join(forest.signs(edges, ["cx", "cy", "cz"]), F.col("point_idx") == F.col("node"))
+    top = signed.groupBy("root").agg(F.max(F.struct("z", -F.col("point_idx"), (F.col("nz") * F.col("sign")).alias("up")))["up"].alias("up"))
+    turned = signed.join(top.select("root", F.when(F.col("up") < 0, -1).otherwise(1).alias("turn")), "root")
+    turn = F.col("sign") * F.col("turn")
     own = viewpoint_flip(points).withColumnsRenamed({f"n{c}": f"o{c}" for c in "xyz"})
-    met = own.join(signed.select("point_idx", "nx", "ny", "nz"), "point_idx", "left")
+    met = own.join(turned.select("point_idx", *[(x * turn).alias(f"n{c}") for x, c in zip(n, "xyz", strict=True)]), "point_idx", "left")
     return met.withColumns({f"n{c}": F.coalesce(f"n{c}", f"o{c}") for c in "xyz"}).drop("ox", "oy", "oz")

@@ -1,7 +1,6 @@
-"""Surface from oriented points: tangent-plane distances on a sparse grid, marched over tetrahedra.
+"""Triangles of a function given at grid nodes, marched over the six tetrahedra of each cube.
 
-This stands for the screened Poisson solver of the native toolkits; it is another method (Hoppe et al. 1992) and not
-equal to it bit by bit. Everything but the marching of single cubes is relational, so it scales with the occupied cells.
+Only the marching of single cubes is imperative; finding the cubes is relational and grows with those that the surface crosses.
 """
 
 from __future__ import annotations
@@ -14,26 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import grid
-
 #: Six tetrahedra around the diagonal of a cube; corner k is at bits (x, y, z) of k.
 TETRAHEDRA = [(0, 1, 3, 7), (0, 3, 2, 7), (0, 2, 6, 7), (0, 6, 4, 7), (0, 4, 5, 7), (0, 5, 1, 7)]
 TRIANGLES = "mesh_id string, " + ", ".join(f"{p}{c} double" for p in "abc" for c in "xyz") + ", density double, grey double"
 
 
-def corners(points: DataFrame, voxel: float) -> DataFrame:
-    """i, j, k, f, density, grey: grid corners around points, the signed distance to the nearest one's tangent plane, and how many points are near."""
-    side = F.sequence(F.lit(-1), F.lit(2))
-    at = points if "grey" in points.columns else points.withColumn("grey", F.lit(None).cast("double"))
-    for n, c in zip("ijk", "xyz", strict=True):
-        at = at.withColumn("o", F.explode(side)).withColumn(n, grid.cell(c, voxel) + F.col("o")).drop("o")
-    d = [F.col(n) * voxel - F.col(c) for n, c in zip("ijk", "xyz", strict=True)]
-    d2 = d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
-    f = d[0] * F.col("nx") + d[1] * F.col("ny") + d[2] * F.col("nz")
-    near = at.select("i", "j", "k", d2.alias("d2"), f.alias("f"), "point_idx", "grey").where(F.col("d2") <= (2 * voxel) ** 2)
-    return near.groupBy("i", "j", "k").agg(F.min_by("f", F.struct("d2", "point_idx")).alias("f"), F.count("*").alias("density"), F.min_by("grey", F.struct("d2", "point_idx")).alias("grey"))
-
-
 def cubes(corner: DataFrame) -> DataFrame:
     """i, j, k, f (of 8 corners), density, grey, for cubes with all corners and a change of sign."""
     offset = F.explode(F.array(*[F.struct(F.lit(k).alias("n"), F.lit(k & 1).alias("x"), F.lit(k >> 1 & 1).alias("y"), F.lit(k >> 2).alias("z")) for k in range(8)])).alias("o")
@@ -43,10 +27,12 @@ def cubes(corner: DataFrame) -> DataFrame:
     return whole.where("size(cs) = 8 and low < 0 and high >= 0").select("i", "j", "k", F.transform("cs", lambda c: c["f"]).alias("f"), "density", "grey")
 
 
-def _march(voxel: float, mesh_id: str):
+def _march(voxel: float, mesh_id: str, origin: tuple[float, float, float]):
     places = np.array([[k & 1, k >> 1 & 1, k >> 2] for k in range(8)], float)
 
     def cut(p, f, a, b):
+        # From the lesser corner on, so that all cubes around an edge find the same place on it.
+        a, b = min(a, b), max(a, b)
         t = f[:, a] / (f[:, a] - f[:, b])
         return p[:, a] + t[:, None] * (p[:, b] - p[:, a])
 
@@ -58,7 +44,7 @@ def _march(voxel: float, mesh_id: str):
             values, density = np.stack(frame["f"].to_numpy()), frame[["density", "grey"]].to_numpy(float)
             out, weight = [], []
             for tet in TETRAHEDRA:
-                p, f = (base[:, None, :] + places[list(tet)][None]) * voxel, values[:, list(tet)]
+                p, f = (base[:, None, :] + places[list(tet)][None]) * voxel + np.array(origin), values[:, list(tet)]
                 code = ((f < 0) * np.array([1, 2, 4, 8])).sum(axis=1)
                 for c in range(1, 15):
                     rows = np.flatnonzero(code == c)
@@ -90,7 +76,7 @@ def _march(voxel: float, mesh_id: str):
     return run
 
 
-def surface(points: DataFrame, voxel: float, mesh_id: str = "surface") -> DataFrame:
-    """Triangles with a density, and a grey where the points have one, from points with oriented normals (nx, ny, nz)."""
-    ship_package(points.sparkSession)
-    return cubes(corners(points, voxel)).mapInPandas(_march(voxel, mesh_id), TRIANGLES)
+def marched(cube: DataFrame, voxel: float, mesh_id: str = "surface", origin: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> DataFrame:
+    """Triangles of cubes, their lesser corners at origin + voxel * (i, j, k)."""
+    ship_package(cube.sparkSession)
+    return cube.mapInPandas(_march(voxel, mesh_id, origin), TRIANGLES)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import human_bytes
 from ..model import MeshConfig, ProfileConfig, SegmentConfig
-from ..operators import grid, knn, mesh, normals, planes, sample, stats, surface, voids
+from ..operators import grid, knn, mesh, normals, planes, poisson, sample, stats, voids
 from ..session import progress, written
 
 
@@ -55,7 +55,7 @@ def profile_report(points: DataFrame, header: dict | None = None, size: int | No
 def reconstruct(points: DataFrame, config: MeshConfig) -> tuple[DataFrame, DataFrame]:
     """Vertices with normals, density and (of points with an intensity) a grey, and triangles: crop and cap, recentre, downsample, outliers, normals, surface, trim.
 
-    The surface's cell is the cloud's extent by 2 to the depth, but not below two voxels, under which the downsampled points would leave holes.
+    The surface is the screened Poisson one, its cell the cloud's extent by 2 to the depth, but not below a voxel, since no two points are closer.
     """
     spark = points.sparkSession
     if config.crop_radius:
@@ -77,7 +77,7 @@ def reconstruct(points: DataFrame, config: MeshConfig) -> tuple[DataFrame, DataF
     progress(spark, f"{config.name}: surface")
     b = sample.bounds(thin)
     extent = max((b[f"max_{c}"] - b[f"min_{c}"] for c in "xyz"), default=0.0)
-    triangles = written(surface.surface(oriented, max(2 * config.voxel, 1.1 * extent / 2**config.depth)), "surface")
+    triangles = written(poisson.reconstruct(oriented, poisson.depth_of(extent, config.depth, config.voxel)), "surface")
     vertices, faces = mesh.indexed(triangles)
     corner = F.explode(F.array(*[F.struct(*[(F.col(f"{p}{c}") + 0.0).alias(c) for c in "xyz"]) for p in "abc"])).alias("v")
     of_place = triangles.select("density", "grey", corner).groupBy("v.x", "v.y", "v.z").agg(F.avg("density").alias("density"), F.avg("grey").alias("grey"))
