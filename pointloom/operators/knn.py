@@ -1,20 +1,24 @@
-"""Exact neighbours by equi-joins on grid cells that follow the density.
-
-Other points are searched within a radius, for which cells are two radii wide, so that the 8 cells nearest to a point hold
-all that is within it; a point is done when it has all its neighbours there. The first radius is chosen from the
-density (or given); cells with many points go on with half of it, each by itself, and a point that is not done with twice
-as much. Of points at one place only as many
-as can be neighbours are kept as targets, so a place of any number of points makes no more pairs than a few.
+"""Exact neighbours by blocks of space with a halo, searched in arrays.
+
+Other points are searched within a radius: a block holds its queries and all targets no farther than the radius from it, so one
+shuffle brings together what can be neighbours, and a task finds them with arrays sorted by cells of the radius. A point is
+done when it has all its neighbours within the radius. The first radius is chosen from the density (or given); crowded
+parts go on with half of it, each by itself, and a point that is not done with twice as much. Of points at one place only
+as many as can be neighbours are kept as targets, and a block with more than ``LOT`` targets is searched in slices,
+whose results are merged, so a task's arrays are bounded.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import ship_package, written
 from .grid import cell
 
 #: Sizes that are tried for the density, each half of the one before.
@@ -23,6 +27,10 @@ SIZES = 20
 LOOKED_AT = 50_000
 #: A cell with more targets than this, for one neighbour wanted, is divided.
 CROWD = 24
+#: The first radius, as a multiple of the one by density; side of a block in radii; its most targets; candidates held at once.
+WIDE, BLOCK, LOT, PAIRS = 1.5, 32, 500_000, 1 << 21
+FOUND = "q long, p long, x double, y double, z double, d2 double, rank int"
+_FOUND = pa.schema([("q", pa.int64()), ("p", pa.int64()), *[(c, pa.float64()) for c in ("x", "y", "z", "d2")], ("rank", pa.int32())])
 #: Cells are a little wider than two radii, so that rounding cannot put a third one within reach.
 WIDER = 1 + 1e-6
 
@@ -64,25 +72,88 @@ def _celled(points: DataFrame, radius: float) -> DataFrame:
     return points.withColumns({f"c{c}": cell(c, 2 * radius * WIDER) for c in "xyz"})
 
 
-def _met(queries: DataFrame, targets: DataFrame, radius: float) -> DataFrame:
-    """q, p, x, y, z, d2 for all pairs of different points at most ``radius`` apart; only the query side is copied, to 8 cells."""
-    query = queries
+def _blocks(rows: DataFrame, side: float, reach: float) -> DataFrame:
+    """Rows with the blocks (bx, by, bz) they lie in, or no farther than ``reach`` from."""
     for c in "xyz":
-        first = cell(F.col(c) - radius, 2 * radius * WIDER)
-        query = query.withColumn(f"c{c}", F.explode(F.array(first, first + 1)))
-    query = query.select(F.col("point_idx").alias("q"), *[F.col(c).alias(f"q{c}") for c in "xyz"], "cx", "cy", "cz")
-    d2 = reduce(lambda a, b: a + b, [(F.col(c) - F.col(f"q{c}")) * (F.col(c) - F.col(f"q{c}")) for c in "xyz"])
-    met = query.join(_celled(targets, radius), ["cx", "cy", "cz"]).where("p <> q").withColumn("d2", d2)
-    return met.where(F.col("d2") <= radius * radius).select("q", "p", *"xyz", "d2")
-
-
-def _ranked(met: DataFrame, k: int) -> DataFrame:
-    """The k nearest of each q, ties by p; both forms leave at most k rows of a q in each task before the shuffle."""
-    if k == 1:
-        best = met.groupBy("q").agg(F.min(F.struct("d2", "p", *"xyz")).alias("b"))
-        return best.select("q", *[F.col(f"b.{c}").alias(c) for c in ("p", "x", "y", "z", "d2")], F.lit(1).alias("rank"))
-    nearest = Window.partitionBy("q").orderBy("d2", "p")
-    return met.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
+        first, last = cell(F.col(c) - reach, side), cell(F.col(c) + reach, side)
+        rows = rows.withColumn(f"b{c}", F.explode(F.sequence(first, last)) if reach else first)
+    return rows
+
+
+def nearest(q: np.ndarray, at: np.ndarray, p: np.ndarray, to: np.ndarray, radius: float, k: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(query rows, target rows, squared distances, ranks) of the k nearest within the radius, some queries at a time. Targets are sorted by cells of the radius, so that those around a query are nine runs."""
+    size = radius * WIDER
+    low = np.minimum(at.min(0), to.min(0)) - size
+    shape = np.floor((np.maximum(at.max(0), to.max(0)) - low) / size).astype(np.int64) + 3
+    number = lambda c: (c[..., 0] * shape[1] + c[..., 1]) * shape[2] + c[..., 2]
+    key = number(np.floor((to - low) / size).astype(np.int64))
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    home = np.floor((at - low) / size).astype(np.int64)
+    first, last = [], []
+    for i in (-1, 0, 1):
+        for j in (-1, 0, 1):
+            c = number(home + (i, j, 0))
+            first.append(np.searchsorted(key, c - 1, "left"))
+            last.append(np.searchsorted(key, c + 1, "right"))
+    first, runs = np.stack(first, 1), np.stack(last, 1) - np.stack(first, 1)
+    ends = np.cumsum(runs.sum(1))
+    begin = 0
+    while begin < len(q):
+        # As many queries as make up to PAIRS candidates, one at least.
+        done = ends[begin - 1] if begin else 0
+        behind = max(begin + 1, int(np.searchsorted(ends, done + PAIRS, "right")))
+        n = runs[begin:behind].ravel()
+        starts = np.repeat(first[begin:behind].ravel() - np.r_[0, np.cumsum(n)[:-1]], n)
+        target = order[starts + np.arange(len(starts))]
+        query = np.repeat(np.arange(begin, behind), runs[begin:behind].sum(1))
+        d = to[target] - at[query]
+        d2 = d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2]
+        near = np.flatnonzero((d2 <= radius * radius) & (p[target] != q[query]))
+        query, target, d2 = query[near], target[near], d2[near]
+        sort = np.lexsort((p[target], d2, query))
+        query, target, d2 = query[sort], target[sort], d2[sort]
+        rank = np.arange(len(query)) - np.searchsorted(query, query, "left")
+        top = rank < k
+        yield query[top], target[top], d2[top], rank[top] + 1
+        begin = behind
+
+
+def _search(radius: float, k: int):
+    def run(queries: pa.Table, targets: pa.Table) -> pa.Table:
+        arrays = lambda t: (t["id"].to_numpy(), np.stack([t[c].to_numpy() for c in "xyz"], 1))
+        parts = []
+        if queries.num_rows and targets.num_rows:
+            (q, at), (p, to) = arrays(queries), arrays(targets)
+            for i, j, d2, rank in nearest(q, at, p, to, radius, k):
+                parts.append(pa.table([pa.array(x) for x in (q[i], p[j], to[j, 0], to[j, 1], to[j, 2], d2, rank.astype(np.int32))], schema=_FOUND))
+        return pa.concat_tables(parts) if parts else _FOUND.empty_table()
+
+    return run
+
+
+def _near(queries: DataFrame, targets: DataFrame, radius: float, k: int, few: bool) -> DataFrame:
+    """q, p, x, y, z, d2, rank: the k nearest other points of each query that are at most ``radius`` away, ties by p. ``few``: the queries are few, so only targets near them are sent."""
+    side = BLOCK * radius
+    keys = ["bx", "by", "bz"]
+    q = _blocks(queries.withColumnRenamed("point_idx", "id"), side, 0.0)
+    t = _blocks(targets.withColumnRenamed("p", "id"), side, radius * WIDER)
+    if few:
+        t = t.join(q.select(keys).distinct(), keys, "left_semi")
+    heavy = written(t.groupBy(keys).count().where(F.col("count") > LOT), "heavy-blocks")
+    split = not heavy.isEmpty()
+    if split:
+        # A block of more targets is searched in slices of them, each by all its queries.
+        slices = heavy.select(*keys, (F.col("count") / LOT + 1).cast("long").alias("slices"))
+        t = t.join(slices, keys, "left").withColumn("slice", F.pmod(F.xxhash64("id"), F.coalesce("slices", F.lit(1)))).drop("slices")
+        q = q.join(slices, keys, "left").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("slices", F.lit(1)) - 1))).drop("slices")
+        keys = [*keys, "slice"]
+    columns = [*keys, "id", *"xyz"]
+    met = q.select(columns).groupBy(keys).cogroup(t.select(columns).groupBy(keys)).applyInArrow(_search(radius, k), FOUND)
+    if not split:
+        return met
+    best = Window.partitionBy("q").orderBy("d2", "p")
+    return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 def _by_crowd(points: DataFrame, targets: DataFrame, radius: float, crowd: int) -> list[tuple[float, DataFrame]]:
@@ -104,7 +175,8 @@ def _others(points: DataFrame, k: int, radius: float | None, limit: float | None
     """q, p, x, y, z, d2, rank: the k nearest other points of every point, within ``limit`` if there is one."""
     points = written(points.select("point_idx", *"xyz"), "points")
     targets = _targets(points, k)
-    radius = radius or density_radius(targets.withColumnRenamed("p", "point_idx"), k)
+    ship_package(points.sparkSession)
+    radius = radius or WIDE * density_radius(targets.withColumnRenamed("p", "point_idx"), k)
     b = points.agg(*[(F.max(c) - F.min(c)).alias(c) for c in "xyz"]).first()
     extent = sum((v or 0.0) ** 2 for v in b) ** 0.5
     last = limit if limit is not None else max(extent, 1e-9) * 1.000001
@@ -115,7 +187,7 @@ def _others(points: DataFrame, k: int, radius: float | None, limit: float | None
         if begin:
             radius, more = begin.pop()
             left = more if left is None else left.unionByName(more)
-        found = written(_ranked(_met(left, targets, radius), k), "neighbours")
+        found = written(_near(left, targets, radius, k, bool(parts)), "neighbours")
         if radius >= last:
             parts.append(found)
             break

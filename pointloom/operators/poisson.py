@@ -31,7 +31,7 @@ NODES = BRICK + 2 * MARGIN + 1
 SCALE, SCREEN, AT_PLANE = 1.1, 4.0, 0.423
 KEYS = ["bi", "bj", "bk"]
 #: For the solver: where the residual has fallen to this share, or after so many steps.
-EXACT, STEPS = 1e-4, 200
+EXACT, STEPS = 1e-3, 200
 
 CHILDREN = "bi long, bj long, bk long, sampled boolean, low double, high double, weight double, total double, coarse binary"
 CORNERS = "i long, j long, k long, f double, w double, density double, grey double, lit double"
