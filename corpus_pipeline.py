@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointloom.llm import decontaminate, packing, pii, quality_rules, simhash
-from pointloom.session import drop_written, tables_written, written
+from pointloom.session import dropping, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,9 +53,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    before = tables_written(spark)
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
-        # What a stage was made from has been read; its result stays.
-        drop_written(spark, keep=before, last=1)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with dropping(spark) as drop:
+        for name, stage in STAGES[:-1]:
+            docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            # What a stage was made from has been read; its result stays.
+            drop(1)
+        return STAGES[-1][1](spark, docs, sf_dir)

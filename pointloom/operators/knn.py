@@ -132,16 +132,16 @@ def _search(radius: float, k: int):
     return run
 
 
-def _near(queries: DataFrame, targets: DataFrame, radius: float, k: int, few: bool) -> DataFrame:
-    """q, p, x, y, z, d2, rank: the k nearest other points of each query that are at most ``radius`` away, ties by p. ``few``: the queries are few, so only targets near them are sent."""
+def _near(queries: DataFrame, targets: DataFrame, radius: float, k: int, few: bool, many: bool) -> DataFrame:
+    """q, p, x, y, z, d2, rank: the k nearest other points of each query that are at most ``radius`` away, ties by p. ``few``: the queries are few, so only targets near them are sent; ``many``: there are more than ``LOT`` targets."""
     side = BLOCK * radius
     keys = ["bx", "by", "bz"]
     q = _blocks(queries.withColumnRenamed("point_idx", "id"), side, 0.0)
     t = _blocks(targets.withColumnRenamed("p", "id"), side, radius * WIDER)
     if few:
         t = t.join(q.select(keys).distinct(), keys, "left_semi")
-    heavy = written(t.groupBy(keys).count().where(F.col("count") > LOT), "heavy-blocks")
-    split = not heavy.isEmpty()
+    heavy = written(t.groupBy(keys).count().where(F.col("count") > LOT), "heavy-blocks") if many else None
+    split = heavy is not None and not heavy.isEmpty()
     if split:
         # A block of more targets is searched in slices of them, each by all its queries.
         slices = heavy.select(*keys, (F.col("count") / LOT + 1).cast("long").alias("slices"))
@@ -179,6 +179,7 @@ def _others(points: DataFrame, k: int, radius: float | None, limit: float | None
     radius = radius or WIDE * density_radius(targets.withColumnRenamed("p", "point_idx"), k)
     b = points.agg(*[(F.max(c) - F.min(c)).alias(c) for c in "xyz"]).first()
     extent = sum((v or 0.0) ** 2 for v in b) ** 0.5
+    many = targets.count() > LOT
     last = limit if limit is not None else max(extent, 1e-9) * 1.000001
     begin = _by_crowd(points, targets, min(radius, last), CROWD * max(1, k))
     parts: list[DataFrame] = []
@@ -187,7 +188,7 @@ def _others(points: DataFrame, k: int, radius: float | None, limit: float | None
         if begin:
             radius, more = begin.pop()
             left = more if left is None else left.unionByName(more)
-        found = written(_near(left, targets, radius, k, bool(parts)), "neighbours")
+        found = written(_near(left, targets, radius, k, bool(parts), many), "neighbours")
         if radius >= last:
             parts.append(found)
             break

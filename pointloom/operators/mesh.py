@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..model import Plane, SegmentConfig
-from ..session import written
+from ..session import joined, new_folder, remove, written
 from . import grid, planes
 from .quantiles import quantiles
 
@@ -71,8 +71,9 @@ def frames(rows: DataFrame) -> DataFrame:
 
 
 def indexed(triangles: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Vertices and triangles: equal places of a mesh are one vertex (ids by hash of the place), triangles with two equal corners go, and so do vertices that none uses."""
-    vid = lambda p: F.xxhash64("mesh_id", *[F.col(f"{p}{c}") + 0.0 for c in "xyz"])
+    """Vertices and triangles: equal places of a mesh are one vertex (ids are 128 bits of hash of the place, so that no two of 10**10 places share one), triangles with two equal corners go, and so do vertices that none uses."""
+    half = lambda p, seed: F.lpad(F.hex(F.xxhash64(F.lit(seed), "mesh_id", *[F.col(f"{p}{c}") + 0.0 for c in "xyz"])), 16, "0")
+    vid = lambda p: F.concat(half(p, 1), half(p, 2))
     t = triangles.select("*", *[vid(p).alias(p) for p in "abc"]).where("a <> b and b <> c and a <> c")
     corner = F.explode(F.array(*[F.struct(F.col(p).alias("vid"), *[(F.col(f"{p}{c}") + 0.0).alias(c) for c in "xyz"]) for p in "abc"])).alias("v")
     vertices = t.select("mesh_id", corner).select("mesh_id", "v.*").distinct()
@@ -168,26 +169,47 @@ def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
 
 def obj_lines(vertices: DataFrame, triangles: DataFrame) -> DataFrame:
     """section, place, line of an OBJ file: v lines (with a colour where vertices have a grey) and vn lines by vertex, then f lines; vertices may have nx, ny, nz."""
-    v = numbered(vertices, ["x", "y", "z", "vid"], "n")
+    return mesh_lines(vertices.withColumn("mesh_id", F.lit("")), triangles.withColumn("mesh_id", F.lit(""))).drop("mesh_id")
+
+
+def mesh_lines(vertices: DataFrame, triangles: DataFrame) -> DataFrame:
+    """mesh_id, section, place, line: as ``obj_lines``, of each mesh by itself; all meshes are numbered in one pass."""
+
+    def by_mesh(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+        placed = numbered(rows, ["mesh_id", *order], name)
+        before = placed.groupBy("mesh_id").agg((F.min(name) - 1).alias("_before"))
+        return placed.join(before, "mesh_id").withColumn(name, (F.col(name) - F.col("_before")).cast("long")).drop("_before")
+
+    v = written(by_mesh(vertices, ["x", "y", "z", "vid"], "n"), "numbered")
     text = lambda *cs: F.concat_ws(" ", *[F.format_string("%.6f", F.col(c) + 0.0) for c in cs])
     colour = F.when(F.col("grey").isNotNull(), F.concat(F.lit(" "), text("grey", "grey", "grey"))).otherwise("") if "grey" in vertices.columns else F.lit("")
-    parts = [v.select(F.lit(0).alias("section"), F.col("n").cast("long").alias("place"), F.concat(F.lit("v "), text(*"xyz"), colour).alias("line"))]
+    parts = [v.select("mesh_id", F.lit(0).alias("section"), F.col("n").alias("place"), F.concat(F.lit("v "), text(*"xyz"), colour).alias("line"))]
     if "nx" in vertices.columns:
-        parts.append(v.select(F.lit(1).alias("section"), F.col("n").cast("long").alias("place"), F.concat(F.lit("vn "), text("nx", "ny", "nz")).alias("line")))
+        parts.append(v.select("mesh_id", F.lit(1).alias("section"), F.col("n").alias("place"), F.concat(F.lit("vn "), text("nx", "ny", "nz")).alias("line")))
     t = triangles
     for p in "abc":
         t = t.join(v.select(F.col("vid").alias(p), F.col("n").alias(f"n{p}")), p)
     corner = (lambda p: F.concat(F.col(f"n{p}"), F.lit("//"), F.col(f"n{p}"))) if len(parts) > 1 else (lambda p: F.col(f"n{p}").cast("string"))
     face = F.concat(F.lit("f "), F.concat_ws(" ", *[corner(p) for p in "abc"]))
-    parts.append(numbered(t, ["na", "nb", "nc"], "nf").select(F.lit(2).alias("section"), F.col("nf").alias("place"), face.alias("line")))
+    parts.append(by_mesh(t, ["na", "nb", "nc"], "nf").select("mesh_id", F.lit(2).alias("section"), F.col("nf").alias("place"), face.alias("line")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+def write_objs(vertices: DataFrame, triangles: DataFrame, paths: dict[str, str]) -> None:
+    """An OBJ file for each mesh named in ``paths``, all in one pass: tasks write ranges of lines, which Spark commits, and the committed ranges are then joined byte by byte, so that no row passes the driver."""
+    spark = vertices.sparkSession
+    order = ["mesh_id", "section", "place"]
+    lines = mesh_lines(vertices, triangles).repartitionByRange(*order).sortWithinPartitions(*order)
+    folder = new_folder(spark, "obj")
+    lines.select("line", F.col("mesh_id").alias("mesh")).write.partitionBy("mesh").text(folder)
+    for name, path in paths.items():
+        joined(spark, f"{folder}/mesh={name}", path)
+    remove(spark, folder)
+
+
 def write_obj(vertices: DataFrame, triangles: DataFrame, path: str) -> None:
-    """One file, streamed through the driver row by row."""
-    with open(path, "w", encoding="ascii") as out:
-        for row in obj_lines(vertices, triangles).orderBy("section", "place").toLocalIterator():
-            out.write(row["line"] + "\n")
+    """One mesh as one file."""
+    write_objs(vertices.withColumn("mesh_id", F.lit("one")), triangles.withColumn("mesh_id", F.lit("one")), {"one": path})

@@ -161,34 +161,29 @@ def manifest(result: dict, config: SegmentConfig, files: dict[str, str] | None =
 
 
 def write_segmentation(result: dict, config: SegmentConfig, folder: str, parts: bool = False, misc: bool = False, frames: bool = False) -> dict:
-    """OBJ files with normals, and manifest.json, in a folder."""
+    """OBJ files with normals, and manifest.json, in a folder; each kind of mesh is computed once, and all files are written in one pass."""
     out = Path(folder)
-    out.mkdir(parents=True, exist_ok=True)
-    files: dict[str, str] = {}
-    totals: dict[str, int] = {}
-
-    def put(name: str, triangles: DataFrame | None, file: str) -> None:
-        """Write one mesh, if it has triangles left when it is cleaned."""
-        if triangles is None:
-            return
-        vertices, faces = mesh.finished(written(triangles, "mesh"))
-        totals[name] = faces.count()
-        if not totals[name]:
-            del totals[name]
-            return
-        (out / file).parent.mkdir(exist_ok=True)
-        mesh.write_obj(vertices, faces, str(out / file))
-        files[name] = file
-
-    put("combined", combined(result, misc, frames), "reconstructed.obj")
+    result = {**result, **{k: written(result[k], k) for k in (*ALWAYS, *ON_DEMAND) if result.get(k) is not None}}
+    whole = combined(result, misc, frames)
+    meshes = [whole] if whole is not None else []
     if parts:
-        for kind in ("walls", "grooves"):
-            names = result[kind].select("mesh_id").distinct().orderBy("mesh_id").collect() if result[kind] is not None else []
-            for row in names:
-                put(row["mesh_id"], result[kind].where(F.col("mesh_id") == row["mesh_id"]), f"{kind}/{row['mesh_id']}.obj")
-        put("misc_grooves", result["misc"], "grooves/misc_grooves.obj")
+        meshes += [result[k] for k in ("walls", "grooves", "misc") if result[k] is not None]
         both = [result[k] for k in ("grooves", "misc") if result[k] is not None]
-        put("grooves_all", mesh.combine(*both, mesh_id="grooves_all") if both else None, "grooves/grooves_all.obj")
+        meshes += [mesh.combine(*both, mesh_id="grooves_all")] if both else []
+    files: dict[str, str] = {}
+    totals: dict[str, int] = {}
+    if meshes:
+        everything = meshes[0]
+        for m in meshes[1:]:
+            everything = everything.unionByName(m)
+        vertices, faces = mesh.finished(written(everything, "meshes"))
+        # A row for each mesh that has triangles left when it is cleaned.
+        totals = {r["mesh_id"]: r["n"] for r in faces.groupBy("mesh_id").agg(F.count("*").alias("n")).collect()}
+        files = {name: "reconstructed.obj" if name == "combined" else f"{'grooves' if 'grooves' in name else 'walls'}/{name}.obj" for name in totals}
+        for file in files.values():
+            (out / file).parent.mkdir(parents=True, exist_ok=True)
+        mesh.write_objs(vertices, faces, {name: str(out / file) for name, file in files.items()})
+    out.mkdir(parents=True, exist_ok=True)
     data = manifest(result, config, files, totals)
     (out / "manifest.json").write_text(json.dumps(data, indent=2))
     return data

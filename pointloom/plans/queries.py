@@ -5,8 +5,6 @@ Doubles are rounded to 6 places on both sides; 0.0 is added so that no negative
 
 from __future__ import annotations
 
-import os
-import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -17,7 +15,7 @@ from ..functions import geometry as g
 from ..functions.text import elapsed, human_bytes
 from ..model import MeshConfig, Plane, SegmentConfig
 from ..operators import grid, knn, mesh, normals, planes, poisson, sample, stats, voids
-from ..session import shared_dir, written
+from ..session import new_folder, written
 from ..sources import las
 from ..sources.tables import ROOM_SQL, room
 from ..sources.tables import points as points_of
@@ -721,10 +719,8 @@ def segmentation(spark, sf_dir):
 
 
 def _las(spark, sf_dir) -> str:
-    """The room as a LAS file in the shared folder, where that is a local one."""
-    folder = shared_dir(spark).removeprefix("file://")
-    os.makedirs(folder, exist_ok=True)
-    path = f"{folder}/room-{uuid.uuid4().hex}.las"
+    """The room as LAS files in the shared folder."""
+    path = new_folder(spark, "room-las")
     las.write(room(spark, sf_dir), path)
     return path
 
@@ -747,19 +743,30 @@ def las_header(spark, sf_dir):
     return row.select("version", "format_id", "point_count", *_r("min_x", "max_z"), F.array_join("dims", ",").alias("dims"), "crs", "has_rgb", "has_gps_time")
 
 
-@query("select count(*) as points from (select * from room order by point_idx limit 1234)")
+@query(f"select row_number() over (order by point_idx) - 1 as point_idx, {_MM} from (select * from room order by point_idx limit 1234), (select min(x) as mx, min(y) as my, min(z) as mz from room)")
 def las_capped(spark, sf_dir):
-    """The first records of a file alone, and an error for a file that lacks some."""
-    whole, broken = _las(spark, sf_dir), _las(spark, sf_dir)
-    with open(broken, "r+b") as f:
-        f.truncate(os.path.getsize(broken) - 1)
+    """The first records alone, once a file that lacks some has been refused."""
+    whole = _las(spark, sf_dir)
+    cut = las.truncated_copy(whole, new_folder(spark, "cut") + ".las")
     try:
-        las.load(spark, broken)
+        las.load(spark, cut)
     except ValueError:
-        return las.load(spark, whole, rows=500, max_records=1_234).agg(F.count("*").alias("points"))
+        low = las.read_header(whole).minimum
+        places = [F.round((F.col(c) - m) / 0.001).cast("long").alias(c) for c, m in zip("xyz", low, strict=True)]
+        return las.load(spark, whole, rows=500, max_records=1_234).select("point_idx", *places)
     raise AssertionError("a truncated file was read")
 
 
+@query(f"select {_MM}, intensity from room, (select min(x) as mx, min(y) as my, min(z) as mz from room) where round((x - mx) / 0.001E0) * 0.001E0 + mx between 0.4995E0 and 1.4995E0 and round((z - mz) / 0.001E0) * 0.001E0 + mz <= 1.0005E0")
+def las_cropped(spark, sf_dir):
+    """Records within a box: files and ranges that do not meet it are not read, and only the columns asked for are decoded."""
+    path = _las(spark, sf_dir)
+    low = las.read_header(path).minimum
+    places = [F.round((F.col(c) - m) / 0.001).cast("long").alias(c) for c, m in zip("xyz", low, strict=True)]
+    rows = las.load(spark, path, rows=2_000, columns=[*"xyz", "intensity"])
+    return rows.where((F.col("x") >= 0.4995) & (F.col("x") <= 1.4995) & (F.col("z") <= 1.0005)).select(*places, "intensity")
+
+
 @query("select l_orderkey as point_idx, cast(l_quantity as double) as x, cast(l_discount as double) as y, 0.5E0 as z, l_linenumber as intensity, cast(null as int) as classification from lineitem")
 def table_points(spark, sf_dir):
     """Any table as points by a column mapping."""

@@ -10,6 +10,9 @@ import tempfile
 import time
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,31 +63,72 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else has."""
+    return f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back.
 
-    Unlike a cache, the table outlives executors; unlike a local checkpoint, any executor reads it. ``drop_written`` removes
-    a session's tables when their readers are done.
+    Unlike a cache, the table outlives executors; unlike a local checkpoint, any executor reads it. ``dropping`` removes
+    the tables that a block has made.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    spark.sparkContext.__dict__.setdefault("_pointloom_tables", []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_written(spark: SparkSession, keep: int = 0, last: int = 0) -> int:
-    """Remove the tables written so far but for the first ``keep`` and the ``last`` of them; how many there are now. For callers who have used up what they were made for."""
-    tables = spark.sparkContext.__dict__.setdefault("_pointloom_tables", [])
-    behind = max(keep, len(tables) - last)
-    java = spark._jvm.org.apache.hadoop.fs.Path
-    for path in tables[keep:behind]:
-        at = java(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    del tables[keep:behind]
-    return len(tables)
-
-
-def tables_written(spark: SparkSession) -> int:
-    """How many tables this session has written and not dropped."""
-    return len(spark.sparkContext.__dict__.setdefault("_pointloom_tables", []))
+    _MADE.get().append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    """Hadoop's file system and path of a path; one without a scheme is local."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path if "://" in path or path.startswith("file:") else "file://" + os.path.abspath(path))
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    system, at = _hadoop(spark, path)
+    system.delete(at, True)
+
+
+def joined(spark: SparkSession, folder: str, path: str) -> None:
+    """The committed part files of a folder, in order, as one file, which appears when it is whole; empty without parts."""
+    source, at = _hadoop(spark, folder)
+    target, new = _hadoop(spark, path + ".new")
+    _, done = _hadoop(spark, path)
+    parts = sorted((x.getPath() for x in source.listStatus(at)), key=lambda p: p.getName()) if source.exists(at) else []
+    if target.getScheme() == "file":
+        target.setWriteChecksum(False)
+    out = target.create(new, True)
+    for part in parts:
+        if part.getName().startswith("part-"):
+            stream = source.open(part)
+            spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, spark._jsc.hadoopConfiguration(), False)
+            stream.close()
+    out.close()
+    target.delete(done, False)
+    target.rename(new, done)
+
+
+_MADE: ContextVar[list[str]] = ContextVar("pointloom_tables", default=[])
+
+
+@contextmanager
+def dropping(spark: SparkSession) -> Iterator[Callable[[int], None]]:
+    """Tables made in this block, and by this thread alone, may be removed in it: a call removes all but the last ``n`` of them."""
+    made: list[str] = []
+    token = _MADE.set(made)
+
+    def drop(last: int = 0) -> None:
+        behind = max(0, len(made) - last)
+        for path in made[:behind]:
+            remove(spark, path)
+        del made[:behind]
+
+    try:
+        yield drop
+    finally:
+        outer = token.old_value
+        _MADE.reset(token)
+        if isinstance(outer, list):
+            outer.extend(made)

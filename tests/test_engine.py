@@ -337,11 +337,17 @@ def test_streamed_tiles_equal_the_batch(spark, tmp_path):
 def test_tables_go_and_clusters_need_a_folder(spark, tmp_path):
     from pointloom import session
 
-    keep = session.drop_written(spark, keep=len(getattr(spark.sparkContext, "_pointloom_tables", [])))
-    made = session.written(spark.range(3), "gone")
-    assert made.count() == 3 and session.drop_written(spark, keep) == keep
-    with pytest.raises(Exception, match="PATH_NOT_FOUND|not exist|does not exist"):
-        spark.read.parquet(made.inputFiles()[0]).count()
+    before = session.written(spark.range(2), "before")
+    with session.dropping(spark) as drop:
+        gone, stays = session.written(spark.range(3), "gone"), session.written(spark.range(4), "stays")
+        with session.dropping(spark) as inner:
+            own = session.written(spark.range(5), "own")
+            inner(1)
+            assert own.count() == 5
+        drop(2)
+        assert before.count() == 2 and stays.count() == 4 and own.count() == 5
+        with pytest.raises(Exception, match="PATH_NOT_FOUND|not exist|does not exist"):
+            spark.read.parquet(gone.inputFiles()[0]).count()
 
     class Context:
         master = "spark://host:7077"
