@@ -12,7 +12,9 @@ characters; sha256(key, type, attempt, round, other half) gives the shifts. Give
 the same list, that is of the same gender and script; other words of names keep their last letter, which carries
 gender in many languages. Domains are permuted likewise below a reserved ending; addresses keep valid octets; card
 numbers their first digit and IBANs their country, both with valid check digits if the original has valid ones; phone
-numbers keep their country code. Names without title are found behind a given name of the lists.
+numbers keep their country code. Names without title are found behind a given name of the lists. Particles (von, de la) and
+prefixes with an apostrophe (O', d') stay; initials are replaced like words. The permutation can be undone by whoever has the
+key, which therefore has no default.
 
 Collision check: the distinct entities of the whole table form a table of their own. Where two share a surrogate, or
 a surrogate is an original entity of its type, all but the first go on with the next attempt, until none is
@@ -27,15 +29,16 @@ from __future__ import annotations
 
 import hashlib
 import random
+import secrets
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import written
 from ._text import let
 
-# Titles by gender, given names by script and gender, letters by script and kind.
+# Titles by gender, given names by script and gender, particles, country codes, letters by script and kind.
 TITLES = {
     "m": ["Mr", "Herr", "Monsieur", "Señor", "Signor", "Господин"],
     "f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Señora", "Signora", "Госпожа"],
@@ -49,16 +52,27 @@ GIVEN = {
     ("cyrillic", "f"): "Алла Анна Вера Галина Дарья Екатерина Елена Ирина Мария Наталья Нина Ольга Полина Светлана Татьяна Юлия".split(),
     ("cyrillic", "n"): "Валя Женя Паша Саша Слава Шура".split(),
 }
+PARTICLES = "von van de der den la le del della di da du dos das el al bin ibn zu zum zur ter ten af av".split()
+#: Country codes of one and of two digits; all others have three.
+CODES = r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
 LETTERS = ["aeiouy", "bcdfghjklmnpqrstvwxz", "àáâãäåæèéêëìíîïòóôõöøùúûüý", "çñšžčćďłńňřśťź", "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "αεηιουω", "άέήίόύώ", "βγδζθκλμνξπρστφχψ"]
 DIGITS, LOWER, UPPER, HEX, MARKS = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef", "!#$%&()*+-./:<=>?@[]^_`{|}~"
 CYRILLIC = "абвгдежзиклмнопрстуфхцчшэюя"
 
+#: The setting that holds the key.
+SECRET = "spark.pointloom.pii.secret"
 #: Attempts in the format of the original; each further one makes it a character longer.
 SAME_FORMAT = 4
 ROUNDS = 4
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
-_TITLE = "(?:" + "|".join(t for ts in TITLES.values() for t in sorted(ts, key=len, reverse=True)) + ")"
+_TITLE = "(?:" + "|".join(sorted({x for ts in TITLES.values() for t in ts for x in (t, t.upper())}, key=lambda x: (-len(x), x))) + ")"
+_PARTICLE = "(?:" + "|".join(PARTICLES) + ")"
+# A word of a name: a capital and more letters, each with its marks, perhaps behind O' or d'; and what may stand in front of one.
+_NAME = r"(?:\p{L}{1,4}['’])?\p{Lu}\p{M}*[\p{L}\p{M}]+"
+_BEFORE = rf"(?:{_PARTICLE} |\p{{Lu}}\. ?)*"
+# Words that are replaced: not the particles, nor what stands before an apostrophe.
+_WORD = rf"(?<![\p{{L}}\p{{M}}])(?!{_PARTICLE}(?![\p{{L}}\p{{M}}])|\p{{L}}{{1,4}}['’]\p{{Lu}})[\p{{L}}\p{{M}}]+"
 _FIRST = "".join(sorted({t[0] for ts in TITLES.values() for t in ts}))
 
 
@@ -72,7 +86,7 @@ def _by_initial(names: list[str]) -> str:
 
 _GIVEN = _by_initial([x for xs in GIVEN.values() for x in xs])
 PATTERNS = {
-    "name": rf"(?<!\p{{L}})(?=\p{{Lu}}\p{{L}})(?:{_TITLE}\.? \p{{Lu}}\p{{L}}+(?:[ -]\p{{Lu}}\p{{L}}+){{0,2}}|{_GIVEN}(?:[ -]\p{{Lu}}\p{{L}}+){{1,2}})",
+    "name": rf"(?<!\p{{L}})(?=\p{{Lu}}\p{{L}})(?:{_TITLE}\.? {_BEFORE}{_NAME}(?:[ -]{_BEFORE}{_NAME}){{0,2}}|{_GIVEN}(?![\p{{L}}\p{{M}}])(?:[ -]{_BEFORE}{_NAME}){{1,2}})",
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "access_key": r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])",
     "iban": r"[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}| [A-Z0-9]{4}(?: (?=[A-Z]{0,3}\d)[A-Z0-9]{4}){2,6}(?: \d[A-Z0-9]{0,2})?)(?![0-9A-Za-z])",
@@ -86,7 +100,7 @@ PATTERNS = {
 #: Nothing begins inside a word, which the first test tells at most places.
 PATTERN = "(?<![0-9A-Za-z])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
 #: What a text must hold for any of the patterns to match; cheap to test.
-GATE = rf"[0-9@=:]|AKIA|[a-f]{{32}}|(?=[{_FIRST}]){_TITLE}\.? \p{{Lu}}|(?<!\p{{L}})(?=\p{{Lu}}\p{{L}}){_GIVEN}[ -]\p{{Lu}}"
+GATE = rf"[0-9@=:]|AKIA|[a-f]{{32}}|(?=[{_FIRST}]){_TITLE}\.? \p{{L}}|(?<!\p{{L}})(?=\p{{Lu}}\p{{L}}){_GIVEN}[ -]\p{{L}}"
 
 
 def found(text: Column) -> Column:
@@ -94,7 +108,7 @@ def found(text: Column) -> Column:
 
 
 def kind(m: Column) -> Column:
-    tests = {"email": "^[^@ ]+@[^@ ]+$", "access_key": "^AKIA[0-9A-Z]{16}$", "ip": rf"^{_OCTET}(?:\.{_OCTET}){{3}}$", "ssn": r"^\d{3}-\d{2}-\d{4}$", "phone": r"^(?:\+|\(\d{3}\)|\d{3}[.-]\d{3}[.-])[0-9 ().-]*$", "card": r"^[0-9 -]{13,19}$", "iban": r"^[A-Z]{2}\d{2} ?[A-Z0-9][A-Z0-9 ]{10,40}$", "name": r"^\p{Lu}\p{L}*\.?[ -]\p{Lu}[\p{L} -]*$"}
+    tests = {"email": "^[^@ ]+@[^@ ]+$", "access_key": "^AKIA[0-9A-Z]{16}$", "ip": rf"^{_OCTET}(?:\.{_OCTET}){{3}}$", "ssn": r"^\d{3}-\d{2}-\d{4}$", "phone": r"^(?:\+|\(\d{3}\)|\d{3}[.-]\d{3}[.-])[0-9 ().-]*$", "card": r"^[0-9 -]{13,19}$", "iban": r"^[A-Z]{2}\d{2} ?[A-Z0-9][A-Z0-9 ]{10,40}$", "name": r"^\p{Lu}[\p{L}\p{M}]*\.?[ -][\p{L}\p{M}.'’ -]*$"}
     out = F.when(m.rlike(tests.pop("email")), "email")
     for name, test in tests.items():
         out = out.when(m.rlike(test), name)
@@ -115,7 +129,7 @@ def _title(m: Column) -> Column:
 
 def _words(m: Column) -> Column:
     """The words of a name behind its title."""
-    return F.regexp_extract_all(F.substring(m, F.length(_title(m)) + 1, F.length(m)), F.lit(r"\p{L}+"), F.lit(0))
+    return F.regexp_extract_all(F.substring(m, F.length(_title(m)) + 1, F.length(m)), F.lit(_WORD), F.lit(0))
 
 
 def canonical(m: Column, k: Column) -> Column:
@@ -133,29 +147,21 @@ def entities_of(m: Column, k: Column) -> Column:
 # ---- permutations of format classes -------------------------------------------------------------
 
 
-def _shifted(c: Column, by: Column, alphabets: list[str]) -> Column:
+def _shifted(c: Column, by: Column, alphabets: Column) -> Column:
     """The character ``by`` places on in its alphabet, around its end; any other character as it is."""
-    line = "".join(alphabets)
+    own = F.get(F.filter(alphabets, lambda a: F.call_function("instr", a, c) > 0), F.lit(0))
+    return let(own, lambda a: F.when(a.isNull(), c).otherwise(F.substring(a, (F.pmod(F.call_function("instr", a, c) - 1 + by, F.length(a)) + 1).cast("int"), F.lit(1))))
 
-    def moved(place: Column) -> Column:
-        first, size, at = F.lit(0), F.lit(1), 0
-        for x in alphabets:
-            inside = place > at
-            first, size, at = F.when(inside, at).otherwise(first), F.when(inside, len(x)).otherwise(size), at + len(x)
-        return F.when(place == 0, c).otherwise(F.substring(F.lit(line), (first + F.pmod(place - 1 - first + by, size) + 1).cast("int"), F.lit(1)))
 
-    return let(F.call_function("instr", F.lit(line), c), moved)
-
-
-def _mixed(part: Column, other: Column, seed: Column, alphabets: list[str]) -> Column:
+def _mixed(part: Column, other: Column, seed: Column, alphabets: Column) -> Column:
     """Each character of a half shifted in its alphabet by what the seed and the other half tell."""
     chars = F.transform(F.sequence(F.lit(1), F.length(part)), lambda i: F.struct(F.substring(part, i, F.lit(1)).alias("c"), i.alias("i")))
     one = lambda h: F.array_join(F.transform(chars, lambda x: _shifted(x["c"], F.pmod(F.xxhash64(h, x["i"]), F.lit(1 << 30)).cast("int"), alphabets)), "")
     return F.when(part == "", part).otherwise(let(F.sha2(F.concat_ws("|", seed, other), 256), one))
 
 
-def permuted(value: Column, seed: Column, alphabets: list[str]) -> Column:
-    """A keyed permutation of all texts with the same kinds of characters at the same places: ``ROUNDS`` rounds of a Feistel network; an even number puts the halves back in place."""
+def permuted(value: Column, seed: Column, alphabets: Column) -> Column:
+    """A keyed permutation of all texts with the same kinds of characters (of an array of alphabets) at the same places: ``ROUNDS`` rounds of a Feistel network; an even number puts the halves back in place."""
 
     def run(v: Column) -> Column:
         half = F.floor(F.length(v) / 2).cast("int")
@@ -170,12 +176,6 @@ def _drawn(alphabet: str, seed: Column, at: Column) -> Column:
     return F.substring(F.lit(alphabet), (F.pmod(F.xxhash64(seed, at), F.lit(len(alphabet))) + 1).cast("int"), F.lit(1))
 
 
-def _grown(value: Column, seed: Column, more: Column, alphabet: str) -> Column:
-    """The value, and ``more`` characters drawn for it."""
-    tail = F.array_join(F.transform(F.sequence(F.lit(1), more), lambda i: _drawn(alphabet, F.concat_ws("|", seed, value), i)), "")
-    return F.when(more > 0, F.concat(value, tail)).otherwise(value)
-
-
 def _luhn(digits: Column) -> Column:
     """Check sum modulo 10 of a digit string, its last digit being the check digit."""
     n = F.length(digits)
@@ -188,13 +188,11 @@ def _luhn(digits: Column) -> Column:
     return F.pmod(F.aggregate(F.transform(F.sequence(F.lit(1), n), value), F.lit(0), lambda a, x: a + x), F.lit(10))
 
 
-def _card(digits: Column, seed: Column, more: Column) -> Column:
-    """First digit kept, the body permuted, and a check digit as far from the right one as the original's."""
-    body = lambda d: F.substring(d, F.lit(1), F.length(d) - 1)
+def _card(digits: Column, new: Column) -> Column:
+    """First digit kept, the new body, and a check digit as far from the right one as the original's."""
     right = lambda b: F.pmod(10 - _luhn(F.concat(b, F.lit("0"))), F.lit(10))
-    new = F.concat(F.substring(digits, F.lit(1), F.lit(1)), _grown(permuted(F.substring(body(digits), F.lit(2), F.length(digits)), seed, [DIGITS]), seed, more, DIGITS))
     last = F.substring(digits, -1, 1).cast("int")
-    return let(new, lambda b: F.concat(b, F.pmod(last - right(body(digits)) + right(b), F.lit(10)).cast("int").cast("string")))
+    return let(F.concat(F.substring(digits, F.lit(1), F.lit(1)), new), lambda b: F.concat(b, F.pmod(last - right(F.substring(digits, F.lit(1), F.length(digits) - 1)) + right(b), F.lit(10)).cast("int").cast("string")))
 
 
 def _mod97(text: Column) -> Column:
@@ -204,45 +202,15 @@ def _mod97(text: Column) -> Column:
     return F.aggregate(chars, F.lit(0), lambda a, v: ((a * F.when(v > 9, 100).otherwise(10) + v) % 97).cast("int"))
 
 
-def _iban(x: Column, seed: Column, more: Column) -> Column:
-    """Country kept, the account permuted, and check digits as far from the right ones as the original's."""
+def _iban(x: Column, new: Column) -> Column:
+    """Country kept, the new account, and check digits as far from the right ones as the original's."""
     country, check, account = F.substring(x, F.lit(1), F.lit(2)), F.substring(x, F.lit(3), F.lit(2)).cast("int"), F.substring(x, F.lit(5), F.length(x))
     right = lambda a: 98 - _mod97(F.concat(a, country, F.lit("00")))
-    new = _grown(permuted(account, seed, [DIGITS, UPPER]), seed, more, DIGITS)
     return let(new, lambda a: F.concat(country, F.lpad(F.pmod(check - right(account) + right(a), F.lit(100)).cast("int").cast("string"), 2, "0"), a))
 
 
-def _ip(x: Column, seed: Column, more: Column) -> Column:
-    digits = F.array_join(F.transform(F.split(x, r"\."), lambda o: F.lower(F.lpad(F.hex(o.cast("int")), 2, "0"))), "")
-    octet = lambda h: F.conv(h, 16, 10)
-    out = lambda h: F.array_join(F.transform(F.sequence(F.lit(1), F.length(h), F.lit(2)), lambda i: octet(F.substring(h, i, F.lit(2)))), ".")
-    return let(_grown(permuted(digits, seed, [HEX]), seed, 2 * more, HEX), out)
-
-
-def _domain(d: Column, key: str) -> Column:
-    """Labels permuted, below a reserved ending that tells all the rest, so that different domains differ."""
-    reserved = F.regexp_extract(d, r"\.example\.(?:com|net|org)$", 0)
-    top = F.substring_index(d, ".", -1)
-    mine = F.when(reserved != "", F.substring(d, F.lit(1), F.length(d) - F.length(reserved))).otherwise(F.substring(d, F.lit(1), F.length(d) - F.length(top) - 1))
-    end = F.when(reserved != "", reserved).otherwise(F.concat(F.lit("."), top, F.lit(".example")))
-    return F.concat(permuted(mine, F.lit(f"{key}|domain"), [DIGITS, LOWER]), end)
-
-
-def _email(x: Column, seed: Column, more: Column, key: str) -> Column:
-    local, domain = F.substring_index(x, "@", 1), F.substring_index(x, "@", -1)
-    mine = F.concat_ws("|", seed, domain)
-    return F.concat(_grown(permuted(local, mine, [DIGITS, LOWER]), mine, more, LOWER), F.lit("@"), _domain(domain, key))
-
-
-def _secret(x: Column, seed: Column, more: Column) -> Column:
-    is_hex = lambda v: v.rlike("^[0-9a-f]+$") & v.rlike("[a-f]")
-    # Walks on while it has lost its letters, so that hex goes to hex one to one.
-    walked = F.aggregate(F.sequence(F.lit(1), F.lit(8)), permuted(x, seed, [HEX]), lambda s, i: F.when(is_hex(s), s).otherwise(permuted(s, seed, [HEX])))
-    # Letters beyond ASCII have no alphabet here: they are drawn, and the collision check parts what meets.
-    draw = lambda v, i: F.when(F.substring(v, i, F.lit(1)).rlike(r"\p{IsCyrillic}"), _drawn(CYRILLIC, F.concat_ws("|", seed, x), i)).when(F.substring(v, i, F.lit(1)).rlike(r"[^\x00-\x7F]"), _drawn(LOWER, F.concat_ws("|", seed, x), i)).otherwise(F.substring(v, i, F.lit(1)))
-    own = permuted(x, seed, [DIGITS, LOWER, UPPER, MARKS])
-    foreign = let(own, lambda v: F.array_join(F.transform(F.sequence(F.lit(1), F.length(v)), lambda i: draw(v, i)), ""))
-    return _grown(F.when(is_hex(x), walked).when(x.rlike(r"[^\x00-\x7F]"), foreign).otherwise(own), seed, more, HEX)
+def _is_hex(v: Column) -> Column:
+    return v.rlike("^[0-9a-f]+$") & v.rlike("[a-f]")
 
 
 def _given(key: str) -> dict[str, str]:
@@ -262,29 +230,55 @@ def is_given(word: Column) -> Column:
     return word.isin(sorted(_GIVEN_WORDS))
 
 
-def _word(x: Column, seed: Column, more: Column, key: str) -> Column:
-    """A word of a name: given names of the lists by the lists; all others letter by letter but for the last."""
-    pairs = F.create_map(*[F.lit(v) for pair in sorted(_given(key).items()) for v in pair])
-    # Letters of other scripts have no alphabet here: the last resort is a word drawn in Latin letters.
-    own = F.when(F.length(x) > 3, F.concat(permuted(F.substring(x, F.lit(1), F.length(x) - 1), seed, LETTERS), F.substring(x, -1, 1))).otherwise(permuted(x, seed, LETTERS))
-    drawn = F.array_join(F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: _drawn(LOWER, F.concat_ws("|", seed, x), i)), "")
-    tail = F.when(x.rlike(r"\p{IsCyrillic}"), _grown(own, seed, more, CYRILLIC)).otherwise(_grown(own, seed, more, LOWER))
-    known = "[" + "".join(LETTERS) + "]"
-    return F.when(is_given(x), F.element_at(pairs, x)).when(x.rlike(known), tail).otherwise(_grown(drawn, seed, more, LOWER))
-
-
 def twin(x: Column, k: Column, attempt: Column, key: str) -> Column:
-    """The surrogate of a canonical entity, itself canonical."""
+    """The surrogate of a canonical entity, itself canonical. What is to be permuted is laid out by kind first, so that the permutation is one expression for all kinds."""
+    pairs = F.create_map(*[F.lit(v) for pair in sorted(_given(key).items()) for v in pair])
+    sets = lambda *a: F.array(*map(F.lit, a))
+    behind = lambda v, n: F.substring(v, n + 1 if isinstance(n, Column) else F.lit(n + 1), F.length(v))
+    length = F.length(x)
+    code = F.length(F.regexp_extract(x, rf"^\+(?:{CODES}|\d{{1,3}})", 0))
+    domain = F.substring_index(x, "@", -1)
+    # Domains lie below a reserved ending that tells all the rest, so that different domains differ.
+    reserved, top = F.regexp_extract(domain, r"\.example\.(?:com|net|org)$", 0), F.substring_index(domain, ".", -1)
+    label = F.when(reserved != "", F.substring(domain, F.lit(1), F.length(domain) - F.length(reserved))).otherwise(F.substring(domain, F.lit(1), F.length(domain) - F.length(top) - 1))
+    end = F.when(reserved != "", reserved).otherwise(F.concat(F.lit("."), top, F.lit(".example")))
+    bytes_ = F.array_join(F.transform(F.split(x, r"\."), lambda o: F.lower(F.lpad(F.hex(o.cast("int")), 2, "0"))), "")
+    cut = F.when(length > 3, length - 1).otherwise(length)
+    body = (
+        F.when(k == "email", F.substring_index(x, "@", 1)).when(k == "name", F.substring(x, F.lit(1), cut)).when(k == "ip", F.when(k == "ip", bytes_)).when(k == "card", F.substring(x, F.lit(2), length - 2))
+        .when(k.isin("iban", "access_key"), behind(x, 4)).when(k == "phone", behind(x, code)).otherwise(x)
+    )
+    alphabets = (
+        F.when(k == "email", sets(DIGITS, LOWER)).when(k == "name", sets(*LETTERS)).when((k == "ip") | ((k == "secret") & _is_hex(x)), sets(HEX)).when(k.isin("iban", "access_key"), sets(DIGITS, UPPER))
+        .when(k == "secret", sets(DIGITS, LOWER, UPPER, MARKS)).otherwise(sets(DIGITS))
+    )
 
     def of(seed: Column) -> Column:
         more = F.greatest(F.lit(0), attempt - (SAME_FORMAT - 1)).cast("int")
-        code = F.when(x.rlike(r"^\+[17]"), 2).otherwise(3)
-        phone = F.concat(F.substring(x, F.lit(1), code), _grown(permuted(F.substring(x, code + 1, F.length(x)), seed, [DIGITS]), seed, more, DIGITS))
-        access = F.concat(F.lit("AKIA"), _grown(permuted(F.substring(x, F.lit(5), F.length(x)), seed, [DIGITS, UPPER]), seed, more, UPPER))
-        return (
-            F.when(k == "email", _email(x, seed, more, key)).when(k == "name", _word(x, seed, more, key)).when(k == "ip", _ip(x, seed, more)).when(k == "card", _card(x, seed, more))
-            .when(k == "iban", _iban(x, seed, more)).when(k == "phone", phone).when(k == "access_key", access).when(k == "ssn", _grown(permuted(x, seed, [DIGITS]), seed, more, DIGITS)).otherwise(_secret(x, seed, more))
-        )
+        mine = F.when(k == "email", F.concat_ws("|", seed, domain)).otherwise(seed)
+        part = lambda v, s, a: F.struct(v.alias("v"), s.alias("s"), a.alias("a"))
+        parts = F.when(k == "email", F.array(part(body, mine, alphabets), part(label, F.lit(f"{key}|domain"), alphabets))).otherwise(F.array(part(body, mine, alphabets)))
+        # Hex walks on while it has lost its letters, so that hex goes to hex one to one.
+        walks = (k == "secret") & _is_hex(x)
+        done = F.transform(parts, lambda p: F.aggregate(F.sequence(F.lit(1), F.lit(9)), p["v"], lambda v, i: F.when((i == 1) | (walks & ~_is_hex(v)), permuted(v, p["s"], p["a"])).otherwise(v)))
+
+        def finished(r: Column) -> Column:
+            first = F.get(r, F.lit(0))
+            # Letters without an alphabet here are drawn, and the collision check parts what meets.
+            drawn = lambda v, all_of: F.array_join(F.transform(F.sequence(F.lit(1), F.length(v)), lambda i: F.when(F.substring(v, i, F.lit(1)).rlike(r"\p{IsCyrillic}"), _drawn(CYRILLIC, F.concat_ws("|", seed, x), i)).when(all_of | F.substring(v, i, F.lit(1)).rlike(r"[^\x00-\x7F]"), _drawn(LOWER, F.concat_ws("|", seed, x), i)).otherwise(F.substring(v, i, F.lit(1)))), "")
+            known = "[" + "".join(LETTERS) + "]"
+            foreign = ((k == "name") & ~x.rlike(known)) | ((k == "secret") & x.rlike(r"[^\x00-\x7F]"))
+            word = F.when(foreign, drawn(F.when(k == "name", x).otherwise(first), k == "name")).when((k == "name") & (length > 3), F.concat(first, F.substring(x, -1, 1))).otherwise(first)
+            letters = F.when((k == "name") & x.rlike(r"\p{IsCyrillic}"), CYRILLIC).when(k.isin("name", "email"), LOWER).when(k == "access_key", UPPER).when(k.isin("ip", "secret"), HEX).otherwise(DIGITS)
+            tail = F.array_join(F.transform(F.sequence(F.lit(1), F.when(k == "ip", 2 * more).otherwise(more)), lambda i: F.substring(letters, (F.pmod(F.xxhash64(F.concat_ws("|", mine, word), i), F.length(letters)) + 1).cast("int"), F.lit(1))), "")
+            new = F.when(more > 0, F.concat(word, tail)).otherwise(word)
+            octets = lambda h: F.array_join(F.transform(F.sequence(F.lit(1), F.length(h), F.lit(2)), lambda i: F.conv(F.substring(h, i, F.lit(2)), 16, 10)), ".")
+            return let(new, lambda n: (
+                F.when(k == "email", F.concat(n, F.lit("@"), F.get(r, F.lit(1)), end)).when((k == "name") & is_given(x), F.element_at(pairs, x)).when(k == "ip", octets(n)).when(k == "card", _card(x, n))
+                .when(k == "iban", _iban(x, n)).when(k == "phone", F.concat(F.substring(x, F.lit(1), code), n)).when(k == "access_key", F.concat(F.substring(x, F.lit(1), F.lit(4)), n)).otherwise(n)
+            ))
+
+        return let(done, finished)
 
     return let(F.concat_ws("|", F.lit(key), k, attempt.cast("string")), of)
 
@@ -315,7 +309,7 @@ def spelled(m: Column, k: Column, twins: Column) -> Column:
     first = F.get(twins, F.lit(0))
     national = F.when((k == "phone") & ~m.startswith("+"), 1).otherwise(0)
     behind = F.substring(m, F.length(_title(m)) + 1, F.length(m))
-    names = F.zip_with(F.zip_with(_words(m), twins, lambda w, t: _cased(t, w)), F.split(behind, r"\p{L}+", -1), lambda a, b: F.concat(b, F.coalesce(a, F.lit(""))))
+    names = F.zip_with(F.zip_with(_words(m), twins, lambda w, t: _cased(t, w)), F.split(behind, _WORD, -1), lambda a, b: F.concat(b, F.coalesce(a, F.lit(""))))
     # The text before the first word is empty, so piece j stands before word j.
     return (
         F.when(k == "name", F.concat(_title(m), F.array_join(names, ""))).when(k == "email", F.concat(_cased(F.substring_index(first, "@", 1), F.substring_index(m, "@", 1)), F.lit("@"), F.substring_index(first, "@", -1)))
@@ -360,8 +354,19 @@ def resolve(known: DataFrame, draw: Draw) -> DataFrame:
             return accepted
 
 
-def pseudonymise(docs: DataFrame, key: str = "pointloom", draw: Draw | None = None, count: str | None = "n_entities") -> DataFrame:
+def key_of(spark: SparkSession) -> str:
+    """The secret of the configuration (``spark.pointloom.pii.secret``), or else one drawn for this session, with which nothing can be undone or repeated later."""
+    context = spark.sparkContext
+    given = spark.conf.get(SECRET, None)
+    if not given:
+        given = context.__dict__.setdefault("_pointloom_pii_key", secrets.token_hex(32))
+    return given
+
+
+def pseudonymise(docs: DataFrame, key: str, draw: Draw | None = None, count: str | None = "n_entities") -> DataFrame:
     """docs with the entities in ``text`` replaced; other columns stay. The number of matches goes to a column ``count`` (with ``_`` behind it as often as it is taken); none if that is None."""
+    if not key:
+        raise ValueError("surrogates need a secret key")
     draw = draw or (lambda x, k, attempt: twin(x, k, attempt, key))
     taken = {c.lower() for c in docs.columns}
     while count and count.lower() in taken:

@@ -19,7 +19,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pii.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), pii.key_of(spark))
 
 
 def op3_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,7 +158,8 @@ d as materialized (
   select row_id * 2 + copy as row_id, conv_id, turn, case when lot = 4 then 'user' else role end as role, case lot when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
   from (select *, unnest(case when lot = 3 then [0, 1] else [0] end) as copy from lots where lot <> 0)),
 seen as (
-  select *, row_number() over (partition by conv_id order by turn nulls first, role, text, row_id) as place, regexp_replace(text, '[ 	-]+$', '') as bare,
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, text, row_id) as place, regexp_replace(text, '[ 	-
+]+$', '') as bare,
     row_number() over (partition by conv_id, role, text order by turn nulls first, row_id) as again from d),
 faults as (select *, case when bare = '' then 'blank' when again > 1 then 'duplicate' when right(bare, 1) not in ('.', '!', '?') then 'truncated' else '' end as fault, left(role, 1) as i from seen),
 pairs as (select *, place > 1 and lag(i) over (partition by conv_id order by place) || i not in ('su', 'ua', 'au') as odd from faults),
