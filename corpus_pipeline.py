@@ -36,7 +36,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data are replaced, and n_chars follows."""
-    done = pii.pseudonymise(docs, count=None)
+    done = pii.pseudonymise(docs, pii.key_of(spark), count=None)
     return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in done.columns else done
 
 
