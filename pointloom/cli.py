@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import argparse
 import logging
-import os
 
 from pyspark.sql import SparkSession
 
@@ -35,7 +34,7 @@ def main(argv: list[str] | None = None) -> None:
     if args.command == "profile":
         scan = not args.input.endswith(".parquet")
         header = las.header_frame(spark, args.input).first().asDict() if scan else None
-        print("\n".join([f"File: {args.input}", *pipelines.profile_report(points, header, os.path.getsize(args.input) if scan else None)]))
+        print("\n".join([args.input, *pipelines.profile_report(points, header, las.size(args.input) if scan else None)]))
     elif args.command == "mesh":
         mesh.write_obj(*pipelines.reconstruct(points, PRESETS[args.preset]), args.output)
     else:

@@ -92,10 +92,17 @@ def vertex_normals(triangles: DataFrame) -> DataFrame:
     return sums.select("mesh_id", "v.*", *[F.when(size > 0, F.col(f"n{c}") / size).otherwise(0.0).alias(f"n{c}") for c in "xyz"])
 
 
+#: Side of the squares by which rectangles meet openings, in metres.
+SQUARE = 1.0
+
+
 def outside_openings(rects: DataFrame, openings: DataFrame) -> DataFrame:
-    """Rectangles (wall_id, cu, cv) whose centre lies in no opening of their wall, edges included."""
+    """Rectangles (wall_id, cu, cv) whose centre lies in no opening of their wall, edges included. Openings are copied to the squares that they touch, so a centre meets those of its own square only."""
     o = openings.select(F.col("wall_id").alias("o_wall"), *[F.col(c).alias(f"o_{c}") for c in ("u_min", "u_max", "v_min", "v_max")])
-    inside = (F.col("wall_id") == F.col("o_wall")) & F.col("cu").between(F.col("o_u_min"), F.col("o_u_max")) & F.col("cv").between(F.col("o_v_min"), F.col("o_v_max"))
+    for c in "uv":
+        o = o.withColumn(f"o_square_{c}", F.explode(F.sequence(grid.cell(f"o_{c}_min", SQUARE), grid.cell(f"o_{c}_max", SQUARE))))
+    square = (grid.cell("cu", SQUARE) == F.col("o_square_u")) & (grid.cell("cv", SQUARE) == F.col("o_square_v"))
+    inside = (F.col("wall_id") == F.col("o_wall")) & square & F.col("cu").between(F.col("o_u_min"), F.col("o_u_max")) & F.col("cv").between(F.col("o_v_min"), F.col("o_v_max"))
     return rects.join(o, inside, "left_anti")
 
 

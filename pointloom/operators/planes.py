@@ -161,14 +161,26 @@ def sampled(sample: np.ndarray, planes: list[Plane], distance: float) -> np.ndar
     return (np.abs(sample @ unit[:, :3].T + unit[:, 3]) < distance).sum(axis=0)
 
 
+def _sample(points: DataFrame, n: int, seed: int) -> np.ndarray:
+    """Places of the ``SAMPLE`` points of the least hashes (ties by place); rows with larger hashes stay in their tasks, whatever their number."""
+    bound = (SAMPLE + 6 * SAMPLE**0.5) / max(n, 1)
+    while True:
+        hashed = points.select(F.xxhash64("point_idx", F.lit(seed)).alias("h"), *"xyz")
+        some = hashed.where(F.col("h") < int(min(bound, 1.0) * 2**64) - 2**63) if bound < 1 else hashed
+        rows = some.toPandas().sort_values(["h", *"xyz"]).head(SAMPLE)
+        if len(rows) >= SAMPLE or bound >= 1:
+            return rows[[*"xyz"]].to_numpy(np.float64)
+        bound *= 2
+
+
 def extract_planes(points: DataFrame, config: SegmentConfig) -> Extraction:
     """Peel planes off the cloud: seeded candidates from a sample of what is left, tried there, the best counted again on all of it, inliers refined and routed.
 
-    The cloud is written once and only read after that: what is left are the points near none of the planes taken so far. Rows get their plane and role in one projection at the end.
+    The cloud is written once, and what is left of it again when that has halved; in between, what is left are the points near none of the planes taken so far. Rows get their plane and role in one projection at the end.
     Roles: floor, oblique, dropped (flat points of a plane too small for a wall), wall, groove, residual.
     """
     cloud = written(points.select("point_idx", *"xyz"), "cloud")
-    total = remaining = cloud.count()
+    total = remaining = stored = cloud.count()
     taken: list[tuple[Column, Column, Column, Column]] = []  # inside, plane_no, role, wall_id
     left = cloud
     walls: list[Plane] = []
@@ -178,8 +190,7 @@ def extract_planes(points: DataFrame, config: SegmentConfig) -> Extraction:
         if remaining < max(3, config.min_plane):
             break
         progress(cloud.sparkSession, f"plane {number}: {remaining} points left")
-        rows = left.select(*"xyz", F.xxhash64("point_idx", F.lit(config.seed + number)).alias("h")).orderBy("h").limit(SAMPLE).select(*"xyz").toPandas()
-        sample = rows.to_numpy(np.float64)
+        sample = _sample(left, remaining, config.seed + number)
         tried = candidates(sample, config.candidates, config.seed + number)
         if not tried:
             break
@@ -197,7 +208,7 @@ def extract_planes(points: DataFrame, config: SegmentConfig) -> Extraction:
         flat, groove, mean_z = left.where(inside).select(band.alias("band"), "z").agg(F.count_if(F.col("band") == "wall"), F.count_if(F.col("band") == "groove"), F.avg("z")).first()
         turn = abs(plane.unit[2])
         kind = "floor" if turn > config.floor_nz else "oblique" if turn >= config.wall_nz else "wall" if flat >= config.min_plane else "small"
-        wall_id = len(walls) if kind == "wall" else None
+        wall_id = len(walls) + 1 if kind == "wall" else None
         if kind == "wall":
             walls.append(Plane(wall_id, *plane.unit))
         if kind == "floor":
@@ -206,6 +217,9 @@ def extract_planes(points: DataFrame, config: SegmentConfig) -> Extraction:
         log.append({"plane_no": number, "kind": kind, "inliers": inliers, "flat": flat, "groove": groove, "mean_z": mean_z, "plane": plane.unit})
         left = left.where(~inside)
         remaining -= inliers
+        if 2 * remaining < stored:
+            # What is read next shrinks with what is left.
+            left, stored = written(left, "left"), remaining
     floor = min(floors, key=lambda f: (f[0], f[1])) if floors else None
     return Extraction(walls, floor[2].unit if floor else None, floor[0] if floor else None, written(_tagged(cloud, taken), "planes"), log)
 

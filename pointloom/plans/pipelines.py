@@ -28,28 +28,30 @@ def profile(points: DataFrame, config: ProfileConfig = ProfileConfig()) -> dict[
 
 
 def profile_report(points: DataFrame, header: dict | None = None, size: int | None = None, config: ProfileConfig = ProfileConfig()) -> list[str]:
-    """The profile as lines of text: header (of a LAS file), attributes, spacing and what it means."""
-    found = {k: v for k, v in profile(points, config).items()}
-    one = {k: found[k].first().asDict() for k in ("extent", "intensity", "rgb", "sampled", "spacing")}
-    spark = points.sparkSession
-    lines = [] if size is None else ["Size: " + spark.range(1).select(human_bytes(F.lit(size))).first()[0]]
-    e = one["extent"]
-    triple = lambda n: "[" + " ".join(f"{e[f'{n}_{c}']:.3f}" for c in "xyz") + "]" if e["min_x"] is not None else "none"
-    if header:
-        lines += ["--- Header ---", f"LAS version: {header['version']}", f"Point format: {header['format_id']}", f"Point count: {header['point_count']:,}", f"Available dimensions: {', '.join(header['dims'])}", f"CRS: {header['crs']}"]
-    lines += [f"Bounding box min: {triple('min')}", f"Bounding box max: {triple('max')}", f"Extent (X,Y,Z) meters: {triple('extent')}", f"--- Sampled {one['sampled']['sampled']:,} / {one['sampled']['points']:,} points for spacing analysis ---", "--- Available data / attributes ---"]
-    rgb, grey, s = one["rgb"], one["intensity"], one["spacing"]
+    """The profile as a table of names and values: spacing first, as what a scan is judged by, then extent, what its points carry, and the file."""
+    found = profile(points, config)
+    spacing, box, grey, rgb, counted = (found[k].first().asDict() for k in ("spacing", "extent", "intensity", "rgb", "sampled"))
     has = lambda name: header is None or header[name]
-    lines.append("RGB color: " + ("yes (range " + " ".join(f"{c[0].upper()}:{rgb[f'min_{c}']}-{rgb[f'max_{c}']}" for c in ("red", "green", "blue")) + ")" if has("has_rgb") and rgb["min_red"] is not None else "no"))
-    lines.append("Intensity: " + (f"yes (range {grey['min_intensity']}-{grey['max_intensity']}, mean {grey['mean_intensity']:.1f})" if grey["min_intensity"] is not None else "no"))
+    rows: list[tuple[str, str]] = [("points", f"{counted['points']}"), ("measured for spacing", f"{counted['sampled']}")]
+    if spacing["median_mm"] is not None:
+        rows += [(f"spacing {name}", f"{spacing[f'{name}_mm']:.2f} mm") for name in ("median", "mean", "p90")]
+        rows.append(("smallest relief to expect", f"{spacing['resolvable_mm']:.1f} mm"))
+    for c in "xyz":
+        if box[f"min_{c}"] is not None:
+            rows.append((c, f"{box[f'min_{c}']:.3f} .. {box[f'max_{c}']:.3f} ({box[f'extent_{c}']:.3f} m)"))
+    if has("has_rgb") and rgb["min_red"] is not None:
+        rows += [(c, f"{rgb[f'min_{c}']} .. {rgb[f'max_{c}']}") for c in ("red", "green", "blue")]
+    if grey["min_intensity"] is not None:
+        rows.append(("intensity", f"{grey['min_intensity']} .. {grey['max_intensity']}, on average {grey['mean_intensity']:.1f}"))
+    # At most 256 codes.
+    for r in found["classes"].where("classification is not null").orderBy("classification").collect():
+        rows.append((f"class {r['classification']}", f"{r['points']}"))
     if header:
-        lines.append("GPS time (per-point timestamps): " + ("yes" if header["has_gps_time"] else "no"))
-    classes = {r["classification"]: r["points"] for r in found["classes"].collect()}  # at most 256 codes
-    lines.append("Classification: no per-point classification field" if set(classes) <= {None} else f"Classification codes present: {dict(sorted(classes.items(), key=lambda x: (x[0] is None, x[0] or 0)))}")
-    if s["median_mm"] is not None:
-        lines += ["--- Point spacing (resolution) analysis ---", f"Median nearest-neighbor spacing: {s['median_mm']:.2f} mm", f"Mean nearest-neighbor spacing: {s['mean_mm']:.2f} mm", f"90th percentile spacing: {s['p90_mm']:.2f} mm"]
-        lines += ["--- Interpretation ---", f"Grooves and ledges from about {s['resolvable_mm']:.1f} mm on (3 median spacings) can be told in the cloud; narrower relief is under-sampled."]
-    return lines
+        rows += [("file", f"LAS {header['version']}, format {header['format_id']}, {header['point_count']} records"), ("fields", " ".join(header["dims"])), ("reference system", header["crs"]), ("time stamps", "each point" if header["has_gps_time"] else "none")]
+    if size is not None:
+        rows.append(("size", points.sparkSession.range(1).select(human_bytes(F.lit(size))).first()[0]))
+    wide = max(len(name) for name, _ in rows)
+    return [f"{name.ljust(wide)}  {value}" for name, value in rows]
 
 
 def reconstruct(points: DataFrame, config: MeshConfig) -> tuple[DataFrame, DataFrame]:
@@ -87,7 +89,7 @@ def reconstruct(points: DataFrame, config: MeshConfig) -> tuple[DataFrame, DataF
 
 
 def segment(points: DataFrame, config: SegmentConfig = SegmentConfig(), downsample: bool = True) -> dict:
-    """Walls, grooves, openings and meshes of a cloud; tables under names, and the manifest's numbers."""
+    """Walls, grooves, openings and meshes of a cloud; tables under names, and the manifest's numbers. Walls, grooves and openings share one frame, that of all the wall's inliers; meshes have no colours, as in the reference."""
     spark = points.sparkSession
     points, _ = sample.recenter(points)
     if downsample:
@@ -97,7 +99,7 @@ def segment(points: DataFrame, config: SegmentConfig = SegmentConfig(), downsamp
     low = found.floor_z if found.floor_z is not None else points.agg(F.min("z")).first()[0]
     full = found.rows.where("role in ('wall', 'groove')")
     misc = mesh.misc_mesh(found.rows.where("role = 'residual'"), config)
-    frames = written(planes.wall_frames(full, found.planes, config.strict_origin), "frames") if found.planes else None
+    frames = written(planes.wall_frames(found.rows.where("wall_id is not null"), found.planes, config.strict_origin), "frames") if found.planes else None
     if frames is None:
         return {"extraction": found, "floor_z": low, "openings": None, "walls": None, "grooves": None, "misc": misc, "frames": None}
     progress(spark, "segmentation: openings")

@@ -147,9 +147,9 @@ def crop_sphere(spark, sf_dir):
     return sample.crop_sphere(room(spark, sf_dir), 1.5).select("point_idx", *"xyz")
 
 
-@query("select point_idx, x, y, z from room where z > 1 order by point_idx limit 1000")
+@query("select point_idx, x, y, z from room order by point_idx limit 1000")
 def point_cap(spark, sf_dir):
-    return sample.point_cap(room(spark, sf_dir).where("z > 1"), 1000).select("point_idx", *"xyz")
+    return sample.point_cap(room(spark, sf_dir), 1000).select("point_idx", *"xyz")
 
 
 @query("select point_idx from room, (select greatest(1, count(*) // 5000) as stride from room) where (point_idx % 20000) % stride = 0")
@@ -369,14 +369,15 @@ def opening_sill(spark, sf_dir):
     return rects.withColumns(over).select("wall_id", *_r("u_min", "v_min", *over))
 
 
-@query("""select w, h, s, case when w >= 1 and h >= 2 and s < 0.25 then 'balcony_door' when w between 0.65 and 1.4 and h between 1.75 and 2.5 and s < 0.25 then 'door' when s >= 0.4 and w >= 0.45 and h >= 0.45 then 'window' else 'unknown_opening' end as type
-  from (select unnest([0.45E0, 0.649E0, 0.65E0, 0.999E0, 1.0E0, 1.4E0, 1.401E0]) as w), (select unnest([0.45E0, 1.749E0, 1.75E0, 2.0E0, 2.5E0, 2.501E0]) as h), (select unnest([0.249E0, 0.25E0, 0.399E0, 0.4E0]) as s)""")
+#: Sizes of openings from a row's number, on both sides of each limit.
+_W, _H, _S = "(point_idx % 37 * 4 + 1) / 100.0E0", "(point_idx % 41 * 7) / 100.0E0", "(point_idx % 11 * 5) / 100.0E0"
+
+
+@query(f"""select point_idx, w, h, s, case when w >= 1 and h >= 2 and s < 0.25 then 'balcony_door' when w between 0.65 and 1.4 and h between 1.75 and 2.5 and s < 0.25 then 'door' when s >= 0.4 and w >= 0.45 and h >= 0.45 then 'window' else 'unknown_opening' end as type
+  from (select point_idx, {_W} as w, {_H} as h, {_S} as s from room)""")
 def opening_class(spark, sf_dir):
-    values = {"w": [0.45, 0.649, 0.65, 0.999, 1.0, 1.4, 1.401], "h": [0.45, 1.749, 1.75, 2.0, 2.5, 2.501], "s": [0.249, 0.25, 0.399, 0.4]}
-    out = spark.range(1)
-    for name, vs in values.items():
-        out = out.withColumn(name, F.explode(F.array(*map(F.lit, vs))))
-    return out.select("w", "h", "s", voids.opening_class(F.col("w"), F.col("h"), F.col("s")).alias("type"))
+    sizes = room(spark, sf_dir).select("point_idx", *[F.expr(e).alias(n) for n, e in (("w", _W), ("h", _H), ("s", _S))])
+    return sizes.select("point_idx", "w", "h", "s", voids.opening_class(F.col("w"), F.col("h"), F.col("s")).alias("type"))
 
 
 def _openings(spark, sf_dir):
@@ -787,28 +788,28 @@ def crop_fallback(spark, sf_dir):
     return sample.crop_sphere(room(spark, sf_dir), 0.5, (90.0, 90.0, 90.0)).select("point_idx")
 
 
-_SIZES = [0, 1, 1023, 1024, 1536, 1048575, 1048576, 789_000_000, 1024**4, 5 * 1024**5]
-_SECONDS = [0, 59, 60, 61, 3599, 3600, 86_399, 100_000]
+#: Sizes up to petabytes, and seconds, of each row.
+_SIZE, _SECOND = "(cast(red as bigint) + 1) * cast(power(1024, point_idx % 5) as bigint) - 1", "cast(point_idx * point_idx % 200000 as bigint)"
 
 
-@query("""select n, case when n < 1024 then printf('%.1fB', n * 1.0E0) when n < 1048576 then printf('%.1fKB', n / 1024.0E0) when n < 1073741824 then printf('%.1fMB', n / 1048576.0E0) when n < 1099511627776 then printf('%.1fGB', n / 1073741824.0E0) when n < 1125899906842624 then printf('%.1fTB', n / 1099511627776.0E0) else printf('%.1fPB', n / 1125899906842624.0E0) end as text
-  from (select cast(unnest([""" + ", ".join(map(str, _SIZES)) + """]) as bigint) as n) union all
-  select n, case when n >= 3600 then printf('%dh %dm %ds', n // 3600, n // 60 % 60, n % 60) when n >= 60 then printf('%dm %ds', n // 60, n % 60) else printf('%ds', n) end from (select cast(unnest([""" + ", ".join(map(str, _SECONDS)) + """]) as bigint) as n)""")
+@query(f"""select point_idx, case when n < 1024 then printf('%.1fB', n * 1.0E0) when n < 1048576 then printf('%.1fKB', n / 1024.0E0) when n < 1073741824 then printf('%.1fMB', n / 1048576.0E0) when n < 1099511627776 then printf('%.1fGB', n / 1073741824.0E0) when n < 1125899906842624 then printf('%.1fTB', n / 1099511627776.0E0) else printf('%.1fPB', n / 1125899906842624.0E0) end as size,
+  case when s >= 3600 then printf('%dh %dm %ds', s // 3600, s // 60 % 60, s % 60) when s >= 60 then printf('%dm %ds', s // 60, s % 60) else printf('%ds', s) end as time
+  from (select point_idx, {_SIZE} as n, {_SECOND} as s from room)""")
 def texts(spark, sf_dir):
     """Sizes and times as text."""
-    of = lambda values, f: spark.createDataFrame([(v,) for v in values], "n long").select("n", f(F.col("n")).alias("text"))
-    return of(_SIZES, human_bytes).unionByName(of(_SECONDS, elapsed))
-
+    rows = room(spark, sf_dir).select("point_idx", F.expr(_SIZE).alias("n"), F.expr(_SECOND).alias("s"))
+    return rows.select("point_idx", human_bytes(F.col("n")).alias("size"), elapsed(F.col("s")).alias("time"))
 
-_NORMALS = [(0.0, 0.0, 1.0), (0.0, 1.0, 0.0), (0.6, 0.8, 0.0), (0.36, 0.48, 0.8), (0.0, -0.6, -0.8), (0.28, 0.0, 0.96)]
 
-
-@query("""select place, round(ux, 6) + 0.0 as ux, round(uy, 6) + 0.0 as uy, round(uz, 6) + 0.0 as uz, round(b * uz - c * uy, 6) + 0.0 as vx, round(c * ux - a * uz, 6) + 0.0 as vy, round(a * uy - b * ux, 6) + 0.0 as vz from (
+@query("""select wall_id, round(ux, 6) + 0.0 as ux, round(uy, 6) + 0.0 as uy, round(uz, 6) + 0.0 as uz, round(b * uz - c * uy, 6) + 0.0 as vx, round(c * ux - a * uz, 6) + 0.0 as vy, round(a * uy - b * ux, 6) + 0.0 as vz from (
   select *, wx / sqrt(wx * wx + wy * wy + wz * wz) as ux, wy / sqrt(wx * wx + wy * wy + wz * wz) as uy, wz / sqrt(wx * wx + wy * wy + wz * wz) as uz from (
-    select *, case when abs(c) >= 0.9 then 0 else b end as wx, case when abs(c) >= 0.9 then c else -a end as wy, case when abs(c) >= 0.9 then -b else 0 end as wz from (values """ + ", ".join(f"({k}, {a}e0, {b}e0, {c}e0)" for k, (a, b, c) in enumerate(_NORMALS)) + """) as n(place, a, b, c)))""")
+    select *, case when abs(c) >= 0.9 then 0 else b end as wx, case when abs(c) >= 0.9 then c else -a end as wy, case when abs(c) >= 0.9 then -b else 0 end as wz from (
+      select wall_id, vx * turn as a, vy * turn as b, vz * turn as c from c9)))""", _REFINE)
 def plane_basis(spark, sf_dir):
-    rows = [(k, *u, *v) for k, n in enumerate(_NORMALS) for u, v in [g.plane_basis(n)]]
-    return spark.createDataFrame(rows, "place int, ux double, uy double, uz double, vx double, vy double, vz double").select("place", *_r("ux", "uy", "uz", "vx", "vy", "vz"))
+    """In-plane axes of the planes fitted to the walls."""
+    fits = planes.refine(walls_of(spark, sf_dir), [Plane(p.wall_id, p.a + 0.02, p.b - 0.01, p.c + 0.01, p.d) for p in WALLS])
+    rows = [(p.wall_id, *u, *v) for p in fits for u, v in [g.plane_basis(p.unit[:3])]]
+    return spark.createDataFrame(rows, "wall_id int, ux double, uy double, uz double, vx double, vy double, vz double").select("wall_id", *_r("ux", "uy", "uz", "vx", "vy", "vz"))
 
 
 @query("""select name, round(value, 6) + 0.0 as value from (

@@ -378,6 +378,11 @@ def load(spark: SparkSession, path: str, rows: int = 500_000, max_records: int |
     return (reader.option("maxRecords", max_records) if max_records else reader).load(path)
 
 
+def size(path: str) -> int:
+    """Bytes of the file, or of a folder's parts."""
+    return sum(system.get_file_info(at).size for system, at in map(_at, files(path)))
+
+
 def header_frame(spark: SparkSession, path: str) -> DataFrame:
     """The header as one row, with what attributes are there and the reference system (local if none is named)."""
     h = read_header(path)

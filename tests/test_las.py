@@ -86,3 +86,10 @@ def test_all_meshes_are_written_in_one_pass(spark, tmp_path):
         assert all(1 <= int(i.split("//")[0]) <= places for x in lines if x.startswith("f ") for i in x.split()[1:])
         assert [x for x in lines if x.startswith("v ")] == sorted((x for x in lines if x.startswith("v ")), key=lambda x: [float(v) for v in x.split()[1:]])
     assert sorted(p.name for p in tmp_path.iterdir()) == ["a.obj", "b.obj", "c.obj"]
+
+
+def test_a_hundred_thousand_openings_meet_only_their_squares(spark):
+    rects = spark.range(50_000).select(F.lit(1).alias("wall_id"), (F.col("id") * 0.1 + 0.05).alias("cu"), F.lit(0.5).alias("cv"))
+    openings = spark.range(100_000).select(F.lit(1).alias("wall_id"), (F.col("id") * 0.1).alias("u_min"), (F.col("id") * 0.1 + 0.02).alias("u_max"), F.lit(0.0).alias("v_min"), F.when(F.col("id") % 2 == 0, 0.6).otherwise(0.4).alias("v_max"))
+    left = mesh.outside_openings(rects, openings.withColumn("u_max", F.col("u_max") + 0.05))
+    assert left.count() == 25_000 and "NestedLoop" not in left._jdf.queryExecution().toString()
