@@ -2,51 +2,50 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..model import Plane, SegmentConfig
-from ..session import ship_package
-from . import grid, planes
-
-
-def _fill(cells: pd.DataFrame) -> pd.DataFrame:
-    """Every cell of the bounding box as occupied, exterior (4-connected to an empty border cell) or void."""
-    u, v = cells["iu"].to_numpy(), cells["iv"].to_numpy()
-    full = np.zeros((u.max() - u.min() + 1, v.max() - v.min() + 1), bool)
-    full[u - u.min(), v - v.min()] = True
-    outside = np.zeros_like(full)
-    outside[[0, -1]], outside[:, [0, -1]] = ~full[[0, -1]], ~full[:, [0, -1]]
-    while True:
-        grown = outside.copy()
-        grown[1:] |= outside[:-1]
-        grown[:-1] |= outside[1:]
-        grown[:, 1:] |= outside[:, :-1]
-        grown[:, :-1] |= outside[:, 1:]
-        grown &= ~full
-        if (grown == outside).all():
-            break
-        outside = grown
-    iu, iv = (x.ravel() for x in np.indices(full.shape))
-    kind = np.where(full, "occupied", np.where(outside, "exterior", "void")).ravel()
-    return pd.DataFrame({"wall_id": cells["wall_id"].iloc[0], "iu": iu + u.min(), "iv": iv + v.min(), "kind": kind})
-
-
-def classify_cells(cells: DataFrame) -> DataFrame:
-    """wall_id, iu, iv, kind. A group is the occupied cells of one wall, at most its area over the cell's."""
-    ship_package(cells.sparkSession)
-    return cells.select("wall_id", "iu", "iv").groupBy("wall_id").applyInPandas(_fill, "wall_id int, iu long, iv long, kind string")
+from ..session import written
+from . import forest, grid, planes
+
+
+#: Cells of a row by which runs of neighbouring rows meet.
+REACH = 256
+
+
+def empty_runs(cells: DataFrame) -> DataFrame:
+    """wall_id, iv, a, b, outer: the runs of empty cells of each row of a wall's bounding box, and whether one touches its border."""
+    box = cells.groupBy("wall_id").agg(F.min("iu").alias("bu0"), F.max("iu").alias("bu1"), F.min("iv").alias("bv0"), F.max("iv").alias("bv1"))
+    row = Window.partitionBy("wall_id", "iv").orderBy("iu")
+    own = cells.select("wall_id", "iv", "iu").withColumns({"behind": F.lead("iu").over(row), "place": F.row_number().over(row)}).join(box, "wall_id")
+    gap = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    after = gap(F.col("iu") + 1, F.coalesce(F.col("behind") - 1, F.col("bu1")))
+    gaps = own.select("wall_id", "iv", F.explode(F.when(F.col("place") == 1, F.array(gap(F.col("bu0"), F.col("iu") - 1), after)).otherwise(F.array(after))).alias("g")).select("wall_id", "iv", "g.*")
+    bare = box.select("wall_id", F.explode(F.sequence("bv0", "bv1")).alias("iv"), F.col("bu0").alias("a"), F.col("bu1").alias("b")).join(cells.select("wall_id", "iv").distinct(), ["wall_id", "iv"], "left_anti")
+    outer = (F.col("iv") == F.col("bv0")) | (F.col("iv") == F.col("bv1")) | (F.col("a") == F.col("bu0")) | (F.col("b") == F.col("bu1"))
+    return gaps.unionByName(bare).where("a <= b").join(box, "wall_id").select("wall_id", "iv", "a", "b", outer.alias("outer"))
+
+
+def _filled(cells: DataFrame, outside: bool) -> DataFrame:
+    """Empty cells that the outside reaches, or those that it does not: runs of neighbouring rows that overlap are one part, and a part is outside if one of its runs is."""
+    runs = written(empty_runs(cells).withColumn("run", F.monotonically_increasing_id()), "runs")
+    piece = runs.withColumn("k", F.explode(F.sequence(grid.cell("a", REACH), grid.cell("b", REACH))))
+    over = piece.select("wall_id", (F.col("iv") - 1).alias("iv"), "k", F.col("a").alias("c"), F.col("b").alias("d"), F.col("run").alias("other"))
+    touching = piece.join(over, ["wall_id", "iv", "k"]).where(F.greatest("a", "c") <= F.least("b", "d"))
+    edges = touching.select(F.least("run", "other").alias("a"), F.greatest("run", "other").alias("b"), F.lit(0.0).alias("w"), F.lit(1).alias("s")).distinct()
+    parts = runs.join(forest.signs(edges, ["a"]).select(F.col("node").alias("run"), "root"), "run", "left").withColumn("root", F.coalesce("root", "run"))
+    wanted = parts.groupBy("root").agg(F.max("outer").alias("reached")).where(F.col("reached") == outside).select("root")
+    return parts.join(wanted, "root", "left_semi").select("wall_id", F.explode(F.sequence("a", "b")).alias("iu"), "iv")
 
 
 def exterior(cells: DataFrame) -> DataFrame:
-    return classify_cells(cells).where("kind = 'exterior'").drop("kind")
+    return _filled(cells, True)
 
 
 def interior_voids(cells: DataFrame) -> DataFrame:
-    return classify_cells(cells).where("kind = 'void'").drop("kind")
+    return _filled(cells, False)
 
 
 def gated(rects: DataFrame, box: DataFrame, size: float) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pointloom.operators import forest, knn, normals
+from pointloom.operators import forest, knn, normals, voids
 
 
 def brute(a, b, w, s):
@@ -92,3 +92,35 @@ def test_orientation_equals_a_tree_of_5000_points(spark):
     assert len(got) == 5_000
     wrong = [k for k, (start, sign) in want.items() if not np.allclose(got[k], normal[k] * sign * turn[start])]
     assert not wrong
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_flood_by_runs_equals_flood_by_cells(spark, seed):
+    rng = np.random.default_rng(seed)
+    full = {(w, int(u), int(v)) for w in (1, 2) for u, v in zip(rng.integers(-20, 20, 900), rng.integers(-9, 9, 900), strict=True)}
+    cells = spark.createDataFrame(sorted(full), "wall_id int, iu long, iv long")
+    want = {True: set(), False: set()}
+    for w in (1, 2):
+        own = {(u, v) for x, u, v in full if x == w}
+        us, vs = [u for u, _ in own], [v for _, v in own]
+        empty = {(u, v) for u in range(min(us), max(us) + 1) for v in range(min(vs), max(vs) + 1)} - own
+        out = {c for c in empty if c[0] in (min(us), max(us)) or c[1] in (min(vs), max(vs))}
+        todo = list(out)
+        while todo:
+            u, v = todo.pop()
+            for c in ((u + 1, v), (u - 1, v), (u, v + 1), (u, v - 1)):
+                if c in empty and c not in out:
+                    out.add(c)
+                    todo.append(c)
+        want[True] |= {(w, *c) for c in out}
+        want[False] |= {(w, *c) for c in empty - out}
+    assert {(r.wall_id, r.iu, r.iv) for r in voids.exterior(cells).collect()} == want[True]
+    assert {(r.wall_id, r.iu, r.iv) for r in voids.interior_voids(cells).collect()} == want[False]
+
+
+def test_a_wall_of_two_kilometres_with_a_thousand_windows(spark):
+    """40,000 by 60 cells, all occupied but for the windows and a crack that reaches one of them."""
+    wall = spark.range(40_000 * 60).select((F.col("id") % 40_000).alias("iu"), F.floor(F.col("id") / 40_000).alias("iv"))
+    window = (F.col("iu") % 40).between(10, 20) & F.col("iv").between(20, 40) | (F.col("iu") == 15) & (F.col("iv") < 20)
+    found = voids.interior_voids(wall.where(~window).select(F.lit(1).alias("wall_id"), "iu", "iv"))
+    assert found.count() == 999 * 11 * 21
