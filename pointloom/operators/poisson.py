@@ -214,8 +214,10 @@ def _finished(iso: float | None):
 
 
 def nodes(points: DataFrame, depth: int) -> tuple[DataFrame, tuple[float, float, float], float]:
-    """i, j, k, f, density, grey of the grid nodes along the surface, the grid's origin and its cell; points have oriented normals (nx, ny, nz), which point to where f is above 0."""
+    """i, j, k, f, density, grey of the grid nodes along the surface, the grid's origin and its cell; points have oriented normals (nx, ny, nz), which point to where f is above 0. Points without a finite place and normal are left out."""
     ship_package(points.sparkSession)
+    for c in ("x", "y", "z", "nx", "ny", "nz"):
+        points = points.where(F.abs(c) < float("inf"))
     depth = max(depth, FIRST)
     b = sample.bounds(points)
     side = SCALE * max((b[f"max_{c}"] - b[f"min_{c}"] for c in "xyz" if b[f"min_{c}"] is not None), default=0.0) or 1.0

@@ -95,6 +95,13 @@ def test_greys_and_densities_follow_the_points(spark):
     assert max(top) < 0.05 * np.median(low)
 
 
+def test_points_without_a_normal_are_left_out(spark):
+    place, normal = sphere(2_000)
+    odd = np.array([[np.nan, 0, 0], [0, np.inf, 0]])
+    with_them = frame(spark, np.r_[place, [[10, -20, 5], [10, -20, 6]]], np.r_[normal, odd])
+    assert len(poisson.reconstruct(with_them, 5).collect()) == len(poisson.reconstruct(frame(spark, place, normal), 5).collect()) > 1_000
+
+
 def test_no_points_one_point_and_points_at_one_place(spark):
     one = frame(spark, [(1, 2, 3)], [(0, 0, 1)])
     assert poisson.reconstruct(one.limit(0), 5).collect() == []
