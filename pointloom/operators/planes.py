@@ -125,19 +125,107 @@ def score(points: DataFrame, planes: list[Plane], distance: float) -> dict[int,
     return {planes[r["place"]].wall_id: r["n"] for r in rows}
 
 
-def candidates(sample: np.ndarray, n: int, seed: int) -> list[Plane]:
-    """Planes through three points of the sample each, by a seeded generator; near-collinear triples are left out."""
-    rng = np.random.default_rng(seed)
-    out: list[Plane] = []
-    for a, b, c in sample[rng.integers(0, len(sample), (n, 3))]:
-        normal = np.cross(b - a, c - a)
-        size = float(np.linalg.norm(normal))
-        if size > 1e-6:
-            normal /= size
-            out.append(Plane(len(out), *map(float, normal), -float(normal @ a)))
+def _moments(unit: np.ndarray, centre: np.ndarray, distance: float):
+    a, b, c, d = unit.T
+    i, j = np.triu_indices(3)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((len(unit), 10))
+        for batch in batches:
+            points = np.column_stack([batch.column(k).to_numpy() for k in range(3)])
+            for at in range(0, len(points), SCORED):
+                p = points[at : at + SCORED]
+                near = np.abs(p[:, :1] * a + p[:, 1:2] * b + p[:, 2:] * c + d) < distance
+                q = p[near.any(axis=1)] - centre
+                sums += near[near.any(axis=1)].T @ np.column_stack([np.ones(len(q)), q, q[:, i] * q[:, j]])
+        yield pa.record_batch([pa.array(np.arange(len(unit))), *map(pa.array, sums.T)], names=["place", *SUMS])
+
+    return run
+
+
+#: Count, sums and sums of products of a candidate's points, from the centre.
+SUMS = ["n", "x", "y", "z", "xx", "xy", "xz", "yy", "yz", "zz"]
+
+
+def fits(points: DataFrame, planes: list[Plane], distance: float, centre: np.ndarray) -> dict[int, dict]:
+    """n, means and covariances of the points strictly within the distance of each plane, by id. One pass; a task returns ten numbers for each plane, summed from a ``centre`` among the points so that no digits are lost far from the origin."""
+    ship_package(points.sparkSession)
+    summed = points.select(*"xyz").mapInArrow(_moments(np.array([p.unit for p in planes]), centre, distance), ", ".join(["place long", *[f"{c} double" for c in SUMS]]))
+    out = {}
+    for r in summed.groupBy("place").agg(*[F.sum(c).alias(c) for c in SUMS]).collect():
+        n, mean = max(r["n"], 1.0), {c: r[c] / max(r["n"], 1.0) for c in "xyz"}
+        spread = {f"c{c}": r[c] / n - mean[c[0]] * mean[c[1]] for c in SUMS[4:]}
+        out[planes[r["place"]].wall_id] = {"n": int(r["n"]), **{f"m{c}": mean[c] + centre[k] for k, c in enumerate("xyz")}, **spread}
     return out
 
 
+def triples(sample: np.ndarray, n: int, scale: int, rng: np.random.Generator) -> np.ndarray:
+    """Triples of points: any at scale 0, else of one cell each of a randomly placed grid whose cells are the sample's longest side over 2 ** scale."""
+    if scale == 0:
+        return sample[rng.integers(0, len(sample), (n, 3))]
+    low = sample.min(axis=0)
+    side = max(float((sample.max(axis=0) - low).max()), 1e-9) / 2**scale
+    cell = np.floor((sample - low) / side + rng.random(3)).astype(np.int64)
+    order = np.lexsort(cell.T)
+    starts = np.concatenate([[0], np.flatnonzero((np.diff(cell[order], axis=0) != 0).any(axis=1)) + 1, [len(order)]])
+    first = rng.integers(0, len(order), n)
+    at = np.searchsorted(starts, first, "right") - 1
+    others = starts[at, None] + np.floor(rng.random((n, 2)) * (starts[at + 1] - starts[at])[:, None]).astype(np.int64)
+    return sample[order[np.column_stack([first, others])]]
+
+
+def through(drawn: np.ndarray) -> np.ndarray:
+    """Planes through triples: rows of unit normal and offset; near-collinear triples are left out."""
+    normal = np.cross(drawn[:, 1] - drawn[:, 0], drawn[:, 2] - drawn[:, 0])
+    size = np.linalg.norm(normal, axis=1)
+    normal, at = normal[size > 1e-6] / size[size > 1e-6, None], drawn[size > 1e-6, 0]
+    return np.column_stack([normal, -(normal * at).sum(axis=1)])
+
+
+def best_candidates(sample: np.ndarray, n: int, distance: float, seed: int) -> list[Plane]:
+    """The ``FINALISTS`` planes with the most sample points of up to ``n`` through seeded triples.
+
+    Half of each lot's triples are drawn from the whole sample, which large planes need, and half from cells at
+    ``SCALES`` sizes, which finds small planes in clutter: inside a cell that it crosses a small plane holds a large
+    share. A lot is tried on the first ``TRIED`` points of the sample, its best fifth on all, and the finalists are
+    fitted to their points there. Draws stop early when any plane with more points than the best so far would have
+    been met by the whole-sample triples with a chance of 1 - ``MISSED``, however those points lie.
+    """
+    if len(sample) < 3:
+        return []
+    rng = np.random.default_rng(seed)
+    best, counts, far = np.zeros((0, 4)), np.zeros(0, np.int64), 0
+    for start in range(0, n, LOT):
+        lot = min(LOT, n - start)
+        sizes = [lot - lot // 2, *[lot // 2 // SCALES] * SCALES]
+        tried = through(np.concatenate([triples(sample, size, scale, rng) for scale, size in enumerate(sizes)]))
+        far += sizes[0]
+        if len(sample) > TRIED:
+            tried = tried[np.argsort(-sampled(sample[:TRIED], tried, distance), kind="stable")[: max(FINALISTS, len(tried) // 5)]]
+        best, counts = np.concatenate([best, tried]), np.concatenate([counts, sampled(sample, tried, distance)])
+        order = np.argsort(-counts, kind="stable")[:FINALISTS]
+        best, counts = best[order], counts[order]
+        if len(best) and (1 - (counts[0] / len(sample)) ** 3) ** far < MISSED:
+            break
+    return [Plane(k, *_fitted(sample, unit, int(count), distance)) for k, (unit, count) in enumerate(zip(best, counts, strict=True))]
+
+
+def _fitted(sample: np.ndarray, unit: np.ndarray, count: int, distance: float) -> tuple[float, ...]:
+    """The least-squares plane of a plane's sample points, again while it gains points."""
+    for _ in range(FITS):
+        near = sample[np.abs(sample @ unit[:3] + unit[3]) < distance]
+        if len(near) < 3:
+            break
+        mean = near.mean(axis=0)
+        normal = np.linalg.eigh((near - mean).T @ (near - mean))[1][:, 0]
+        new = np.append(normal, -normal @ mean)
+        gained = int(sampled(sample, new[None], distance)[0])
+        if gained <= count:
+            break
+        unit, count = new, gained
+    return tuple(map(float, unit))
+
+
 @dataclass
 class Extraction:
     """planes: accepted walls in order; other: floor candidates and oblique planes; rows: point_idx, x, y, z, plane_no, role, wall_id."""
@@ -151,32 +239,34 @@ class Extraction:
 
 #: Points of the sample that candidates are drawn from and tried on. The least plane is a share of the cloud (0.5 %), so a bound holds for clouds of any size: that plane has 100 points in it.
 SAMPLE = 20_000
-#: Candidates tried on the sample at once, and the best of them that are counted on all points.
+#: Candidates drawn at once, and the best of all that are counted on all points.
 LOT, FINALISTS = 1_000, 32
+#: Sizes of cells that local triples come from; sample points that all candidates are tried on; the chance of a missed larger plane at which draws stop; fits of a finalist.
+SCALES, TRIED, MISSED, FITS = 5, 4_000, 1e-3, 3
 
 
-def sampled(sample: np.ndarray, planes: list[Plane], distance: float) -> np.ndarray:
-    """Sample points strictly within the distance of each plane."""
-    unit = np.array([p.unit for p in planes])
+def sampled(sample: np.ndarray, unit: np.ndarray, distance: float) -> np.ndarray:
+    """Sample points strictly within the distance of each plane, a row of unit normal and offset."""
     return (np.abs(sample @ unit[:, :3].T + unit[:, 3]) < distance).sum(axis=0)
 
 
 def _sample(points: DataFrame, n: int, seed: int) -> np.ndarray:
-    """Places of the ``SAMPLE`` points of the least hashes (ties by place); rows with larger hashes stay in their tasks, whatever their number."""
+    """Places of the ``SAMPLE`` points of the least hashes (ties by place); rows with larger hashes stay in their tasks, whatever their number. Points without a finite place are left out, since no plane is near them."""
     bound = (SAMPLE + 6 * SAMPLE**0.5) / max(n, 1)
     while True:
         hashed = points.select(F.xxhash64("point_idx", F.lit(seed)).alias("h"), *"xyz")
         some = hashed.where(F.col("h") < int(min(bound, 1.0) * 2**64) - 2**63) if bound < 1 else hashed
         rows = some.toPandas().sort_values(["h", *"xyz"]).head(SAMPLE)
         if len(rows) >= SAMPLE or bound >= 1:
-            return rows[[*"xyz"]].to_numpy(np.float64)
+            places = rows[[*"xyz"]].to_numpy(np.float64)
+            return places[np.isfinite(places).all(axis=1)]
         bound *= 2
 
 
 def extract_planes(points: DataFrame, config: SegmentConfig) -> Extraction:
-    """Peel planes off the cloud: seeded candidates from a sample of what is left, tried there, the best counted again on all of it, inliers refined and routed.
+    """Peel planes off the cloud: seeded candidates from a sample of what is left, tried there, the best counted and fitted on all of it, inliers routed.
 
-    The cloud is written once, and what is left of it again when that has halved; in between, what is left are the points near none of the planes taken so far. Rows get their plane and role in one projection at the end.
+    A plane costs two passes over what is left: one counts and fits all finalists, one counts the winner's bands. The cloud is written once, and what is left of it again when that has halved, with a new sample; in between, what is left are the points near none of the planes taken so far, in the cloud as in the sample. Rows get their plane and role in one projection at the end.
     Roles: floor, oblique, dropped (flat points of a plane too small for a wall), wall, groove, residual.
     """
     cloud = written(points.select("point_idx", *"xyz"), "cloud")
@@ -186,24 +276,22 @@ def extract_planes(points: DataFrame, config: SegmentConfig) -> Extraction:
     walls: list[Plane] = []
     floors: list[tuple[float, int, Plane]] = []
     log: list[dict] = []
+    sample = _sample(cloud, total, config.seed)
     for number in range(config.max_planes):
         if remaining < max(3, config.min_plane):
             break
         progress(cloud.sparkSession, f"plane {number}: {remaining} points left")
-        sample = _sample(left, remaining, config.seed + number)
-        tried = candidates(sample, config.candidates, config.seed + number)
-        if not tried:
+        best = best_candidates(sample, config.candidates, config.distance, config.seed + number)
+        if not best:
             break
-        near = np.concatenate([sampled(sample, tried[k : k + LOT], config.distance) for k in range(0, len(tried), LOT)])
-        best = [tried[k] for k in np.argsort(-near, kind="stable")[:FINALISTS]]
-        counts = score(left, best, config.distance)
-        top = max(best, key=lambda p: (counts.get(p.wall_id, 0), -p.wall_id))
-        inliers = counts.get(top.wall_id, 0)
+        found = fits(left, best, config.distance, sample.mean(axis=0))
+        top = max(best, key=lambda p: (found[p.wall_id]["n"] if p.wall_id in found else 0, -p.wall_id))
+        inliers = found[top.wall_id]["n"] if top.wall_id in found else 0
         if inliers < config.min_plane or inliers / total < config.min_share:
             break
         a, b, c, d = top.unit
         inside = F.abs(g.signed_distance(xyz(), a, b, c, d)) < config.distance
-        plane = refine(left.where(inside).withColumn("wall_id", F.lit(top.wall_id)), [top])[0]
+        plane = _refined(top, found[top.wall_id])
         band = bands(g.signed_distance(xyz(), *plane.unit), config.flat, config.distance)
         flat, groove, mean_z = left.where(inside).select(band.alias("band"), "z").agg(F.count_if(F.col("band") == "wall"), F.count_if(F.col("band") == "groove"), F.avg("z")).first()
         turn = abs(plane.unit[2])
@@ -217,9 +305,11 @@ def extract_planes(points: DataFrame, config: SegmentConfig) -> Extraction:
         log.append({"plane_no": number, "kind": kind, "inliers": inliers, "flat": flat, "groove": groove, "mean_z": mean_z, "plane": plane.unit})
         left = left.where(~inside)
         remaining -= inliers
+        sample = sample[np.abs(sample @ [a, b, c] + d) >= config.distance]
         if 2 * remaining < stored:
             # What is read next shrinks with what is left.
             left, stored = written(left, "left"), remaining
+            sample = _sample(left, remaining, config.seed + number + 1)
     floor = min(floors, key=lambda f: (f[0], f[1])) if floors else None
     return Extraction(walls, floor[2].unit if floor else None, floor[0] if floor else None, written(_tagged(cloud, taken), "planes"), log)
 

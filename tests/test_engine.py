@@ -138,6 +138,66 @@ def test_a_plane_of_a_tenth_of_the_cloud_is_found(spark):
         assert [e["kind"] for e in log] == ["floor"] and abs(log[0]["mean_z"] - 7) < 0.01
 
 
+def _hidden(seed: int, n: int = 20_000, share: float = 0.01, side: float = 2.0) -> tuple[np.ndarray, np.ndarray]:
+    """A square of a share of the points, turned at random, in 20 m of clutter; and its normal."""
+    rng = np.random.default_rng(seed)
+    normal = rng.normal(size=3)
+    normal /= np.linalg.norm(normal)
+    u = np.cross(normal, [1.0, 0, 0])
+    u /= np.linalg.norm(u)
+    few = int(n * share)
+    flat = rng.uniform(-side / 2, side / 2, (few, 1)) * u + rng.uniform(-side / 2, side / 2, (few, 1)) * np.cross(normal, u)
+    points = np.concatenate([rng.random((n - few, 3)) * 20, rng.uniform(5, 15, 3) + flat + rng.uniform(-0.004, 0.004, (few, 1)) * normal])
+    return points[rng.permutation(n)], normal
+
+
+@pytest.mark.parametrize("side", [2.0, 4.0])
+def test_a_plane_of_a_hundredth_in_clutter_is_found_by_every_seed(side):
+    for seed in range(20):
+        points, normal = _hidden(seed, side=side)
+        best = planes.best_candidates(points, SegmentConfig.candidates, SegmentConfig.distance, 100 + seed)
+        units = np.array([p.unit for p in best])
+        top = units[planes.sampled(points, units, SegmentConfig.distance).argmax()]
+        assert abs(top[:3] @ normal) > 0.999
+
+
+def test_a_hidden_plane_is_peeled_from_the_whole_cloud(spark):
+    points, normal = _hidden(4, n=60_000)
+    shift = np.array([500_000.0, 4_000_000.0, 100.0])
+    df = spark.createDataFrame([(k, *map(float, p)) for k, p in enumerate(points + shift)], "point_idx long, x double, y double, z double")
+    df = df.unionByName(df.sparkSession.sql("select -1L point_idx, double('nan') x, double(0) y, double('inf') z"))
+    log = planes.extract_planes(df, SegmentConfig(min_plane=500, min_share=0.008)).log
+    assert len(log) == 1 and log[0]["inliers"] >= 590 and abs(np.dot(log[0]["plane"][:3], normal)) > 0.9999
+
+
+def test_draws_stop_early_where_one_plane_holds_most_points(monkeypatch):
+    drawn = []
+    whole = planes.through
+    monkeypatch.setattr(planes, "through", lambda t: drawn.append(len(t)) or whole(t))
+    points, _ = _hidden(1, share=0.6)
+    planes.best_candidates(points, 5_000, 0.015, 1)
+    assert sum(drawn) == planes.LOT
+    drawn.clear()
+    planes.best_candidates(_hidden(1)[0], 5_000, 0.015, 1)
+    assert sum(drawn) == 5_000
+    assert planes.best_candidates(points[:2], 5_000, 0.015, 1) == []
+    assert planes.best_candidates(np.zeros((10, 3)), 100, 0.015, 1) == []
+
+
+def test_fits_in_one_pass_equal_those_of_the_inliers(spark):
+    points, normal = _hidden(2, n=5_000, share=0.3)
+    points += [1e5, -1e5, 50]
+    near = points[np.abs((points - points.mean(axis=0)) @ normal) < 8]
+    df = spark.createDataFrame([tuple(map(float, p)) for p in points], "x double, y double, z double").repartition(3)
+    unit = Plane(4, *map(float, normal), -float(normal @ points.mean(axis=0)))
+    far = Plane(5, 0.0, 0.0, 1.0, 1e6)
+    got = planes.fits(df, [unit, far], 8.0, points.mean(axis=0))
+    c = np.cov(near.T, bias=True)
+    assert got[4]["n"] == len(near) and got[5]["n"] == 0
+    assert np.allclose([got[4][f"m{a}"] for a in "xyz"], near.mean(axis=0), rtol=1e-12)
+    assert np.allclose([got[4][k] for k in ("cxx", "cxy", "cxz", "cyy", "cyz", "czz")], [c[0, 0], c[0, 1], c[0, 2], c[1, 1], c[1, 2], c[2, 2]], rtol=1e-9)
+
+
 def test_the_gate_of_planes_does_not_grow_with_the_cloud(spark):
     assert [queries.least_plane(n) for n in (100, 5_844, 58_479, 584_250, 10**9)] == [300, 730, 7_309, 8_000, 8_000]
     # The clutter at z = 2 of the largest room: more than 8,000 points, less than an eighth of the cloud.
