@@ -5,8 +5,9 @@ templates (a bounded, broadcast table); equal hashes are checked word by word in
 hit votes for the diagonal (place in the text less place in the template). Neighbouring diagonals,
 which arise from inserted or dropped words, are merged; a merged span is verified by the share
 of the template's trigrams that it covers and by its length, and must hold the words that tell its
-license from those of like wording (TELLING). A template's exact places are the
-diagonals with every vote.
+license from those of like wording (TELLING) and none that belong to another (BARRED). Those words are
+found at the same places, in the same pass. A template's exact places are the
+diagonals with every vote; an identifier, which is short, counts only where it has such a place.
 
 Defined results: null or empty text has no words and score 0; a null doc_id is kept as null; repeated rows
 have the same result each; an empty table gives no rows; columns besides doc_id and text are ignored.
@@ -52,8 +53,30 @@ NOTICES = {
     "cc-by": ["licensed under a Creative Commons Attribution 4.0 International License"],
     "cc-by-sa": ["licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
     "cc-by-nc": ["licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
+    "cc-by-nc-sa": ["licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"],
+    "cc-by-nd": ["licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"],
+    "cc-by-nc-nd": ["licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"],
     "unlicense": ["This is free and unencumbered software released into the public domain."],
 }
+# Public short names and SPDX identifiers.
+IDENTIFIERS = {
+    "mit": ["SPDX-License-Identifier: MIT"],
+    "apache-2": ["SPDX-License-Identifier: Apache-2.0", "Apache License 2.0", "Apache 2.0 license"],
+    "bsd": ["BSD 2-Clause", "BSD 3-Clause"],
+    "isc": ["SPDX-License-Identifier: ISC"],
+    "gpl-2": ["SPDX-License-Identifier: GPL-2.0", "GNU GPL v2", "GNU GPL version 2", "GNU GPL 2.0"],
+    "gpl-3": ["SPDX-License-Identifier: GPL-3.0", "GNU GPL v3", "GNU GPL version 3", "GNU GPL 3.0"],
+    "lgpl": ["SPDX-License-Identifier: LGPL", "GNU LGPL v2", "GNU LGPL v3", "GNU LGPL version 2", "GNU LGPL version 3"],
+    "agpl-3": ["SPDX-License-Identifier: AGPL-3.0", "GNU AGPL v3", "GNU AGPL version 3"],
+    "mpl-2": ["SPDX-License-Identifier: MPL-2.0", "Mozilla Public License 2.0", "Mozilla Public License, version 2.0"],
+    "cc-by": ["CC BY 4.0", "CC BY 3.0"],
+    "cc-by-sa": ["CC BY-SA"],
+    "cc-by-nd": ["CC BY-ND 4.0", "CC BY-ND 3.0"],
+    "cc-by-nc-sa": ["CC BY-NC-SA"],
+    "cc-by-nc-nd": ["CC BY-NC-ND"],
+    "cc0": ["CC0 1.0"],
+    "unlicense": ["SPDX-License-Identifier: Unlicense"],
+}
 
 
 #: Words that tell licenses of like wording apart: mark, SQL test of a text's words w0 and w1 (the next). A license's notice holds all its marks.
@@ -66,21 +89,23 @@ MARKS = {
     "attribution": "w0 = 'attribution' and coalesce(w1, '') not in ('sharealike', 'share', 'noncommercial', 'non', 'noderivatives', 'noderivs', 'no')",
     "sharealike": "w0 = 'sharealike' or w0 = 'share' and w1 = 'alike'",
     "noncommercial": "w0 = 'noncommercial' or w0 = 'non' and w1 = 'commercial'",
+    "noderivatives": "w0 in ('noderivatives', 'noderivs') or w0 = 'no' and w1 in ('derivatives', 'derivs')",
 }
 TELLING = {
     "gpl-2": ["gnu-general", "2"], "gpl-3": ["gnu-general", "3"], "lgpl": ["lesser"], "agpl-3": ["affero"],
-    "cc-by": ["attribution"], "cc-by-sa": ["sharealike"], "cc-by-nc": ["noncommercial"],
+    "cc-by": ["attribution"], "cc-by-sa": ["sharealike"], "cc-by-nc": ["noncommercial"], "cc-by-nd": ["noderivatives"],
+    "cc-by-nc-sa": ["noncommercial", "sharealike"], "cc-by-nc-nd": ["noncommercial", "noderivatives"],
 }
-#: A text without one of these has no mark; cheap to test.
-MARKED = "(?i)gnu|lesser|affero|v2|v3|version|attribution|share|non"
-#: Words behind a span in which its marks may stand, as a version after the last hit.
-BEHIND = 3
+#: Marks inside a span that make it another license's.
+BARRED = {"cc-by-sa": ["noncommercial"], "cc-by-nd": ["noncommercial"], "cc-by-nc": ["sharealike", "noderivatives"]}
+#: Marks of versions may also stand up to so many words behind a span, after its last hit.
+VERSIONS, BEHIND = ("2", "3"), 3
 
 
-def templates(base: dict[str, list[str]] = BASE, notices: dict[str, list[str]] = NOTICES) -> list[tuple[int, str, bool, list[str]]]:
-    """number, label, whether it is a base phrase, words; templates of fewer than K words can't be voted for."""
-    flat = [(label, True, t) for label, ts in base.items() for t in ts] + [(label, False, t) for label, ts in notices.items() for t in ts]
-    out = [(k, label, is_base, [w.decode() for w in folded_words(t)]) for k, (label, is_base, t) in enumerate(flat)]
+def templates(base: dict[str, list[str]] = BASE, notices: dict[str, list[str]] = NOTICES, identifiers: dict[str, list[str]] = IDENTIFIERS) -> list[tuple[int, str, str, list[str]]]:
+    """number, label, kind (base, notice or identifier), words; templates of fewer than K words can't be voted for."""
+    flat = [(label, kind, t) for kind, known in (("base", base), ("notice", notices), ("identifier", identifiers)) for label, ts in known.items() for t in ts]
+    out = [(k, label, kind, [w.decode() for w in folded_words(t)]) for k, (label, kind, t) in enumerate(flat)]
     for _, label, _, words in out:
         if len(words) < K:
             raise ValueError(f"a template of {label} has fewer than {K} words")
@@ -91,26 +116,28 @@ def _quoted(x: str) -> str:
     return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def template_grams(spark: SparkSession, known: list[tuple[int, str, bool, list[str]]]) -> DataFrame:
-    rows = [f"({t}, {_quoted(label)}, {str(base).lower()}, {len(words) - K + 1}, {p}, {', '.join(map(_quoted, words[p : p + K]))})" for t, label, base, words in known for p in range(len(words) - K + 1)]
-    grams = spark.sql(f"select *, xxhash64(t0, t1, t2) gram from values {', '.join(rows)} as t(template, label, is_base, grams, place, t0, t1, t2)")
+def template_grams(spark: SparkSession, known: list[tuple[int, str, str, list[str]]]) -> DataFrame:
+    rows = [f"({t}, {_quoted(label)}, {_quoted(kind)}, {len(words) - K + 1}, {p}, {', '.join(map(_quoted, words[p : p + K]))})" for t, label, kind, words in known for p in range(len(words) - K + 1)]
+    grams = spark.sql(f"select *, xxhash64(t0, t1, t2) t_gram from values {', '.join(rows)} as t(template, label, kind, grams, place, t0, t1, t2)")
     return F.broadcast(grams) if len(rows) <= BROADCAST_LIMIT else grams
 
 
-def votes(docs: DataFrame, known: list[tuple[int, str, bool, list[str]]]) -> DataFrame:
-    """doc_id, h (xxhash64 of the text), template, label, is_base, grams, at, place: each hit once."""
+def votes(docs: DataFrame, known: list[tuple[int, str, str, list[str]]]) -> DataFrame:
+    """doc_id, h (xxhash64 of the text), template, label, kind, grams, at, place, mark: each hit and each mark once; a mark that is no hit has null in the template's columns."""
     words = docs.select("doc_id", "h", folded_words_column(F.col("text")).alias("w"))
     n = F.size("w")
     rolling = F.arrays_zip(F.col("w").alias("w0"), F.slice("w", F.lit(2), n).alias("w1"), F.slice("w", F.lit(3), n).alias("w2"))
     grams = words.select("doc_id", "h", F.posexplode(rolling).alias("at", "g")).select("doc_id", "h", "at", "g.w0", "g.w1", "g.w2").withColumn("gram", F.xxhash64("w0", "w1", "w2"))
-    hit = grams.join(template_grams(docs.sparkSession, known), "gram").where("w0 = t0 and w1 = t1 and w2 = t2")
-    return hit.select("doc_id", "h", "template", "label", "is_base", "grams", "at", "place").distinct()
+    # The tests exclude each other, so a place has one mark at most.
+    mark = F.coalesce(*[F.when(F.expr(test), name) for name, test in MARKS.items()])
+    met = grams.join(template_grams(docs.sparkSession, known), F.expr("gram = t_gram and w0 = t0 and w1 = t1 and w2 = t2"), "left").withColumn("mark", mark)
+    return met.where("template is not null or mark is not null").select("doc_id", "h", "template", "label", "kind", "grams", "at", "place", "mark").distinct()
 
 
 def spans(hits: DataFrame) -> DataFrame:
-    """Merged diagonals: doc_id, h, template, label, first (word), behind (last word), cover (0 to 1), exact (places of the whole template), exact_first, exact_last, is_base."""
-    keys = ["doc_id", "h", "template", "label", "is_base", "grams"]
-    lines = hits.withColumn("diagonal", F.col("at") - F.col("place")).groupBy(*keys, "diagonal").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.collect_set("place").alias("places"))
+    """Merged diagonals: doc_id, h, template, label, first (word), behind (last word), cover (0 to 1), exact (places of the whole template), exact_first, exact_last, kind."""
+    keys = ["doc_id", "h", "template", "label", "kind", "grams"]
+    lines = hits.where("template is not null").withColumn("diagonal", F.col("at") - F.col("place")).groupBy(*keys, "diagonal").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.collect_set("place").alias("places"))
     # A partition is one template in one text, so it is bounded by the text.
     along = Window.partitionBy(*keys).orderBy("diagonal")
     step = F.when(F.col("diagonal") - F.lag("diagonal").over(along) <= NEAR, 0).otherwise(1)
@@ -123,36 +150,30 @@ def spans(hits: DataFrame) -> DataFrame:
     return out.withColumn("cover", F.col("covered") / F.col("grams"))
 
 
-def marks(docs: DataFrame) -> DataFrame:
-    """m_id, m_h, mark, word (its place): each mark once."""
-    words = docs.where(F.col("text").rlike(MARKED)).select("doc_id", "h", folded_words_column(F.col("text")).alias("w"))
-    pairs = F.arrays_zip(F.col("w").alias("w0"), F.slice("w", F.lit(2), F.size("w")).alias("w1"))
-    at = words.select("doc_id", "h", F.posexplode(pairs).alias("word", "g")).select("doc_id", "h", "word", "g.w0", "g.w1")
-    # The tests exclude each other, so a place has one mark at most.
-    which = F.coalesce(*[F.when(F.expr(test), name) for name, test in MARKS.items()])
-    return at.select(F.col("doc_id").alias("m_id"), F.col("h").alias("m_h"), which.alias("mark"), "word").where("mark is not null").distinct()
-
-
-def told(verified: DataFrame, docs: DataFrame) -> DataFrame:
-    """doc_id, h, label: labels of verified spans that hold all marks of their license."""
-    needs = F.coalesce(*[F.when(F.col("label") == label, F.array(*map(F.lit, names))) for label, names in TELLING.items()], F.expr("cast(array() as array<string>)"))
+def told(verified: DataFrame, marks: DataFrame) -> DataFrame:
+    """doc_id, h, label: labels of verified spans that hold all marks of their license (versions up to BEHIND words after them) and none that is barred."""
+    marked = lambda names: F.coalesce(*[F.when(F.col("label") == label, F.array(*map(F.lit, m))) for label, m in names.items()], F.expr("cast(array() as array<string>)"))
     span = ["doc_id", "h", "label", "first", "behind"]
-    asked = verified.select(*span, needs.alias("needs")).distinct()
-    plain = asked.where("size(needs) = 0").select("doc_id", "h", "label")
-    asked, m = asked.where("size(needs) > 0"), marks(docs)
-    here = asked.doc_id.eqNullSafe(m.m_id) & (asked.h == m.m_h) & m.word.between(asked["first"], asked["behind"] + BEHIND - 1) & F.array_contains(asked.needs, m.mark)
-    held = asked.join(m, here).groupBy(*span).agg(F.count_distinct("mark").alias("held"), F.first(F.size("needs")).alias("asked")).where("held = asked")
-    return plain.unionByName(held.select("doc_id", "h", "label")).distinct()
+    asked = verified.where("kind <> 'identifier'").select(*span, marked(TELLING).alias("needs"), marked(BARRED).alias("bars")).distinct()
+    plain = asked.where("size(needs) = 0").unionByName(verified.where("kind = 'identifier'"), allowMissingColumns=True).select("doc_id", "h", "label")
+    asked, m = asked.where("size(needs) > 0"), marks.select(F.col("doc_id").alias("m_id"), F.col("h").alias("m_h"), "mark", F.col("at").alias("word"))
+    here = asked.doc_id.eqNullSafe(m.m_id) & (asked.h == m.m_h) & m.word.between(asked["first"], asked["behind"] - 1 + F.when(m.mark.isin(*VERSIONS), BEHIND).otherwise(0)) & F.array_contains(F.concat(asked.needs, asked.bars), m.mark)
+    needed, barred = F.array_contains("needs", F.col("mark")), F.array_contains("bars", F.col("mark"))
+    met = asked.join(m, here).groupBy(*span).agg(F.count_distinct(F.when(needed, F.col("mark"))).alias("held"), F.max(barred).alias("barred"), F.first(F.size("needs")).alias("asked"))
+    return plain.unionByName(met.where("held = asked and not barred").select("doc_id", "h", "label")).distinct()
 
 
-def license_scan(docs: DataFrame, known: list[tuple[int, str, bool, list[str]]] | None = None) -> DataFrame:
+def license_scan(docs: DataFrame, known: list[tuple[int, str, str, list[str]]] | None = None) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     known = known or templates()
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
-    found = written(spans(votes(slim, known)), "spans")
-    base = F.col("is_base") & (F.col("exact") > 0)
-    verified = (F.col("cover") >= COVER) & (F.col("behind") - F.col("first") <= STRETCH * (F.col("grams") + K - 1))
-    named = told(found.where(verified), slim).select(F.col("doc_id").alias("t_id"), F.col("h").alias("t_h"), F.col("label").alias("t_label"))
+    hits = written(votes(slim, known), "hits")
+    found = written(spans(hits), "spans")
+    exact = F.col("exact") > 0
+    base = (F.col("kind") == "base") & exact
+    close = (F.col("cover") >= COVER) & (F.col("behind") - F.col("first") <= STRETCH * (F.col("grams") + K - 1))
+    verified = F.when(F.col("kind") == "identifier", exact).otherwise(close)
+    named = told(found.where(verified), hits.where("mark is not null").select("doc_id", "h", "mark", "at").distinct()).select(F.col("doc_id").alias("t_id"), F.col("h").alias("t_h"), F.col("label").alias("t_label"))
     found = found.join(named, found.doc_id.eqNullSafe(named.t_id) & (found.h == named.t_h) & (found.label == named.t_label), "left").withColumn("told", F.col("t_h").isNotNull())
     of_doc = found.groupBy("doc_id", "h").agg(
         F.sum(F.when(base, F.col("exact")).otherwise(0)).alias("n_base"), F.min(F.when(base, F.col("exact_first"))).cast("long").alias("first_word"), F.max(F.when(base, F.col("exact_last"))).cast("long").alias("last_word"),

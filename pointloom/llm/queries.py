@@ -99,30 +99,32 @@ def _op6_sql() -> str:
     known = license_scan.templates()
     literal = lambda x: "'" + x.replace("'", "''") + "'"
     k = license_scan.K
-    grams = ", ".join(f"({t}, {literal(label)}, {str(base).lower()}, {len(words) - k + 1}, {p}, {', '.join(map(literal, words[p : p + k]))})" for t, label, base, words in known for p in range(len(words) - k + 1))
+    grams = ", ".join(f"({t}, {literal(label)}, {literal(kind)}, {len(words) - k + 1}, {p}, {', '.join(map(literal, words[p : p + k]))})" for t, label, kind, words in known for p in range(len(words) - k + 1))
     mark = " ".join(f"when {test} then {literal(name)}" for name, test in license_scan.MARKS.items())
     needs = ", ".join(f"({literal(label)}, {literal(name)}, {len(names)})" for label, names in license_scan.TELLING.items() for name in names)
+    bars = ", ".join(f"({literal(label)}, {literal(name)})" for label, names in license_scan.BARRED.items() for name in names)
     return rf"""
-with needs(label, mark, asked) as (values {needs}),
-grams(template, label, is_base, grams, place, t0, t1, t2) as (values {grams}),
+with needs(label, mark, asked) as (values {needs}), bars(label, mark) as (values {bars}),
+grams(template, label, kind, grams, place, t0, t1, t2) as (values {grams}),
 d as materialized (
   select row_number() over () as row_id, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{NOT_WORD}'), lambda x: x <> '') as words from documents),
 rolling as (select row_id, pos, words[pos + 1] as w0, words[pos + 2] as w1, words[pos + 3] as w2 from (select row_id, words, unnest(range(0, len(words) - 2)) as pos from d)),
 lines as (
-  select row_id, template, label, is_base, grams, pos - place as diagonal, min(pos) as first, max(pos) as last, list(distinct place) as places
-  from rolling join grams on w0 = t0 and w1 = t1 and w2 = t2 group by row_id, template, label, is_base, grams, diagonal),
+  select row_id, template, label, kind, grams, pos - place as diagonal, min(pos) as first, max(pos) as last, list(distinct place) as places
+  from rolling join grams on w0 = t0 and w1 = t1 and w2 = t2 group by row_id, template, label, kind, grams, diagonal),
 stepped as (select *, len(places) = grams as whole, case when diagonal - lag(diagonal) over (partition by row_id, template order by diagonal) <= {license_scan.NEAR} then 0 else 1 end as step from lines),
 numbered as (select *, sum(step) over (partition by row_id, template order by diagonal) as span from stepped),
 spans as (
-  select row_id, label, is_base, grams, min(first) as first, max(last) + {k} as behind, len(list_distinct(flatten(list(places)))) / grams as cover,
+  select row_id, label, kind, grams, min(first) as first, max(last) + {k} as behind, len(list_distinct(flatten(list(places)))) / grams as cover,
     count(*) filter (whole) as exact, min(diagonal) filter (whole) as exact_first, max(diagonal) filter (whole) as exact_last
-  from numbered group by row_id, template, label, is_base, grams, span),
+  from numbered group by row_id, template, label, kind, grams, span),
 marks as (select row_id, word, case {mark} end as mark from (select row_id, words[p + 1] as w0, words[p + 2] as w1, p as word from (select row_id, words, unnest(range(0, len(words))) as p from d))),
-judged as (select *, row_number() over () as span_id, is_base and exact > 0 as base, cover >= {license_scan.COVER} and behind - first <= {license_scan.STRETCH} * (grams + {k - 1}) as verified from spans),
+judged as (select *, row_number() over () as span_id, kind = 'base' and exact > 0 as base, case when kind = 'identifier' then exact > 0 else cover >= {license_scan.COVER} and behind - first <= {license_scan.STRETCH} * (grams + {k - 1}) end as verified from spans),
 held as (
-  select span_id from judged j join needs using (label) join marks m on m.row_id = j.row_id and m.mark = needs.mark and m.word between j.first and j.behind + {license_scan.BEHIND - 1}
+  select span_id from judged j join needs using (label) join marks m on m.row_id = j.row_id and m.mark = needs.mark and m.word between j.first and j.behind - 1 + case when m.mark in {license_scan.VERSIONS} then {license_scan.BEHIND} else 0 end
   where verified group by span_id having count(distinct needs.mark) = any_value(asked)),
-named as (select *, verified and (label not in (select label from needs) or span_id in (select span_id from held)) as told from judged),
+barred as (select span_id from judged j join bars using (label) join marks m on m.row_id = j.row_id and m.mark = bars.mark and m.word between j.first and j.behind - 1),
+named as (select *, verified and (kind = 'identifier' or label not in (select label from needs) or span_id in (select span_id from held) and span_id not in (select span_id from barred)) as told from judged),
 of_doc as (
   select row_id, sum(exact) filter (base) as n_base, min(exact_first) filter (base) as first_word, max(exact_last) filter (base) as last_word,
     string_agg(distinct label, ',' order by label) filter (base) as base_labels, string_agg(distinct label, ',' order by label) filter (base or told) as labels, max(cover) as score

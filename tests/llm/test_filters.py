@@ -272,7 +272,8 @@ def test_licenses_of_like_wording_are_told_apart(spark):
     cases = [
         (gnu.format("", "2"), "gpl-2"), (gnu.format("", "3"), "gpl-3"), (gnu.format("Lesser ", "2.1"), "lgpl"), (gnu.format("Affero ", "3"), "agpl-3"), (gnu.format("", "2") + " " + gnu.format("", "3"), "gpl-2,gpl-3"),
         ("under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.", "gpl-2"), (gnu.format("", "2").replace("either version 2 of the License", "version 2 only"), "gpl-2"),
-        (cc.format("Attribution 4.0"), "cc-by"), (cc.format("Attribution-ShareAlike 4.0"), "cc-by-sa"), (cc.format("Attribution-NonCommercial 4.0"), "cc-by-nc"), (cc.format("Attribution-NonCommercial-ShareAlike 4.0"), "cc-by-nc,cc-by-sa"),
+        (cc.format("Attribution 4.0"), "cc-by"), (cc.format("Attribution-ShareAlike 4.0"), "cc-by-sa"), (cc.format("Attribution-NonCommercial 4.0"), "cc-by-nc"), (cc.format("Attribution-NonCommercial-ShareAlike 4.0"), "cc-by-nc-sa"),
+        (cc.format("Attribution-NoDerivatives 4.0"), "cc-by-nd"), (cc.format("Attribution-NonCommercial-NoDerivatives 4.0"), "cc-by-nc-nd"), (cc.format("Attribution-ShareAlike 4.0") + " For non commercial use see below.", "cc-by-sa"),
         ("Licensed under the GNU General Public License, version 3", "gpl-3"), ("Licensed under the GNU General Public License, version 2", ""),
     ]
     texts = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)] + [(None, cases[0][0])] * 2, "doc_id long, text string")
@@ -280,6 +281,26 @@ def test_licenses_of_like_wording_are_told_apart(spark):
     assert {r.doc_id: r.labels for r in out} == {**{k: x for k, (_, x) in enumerate(cases)}, None: "gpl-2"} and len(out) == len(cases) + 2
 
 
+def test_short_names_and_identifiers_count_where_they_stand_whole(spark):
+    cases = [
+        ("CC BY-SA 4.0", "cc-by-sa"), ("text: CC BY 4.0.", "cc-by"), ("CC BY-NC-SA 4.0", "cc-by-nc,cc-by-nc-sa"), ("(cc-by-nc-nd)", "cc-by-nc,cc-by-nc-nd"), ("CC BY", ""), ("CC BY-ND-NC 1.0", ""), ("CC0 1.0 Universal", "cc0"),
+        ("GNU GPL v2", "gpl-2"), ("the GNU GPL, version 3", "gpl-3"), ("GNU GPL v1", ""), ("GNU AGPL v3", "agpl-3"), ("GNU LGPL v2.1", "lgpl"), ("SPDX-License-Identifier: LGPL-2.1-only", "lgpl"),
+        ("// SPDX-License-Identifier: Apache-2.0\n", "apache-2"), ("SPDX-License-Identifier: Apache-1.1", ""), ("SPDX-License-Identifier: GPL-2.0-or-later", "gpl-2"), ("SPDX-License-Identifier: MIT", "mit"),
+        ("SPDX-License-Identifier: BSD-3-Clause", "bsd"), ("SPDX-License-Identifier: MPL-2.0", "mpl-2"), ("spdx license or identifier mit", ""), ("Apache License 2.0", "apache-2"),
+    ]
+    texts = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "doc_id long, text string")
+    assert {r.doc_id: r.labels for r in license_scan.license_scan(texts).collect()} == {k: x for k, (_, x) in enumerate(cases)}
+
+
+def test_licenses_in_a_very_long_text(spark):
+    filler = "word non commercial no derivatives attribution version 2 gnu general " * 40_000
+    text = filler + "under the MIT license " + filler + license_scan.NOTICES["gpl-3"][1] + " " + filler + "cc by nc"
+    out = license_scan.license_scan(spark.createDataFrame([(1, text), (2, filler), (1, text)], "doc_id long, text string")).collect()
+    by_hand = base_of(text)
+    assert sorted(tuple(r)[:6] for r in out) == sorted([(1, *by_hand), (1, *by_hand), (2, *base_of(filler))])
+    assert {(r.doc_id, r.labels) for r in out} == {(1, "cc-by-nc,gpl-3,mit"), (2, "")}
+
+
 def test_language_accuracy_and_edges(documents, docs, none):
     truth = {r.doc_id: r.lang for r in documents.collect()}
     got = language_id.identify(documents).collect()
