@@ -51,7 +51,7 @@ def records(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
 
 
 def rebalance(sizes: list[int], shard_of: list[int], shards: int, tolerance: float = TOLERANCE) -> list[int]:
-    """The map edited so that bytes are near equal: each edit moves or swaps slots of the fullest and the emptiest shard and narrows their gap. Slots of shards that are no more go to the emptiest first, the largest slots before the others."""
+    """The map edited so that bytes are near equal: each edit moves or swaps slots of the fullest and the emptiest shard and narrows their gap. Slots of shards that are no more go to the emptiest first, the largest slots before the others. Edits end when the shards are within the tolerance, when none narrows the gap, or after four for each slot; in each case the map is valid and every row placed."""
     shard_of = list(shard_of)
     load = [0] * shards
     for slot, shard in enumerate(shard_of):
