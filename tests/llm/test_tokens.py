@@ -209,3 +209,35 @@ def test_every_code_point_in_ids(byte_bpe):
             part = texts[at : at + 100_000]
             odd = [hex(ord(code_points()[at + k])) for k, (t, e) in enumerate(zip(part, byte_bpe.encode_batch(part, add_special_tokens=False), strict=True)) if bpe.ids(t).tolist() != e.ids]
             assert not odd, odd[:20]
+
+
+#: One or a few characters of each class that a pattern may cut by, of many scripts, and contractions in both cases.
+CLASSES = [
+    "a", "Z", "é", "é", "ß", "ſ", "İ", "ж", "Ω", "א", "ع", "क", "क्ष", "ไ", "中", "ひ", "ア", "한", "ა", "Ꭰ", "\U00010400", "\U00020000", "ª", "ʰ", "ǅ",
+    "0", "٣", "५", "½", "Ⅷ", "²", "㊉", "_", "-", "'", "’", "\"", ".", "¿", "،", "।", "。", "$", "€", "+", "™", "☃", "\U0001f600", "\U0001f468\u200d\U0001f469", "\ufe0f", "\u0301", "\u200b", "\u00ad",
+    " ", "  ", "\t", "\n", "\r\n", "\u00a0", "\u2003", "\u3000", "\u2028", "\x85", "\x00", "\x1c", "\ue000",
+    "'s", "'S", "'t", "'re", "'RE", "'ve", "'m", "'ll", "'LL", "'d", "’s", "'ſ", "don't", "I'LL", "<|endoftext|>",
+]
+
+
+def mixed_texts():
+    """All pairs of classes, alone and between letters and spaces, and random runs of them."""
+    rng = random.Random(11)
+    pairs = [frame.format(a, b) for a in CLASSES for b in CLASSES for frame in ("{}{}", "x {}{} y", "{0}{1}{0}{0}")]
+    return pairs + ["".join(rng.choices(CLASSES, k=rng.randint(3, 30))) for _ in range(4_000)]
+
+
+def test_pairs_of_scripts_and_contractions_in_ids(byte_bpe):
+    texts, ours = mixed_texts(), vocab.byte_bpe()
+    wrong = [t for t, e in zip(texts, byte_bpe.encode_batch(texts, add_special_tokens=False), strict=True) if ours.ids(t).tolist() != e.ids]
+    assert wrong == []
+
+
+def test_pairs_of_scripts_and_contractions_in_counts(word_bpe):
+    texts, ours = mixed_texts(), token_counts.word_bpe(public_tokenizers.path("word_bpe_49k.json"))
+    wrong = []
+    for text, e in zip(texts, word_bpe.encode_batch(texts, add_special_tokens=False), strict=True):
+        words, special = ours.words(text)
+        if (int(ours.count(words).sum()) if words else 0) + special != len(e.ids):
+            wrong.append(text)
+    assert wrong == []
