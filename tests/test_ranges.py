@@ -7,6 +7,33 @@ from pointloom.plans import queries
 from pointloom.sources.tables import room
 
 
+def most_rows(spark, run):
+    """The most rows that a task of these jobs has from a shuffle."""
+    context = spark.sparkContext
+    group = f"most-rows-{id(run)}"
+    context.setJobGroup(group, group)
+    try:
+        run()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    context._jsc.sc().listenerBus().waitUntilEmpty()
+    tracker, store = context.statusTracker(), context._jsc.sc().statusStore()
+    most = 0
+    for job in tracker.getJobIdsForGroup(group):
+        for stage in tracker.getJobInfo(job).stageIds:
+            tasks = store.taskList(stage, 0, 10_000)
+            for k in range(tasks.size()):
+                metrics = tasks.apply(k).taskMetrics()
+                if metrics.isDefined():
+                    most = max(most, metrics.get().shuffleReadMetrics().recordsRead())
+    return most
+
+
+def test_no_task_sees_the_whole_room(spark, small):
+    spark.sparkContext.__dict__.pop("_pointloom_rooms", None)
+    assert 0 < most_rows(spark, lambda: room(spark, small).count()) < 60_000 / 4
+
+
 def test_places_are_those_of_the_order(spark):
     rows = spark.range(10_000).select((F.col("id") * 7_919 % 10_000).alias("k"), (F.col("id") % 3).alias("of")).repartition(5)
     for parts in (1, 7, None):
