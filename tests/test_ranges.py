@@ -1,5 +1,6 @@
 """Order without a task that sees all rows."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from pointloom import session
@@ -44,6 +45,28 @@ def test_places_are_those_of_the_order(spark):
     assert ranges.numbered(rows, ["k"], "place", ["k"]).columns == ["k", "place"]
 
 
+def test_numbers_of_the_sphere_and_of_a_cap_come_from_ranges_of_some_rows(spark, small, monkeypatch):
+    """Whatever number of partitions the session has: a part of all rows would grow with them."""
+
+    class Numbered(Exception):
+        pass
+
+    def numbered(*_):
+        raise Numbered
+
+    points = room(spark, small)
+    n = points.count()
+    monkeypatch.setattr(ranges, "LOT", 3_000)
+    monkeypatch.setattr(queries, "sphere", numbered)
+
+    def of_sphere():
+        with pytest.raises(Numbered):
+            queries.poisson_sphere(spark, small)
+
+    for run in (of_sphere, lambda: sample.within_cap(points.select("point_idx"), 1000)):
+        assert 0 < most_rows(spark, run) < n / 8
+
+
 def test_a_cap_marks_every_point_and_drops_none(spark, small):
     points = room(spark, small)
     first = [r[0] for r in points.where("z > 1").orderBy("point_idx").limit(1000).collect()]
