@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pointloom import session
-from pointloom.operators import ranges, sample
+from pointloom.operators import grid, ranges, sample
 from pointloom.plans import queries
 from pointloom.sources import tables
 from pointloom.sources.tables import room
@@ -67,6 +67,15 @@ def test_numbers_of_the_sphere_and_of_a_cap_come_from_ranges_of_some_rows(spark,
         assert 0 < most_rows(spark, run) < n / 8
 
 
+def test_voxels_bring_their_first_points_surface_and_the_room_is_not_met_again(spark, small):
+    points = room(spark, small)
+    each = grid.voxel_downsample(points, 0.05, first=("surf",)).select("point_idx", "surf")
+    assert each.join(points.select("point_idx", "surf"), ["point_idx", "surf"], "left_semi").count() == each.count() > 1_000
+    assert grid.voxel_downsample(points.where("point_idx < 0"), 0.05, first=("surf",)).columns == ["x", "y", "z", "surf"]
+    plan = queries.mst_orientation(spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "/normals-" in plan and "/room-" not in plan
+
+
 def test_a_cap_marks_every_point_and_drops_none(spark, small):
     points = room(spark, small)
     first = [r[0] for r in points.where("z > 1").orderBy("point_idx").limit(1000).collect()]
